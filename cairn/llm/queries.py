@@ -1,0 +1,45 @@
+"""Queries of the training-data operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cairn.llm import components, splitting
+from cairn.plans.registry import Registry
+from cairn.tables import table
+
+R = Registry()
+
+
+def registries() -> list[Registry]:
+    """The registries of this package."""
+    return [R]
+
+
+@R.query(
+    sql="""
+    WITH RECURSIVE e AS (
+        SELECT DISTINCT source_object_id AS a, target_object_id AS b FROM oa_archive_link
+        WHERE link_type = 'same_as' AND source_object_id IS NOT NULL AND target_object_id IS NOT NULL AND source_object_id <> target_object_id),
+    s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+    r AS (SELECT a, a AS b FROM s UNION SELECT r.a, s.b FROM r JOIN s ON r.b = s.a)
+    SELECT a AS derived_object_id, min(b) AS group_id FROM r GROUP BY a
+    """
+)
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """The group of every object with a ``same_as`` link to another object."""
+    links = table(spark, d, "oa_archive_link").where(F.col("link_type") == "same_as")
+    return components.connected_components(links, "source_object_id", "target_object_id", "derived_object_id", "group_id")
+
+
+@R.query()
+def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """All pieces of all oversized segments."""
+    return splitting.split_table(table(spark, d, "oa_segment"), ["segment_id"], "text_content")
+
+
+@R.query(sql="SELECT DISTINCT segment_id FROM oa_segment WHERE octet_length(encode(text_content)) > 4000")
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Segments that had to be split."""
+    return p4_pieces(spark, d).where(F.col("n_pieces") > 1).select("segment_id").distinct()
