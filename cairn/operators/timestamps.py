@@ -195,6 +195,16 @@ def utc_micros(value: Column, zone: Column) -> Column:
     return _udf(zones.database_version())(value, zone)
 
 
+def instant(value: Column) -> Column:
+    """Microseconds of the two machine notations (ISO with offset, wrapped milliseconds), else null.
+
+    For columns known to hold little else; it never leaves the JVM.
+    """
+    iso = F.when(value.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|[+-]\d{2}:\d{2})$"), value)
+    millis = F.regexp_extract(value, r'^\{"\$date":\{"\$numberLong":"(-?\d{1,15})"\}\}$', 1)
+    return F.coalesce(F.unix_micros(F.try_to_timestamp(iso)), F.when(millis != "", millis.try_cast("long") * 1000))
+
+
 def normalise(df: DataFrame, value: str, zone: str | None = None, to: str = "utc_us") -> DataFrame:
     """Add ``to``: the UTC instant of column ``value``, in microseconds.
 
