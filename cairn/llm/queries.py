@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import components, splitting
+from cairn.llm import components, conversations, splitting
+from cairn.operators import timestamps
 from cairn.plans.registry import Registry
+from cairn.sources import exports
 from cairn.tables import table
 
 R = Registry()
@@ -43,3 +45,52 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Segments that had to be split."""
     return p4_pieces(spark, d).where(F.col("n_pieces") > 1).select("segment_id").distinct()
+
+
+def _messages(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Message rows with text of both chat exports, and the conversations that records name."""
+    full = r"(?U)\S"
+    claude = exports.read_paths(
+        spark, d, "claude_export",
+        ["record_id", "uuid", *(f"chat_messages.{p}" for p in ("uuid", "text", "sender", "created_at", "content.type", "content.text"))],
+    )
+    grok = exports.read_paths(
+        spark, d, "grok_export",
+        ["record_id", "conversation.id", *(f"responses.response.{p}" for p in ("_id", "conversation_id", "message", "sender", "create_time"))],
+    )
+    said = F.exists("m.content", lambda p: (p["type"] == "text") & p["text"].rlike(full))
+    a = (
+        claude.select("record_id", F.col("uuid").alias("conversation_id"), F.posexplode("chat_messages").alias("i", "m"))
+        .where(F.coalesce(said, F.lit(False)) | F.coalesce(F.col("m.text").rlike(full), F.lit(False)))
+        .select(F.lit("claude_export").alias("source"), "conversation_id", F.col("m.uuid").alias("message_id"), "m.sender", F.col("m.created_at").alias("at"), F.struct("record_id", "i").alias("pos"))
+    )
+    bare = F.regexp_replace("r.message", r"<(/?)(grok:|xai:)[^>]*>", "")
+    b = (
+        grok.select("record_id", F.col("conversation.id").alias("envelope"), F.posexplode("responses").alias("i", "x"))
+        .select("record_id", "envelope", "i", F.col("x.response").alias("r"))
+        .where(bare.rlike(full))
+        .select(F.lit("grok_export").alias("source"), F.coalesce("r.conversation_id", "envelope").alias("conversation_id"), F.col("r._id").alias("message_id"), "r.sender", F.col("r.create_time").alias("at"), F.struct("record_id", "i").alias("pos"))
+    )
+    both = a.unionByName(b)
+    quick = timestamps.instant(F.col("at"))
+    slow = timestamps.utc_micros(F.when(quick.isNull(), F.col("at")), F.lit(None).cast("string"))
+    named = claude.select(F.lit("claude_export").alias("source"), F.col("uuid").alias("conversation_id")).unionByName(
+        grok.select(F.lit("grok_export").alias("source"), F.col("conversation.id").alias("conversation_id"))
+    )
+    # conversations that only responses without text name are judged as well
+    silent = grok.select("conversation.id", F.explode("responses").alias("x")).select(F.lit("grok_export").alias("source"), F.coalesce("x.response.conversation_id", "id").alias("conversation_id"))
+    return both.withColumn("t", F.coalesce(quick, slow)).drop("at"), named, silent
+
+
+@R.query()
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations to drop."""
+    messages, named, silent = _messages(spark, d)
+    return conversations.rebuild(messages, named, mentioned=silent).rejected().select("source", "conversation_id")
+
+
+@R.query()
+def p7_turns(spark: SparkSession, d: str) -> DataFrame:
+    """Ordered turns of the conversations that are kept."""
+    messages, named, silent = _messages(spark, d)
+    return conversations.rebuild(messages, named, mentioned=silent).turns()
