@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import components, conversations, splitting
+from cairn.llm import components, conversations, history, splitting
 from cairn.operators import timestamps
 from cairn.plans.registry import Registry
 from cairn.sources import exports
@@ -94,3 +94,12 @@ def p7_turns(spark: SparkSession, d: str) -> DataFrame:
     """Ordered turns of the conversations that are kept."""
     messages, named, silent = _messages(spark, d)
     return conversations.rebuild(messages, named, mentioned=silent).turns()
+
+
+@R.query()
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that repeat an accepted row, batch after batch, each with that row."""
+    raw = exports.read_paths(spark, d, "claude_export", ["record_id", "batch_no", "uuid", "updated_at", "chat_messages.text"])
+    rows = raw.select("record_id", "batch_no", F.xxhash64("uuid").alias("owner"), timestamps.instant(F.col("updated_at")).alias("updated"), F.col("chat_messages.text").alias("texts"))
+    batches = [r[0] for r in raw.select("batch_no").distinct().orderBy("batch_no").collect()]
+    return history.deduplicate(rows, batches)
