@@ -161,21 +161,24 @@ class History:
         return scored.select("a", "b", "similarity")
 
     def accept(self, batch: DataFrame) -> DataFrame:
-        """Take one batch of features; returns ``(record_id_a, record_id_b)`` of its rejected rows."""
+        """Take one batch of features; returns ``(record_id_a, record_id_b)`` of its rejected rows.
+
+        The batch is decided in arrival order, in blocks that double in size.
+        """
         rows = batch.where("n > 0")
         count, low, high = rows.agg(F.count("*"), F.min("record_id"), F.max("record_id")).first()
         if not count:
             return self.spark.createDataFrame([], "record_id_a long, record_id_b long")
-        shares, size = [], FIRST_BLOCK
-        while size < count:
-            shares.append(size / count)
+        shares, seen, size = [], FIRST_BLOCK, FIRST_BLOCK
+        while seen < count:
+            shares.append(seen / count)
             size *= 2
+            seen += size
         ends = rows.select(F.percentile_approx("record_id", shares, 10_000)).first()[0] if shares else []
         out, start = None, low
         for end in [*sorted(set(ends)), high]:
             if start <= end:
-                block = rows.where(F.col("record_id").between(start, end))
-                done = self._block(block)
+                done = self._block(rows.where(F.col("record_id").between(start, end)))
                 out = done if out is None else out.unionByName(done)
                 start = end + 1
         return out
@@ -232,20 +235,18 @@ class History:
         return done
 
 
-def deduplicate(rows: DataFrame, batches: list[int]) -> DataFrame:
-    """Feed all batches of ``rows`` in order; ``(record_id_a, record_id_b)`` of all rejected rows.
+def deduplicate(rows: DataFrame) -> DataFrame:
+    """``(record_id_a, record_id_b)`` of all rejected rows of a backlog of batches.
 
     ``rows``: record_id, batch_no, owner (a number for the identifier), updated (microseconds), texts.
+    Arrival order runs through the batches, so the backlog is taken as one long batch: each block is
+    decided against the history before it, as it would be batch by batch, with the same result.  The
+    order of tokens is frozen on the first batch.
     """
     spark = rows.sparkSession
-    if not batches:
+    first = rows.agg(F.min("batch_no")).first()[0]
+    if first is None:
         return spark.createDataFrame([], "record_id_a long, record_id_b long")
-    history = History(spark, frequent_tokens(rows.where(F.col("batch_no") == batches[0])))
-    space = history.space
-    path = space.save(history.featurise(rows), "features", ["batch_no"])
-    features = spark.read.schema(_FEATURES).parquet(path)
-    out = None
-    for no in batches:
-        done = space.cut(history.accept(features.where(F.col("batch_no") == no)), "rejected")
-        out = done if out is None else out.unionByName(done)
-    return out
+    history = History(spark, frequent_tokens(rows.where(F.col("batch_no") == first)))
+    path = history.space.save(history.featurise(rows), "features")
+    return history.accept(spark.read.schema(_FEATURES).parquet(path))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import components, conversations, history, splitting
+from cairn.llm import components, conversations, history, leaks, splitting
 from cairn.operators import timestamps
 from cairn.plans.registry import Registry
 from cairn.sources import exports
@@ -101,5 +101,16 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Rows that repeat an accepted row, batch after batch, each with that row."""
     raw = exports.read_paths(spark, d, "claude_export", ["record_id", "batch_no", "uuid", "updated_at", "chat_messages.text"])
     rows = raw.select("record_id", "batch_no", F.xxhash64("uuid").alias("owner"), timestamps.instant(F.col("updated_at")).alias("updated"), F.col("chat_messages.text").alias("texts"))
-    batches = [r[0] for r in raw.select("batch_no").distinct().orderBy("batch_no").collect()]
-    return history.deduplicate(rows, batches)
+    return history.deduplicate(rows)
+
+
+@R.query()
+def p9_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Leaked passages with the number of their words and their place in the document."""
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_item"), "doc_id", "text")
+
+
+@R.query()
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that carry a passage, each with the items it leaks."""
+    return p9_spans(spark, d).select("doc_id", "item_id")
