@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import components, conversations, history, leaks, splitting
+from cairn.llm import components, conversations, history, leaks, sentences, splitting
 from cairn.operators import timestamps
 from cairn.plans.registry import Registry
 from cairn.sources import exports
@@ -114,3 +114,15 @@ def p9_spans(spark: SparkSession, d: str) -> DataFrame:
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that carry a passage, each with the items it leaks."""
     return p9_spans(spark, d).select("doc_id", "item_id")
+
+
+@R.query()
+def p10_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """All sentences of all documents with their place."""
+    return sentences.sentence_table(table(spark, d, "documents"), "doc_id", "text")
+
+
+@R.query()
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """The first character of every sentence."""
+    return p10_sentences(spark, d).select("doc_id", "start_char")
