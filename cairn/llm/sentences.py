@@ -31,19 +31,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 # Abbreviations by language, lower case, without the last full stop.
-#: Never at the end of a sentence.
+#: Before a name, with a capital where the script has them; never at the end of a sentence.
 TITLES = frozenset(
     """
-    dr mr mrs ms prof rev gen col capt lt sgt hon st mt vs cf e.g i.e viz
-    bzw bzgl z.b d.h u.a ggf vgl inkl exkl zzgl sog evtl i.d.r u.u s.o s.u hr fr dipl
-    m mm mlle pr ste p.ex c.-à-d
-    sr sra srta dra ud uds ej ee lic ing av dña
-    проф см напр им акад доц ул т.е т.к
+    dr mr mrs ms prof rev gen col capt lt sgt hon st mt
+    hr fr dipl
+    m mm mlle pr ste
+    sr sra srta dra ud uds lic ing av dña
     د أ م ص ا
     डॉ प्रो श्री
     ดร นพ
     """.split()
 )
+#: Never at the end of a sentence.
+INNER = frozenset(
+    """
+    vs cf e.g i.e viz
+    bzw bzgl z.b d.h u.a ggf vgl inkl exkl zzgl sog evtl i.d.r u.u s.o s.u
+    p.ex c.-à-d
+    ej ee
+    проф см напр им акад доц ул т.е т.к
+    """.split()
+)
 #: Not the end of a sentence before a number.
 BEFORE_NUMBER = frozenset(
     """
@@ -115,7 +124,7 @@ def _dot_ends(text: str, s: int, at: int, nxt: str) -> bool:
     before = text[max(s, at - 24) : at]
     word = _BEFORE.search(before).group().lstrip("-.")
     low = word.lower()
-    if low in TITLES or low.rpartition("-")[2] in TITLES:
+    if low in INNER or (low.rpartition("-")[2] in TITLES and not word[0].islower()):
         return False
     if nxt.isdigit():
         return low not in BEFORE_NUMBER
