@@ -10,15 +10,15 @@ begins.  Two sets with Jaccard similarity ``t`` must share a token among the fir
 * a batch probes its prefixes; a posting pair survives if the lengths allow ``t``, if the shorter
   side's place lies in its (still shorter) index prefix, and if the tokens behind both places could
   still make up the overlap;
-* surviving pairs are verified exactly on stored token fingerprints; no text is read again;
+* surviving pairs are verified on the stored sets; no text is read again;
 * rows that stay are compared with one another the same way, decided in order of arrival, and their
   postings are appended.
 
 Cost: a batch is read, tokenised and shuffled once; of the history, only thin postings and the
 fingerprints of the accepted rows are scanned.
 
-Skew: identical texts are collapsed to one before anything is paired, also against history (the
-whole-text fingerprint is a posting like any other).  Near-copies of an accepted row are rejected at
+Skew: identical texts are collapsed to one before anything is paired, also against history (by
+a fingerprint of the whole set).  Near-copies of an accepted row are rejected at
 the probe, so a group that fills a third of a batch meets one posting list entry, not itself: a batch
 is taken in blocks that double in size, so that the first small block accepts the representative.
 Frequent tokens come last in the order and rarely enter a prefix.
@@ -35,73 +35,71 @@ nothing; columns beside the named ones are ignored.
 
 from __future__ import annotations
 
-import math
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.durable import Workspace
-from cairn.llm.shingles import mix, shingles, word_numbers
+from cairn.llm.shingles import TokenBatch, mix
 
 SIZE, THRESHOLD = 6, 0.58
 #: Frozen order: at most so many frequent tokens are ranked (the broadcast's bound); others count as rare.
 RANKED = 1 << 17
 FIRST_BLOCK = 4096
 
-_FEATURES = "record_id long, batch_no int, owner long, updated long, fp long, n int, messages array<long>, tokens array<int>, prefix array<long>"
+_FEATURES = "record_id long, batch_no int, owner long, updated long, fp long, n int, messages array<long>, tokens array<int>"
 
 
-def _tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle numbers of a row and one number per distinct message."""
-    parts, whole = [], []
-    for text in texts:
-        if text:
-            words = word_numbers(text)
-            if len(words):
-                parts.append(shingles(words, SIZE))
-                whole.append(shingles(words, len(words)))
-    if not parts:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64)
-    return np.unique(np.concatenate(parts)), np.unique(np.concatenate(whole))
+def _batch_tokens(batch: pa.RecordBatch) -> TokenBatch:
+    texts = batch.column("texts")
+    owner = np.repeat(np.arange(len(texts)), pc.fill_null(pc.list_value_length(texts), 0).to_numpy(zero_copy_only=False))
+    return TokenBatch(texts.flatten().to_pylist(), owner, SIZE)
 
 
-def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [_tokens(list(t))[0] for t in batch["texts"] if t is not None]
-        if found:
-            tokens, counts = np.unique(np.concatenate(found), return_counts=True)
-            yield pd.DataFrame({"token": tokens.view(np.int64), "n": counts.astype(np.int64)})
+        tokens, counts = np.unique(_batch_tokens(batch).token, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int32)), pa.array(counts.astype(np.int64))], names=["token", "n"])
 
 
 def frequent_tokens(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The frozen order: the most frequent tokens of the first batch and their counts."""
-    counts = rows.select("texts").mapInPandas(_counts, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counts = rows.select("texts").mapInArrow(_counts, "token int, n long").groupBy("token").agg(F.sum("n").alias("n"))
     top = counts.where("n > 2").orderBy(F.desc("n"), "token").limit(RANKED).toPandas()
-    tokens = top["token"].to_numpy(np.int64).view(np.uint64)
+    tokens = top["token"].to_numpy(np.int32).view(np.uint32)
     by = np.argsort(tokens)
     return tokens[by], top["n"].to_numpy(np.int64)[by]
 
 
+def _lists(row: np.ndarray, values: np.ndarray, n: int) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32)), pa.array(values))
+
+
 def _featurise(order: tuple[np.ndarray, np.ndarray]):
     known, ranks = order
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for rid, no, owner, updated, texts in zip(batch["record_id"], batch["batch_no"], batch["owner"], batch["updated"], batch["texts"]):
-                tokens, messages = _tokens(list(texts) if texts is not None else [])
-                n = len(tokens)
-                if n and len(known):
-                    at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
-                    tokens = tokens[np.lexsort((tokens, np.where(known[at] == tokens, ranks[at], 0)))]
-                keep = n - math.ceil(THRESHOLD * n) + 1 if n else 0
-                fp = int(mix(np.array([np.add.reduce(mix(tokens), dtype=np.uint64) + np.uint64(n)], dtype=np.uint64)).view(np.int64)[0]) if n else 0
-                rows.append((rid, no, owner, updated, fp, n, messages.view(np.int64), tokens.astype(np.uint32).view(np.int32), tokens[:keep].view(np.int64)))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _FEATURES.split(", ")])
+            found, n = _batch_tokens(batch), batch.num_rows
+            row, token = found.row, found.token
+            if len(known):
+                at = np.minimum(np.searchsorted(known, token), len(known) - 1)
+                by = np.lexsort((token, np.where(known[at] == token, ranks[at], 0), row))
+                row, token = row[by], token[by]
+            size = np.bincount(row, minlength=n)
+            total = np.zeros(n, dtype=np.uint64)
+            np.add.at(total, row, mix(token.astype(np.uint64) + np.uint64(1)))
+            fp = np.where(size > 0, mix(total + size.astype(np.uint64)).view(np.int64), 0)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("record_id", "batch_no", "owner", "updated")), pa.array(fp), pa.array(size.astype(np.int32)),
+                 _lists(found.message_row, found.message.view(np.int64), n), _lists(row, token.view(np.int32), n)],
+                names=[c.split()[0] for c in _FEATURES.split(", ")],
+            )
 
     return run
 
@@ -135,37 +133,45 @@ class History:
         self.buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.postings = f"cairn_postings_{uuid.uuid4().hex}"
         self._postings_path = self.space.location("postings")
-        self._accepted: list[str] = []
+        self._seen: list[str] = []
+        self._texts: list[str] = []
         self._started = False
 
     def featurise(self, rows: DataFrame) -> DataFrame:
         """Token sets of rows ``(record_id, batch_no, owner, updated, texts)``."""
-        return rows.select("record_id", "batch_no", "owner", "updated", "texts").mapInPandas(_featurise(self.order), _FEATURES)
+        return rows.select("record_id", "batch_no", "owner", "updated", "texts").mapInArrow(_featurise(self.order), _FEATURES)
 
     def _index(self) -> DataFrame | None:
         return self.spark.table(self.postings) if self._started else None
 
-    def _history(self) -> DataFrame:
-        return self.spark.read.schema(_FEATURES.replace(", prefix array<long>", "")).parquet(*self._accepted)
-
     @staticmethod
     def _exploded(rows: DataFrame) -> DataFrame:
-        return rows.select(F.col("record_id").alias("b"), F.col("n").alias("bn"), F.posexplode("prefix").alias("bpos", "token"))
+        keep = F.col("n") - F.ceil(F.col("n") * THRESHOLD - 1e-9).cast("int") + 1
+        return rows.select(F.col("record_id").alias("b"), F.col("n").alias("bn"), F.posexplode(F.slice("tokens", F.lit(1), keep)).alias("bpos", "token"))
 
     def _verified(self, pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-        """``(a, b, similarity)`` of true pairs, longer versions left out."""
-        side = lambda df, s: df.select(F.col("record_id").alias(s), F.col("tokens").alias(f"x{s}"), F.col("n").alias(f"n{s}"), F.col("owner").alias(f"o{s}"), F.col("updated").alias(f"u{s}"), F.col("messages").alias(f"m{s}"))
-        full = pairs.join(side(left, "a"), "a").join(side(right, "b"), "b")
+        """``(a, b, similarity)`` of true pairs, longer versions left out.
+
+        ``pairs`` is a stored table, so its size is known to the planner; token sets of rows outside
+        it are dropped before anything is joined.
+        """
+
+        def side(df: DataFrame, s: str) -> DataFrame:
+            df = df.join(pairs.select(F.col(s).alias("record_id")).distinct(), "record_id", "left_semi")
+            return df.select(F.col("record_id").alias(s), F.col("tokens").alias(f"x{s}"), F.col("n").alias(f"n{s}"), F.col("owner").alias(f"o{s}"), F.col("updated").alias(f"u{s}"), F.col("messages").alias(f"m{s}"))
+
+        full = pairs.select("a", "b").join(side(left, "a"), "a").join(side(right, "b"), "b")
         longer = F.coalesce((F.col("oa") == F.col("ob")) & (F.col("ub") > F.col("ua")), F.lit(False)) & (F.size("mb") > F.size("ma")) & (F.size(F.array_except("ma", "mb")) == 0)
         scored = full.withColumn("similarity", _similar(full)).where((F.col("similarity") >= THRESHOLD) & ~longer)
         return scored.select("a", "b", "similarity")
 
-    def accept(self, batch: DataFrame) -> DataFrame:
-        """Take one batch of features; returns ``(record_id_a, record_id_b)`` of its rejected rows.
+    def accept(self, path: str) -> DataFrame:
+        """Take one stored batch of features; returns ``(record_id_a, record_id_b)`` of its rejected rows.
 
         The batch is decided in arrival order, in blocks that double in size.
         """
-        rows = batch.where("n > 0")
+        self._seen.append(path)
+        rows = self.spark.read.schema(_FEATURES).parquet(path).where("n > 0")
         count, low, high = rows.agg(F.count("*"), F.min("record_id"), F.max("record_id")).first()
         if not count:
             return self.spark.createDataFrame([], "record_id_a long, record_id_b long")
@@ -191,16 +197,18 @@ class History:
         none = self.spark.createDataFrame([], "a long, b long, similarity double")
         hits = none
         if (index := self._index()) is not None:
-            probe = self._exploded(reps).unionByName(reps.select(F.col("record_id").alias("b"), F.col("n").alias("bn"), F.lit(-1).alias("bpos"), F.col("fp").alias("token")))
-            met = probe.hint("shuffle_hash").join(index, "token").where(((F.col("apos") < 0) & (F.col("bpos") < 0)) | ((F.col("apos") >= 0) & (F.col("bpos") >= 0) & _possible("a", "b")))
-            met = space.cut(met.groupBy("a", "b").agg((F.min("apos") < 0).alias("exact")), "met")
-            exact = met.where("exact").select("a", "b", F.lit(2.0).alias("similarity"))
-            near = self._verified(met.where("not exact").select("a", "b"), self._history(), rows)
+            known = self.spark.read.schema("fp long, a long").parquet(*self._texts)
+            exact = reps.select(F.col("record_id").alias("b"), "fp").join(known, "fp").select("a", "b", F.lit(2.0).alias("similarity"))
+            probe = self._exploded(reps)
+            met = probe.hint("shuffle_hash").join(index, "token").where(_possible("a", "b"))
+            met = space.cut(met.select("a", "b").distinct(), "met")
+            near = self._verified(met, self.spark.read.schema(_FEATURES).parquet(*self._seen), rows)
             hits = space.cut(exact.unionByName(near), "hits")
         fresh = reps.join(hits.select(F.col("b").alias("record_id")).distinct(), "record_id", "left_anti")
         p = self._exploded(fresh)
         q = p.select(*(F.col(c).alias(c.replace("b", "a", 1)) for c in ("b", "bn", "bpos")), "token")
-        pairs = q.join(p, "token").where((F.col("a") < F.col("b")) & _possible("a", "b")).select("a", "b").distinct()
+        pairs = q.hint("shuffle_hash").join(p, "token").where((F.col("a") < F.col("b")) & _possible("a", "b")).select("a", "b").distinct()
+        pairs = space.cut(pairs, "pairs")
         edges = space.cut(self._verified(pairs, rows, rows), "edges")
         accepted_edges = self._resolve(edges)
         best = hits.unionByName(accepted_edges).groupBy("b").agg(F.max_by("a", F.struct("similarity", -F.col("a"))).alias("a"))
@@ -209,12 +217,11 @@ class History:
         rejected = final.where(F.col("a").isNotNull() | (F.col("record_id") != F.col("rep"))).select(F.coalesce("a", "rep").alias("record_id_a"), F.col("record_id").alias("record_id_b"))
         # append: postings of accepted rows, and of every distinct text its accepted row
         kept = reps.join(best.select(F.col("b").alias("record_id")), "record_id", "left_anti")
-        texts = final.where("record_id = rep").select(F.coalesce("a", "rep").alias("a"), F.lit(0).alias("an"), F.lit(-1).alias("apos"), F.col("fp").alias("token"))
-        new = self._exploded(kept).select(F.col("b").alias("a"), F.col("bn").alias("an"), F.col("bpos").alias("apos"), "token").unionByName(texts)
+        self._texts.append(space.save(final.where("record_id = rep").select("fp", F.coalesce("a", "rep").alias("a")), "texts"))
+        new = self._exploded(kept).select(F.col("b").alias("a"), F.col("bn").alias("an"), F.col("bpos").alias("apos"), "token")
         writer = new.repartition(self.buckets, "token").write.bucketBy(self.buckets, "token").format("parquet").option("compression", "zstd")
         writer.option("path", self._postings_path).mode("append").saveAsTable(self.postings)
         self._started = True
-        self._accepted.append(space.save(kept.drop("prefix"), "accepted"))
         return rejected
 
     def _resolve(self, edges: DataFrame) -> DataFrame:
@@ -248,5 +255,4 @@ def deduplicate(rows: DataFrame) -> DataFrame:
     if first is None:
         return spark.createDataFrame([], "record_id_a long, record_id_b long")
     history = History(spark, frequent_tokens(rows.where(F.col("batch_no") == first)))
-    path = history.space.save(history.featurise(rows), "features")
-    return history.accept(spark.read.schema(_FEATURES).parquet(path))
+    return history.accept(history.space.save(history.featurise(rows), "features"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import regex
 import xxhash
@@ -9,6 +11,9 @@ import xxhash
 #: A word is a run of letters, marks and digits; scripts written without spaces count by character.
 WORD = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]\p{M}*|[\p{L}\p{N}\p{M}]+")
 
+#: The same for sets of shingles, where marks may split a word as long as they always do.
+_WORDS = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]|[^\W_\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]+")
+
 _numbers: dict[str, int] = {}
 
 
@@ -33,6 +38,54 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+class TokenBatch:
+    """Shingle sets of many rows of messages at once.
+
+    ``row``, ``token`` (32 bits) hold the distinct shingles of all rows, ordered by row and token;
+    ``message_row``, ``message`` one number per distinct non-empty message of each row.
+    """
+
+    def __init__(self, texts: list[str | None], owner: np.ndarray, size: int) -> None:
+        found = [_WORDS.findall(t.lower()) if t else () for t in texts]
+        length = np.fromiter(map(len, found), np.int64, len(found))
+        keep = length > 0
+        length, owner = length[keep], owner[keep].astype(np.int64)
+        flat = [w for f in found for w in f]
+        get = _numbers.get
+        words = np.fromiter((get(w) or _number(w) for w in flat), np.uint64, len(flat))
+        end = np.cumsum(length)
+        start = end - length
+        if not len(words):
+            self.row = self.message_row = np.empty(0, np.int64)
+            self.token, self.message = np.empty(0, np.uint32), np.empty(0, np.uint64)
+            return
+        place = np.arange(len(words)) - np.repeat(start, length)
+        powers = np.cumprod(np.full(int(length.max()), 0x9E3779B97F4A7C15, dtype=np.uint64))
+        whole = mix(np.add.reduceat(words * powers[place], start) + length.astype(np.uint64))
+        self.message_row, self.message = _distinct(owner, whole)
+        own = np.repeat(owner, length)
+        left = np.repeat(end, length) - np.arange(len(words))
+        rows, tokens = [], []
+        for s in range(1, size + 1):
+            # a message shorter than a shingle is one shingle
+            at = np.flatnonzero(left >= size) if s == size else start[length == s]
+            if len(at):
+                number = np.zeros(len(at), dtype=np.uint64)
+                for k in range(s):
+                    number = number * np.uint64(0x9E3779B97F4A7C15) + words[at + k]
+                rows.append(own[at])
+                tokens.append(mix(number + np.uint64(s)) >> np.uint64(32))
+        key = np.unique((np.concatenate(rows).astype(np.uint64) << np.uint64(32)) | np.concatenate(tokens))
+        self.row, self.token = (key >> np.uint64(32)).astype(np.int64), key.astype(np.uint32)
+
+
+def _distinct(row: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    by = np.lexsort((value, row))
+    row, value = row[by], value[by]
+    first = np.r_[True, (row[1:] != row[:-1]) | (value[1:] != value[:-1])]
+    return row[first], value[first]
+
+
 def shingles(words: np.ndarray, size: int) -> np.ndarray:
     """Numbers of all runs of ``size`` words; a shorter text is one run."""
     n = len(words)
