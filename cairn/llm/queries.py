@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import components, conversations, history, leaks, sentences, splitting
+from cairn.llm import components, conversations, history, identity, leaks, sentences, splitting
 from cairn.operators import timestamps
 from cairn.plans.registry import Registry
 from cairn.sources import exports
@@ -126,3 +126,27 @@ def p10_sentences(spark: SparkSession, d: str) -> DataFrame:
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """The first character of every sentence."""
     return p10_sentences(spark, d).select("doc_id", "start_char")
+
+
+def _personal(spark: SparkSession, d: str) -> DataFrame:
+    """Every text that may carry personal information, with its place."""
+    claude = exports.read_paths(spark, d, "claude_export", ["record_id", "chat_messages.text"])
+    said = claude.select(F.lit("claude_export").alias("source"), "record_id", F.posexplode("chat_messages.text").alias("message_index", "text"))
+    other = lambda name, column: table(spark, d, name).select(F.lit(name).alias("source"), F.col("row_id").alias("record_id"), F.lit(-1).alias("message_index"), F.col(column).alias("text"))
+    return said.unionByName(other("worker_hardening", "text")).unionByName(other("durable_health_history", "body_text")).where("text is not null")
+
+
+_PLACE = ["source", "record_id", "message_index"]
+
+
+@R.query()
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every mention with its type and place."""
+    return identity.mentions(_personal(spark, d), _PLACE, "text").select(*_PLACE, "pii_type", "start_char")
+
+
+@R.query()
+def p6_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """The texts with placeholders for mentions."""
+    texts = _personal(spark, d)
+    return identity.redact(texts, _PLACE, "text", identity.mentions(texts, _PLACE, "text"))
