@@ -10,7 +10,8 @@ begins.  Two sets with Jaccard similarity ``t`` must share a token among the fir
 * a batch probes its prefixes; a posting pair survives if the lengths allow ``t``, if the shorter
   side's place lies in its (still shorter) index prefix, and if the tokens behind both places could
   still make up the overlap;
-* surviving pairs are verified on the stored sets; no text is read again;
+* surviving pairs must pass an upper bound of their overlap, taken from 128-byte sketches, and are
+  then verified on the stored sets; no text is read again;
 * rows that stay are compared with one another the same way, decided in order of arrival, and their
   postings are appended.
 
@@ -36,6 +37,7 @@ nothing; columns beside the named ones are ignored.
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,11 +50,14 @@ from cairn.durable import Workspace
 from cairn.llm.shingles import TokenBatch, mix
 
 SIZE, THRESHOLD = 6, 0.58
-#: Frozen order: at most so many frequent tokens are ranked (the broadcast's bound); others count as rare.
-RANKED = 1 << 17
+#: The frozen order counts tokens in so many slots (one byte each is broadcast).  It decides cost,
+#: never results.
+SLOTS = 1 << 24
 FIRST_BLOCK = 4096
+#: Cells of the occupancy sketch that bounds an overlap from above.
+CELLS = 512
 
-_FEATURES = "record_id long, batch_no int, owner long, updated long, fp long, n int, messages array<long>, tokens array<int>"
+_FEATURES = "record_id long, batch_no int, owner long, updated long, fp long, n int, messages array<long>, sketch array<long>, over int, tokens array<int>"
 
 
 def _batch_tokens(batch: pa.RecordBatch) -> TokenBatch:
@@ -61,45 +66,87 @@ def _batch_tokens(batch: pa.RecordBatch) -> TokenBatch:
     return TokenBatch(texts.flatten().to_pylist(), owner, SIZE)
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Token counts of one partition by slot, packed."""
+    total = np.zeros(SLOTS, dtype=np.uint32)
     for batch in batches:
-        tokens, counts = np.unique(_batch_tokens(batch).token, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int32)), pa.array(counts.astype(np.int64))], names=["token", "n"])
+        tokens = batch.column("tokens").flatten().to_numpy(zero_copy_only=False)
+        slots, counts = np.unique(tokens.view(np.uint32) & np.uint32(SLOTS - 1), return_counts=True)
+        total[slots] += counts.astype(np.uint32)
+    yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)])], names=["packed"])
 
 
-def frequent_tokens(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The frozen order: the most frequent tokens of the first batch and their counts."""
-    counts = rows.select("texts").mapInArrow(_counts, "token int, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = counts.where("n > 2").orderBy(F.desc("n"), "token").limit(RANKED).toPandas()
-    tokens = top["token"].to_numpy(np.int32).view(np.uint32)
-    by = np.argsort(tokens)
-    return tokens[by], top["n"].to_numpy(np.int64)[by]
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(SLOTS, dtype=np.uint32)
+    for batch in batches:
+        for packed in batch.column("packed"):
+            more = np.frombuffer(zlib.decompress(packed.as_py()), dtype=np.uint32)
+            total = np.where(total > ~more, ~np.uint32(0), total + more)  # saturates
+    yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)])], names=["packed"])
+
+
+def token_order(features: DataFrame) -> np.ndarray:
+    """The frozen order: how often the tokens of each slot occur in all of ``features``.
+
+    Every partition counts into one array of :data:`SLOTS` slots; the arrays are added up on the
+    executors, and a single one of 4 bytes a slot reaches the driver, whatever the size of the data.
+    """
+    packed = features.select("tokens").mapInArrow(_tally, "packed binary")
+    one = packed.repartition(16).mapInArrow(_add_up, "packed binary").repartition(1).mapInArrow(_add_up, "packed binary")
+    total = np.frombuffer(zlib.decompress(one.first()[0]), dtype=np.uint32)
+    coarse = 64 + 7 * np.log2(np.maximum(total, 64) / 64)  # exact up to 64, then by powers
+    return np.where(total < 64, total, coarse).astype(np.uint8)
 
 
 def _lists(row: np.ndarray, values: np.ndarray, n: int) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32)), pa.array(values))
 
 
-def _featurise(order: tuple[np.ndarray, np.ndarray]):
-    known, ranks = order
+def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found, n = _batch_tokens(batch), batch.num_rows
+        row, token = found.row, found.token
+        size = np.bincount(row, minlength=n)
+        some = np.flatnonzero(size)
+        fp = np.zeros(n, dtype=np.int64)
+        if len(token):
+            total = np.add.reduceat(mix(token.astype(np.uint64) + np.uint64(1)), (np.cumsum(size) - size)[some])
+            fp[some] = mix(total + size[some].astype(np.uint64)).view(np.int64)
+        filled = np.bincount(row * CELLS + (token & np.uint32(CELLS - 1)), minlength=n * CELLS).reshape(n, CELLS)
+        bits = np.packbits(np.concatenate([filled >= 1, filled >= 2], axis=1), axis=1)
+        sketch = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (2 * CELLS // 64)), pa.array(np.ascontiguousarray(bits).view(np.int64).reshape(-1)))
+        over = np.maximum(filled - 2, 0).sum(axis=1).astype(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in ("record_id", "batch_no", "owner", "updated")), pa.array(fp), pa.array(size.astype(np.int32)),
+             _lists(found.message_row, found.message.view(np.int64), n), sketch, pa.array(over), _lists(row, token.view(np.int32), n)],
+            names=[c.split()[0] for c in _FEATURES.split(", ")],
+        )
+
+
+def featurise(rows: DataFrame) -> DataFrame:
+    """Token sets of rows ``(record_id, batch_no, owner, updated, texts)``."""
+    return rows.select("record_id", "batch_no", "owner", "updated", "texts").mapInArrow(_featurise, _FEATURES)
+
+
+def _prefixes(order: np.ndarray):
+    """Postings ``(b, bn, bpos, token)`` of rows: their prefixes in the frozen order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, n = _batch_tokens(batch), batch.num_rows
-            row, token = found.row, found.token
-            if len(known):
-                at = np.minimum(np.searchsorted(known, token), len(known) - 1)
-                by = np.lexsort((token, np.where(known[at] == token, ranks[at], 0), row))
-                row, token = row[by], token[by]
-            size = np.bincount(row, minlength=n)
-            total = np.zeros(n, dtype=np.uint64)
-            np.add.at(total, row, mix(token.astype(np.uint64) + np.uint64(1)))
-            fp = np.where(size > 0, mix(total + size.astype(np.uint64)).view(np.int64), 0)
+            lists = batch.column("tokens")
+            token = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint32)
+            size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(len(size), dtype=np.uint64), size)
+            rank = order[token & np.uint32(SLOTS - 1)].astype(np.uint64)
+            token = np.sort((row << np.uint64(48)) | (rank << np.uint64(32)) | token).astype(np.uint32)
+            place = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
+            keep = size - np.ceil(size * THRESHOLD - 1e-9).astype(np.int64) + 1
+            inside = place < np.repeat(keep, size)
+            ids = batch.column("record_id").to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("record_id", "batch_no", "owner", "updated")), pa.array(fp), pa.array(size.astype(np.int32)),
-                 _lists(found.message_row, found.message.view(np.int64), n), _lists(row, token.view(np.int32), n)],
-                names=[c.split()[0] for c in _FEATURES.split(", ")],
-            )
+                [pa.array(np.repeat(ids, size)[inside]), pa.array(np.repeat(size, size)[inside].astype(np.int32)), pa.array(place[inside].astype(np.int32)), pa.array(token[inside].view(np.int32))],
+                names=["b", "bn", "bpos", "token"],
+            )
 
     return run
 
@@ -126,7 +173,7 @@ def _possible(a: str, b: str) -> Column:
 class History:
     """Accepted rows and their index; :meth:`accept` takes one batch after another."""
 
-    def __init__(self, spark: SparkSession, order: tuple[np.ndarray, np.ndarray], space: Workspace | None = None) -> None:
+    def __init__(self, spark: SparkSession, order: np.ndarray, space: Workspace | None = None) -> None:
         self.spark = spark
         self.space = space or Workspace(spark, "history")
         self.order = order
@@ -137,17 +184,11 @@ class History:
         self._texts: list[str] = []
         self._started = False
 
-    def featurise(self, rows: DataFrame) -> DataFrame:
-        """Token sets of rows ``(record_id, batch_no, owner, updated, texts)``."""
-        return rows.select("record_id", "batch_no", "owner", "updated", "texts").mapInArrow(_featurise(self.order), _FEATURES)
-
     def _index(self) -> DataFrame | None:
         return self.spark.table(self.postings) if self._started else None
 
-    @staticmethod
-    def _exploded(rows: DataFrame) -> DataFrame:
-        keep = F.col("n") - F.ceil(F.col("n") * THRESHOLD - 1e-9).cast("int") + 1
-        return rows.select(F.col("record_id").alias("b"), F.col("n").alias("bn"), F.posexplode(F.slice("tokens", F.lit(1), keep)).alias("bpos", "token"))
+    def _exploded(self, rows: DataFrame) -> DataFrame:
+        return rows.select("record_id", "tokens").mapInArrow(_prefixes(self.order), "b long, bn int, bpos int, token int")
 
     def _verified(self, pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
         """``(a, b, similarity)`` of true pairs, longer versions left out.
@@ -156,6 +197,16 @@ class History:
         it are dropped before anything is joined.
         """
 
+        def outline(df: DataFrame, s: str) -> DataFrame:
+            return df.select(F.col("record_id").alias(s), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"k{s}"), F.col("over").alias(f"v{s}"))
+
+        # Tokens fall into cells; two sets share at most the smaller count of every cell.  Counts are
+        # kept up to 2, what lies beyond in one number, so this never drops a true pair.
+        shared = sum((F.bit_count(F.col("ka")[i].bitwiseAND(F.col("kb")[i])) for i in range(2 * CELLS // 64)), F.least("va", "vb"))
+        likely = pairs.select("a", "b").join(outline(left, "a"), "a").join(outline(right, "b"), "b")
+        likely = likely.where(shared >= THRESHOLD / (1 + THRESHOLD) * (F.col("na") + F.col("nb")) - 1e-9).select("a", "b")
+        pairs = self.space.cut(likely, "likely")
+
         def side(df: DataFrame, s: str) -> DataFrame:
             df = df.join(pairs.select(F.col(s).alias("record_id")).distinct(), "record_id", "left_semi")
             return df.select(F.col("record_id").alias(s), F.col("tokens").alias(f"x{s}"), F.col("n").alias(f"n{s}"), F.col("owner").alias(f"o{s}"), F.col("updated").alias(f"u{s}"), F.col("messages").alias(f"m{s}"))
@@ -248,11 +299,9 @@ def deduplicate(rows: DataFrame) -> DataFrame:
     ``rows``: record_id, batch_no, owner (a number for the identifier), updated (microseconds), texts.
     Arrival order runs through the batches, so the backlog is taken as one long batch: each block is
     decided against the history before it, as it would be batch by batch, with the same result.  The
-    order of tokens is frozen on the first batch.
+    order of tokens is frozen on the backlog.
     """
     spark = rows.sparkSession
-    first = rows.agg(F.min("batch_no")).first()[0]
-    if first is None:
-        return spark.createDataFrame([], "record_id_a long, record_id_b long")
-    history = History(spark, frequent_tokens(rows.where(F.col("batch_no") == first)))
-    return history.accept(history.space.save(history.featurise(rows), "features"))
+    space = Workspace(spark, "history")
+    path = space.save(featurise(rows), "features")
+    return History(spark, token_order(spark.read.schema(_FEATURES).parquet(path)), space).accept(path)
