@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import components, conversations, history, identity, leaks, sentences, splitting
+from cairn import durable
+from cairn.llm import components, conversations, history, identity, leaks, packing, sentences, splitting
 from cairn.operators import timestamps
 from cairn.plans.registry import Registry
 from cairn.sources import exports
@@ -150,3 +151,21 @@ def p6_redacted(spark: SparkSession, d: str) -> DataFrame:
     """The texts with placeholders for mentions."""
     texts = _personal(spark, d)
     return identity.redact(texts, _PLACE, "text", identity.mentions(texts, _PLACE, "text"))
+
+
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    """Token counts of all documents, stored once so that no later stage tokenises again."""
+    sized = packing.count_tokens(table(spark, d, "documents").select("doc_id", "source", "text"), "text")
+    return durable.Workspace(spark, "packing").cut(sized.select("doc_id", "source", "n_tokens"), "sizes")
+
+
+@R.query()
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's place in its container, in proportion to the sources' own token totals."""
+    return packing.pack(_sized(spark, d), "doc_id", "source", "n_tokens")
+
+
+@R.query()
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    """The containers with their fill."""
+    return p8_packed(spark, d).groupBy("lane", "window").agg(F.count("*").alias("n_pieces"), F.sum("n_tokens").cast("long").alias("n_tokens"))
