@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairn.plans import general
+from cairn.plans import general, relational
 from cairn.plans.registry import Registry
 
 FLAGSHIP = "p1_found"
@@ -10,4 +10,4 @@ FLAGSHIP = "p1_found"
 
 def registries() -> list[Registry]:
     """The core library's query registries."""
-    return [general.R]
+    return [general.R, relational.R]
