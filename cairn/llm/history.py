@@ -43,6 +43,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -128,7 +129,7 @@ def featurise(rows: DataFrame) -> DataFrame:
     return rows.select("record_id", "batch_no", "owner", "updated", "texts").mapInArrow(_featurise, _FEATURES)
 
 
-def _prefixes(order: np.ndarray):
+def _prefixes(order: Broadcast):
     """Postings ``(b, bn, bpos, token)`` of rows: their prefixes in the frozen order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +138,7 @@ def _prefixes(order: np.ndarray):
             token = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint32)
             size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
             row = np.repeat(np.arange(len(size), dtype=np.uint64), size)
-            rank = order[token & np.uint32(SLOTS - 1)].astype(np.uint64)
+            rank = order.value[token & np.uint32(SLOTS - 1)].astype(np.uint64)
             token = np.sort((row << np.uint64(48)) | (rank << np.uint64(32)) | token).astype(np.uint32)
             place = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
             keep = size - np.ceil(size * THRESHOLD - 1e-9).astype(np.int64) + 1
@@ -176,7 +177,7 @@ class History:
     def __init__(self, spark: SparkSession, order: np.ndarray, space: Workspace | None = None) -> None:
         self.spark = spark
         self.space = space or Workspace(spark, "history")
-        self.order = order
+        self.order = spark.sparkContext.broadcast(order)  # of fixed size, shared by all stages
         self.buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.postings = f"cairn_postings_{uuid.uuid4().hex}"
         self._postings_path = self.space.location("postings")
