@@ -5,13 +5,12 @@
    spelt out).  A candidate has an *instance* key, what would let an unseen mention be recognised
    (the digit mask of a number, the first name, the street word), and a *pattern*, the words around.
 2. *Bootstrap.*  Seed instances (below) start with score 1.  Each round, a pattern's score is the
-   mean score of the distinct instances it surrounds, and an instance's score the mean score of its
-   occurrences' patterns, over patterns seen with several instances; seeds keep theirs.  The graph of
-   instances and patterns is aggregated, so its size follows the number of distinct masks, names and
-   contexts, not the text.
-3. *Decision.*  A candidate is a mention if its instance is known (score over a threshold) and its
-   pattern is not one that surrounds other things, or if its pattern is nearly always filled by known
-   instances.
+   share of its occurrences that known instances fill, and an instance's score the share of its
+   occurrences that stand in telling patterns (score over a threshold, seen with several instances); instances over a threshold are known in the next round, seeds always.  Shares of
+   occurrences, not of distinct instances, keep words that stand everywhere from drifting in.  The
+   graph is aggregated: its size follows the distinct masks, names and contexts, not the text.
+3. *Decision.*  A candidate is a mention if its instance is known and, for numbers, its pattern is not
+   one that surrounds other things, or if its pattern is nearly always filled by known instances.
 4. *Redaction.*  Mentions are replaced from the right by placeholders such as ``[EMAIL]``.
 
 Everything after the candidate pass is joins and partial aggregations on keys; nothing is collected,
@@ -48,7 +47,7 @@ SEEDS = {
 ROUNDS = 4
 #: A pattern must surround so many distinct instances to say anything about them.
 SUPPORT = 2
-KNOWN, FREE, HOSTILE = 0.5, 0.8, 0.15
+TELLING, KNOWN, FREE, HOSTILE = 0.15, 0.25, 0.8, 0.15
 
 _EMAIL = regex.compile(
     r"(?<![\w.+@-])[A-Za-z0-9][\w.+-]*@[A-Za-z0-9](?:[\w-]*\w)?(?:\.[A-Za-z0-9](?:[\w-]*\w)?)*\.[A-Za-z]{2,}(?![\w@])"
@@ -151,9 +150,9 @@ def candidate_table(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
 
 
 def _edges(found: DataFrame) -> DataFrame:
-    """The graph: distinct (kind, instance, pattern), both pattern forms."""
+    """The graph: (kind, instance, pattern) with the number of occurrences, both pattern forms."""
     both = F.explode(F.array(F.concat(F.lit("L "), "left"), F.concat(F.lit("A "), "around"))).alias("pattern")
-    return found.where(~F.col("kind").isin("email", "loose_name")).select("kind", "instance", both).distinct()
+    return found.where(~F.col("kind").isin("email", "loose_name")).select("kind", "instance", both).groupBy("kind", "instance", "pattern").agg(F.count("*").alias("c"))
 
 
 def _types(kind: str) -> list[str]:
@@ -169,22 +168,19 @@ def bootstrap(found: DataFrame, space: Workspace) -> tuple[DataFrame, DataFrame]
     """Scores of instances ``(kind, type, instance, score)`` and patterns ``(kind, type, pattern, score)``."""
     spark = found.sparkSession
     edges = space.cut(_edges(found), "edges")
-    wide = edges.groupBy("kind", "pattern").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT)
+    wide = edges.groupBy("kind", "pattern").agg(F.count("*").alias("n"), F.sum("c").alias("all")).where(F.col("n") >= SUPPORT)
     edges = space.cut(edges.join(wide, ["kind", "pattern"]), "supported")
-    seeds = _seeds(spark)
-    scores = seeds.withColumn("score", F.lit(1.0))
-    patterns = None
+    seeds = _seeds(spark).withColumn("score", F.lit(1.0))
+    seen = edges.groupBy("kind", "instance").agg(F.sum("c").alias("times"))
+    scores, patterns = seeds, None
     for _ in range(ROUNDS):
-        # instances without a score count as 0 in the mean: n is their number
-        patterns = space.cut(edges.join(scores, ["kind", "instance"]).groupBy("kind", "pattern", "type").agg((F.sum("score") / F.max("n")).alias("score")), "patterns")
-        degree = edges.groupBy("kind", "instance").agg(F.count("*").alias("d"))
-        raised = edges.select("kind", "instance", "pattern").join(patterns, ["kind", "pattern"]).groupBy("kind", "instance", "type").agg(F.sum("score").alias("total"), F.count("*").alias("k"))
-        fresh = raised.join(degree, ["kind", "instance"]).where((F.col("k") >= SUPPORT) & (F.col("total") / F.col("d") >= KNOWN / 2))
-        fresh = fresh.select("kind", "type", "instance", F.least(F.lit(1.0), F.col("total") / F.col("d")).alias("score"))
-        scores = fresh.unionByName(seeds.withColumn("score", F.lit(1.0))).groupBy("kind", "type", "instance").agg(F.max("score").alias("score"))
-        # what is known well enough votes fully in the next round
-        scores = space.cut(scores.withColumn("score", F.when(F.col("score") >= KNOWN, 1.0).otherwise(F.col("score"))), "instances")
-    return scores, patterns.join(wide, ["kind", "pattern"]).select("kind", "type", "pattern", "score", "n")
+        known = scores.where(F.col("score") >= KNOWN).select("kind", "type", "instance")
+        patterns = space.cut(edges.join(known, ["kind", "instance"]).groupBy("kind", "pattern", "type").agg((F.sum("c") / F.max("all")).alias("score"), F.max("n").alias("n")), "patterns")
+        telling = patterns.where(F.col("score") >= TELLING).drop("n")
+        raised = edges.select("kind", "instance", "pattern", "c").join(telling, ["kind", "pattern"]).groupBy("kind", "instance", "type").agg(F.sum("c").alias("told"), F.count("*").alias("k"))
+        fresh = raised.join(seen, ["kind", "instance"]).where(F.col("k") >= SUPPORT).select("kind", "type", "instance", (F.col("told") / F.col("times")).alias("score"))
+        scores = space.cut(fresh.unionByName(seeds.select("kind", "type", "instance", "score")).groupBy("kind", "type", "instance").agg(F.max("score").alias("score")), "instances")
+    return scores, patterns
 
 
 def mentions(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -205,7 +201,7 @@ def mentions(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
     )
     seen = judged.withColumn("best", F.greatest(F.coalesce("pL", F.lit(0.0)), F.coalesce("pA", F.lit(0.0))))
     wide = F.greatest(F.coalesce("nL", F.lit(0)), F.coalesce("nA", F.lit(0)))
-    hostile = (wide >= 3) & (F.col("best") < HOSTILE)
+    hostile = (F.col("kind") == "number") & (wide >= 3) & (F.col("best") < HOSTILE)
     free = ((F.col("pL") >= FREE) & (F.col("nL") >= 3)) | ((F.col("pA") >= FREE) & (F.col("nA") >= 3))
     taken = seen.where((F.col("si").isNotNull() & ~hostile) | (~F.col("loose") & F.coalesce(free, F.lit(False))))
     rank = F.struct((F.coalesce("si", F.lit(0.0)) + F.col("best")).alias("w"), F.col("type"))
