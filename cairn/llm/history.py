@@ -188,6 +188,16 @@ class History:
     def _index(self) -> DataFrame | None:
         return self.spark.table(self.postings) if self._started else None
 
+    def _bucketed(self, postings: DataFrame, name: str, path: str) -> None:
+        """Append postings to a table bucketed by token; bucketed input stays in its buckets."""
+        setting = "spark.sql.sources.bucketing.autoBucketedScan.enabled"
+        before = self.spark.conf.get(setting)
+        self.spark.conf.set(setting, "false")
+        try:
+            postings.write.bucketBy(self.buckets, "token").format("parquet").option("compression", "zstd").option("path", path).mode("append").saveAsTable(name)
+        finally:
+            self.spark.conf.set(setting, before)
+
     def _exploded(self, rows: DataFrame) -> DataFrame:
         return rows.select("record_id", "tokens").mapInArrow(_prefixes(self.order), "b long, bn int, bpos int, token int")
 
@@ -246,18 +256,22 @@ class History:
         members = rows.groupBy("fp").agg(F.min("record_id").alias("rep"))
         copies = space.cut(rows.select("record_id", "fp").join(members, "fp"), "copies")
         reps = rows.join(copies.where("record_id = rep").select("record_id"), "record_id", "left_semi")
-        none = self.spark.createDataFrame([], "a long, b long, similarity double")
-        hits = none
-        if (index := self._index()) is not None:
+        hits = self.spark.createDataFrame([], "a long, b long, similarity double")
+        if self._texts:
             known = self.spark.read.schema("fp long, a long").parquet(*self._texts)
-            exact = reps.select(F.col("record_id").alias("b"), "fp").join(known, "fp").select("a", "b", F.lit(2.0).alias("similarity"))
-            probe = self._exploded(reps)
-            met = probe.hint("shuffle_hash").join(index, "token").where(_possible("a", "b"))
+            hits = space.cut(reps.select(F.col("record_id").alias("b"), "fp").join(known, "fp").select("a", "b", F.lit(2.0).alias("similarity")), "exact")
+            reps = reps.join(hits.select(F.col("b").alias("record_id")), "record_id", "left_anti")
+        # the only shuffle of postings: the block's are bucketed by token like the index, and every
+        # join on tokens, and the append, work bucket by bucket from here on
+        stage, stage_path = f"cairn_stage_{uuid.uuid4().hex}", space.location("stage")
+        self._bucketed(self._exploded(reps).repartition(self.buckets, "token"), stage, stage_path)
+        staged = self.spark.table(stage)
+        if (index := self._index()) is not None:
+            met = staged.hint("shuffle_hash").join(index, "token").where(_possible("a", "b"))
             met = space.cut(met.select("a", "b").distinct(), "met")
             near = self._verified(met, self.spark.read.schema(_FEATURES).parquet(*self._seen), rows)
-            hits = space.cut(exact.unionByName(near), "hits")
-        fresh = reps.join(hits.select(F.col("b").alias("record_id")).distinct(), "record_id", "left_anti")
-        p = self._exploded(fresh)
+            hits = space.cut(hits.unionByName(near), "hits")
+        p = staged.join(hits.select("b").distinct(), "b", "left_anti")
         q = p.select(*(F.col(c).alias(c.replace("b", "a", 1)) for c in ("b", "bn", "bpos")), "token")
         pairs = q.hint("shuffle_hash").join(p, "token").where((F.col("a") < F.col("b")) & _possible("a", "b")).select("a", "b").distinct()
         pairs = space.cut(pairs, "pairs")
@@ -267,13 +281,12 @@ class History:
         best = space.cut(best, "best")
         final = copies.join(best.withColumnRenamed("b", "rep"), "rep", "left")
         rejected = final.where(F.col("a").isNotNull() | (F.col("record_id") != F.col("rep"))).select(F.coalesce("a", "rep").alias("record_id_a"), F.col("record_id").alias("record_id_b"))
-        # append: postings of accepted rows, and of every distinct text its accepted row
-        kept = reps.join(best.select(F.col("b").alias("record_id")), "record_id", "left_anti")
         self._texts.append(space.save(final.where("record_id = rep").select("fp", F.coalesce("a", "rep").alias("a")), "texts"))
-        new = self._exploded(kept).select(F.col("b").alias("a"), F.col("bn").alias("an"), F.col("bpos").alias("apos"), "token")
-        writer = new.repartition(self.buckets, "token").write.bucketBy(self.buckets, "token").format("parquet").option("compression", "zstd")
-        writer.option("path", self._postings_path).mode("append").saveAsTable(self.postings)
+        kept = staged.join(best.select("b"), "b", "left_anti")
+        self._bucketed(kept.select(F.col("b").alias("a"), F.col("bn").alias("an"), F.col("bpos").alias("apos"), "token"), self.postings, self._postings_path)
         self._started = True
+        self.spark.sql(f"DROP TABLE {stage}")
+        space.drop(stage_path)
         return rejected
 
     def _resolve(self, edges: DataFrame) -> DataFrame:
