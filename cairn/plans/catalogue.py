@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from cairn.plans import general, relational
+from cairn.plans import general, relational, search
 from cairn.plans.registry import Registry
 
-FLAGSHIP = "p1_found"
+FLAGSHIP = "search_segments"
 
 
 def registries() -> list[Registry]:
     """The core library's query registries."""
-    return [general.R, relational.R]
+    return [general.R, relational.R, search.R]
