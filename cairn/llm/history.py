@@ -53,8 +53,8 @@ from cairn.llm.shingles import TokenBatch, mix
 SIZE, THRESHOLD = 6, 0.58
 #: The frozen order counts tokens in so many slots (one byte each is broadcast).  It decides cost,
 #: never results.
-SLOTS = 1 << 24
-FIRST_BLOCK = 4096
+SLOTS = 1 << 22
+FIRST_BLOCK = 8192
 #: Cells of the occupancy sketch that bounds an overlap from above.
 CELLS = 512
 
