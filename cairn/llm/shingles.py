@@ -51,8 +51,8 @@ class TokenBatch:
         keep = length > 0
         length, owner = length[keep], owner[keep].astype(np.int64)
         flat = [w for f in found for w in f]
-        get = _numbers.get
-        words = np.fromiter((get(w) or _number(w) for w in flat), np.uint64, len(flat))
+        number = {w: _number(w) for w in set(flat)}
+        words = np.fromiter(map(number.__getitem__, flat), np.uint64, len(flat))
         end = np.cumsum(length)
         start = end - length
         if not len(words):
@@ -75,7 +75,8 @@ class TokenBatch:
                     number = number * np.uint64(0x9E3779B97F4A7C15) + words[at + k]
                 rows.append(own[at])
                 tokens.append(mix(number + np.uint64(s)) >> np.uint64(32))
-        key = np.unique((np.concatenate(rows).astype(np.uint64) << np.uint64(32)) | np.concatenate(tokens))
+        key = np.sort((np.concatenate(rows).astype(np.uint64) << np.uint64(32)) | np.concatenate(tokens))
+        key = key[np.r_[True, key[1:] != key[:-1]]]
         self.row, self.token = (key >> np.uint64(32)).astype(np.int64), key.astype(np.uint32)
 
 
