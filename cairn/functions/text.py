@@ -114,7 +114,7 @@ def role(sender: Column) -> Column:
 def tag(c: Column) -> Column:
     """Normalised tag: no leading #, lower case, no empty path parts."""
     bare = F.regexp_replace(F.lower(F.trim(c)), "^#+", "")
-    return F.array_join(F.filter(F.transform(F.split(bare, "/"), F.trim), lambda p: p != ""), "/")
+    return F.array_join(F.filter(F.transform(F.split(bare, "/"), lambda p: F.trim(p)), lambda p: p != ""), "/")
 
 
 def alias(c: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cairn.functions import hashing, text, vectors
 from cairn.operators import enrich
 from cairn.plans.registry import Registry
-from cairn.plans.relational import ART, OBJ, SEG
+from cairn.plans.relational import ART, OBJ
 from cairn.sources import archive, exports, parsers
 from cairn.tables import table
 
@@ -61,13 +61,14 @@ def candidate_key_sha(spark: SparkSession, d: str) -> DataFrame:
 
 
 @R.query(
-    sql=f"""WITH {SEG} SELECT artifact_id, sha256(string_agg(i || ':' || coalesce(segment_type, '') || ':' || coalesce(participant_id, '') || ':' || coalesce(text_content, '') || chr(10), '' ORDER BY i)) AS content_hash
-    FROM (SELECT *, row_number() OVER (PARTITION BY artifact_id ORDER BY sequence_no, segment_id) - 1 AS i FROM seg) GROUP BY 1"""
+    sql="""SELECT record_id, sha256(array_to_string(list_transform(list_filter(chat_messages, lambda m: m IS NOT NULL), lambda m, i: (i - 1) || ':' || coalesce(lower(m.sender), '') || ':' || coalesce(m.created_at, '') || ':' || coalesce(m.text, '') || chr(10)), '')) AS content_hash
+    FROM claude_export WHERE chat_messages IS NOT NULL"""
 )
 def content_hash(spark: SparkSession, d: str) -> DataFrame:
-    """The content hash of each artifact over its ordered segments (one text per artifact by definition)."""
-    s = archive.segments(spark, d).select("artifact_id", F.struct("sequence_no", "segment_id", F.col("segment_type").alias("role"), F.col("participant_id").alias("at"), F.col("text_content").alias("text")).alias("t"))
-    return s.groupBy("artifact_id").agg(hashing.conversation_hash(F.array_sort(F.collect_list("t"))).alias("content_hash"))
+    """The content hash of each conversation, from its own array of messages (nothing is grouped)."""
+    raw = exports.read_paths(spark, d, "claude_export", ["record_id", "chat_messages.sender", "chat_messages.created_at", "chat_messages.text"]).where("chat_messages is not null")
+    turns = F.transform(F.filter("chat_messages", lambda m: m.isNotNull()), lambda m: F.struct(F.lower(m["sender"]).alias("role"), m["created_at"].alias("at"), m["text"].alias("text")))
+    return raw.select("record_id", hashing.conversation_hash(turns).alias("content_hash"))
 
 
 @R.query(
@@ -246,13 +247,15 @@ def import_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 
 @R.query(
-    sql=f"""WITH {OBJ} SELECT artifact_id, string_agg(derived_object_type || ':' || derived_object_id, ',' ORDER BY derived_object_type, derived_object_id) AS objects, CAST(count(*) AS BIGINT) AS n FROM obj WHERE object_status = 'active' GROUP BY 1"""
+    sql=f"""WITH {OBJ}, k AS (SELECT artifact_id, derived_object_type AS t, count(*) AS n, min(derived_object_id) AS first_id FROM obj WHERE object_status = 'active' GROUP BY 1, 2)
+    SELECT artifact_id, string_agg(t || ':' || n || ':' || first_id, ',' ORDER BY t) AS objects, CAST(sum(n) AS BIGINT) AS n FROM k GROUP BY 1"""
 )
 def artifact_detail(spark: SparkSession, d: str) -> DataFrame:
-    """Active objects of each artifact in order."""
+    """What each artifact holds, by kind: reduced per kind first, so a busy artifact is a handful of rows."""
     o = table(spark, d, "oa_derived_object").where("object_status = 'active'")
-    listed = F.array_sort(F.collect_list(F.struct("derived_object_type", "derived_object_id")))
-    return o.groupBy("artifact_id").agg(F.array_join(F.transform(listed, lambda x: F.concat_ws(":", x["derived_object_type"], x["derived_object_id"])), ",").alias("objects"), F.count("*").alias("n"))
+    kinds = o.groupBy("artifact_id", "derived_object_type").agg(F.count("*").alias("n"), F.min("derived_object_id").alias("first_id"))
+    listed = F.array_sort(F.collect_list(F.struct("derived_object_type", "n", "first_id")))
+    return kinds.groupBy("artifact_id").agg(F.array_join(F.transform(listed, lambda x: F.concat_ws(":", x["derived_object_type"], x["n"], x["first_id"])), ",").alias("objects"), F.sum("n").alias("n"))
 
 
 @R.query(

@@ -182,15 +182,15 @@ def ordered_batch(spark: SparkSession, d: str) -> DataFrame:
 
 
 @R.query(
-    sql="""WITH j AS (SELECT 'artifact-' || user_id AS artifact_id, event_id, event_type FROM events WHERE event_type IN ('error', 'purchase'))
-    SELECT artifact_id, string_agg(event_type || ':' || event_id, ' | ' ORDER BY event_id) AS messages FROM j GROUP BY 1"""
+    sql="""WITH k AS (SELECT 'artifact-' || user_id AS artifact_id, event_type, count(*) AS n FROM events WHERE event_type IN ('error', 'purchase') GROUP BY 1, 2)
+    SELECT artifact_id, string_agg(event_type || ':' || n, ' | ' ORDER BY event_type) AS messages FROM k GROUP BY 1"""
 )
 def message_lists(spark: SparkSession, d: str) -> DataFrame:
-    """Ordered concatenation of messages per artifact."""
+    """Ordered concatenation of messages per artifact, each kind with its count (reduced before it is listed)."""
     e = table(spark, d, "events").where(F.col("event_type").isin("error", "purchase"))
-    message = F.concat_ws(":", "event_type", "event_id")
-    ordered = F.array_sort(F.collect_list(F.struct("event_id", message.alias("m"))))
-    return e.groupBy(F.concat(F.lit("artifact-"), "user_id").alias("artifact_id")).agg(F.array_join(F.transform(ordered, lambda x: x["m"]), " | ").alias("messages"))
+    kinds = e.groupBy(F.concat(F.lit("artifact-"), "user_id").alias("artifact_id"), "event_type").agg(F.count("*").alias("n"))
+    ordered = F.array_sort(F.collect_list(F.struct("event_type", "n")))
+    return kinds.groupBy("artifact_id").agg(F.array_join(F.transform(ordered, lambda x: F.concat_ws(":", x["event_type"], x["n"])), " | ").alias("messages"))
 
 
 @R.query(
