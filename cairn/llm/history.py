@@ -28,7 +28,7 @@ The measure: shingles of six words at 0.58.  The cases to reject may have a few
 changed, and every changed word spoils six shingles, so a high threshold on shingles would miss them;
 see the README for measured figures.
 
-Defined results: rows without words are accepted and never indexed; null messages, texts and columns
+Defined results: rows without words are accepted and never indexed, rows without a record id ignored; null messages, texts and columns
 are empty; a row that is a longer version (same identifier, later update, all messages of the
 accepted row and more) is accepted; ties in similarity go to the earlier row; an empty batch changes
 nothing; columns beside the named ones are ignored.
@@ -125,7 +125,7 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def featurise(rows: DataFrame) -> DataFrame:
     """Token sets of rows ``(record_id, batch_no, owner, updated, texts)``."""
-    return rows.select("record_id", "batch_no", "owner", "updated", "texts").mapInArrow(_featurise, _FEATURES)
+    return rows.where("record_id is not null").select("record_id", "batch_no", "owner", "updated", "texts").mapInArrow(_featurise, _FEATURES)
 
 
 def _prefixes(order: Broadcast):

@@ -23,15 +23,15 @@ mentions; positions are in characters; time grows linearly with the text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
 import regex
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, StringType, StructField
 
 from cairn.durable import Workspace
+from cairn.llm.arrow import explode_texts
 
 TYPES = ("email", "address", "id_number", "phone", "person_name")
 PLACEHOLDERS = {"email": "[EMAIL]", "address": "[ADDRESS]", "id_number": "[ID_NUMBER]", "phone": "[PHONE]", "person_name": "[PERSON_NAME]"}
@@ -129,24 +129,12 @@ def candidates(text: str | None) -> list[tuple[str, int, int, str, str, str]]:
     return [(kind, a, b, key, *_patterns(text, a, b)) for kind, a, b, key in out]
 
 
-_SCHEMA = [("kind", StringType()), ("start_char", IntegerType()), ("end_char", IntegerType()), ("instance", StringType()), ("left", StringType()), ("around", StringType())]
+_FIELDS = [StructField("kind", StringType()), StructField("start_char", IntegerType()), StructField("end_char", IntegerType()), *(StructField(n, StringType()) for n in ("instance", "left", "around"))]
 
 
 def candidate_table(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
     """Candidates of all texts, with the row's keys."""
-    schema = StructType([*(texts.schema[k] for k in keys), *(StructField(n, t) for n, t in _SCHEMA)])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            index, rows = [], []
-            for i, t in enumerate(batch[text]):
-                found = candidates(t)
-                index += [i] * len(found)
-                rows += found
-            left = batch[keys].iloc[index].reset_index(drop=True)
-            yield pd.concat([left, pd.DataFrame(rows, columns=[n for n, _ in _SCHEMA])], axis=1)
-
-    return texts.select(*keys, text).mapInPandas(run, schema)
+    return explode_texts(texts, keys, text, lambda: candidates, _FIELDS)
 
 
 def _edges(found: DataFrame) -> DataFrame:
@@ -222,7 +210,9 @@ def redact(texts: DataFrame, keys: list[str], text: str, found: DataFrame) -> Da
     per = found.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start_char", "end_char", "pii_type"))).alias("_mentions"))
     names = F.create_map(*(F.lit(x) for pair in PLACEHOLDERS.items() for x in pair))
     start = F.struct(F.lit("").alias("t"), F.lit(0).alias("at"))
-    joined = texts.join(per, keys, "left")
+    per = per.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), "_mentions")
+    same = [texts[k].eqNullSafe(per[f"_k{i}"]) for i, k in enumerate(keys)]
+    joined = texts.join(per, reduce(Column.__and__, same), "left").drop(*(f"_k{i}" for i in range(len(keys))))
 
     def add(acc, m):
         kept = F.substring(F.col(text), acc["at"] + 1, m["start_char"] - acc["at"])

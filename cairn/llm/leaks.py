@@ -24,10 +24,10 @@ from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StructField
 
+from cairn.llm.arrow import explode_texts
 from cairn.llm.shingles import WORD
 
 RUN = 5
@@ -142,12 +142,5 @@ class Scanner:
 def leaks(documents: DataFrame, items: DataFrame, key: str, text: str) -> DataFrame:
     """``(key, item_id, n_words, start_char, end_char)`` of every leak; items: item_id, text."""
     listed = [(r[0], r[1]) for r in items.select("item_id", "text").collect()]  # the evaluation set is small by nature
-    schema = StructType([StructField(key, documents.schema[key].dataType), StructField("item_id", LongType()), *(StructField(n, IntegerType()) for n in ("n_words", "start_char", "end_char"))])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scanner = Scanner(listed)
-        for batch in batches:
-            rows = [(k, *leak) for k, t in zip(batch[key], batch[text]) for leak in scanner.scan(t)]
-            yield pd.DataFrame(rows, columns=schema.names)
-
-    return documents.select(key, text).mapInPandas(run, schema)
+    fields = [StructField("item_id", LongType()), *(StructField(n, IntegerType()) for n in ("n_words", "start_char", "end_char"))]
+    return explode_texts(documents, [key], text, lambda: Scanner(listed).scan, fields)

@@ -17,7 +17,8 @@ fixed for all lanes from token totals (one row per source), so a lane needs no k
 it starts each queue with the deficit that its own share of that source leaves, which is how deficits
 carry over partitions.
 
-Defined results: null and empty texts have no tokens and no container; repeated rows are packed as
+Defined results: null and empty texts have no tokens and no container; rows without an id are left
+out; repeated rows are packed as
 they come; a null source is a source of its own; ties go by document id; an empty table gives none.
 """
 
@@ -150,7 +151,7 @@ def pack(df: DataFrame, key: str, source: str, tokens: str, targets: dict[str |
 
     ``targets`` are token proportions by source; without them, sources keep their own proportions.
     """
-    sized = df.select(F.col(key).alias("_key"), F.col(source).alias("_source"), F.col(tokens).alias("_n")).where("_n > 0")
+    sized = df.select(F.col(key).alias("_key"), F.col(source).alias("_source"), F.col(tokens).alias("_n")).where("_n > 0 and _key is not null")
     sums = sized.groupBy("_source").agg(F.sum("_n").alias("t")).collect()  # one row per source
     total = sum(r["t"] for r in sums)
     shares = {r["_source"]: (targets.get(r["_source"], 0.0) if targets else r["t"] / total) for r in sums}

@@ -23,12 +23,11 @@ equal results; time grows linearly with the text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import IntegerType, StructField
+
+from cairn.llm.arrow import explode_texts
 
 # Abbreviations by language, lower case, without the last full stop.
 #: Before a name, with a capital where the script has them; never at the end of a sentence.
@@ -255,11 +254,5 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
 
 def sentence_table(df: DataFrame, key: str, text: str) -> DataFrame:
     """``(key, sentence_no, start_char, end_char)`` of all sentences."""
-    schema = StructType([df.schema[key], *(StructField(n, IntegerType()) for n in ("sentence_no", "start_char", "end_char"))])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(k, i, s, e) for k, t in zip(batch[key], batch[text]) for i, (s, e) in enumerate(sentences(t))]
-            yield pd.DataFrame(rows, columns=schema.names)
-
-    return df.select(key, text).mapInPandas(run, schema)
+    fields = [StructField(n, IntegerType()) for n in ("sentence_no", "start_char", "end_char")]
+    return explode_texts(df, [key], text, lambda: lambda t: [(i, s, e) for i, (s, e) in enumerate(sentences(t))], fields)

@@ -18,13 +18,13 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, StringType, StructField
+
+from cairn.llm.arrow import explode_texts
 
 #: Separators from coarse to fine; each match ends a unit.
 LEVELS = tuple(
@@ -95,7 +95,7 @@ def split(text: str, limit: int = 4000, overlap: int = 200) -> list[tuple[int, i
     return pieces
 
 
-_OUT = [("piece_no", IntegerType()), ("n_pieces", IntegerType()), ("start_char", IntegerType()), ("end_char", IntegerType()), ("piece", StringType())]
+_OUT = [StructField("piece_no", IntegerType()), StructField("n_pieces", IntegerType()), StructField("start_char", IntegerType()), StructField("end_char", IntegerType()), StructField("piece", StringType())]
 
 
 def split_table(df: DataFrame, keys: list[str], text: str, limit: int = 4000, overlap: int = 200) -> DataFrame:
@@ -103,17 +103,14 @@ def split_table(df: DataFrame, keys: list[str], text: str, limit: int = 4000, ov
 
     Only those rows leave the JVM.
     """
-    big = df.where(F.octet_length(text) > limit).select(*keys, F.col(text).alias("_text"))
-    schema = StructType([*big.select(*keys).schema.fields, *(StructField(n, t) for n, t in _OUT)])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            index, rows = [], []
-            for i, t in enumerate(batch["_text"]):
-                pieces = split(t, limit, overlap)
-                index += [i] * len(pieces)
-                rows += [(n, len(pieces), s, e, t[s:e]) for n, (s, e) in enumerate(pieces)]
-            left = batch[keys].iloc[index].reset_index(drop=True)
-            yield pd.concat([left, pd.DataFrame(rows, columns=[n for n, _ in _OUT])], axis=1)
-
-    return big.mapInPandas(run, schema)
+    if limit < overlap + 8:
+        raise ValueError("the limit must exceed the overlap by at least 8 bytes")
+
+    def make():
+        def pieces(t: str | None) -> list[tuple]:
+            spans = split(t or "", limit, overlap)
+            return [(n, len(spans), s, e, t[s:e]) for n, (s, e) in enumerate(spans)]
+
+        return pieces
+
+    return explode_texts(df.where(F.octet_length(text) > limit), keys, text, make, _OUT)

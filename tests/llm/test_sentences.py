@@ -46,3 +46,12 @@ def test_table(spark):
     df = spark.createDataFrame([(1, "One. Two.", 0), (2, None, 0), (3, " \n ", 0), (1, "One. Two.", 0)], "doc_id long, text string, start_char int")
     assert sorted((r.doc_id, r.start_char) for r in sentence_table(df, "doc_id", "text").collect()) == [(1, 0), (1, 0), (1, 5), (1, 5)]
     assert sentence_table(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_keys_pass_untouched(spark):
+    big = 2**60 + 1
+    df = spark.createDataFrame([(None, "A b."), (big, "C d. E f.")], "doc_id long, text string")
+    got = sorted((r.doc_id is not None, r.doc_id, r.start_char) for r in sentence_table(df, "doc_id", "text").collect())
+    assert got == [(False, None, 0), (True, big, 0), (True, big, 5)]
+    with pytest.raises(ValueError):
+        sentence_table(df.withColumnRenamed("doc_id", "start_char"), "start_char", "text")
