@@ -8,6 +8,8 @@ it make a folder of its own.  ``localCheckpoint`` is never used.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -34,6 +36,11 @@ class Workspace:
         self.spark = spark
         self.path = f"{shared_root(spark).rstrip('/')}/cairn/{purpose}-{uuid.uuid4().hex}"
         self._serial = 0
+        atexit.register(self._close)  # results may be read as long as the driver lives
+
+    def _close(self) -> None:
+        with contextlib.suppress(Exception):  # the session may be gone already
+            self.drop(self.path)
 
     def location(self, name: str) -> str:
         """A fresh path inside the workspace."""
