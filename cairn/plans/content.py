@@ -177,7 +177,7 @@ def url_parts(spark: SparkSession, d: str) -> DataFrame:
 @R.query()
 def greedy_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Overlapping chunks of every artifact's segments."""
-    return enrich.chunks(archive.segments(spark, d))
+    return enrich.chunks(archive.segments(spark, d, "artifact_id", "sequence_no", "text_content"))
 
 
 @R.query()

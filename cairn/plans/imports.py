@@ -70,7 +70,7 @@ def uncovered_segments(spark: SparkSession, d: str) -> DataFrame:
     """Segments outside every window, by the blocked range join."""
     from cairn.plans.relational import window_membership
 
-    blocks = archive.segments(spark, d).where("segment_type = 'content_block'").select("segment_id")
+    blocks = archive.segments(spark, d, "segment_type").where("segment_type = 'content_block'").select("segment_id")
     return blocks.join(window_membership(spark, d).select("segment_id").distinct(), "segment_id", "left_anti")
 
 
@@ -173,5 +173,5 @@ def note_links(spark: SparkSession, d: str) -> DataFrame:
 @R.query()
 def chunk_merge(spark: SparkSession, d: str) -> DataFrame:
     """Outputs of several chunks merged per key: the richest text, the sum of sizes."""
-    s = archive.segments(spark, d).withColumn("order", F.coalesce("sequence_no", F.lit(0)).cast("long"))
+    s = archive.segments(spark, d, "artifact_id", "participant_id", "sequence_no", "text_content").withColumn("order", F.coalesce("sequence_no", F.lit(0)).cast("long"))
     return enrich.richer(s, ["artifact_id", "participant_id"], ["text_content"], "order").select("artifact_id", "participant_id", F.octet_length("text_content").alias("n_bytes"), "n_merged")

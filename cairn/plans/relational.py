@@ -89,7 +89,7 @@ def status_counts(spark: SparkSession, d: str) -> DataFrame:
 )
 def segments_left_participant(spark: SparkSession, d: str) -> DataFrame:
     """Segments with their participant's number by first appearance; none without a participant."""
-    s = archive.segments(spark, d).select("segment_id", "artifact_id", "sequence_no", "participant_id")
+    s = archive.segments(spark, d, "artifact_id", "sequence_no", "participant_id")
     # one row per participant goes into the window, not one per segment
     seen = s.where("participant_id is not null").groupBy("artifact_id", "participant_id").agg(F.min("sequence_no").alias("first_seq"))
     order = Window.partitionBy("artifact_id").orderBy("first_seq", "participant_id")
@@ -100,7 +100,10 @@ def segments_left_participant(spark: SparkSession, d: str) -> DataFrame:
 @R.query(sql=f"WITH {SEG} SELECT artifact_id, CAST(count(*) AS BIGINT) AS n_segments, CAST(coalesce(sum(length(text_content)), 0) AS BIGINT) AS n_chars FROM seg GROUP BY 1")
 def segment_totals(spark: SparkSession, d: str) -> DataFrame:
     """Segments and characters of each artifact."""
-    return archive.segments(spark, d).groupBy("artifact_id").agg(F.count("*").alias("n_segments"), F.coalesce(F.sum(F.length("text_content")), F.lit(0)).alias("n_chars"))
+    raw = table(spark, d, "oa_segment")
+    size = F.min_by(F.struct("artifact_id", F.length("text_content").alias("n")), F.struct("created_at", "artifact_id", "sequence_no"))  # the length, not the text, is shuffled
+    once = raw.groupBy("segment_id").agg(size.alias("s"))
+    return once.groupBy("s.artifact_id").agg(F.count("*").alias("n_segments"), F.coalesce(F.sum("s.n"), F.lit(0)).alias("n_chars"))
 
 
 @R.query(sql=f"WITH {OBJ} SELECT candidate_key, CAST(count(DISTINCT artifact_id) AS BIGINT) AS n_artifacts FROM obj WHERE object_status = 'active' AND candidate_key IS NOT NULL GROUP BY 1 HAVING count(DISTINCT artifact_id) > 1")
@@ -231,7 +234,7 @@ def json_keys(spark: SparkSession, d: str) -> DataFrame:
 )
 def window_membership(spark: SparkSession, d: str) -> DataFrame:
     """Segments inside windows: the range join becomes an equi-join on (artifact, block of positions)."""
-    s = archive.segments(spark, d)
+    s = archive.segments(spark, d, "artifact_id", "sequence_no", "segment_type")
     span = 8
     w = s.where("segment_type = 'content_window'").select("artifact_id", F.col("segment_id").alias("window_id"), F.col("sequence_no").alias("first_no"), (F.col("sequence_no") + 4).alias("last_no"))
     blocks = F.sequence(F.floor(F.col("first_no") / span), F.floor(F.col("last_no") / span))

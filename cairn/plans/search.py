@@ -35,7 +35,7 @@ def _bm25_sql(source: str, key: str, text: str) -> str:
 )
 def search_segments(spark: SparkSession, d: str) -> DataFrame:
     """The twenty best artifacts by their best segment under BM25 (a top-k report)."""
-    seg = archive.segments(spark, d).select("segment_id", "artifact_id", "text_content")
+    seg = archive.segments(spark, d, "artifact_id", "text_content")
     ranked = retrieval.bm25(seg, "segment_id", F.col("text_content"), WORDS)
     hits = ranked.join(seg.select("segment_id", "artifact_id"), "segment_id").select("artifact_id", "segment_id", retrieval.hint(300, F.col("score")).alias("score_hint"))
     return retrieval.best_per(hits, "artifact_id", "score_hint", "segment_id").orderBy(F.desc("score_hint"), "artifact_id").limit(20)
@@ -72,7 +72,7 @@ def candidate_union(spark: SparkSession, d: str) -> DataFrame:
     has = lambda c: F.lower(F.coalesce(c, F.lit(""))).contains(word)
     art, tag = archive.artifacts(spark, d), archive.tags(spark, d)
     obj = table(spark, d, "oa_derived_object").where("object_status = 'active'")
-    seg = archive.segments(spark, d)
+    seg = archive.segments(spark, d, "artifact_id", "text_content")
     row = lambda df, record, kind, snippet: df.select("artifact_id", record.alias("match_record_id"), F.lit(kind).alias("match_kind"), snippet.alias("snippet"), F.lit(retrieval.BASE[kind]).alias("score_hint"))
     branches = [
         row(art.where(has(F.col("title"))), F.col("artifact_id"), "artifact_title", F.coalesce("title", F.lit(""))),

@@ -46,10 +46,13 @@ def aliases(spark: SparkSession, d: str) -> DataFrame:
     return artifacts(spark, d).where("title is not null").select("artifact_id", text.alias(F.col("title")).alias("alias")).where("alias <> ''")
 
 
-def segments(spark: SparkSession, d: str) -> DataFrame:
-    """Segments, each once: of repeated deliveries the first one."""
+def segments(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Segments, each once: of repeated deliveries the first one, with the columns asked for.
+
+    Columns must be named because an aggregate over whole rows would read and shuffle all of them.
+    """
     raw = table(spark, d, "oa_segment")
-    first = raw.groupBy("segment_id").agg(F.min(F.struct("created_at", "artifact_id", "sequence_no", "participant_id", "segment_type", "parent_segment_id", "visibility_status", "text_content")).alias("s"))
+    first = raw.groupBy("segment_id").agg(F.min_by(F.struct(*columns), F.struct("created_at", "artifact_id", "sequence_no")).alias("s"))
     return first.select("segment_id", "s.*")
 
 
