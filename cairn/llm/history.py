@@ -305,6 +305,13 @@ class History:
             left = self.space.cut(left, "left")
         return done
 
+    def close(self) -> None:
+        """Drop the index; results of :meth:`accept` stay readable."""
+        if self._started:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.postings}")
+            self.space.drop(self._postings_path)
+            self._started = False
+
 
 def deduplicate(rows: DataFrame) -> DataFrame:
     """``(record_id_a, record_id_b)`` of all rejected rows of a backlog of batches.
@@ -317,4 +324,7 @@ def deduplicate(rows: DataFrame) -> DataFrame:
     spark = rows.sparkSession
     space = Workspace(spark, "history")
     path = space.save(featurise(rows), "features")
-    return History(spark, token_order(spark.read.schema(_FEATURES).parquet(path)), space).accept(path)
+    history = History(spark, token_order(spark.read.schema(_FEATURES).parquet(path)), space)
+    rejected = history.accept(path)
+    history.close()
+    return rejected
