@@ -49,9 +49,13 @@ ROUNDS = 4
 SUPPORT = 2
 TELLING, KNOWN, FREE, HOSTILE = 0.15, 0.25, 0.8, 0.15
 
+_LABEL = r"[A-Za-z0-9](?:[\w-]*\w)?"
+_DOT = r"\s?(?:\[dot\]|\(dot\)|\{dot\}|\sdot\s)\s?"
+_LOCAL = r"(?<![\w.+@-])[A-Za-z0-9][\w.+-]*"
 _EMAIL = regex.compile(
-    r"(?<![\w.+@-])[A-Za-z0-9][\w.+-]*@[A-Za-z0-9](?:[\w-]*\w)?(?:\.[A-Za-z0-9](?:[\w-]*\w)?)*\.[A-Za-z]{2,}(?![\w@])"
-    r"|(?<![\w.+@-])[A-Za-z0-9][\w.+-]*\s?(?:\[at\]|\(at\)|\{at\}|\sat\s)\s?[A-Za-z0-9][\w-]*(?:\s?(?:\[dot\]|\(dot\)|\{dot\}|\sdot\s|\.)\s?[A-Za-z0-9][\w-]*)*\s?(?:\[dot\]|\(dot\)|\{dot\}|\sdot\s)\s?[A-Za-z]{2,}\b",
+    rf"{_LOCAL}@{_LABEL}(?:\.{_LABEL})*\.[A-Za-z]{{2,}}(?![\w@])"
+    rf"|{_LOCAL}\s?(?:\[at\]|\(at\)|\{{at\}})\s?{_LABEL}(?:(?:{_DOT}|\.){_LABEL})*(?:{_DOT}|\.)[A-Za-z]{{2,}}\b"
+    rf"|{_LOCAL}\sat\s{_LABEL}(?:(?:{_DOT}|\.){_LABEL})*{_DOT}[A-Za-z]{{2,}}\b",
     regex.IGNORECASE,
 )
 _NUMBER = regex.compile(
@@ -66,6 +70,7 @@ _NUMBER = regex.compile(
 _WORD = r"\p{L}[\p{L}\p{M}'’]*"
 _CAP = r"\p{Lu}[\p{Ll}\p{M}'’]+(?:-\p{Lu}[\p{Ll}\p{M}'’]+)*"
 _NAME = regex.compile(rf"(?<![\w-])(?P<first>{_CAP})(?=(?P<rest>(?:[ ]\p{{Lu}}\.)*(?:[ ](?:van der|van den|van|von|de la|del|de|di|da|dos|bin|ibn|al|el|le|la|ter))?[ ]{_CAP})(?!\w))")
+_TURNED = regex.compile(rf"(?<![\w-])(?:(?:VAN|VON|DE|DI|DA|LA) )*\p{{Lu}}{{3,}}(?:[-'’]\p{{Lu}}+)*, (?P<first>{_CAP})(?!\w)")
 _ANYNAME = regex.compile(rf"(?<![\w-])(?P<first>{_WORD}(?:-{_WORD})*)(?=(?P<rest>(?:[ ]\p{{L}}\.)*(?:[ ](?:van der|van den|van|von))?[ ]{_WORD}(?:-{_WORD})*)(?![\w]))", regex.IGNORECASE)
 _TOWN = rf"{_CAP}(?:[ ](?:(?:on|upon|am|an der|sur|del|de la|de)[ ])?{_CAP})??"
 _POST = r"\d{5}"
@@ -122,6 +127,10 @@ def candidates(text: str | None) -> list[tuple[str, int, int, str, str, str]]:
                 a += 1
             if sum(c.isdigit() for c in text[a:b]) >= 6 and not any(x < b and a < y for x, y in taken):
                 out.append(("number", a, b, mask(text[a:b])))
+    if "," in text and not single:
+        for m in _TURNED.finditer(text):
+            out.append(("person_name", *m.span(), m.group("first").partition("-")[0].lower()))
+            taken.append(m.span())
     for m in (_ANYNAME if single else _NAME).finditer(text):
         a, b = m.start(), m.end("rest")
         if not any(x < b and a < y for x, y in taken):
