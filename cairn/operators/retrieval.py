@@ -151,6 +151,27 @@ def hint(base: int, score: Column) -> Column:
     return (base + F.greatest(F.lit(0), F.round(score * 10).cast("int"))).cast("int")
 
 
+#: Weights of text classes in the cover-density rank: titles A, bodies B, unclassed text D.
+WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
+
+
+def cover_density(texts: dict[str, Column], query: list[str]) -> Column:
+    """Cover-density rank of a query that any of its words satisfies, over texts by weight class.
+
+    For such a query every occurrence of a word is a cover of its own, of one lexeme and without
+    noise, so the rank is the sum of the classes' weights over all occurrences.  Words are compared
+    unstemmed.
+    """
+    words = sorted(set(query))
+    hits = [WEIGHTS[c] * F.size(F.filter(terms(t), lambda x: x.isin(*words))) for c, t in texts.items()]
+    return sum(hits[1:], hits[0])
+
+
+def rank_hint(base: int, rank: Column) -> Column:
+    """A match's score under cover density: the base of its kind plus a hundred times the rank, cut off."""
+    return (base + F.greatest(F.lit(0), F.floor(F.round(rank * 100, 6)).cast("int"))).cast("int")
+
+
 def best_per(df: DataFrame, key: str, score: str, *ties: str) -> DataFrame:
     """The best row of each key (a rank filter)."""
     w = Window.partitionBy(key).orderBy(F.desc(score), *ties)

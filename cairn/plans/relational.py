@@ -299,3 +299,29 @@ def kind_histogram(spark: SparkSession, d: str) -> DataFrame:
     """Counts by kind as columns."""
     kinds = ["memory", "entity", "relationship", "summary", "classification"]
     return table(spark, d, "oa_derived_object").groupBy("artifact_id").pivot("derived_object_type", kinds).count().na.fill(0, kinds)
+
+
+@R.query(
+    sql=f"""WITH {SEG}, r AS (SELECT artifact_id, segment_id, row_number() OVER (PARTITION BY artifact_id ORDER BY sequence_no, segment_id) - 1 AS place FROM seg WHERE sequence_no IS NOT NULL)
+    SELECT artifact_id, segment_id, CAST(place AS INTEGER) AS place FROM r WHERE place >= 5 AND place < 15"""
+)
+def segment_page(spark: SparkSession, d: str) -> DataFrame:
+    """The second page of every artifact's first segments (the rank filter limits each group before the shuffle)."""
+    s = archive.segments(spark, d, "artifact_id", "sequence_no").where("sequence_no is not null")
+    w = Window.partitionBy("artifact_id").orderBy("sequence_no", "segment_id")
+    return s.withColumn("place", F.row_number().over(w) - 1).where("place >= 5 and place < 15").select("artifact_id", "segment_id", "place")
+
+
+@R.query(
+    sql=f"""WITH {OBJ}, m AS (SELECT artifact_id, derived_object_type AS kind, count(*) AS n, avg(strlen(coalesce(body_text, ''))) AS mean_bytes, count_if(confidence_score >= 0.8) AS high FROM obj WHERE object_status = 'active' GROUP BY 1, 2),
+    b AS (SELECT artifact_id, sum(n) AS n, max(CASE WHEN kind = 'summary' THEN mean_bytes END) AS summary_bytes, sum(high) AS high FROM m GROUP BY 1)
+    SELECT artifact_id, CAST(CASE WHEN summary_bytes IS NULL THEN 0 WHEN summary_bytes < 40 THEN 5 WHEN summary_bytes < 400 THEN 20 ELSE 12 END + least(20, 4 * n) + CAST(round(10.0 * high / n) AS INTEGER) AS BIGINT) AS quality FROM b"""
+)
+def audit_scores(spark: SparkSession, d: str) -> DataFrame:
+    """A banded quality score per artifact out of conditional aggregates, reduced per kind first."""
+    o = table(spark, d, "oa_derived_object").where("object_status = 'active'")
+    size = F.octet_length(F.coalesce("body_text", F.lit("")))
+    kinds = o.groupBy("artifact_id", "derived_object_type").agg(F.count("*").alias("n"), F.avg(size).alias("mean_bytes"), F.count_if(F.col("confidence_score") >= 0.8).alias("high"))
+    per = kinds.groupBy("artifact_id").agg(F.sum("n").alias("n"), F.max(F.when(F.col("derived_object_type") == "summary", F.col("mean_bytes"))).alias("bytes"), F.sum("high").alias("high"))
+    band = F.when(F.col("bytes").isNull(), 0).when(F.col("bytes") < 40, 5).when(F.col("bytes") < 400, 20).otherwise(12)
+    return per.select("artifact_id", (band + F.least(F.lit(20), 4 * F.col("n")) + F.round(10.0 * F.col("high") / F.col("n")).cast("int")).cast("long").alias("quality"))

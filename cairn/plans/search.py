@@ -57,6 +57,18 @@ def operator_search(spark: SparkSession, d: str) -> DataFrame:
     return o.where(retrieval.matches(F.col("body_text"), '("retry counter" OR sadd*) NOT mare')).select("derived_object_id")
 
 
+@R.query(
+    sql=f"""WITH {OBJ}, t AS (SELECT derived_object_id, artifact_id, list_filter(regexp_split_to_array(lower(coalesce(title, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x IN ('counter', 'retry', 'saddle')) AS a,
+        list_filter(regexp_split_to_array(lower(coalesce(body_text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x IN ('counter', 'retry', 'saddle')) AS b FROM obj WHERE object_status = 'active')
+    SELECT derived_object_id, artifact_id, CAST(360 + floor(round((1.0 * len(a) + 0.4 * len(b)) * 100, 6)) AS INTEGER) AS score_hint FROM t WHERE len(a) + len(b) > 0"""
+)
+def ranked_objects(spark: SparkSession, d: str) -> DataFrame:
+    """Active objects with any word, ranked by cover density (titles weigh more than bodies)."""
+    o = table(spark, d, "oa_derived_object").where("object_status = 'active'")
+    rank = retrieval.cover_density({"A": F.col("title"), "B": F.col("body_text")}, WORDS)
+    return o.select("derived_object_id", "artifact_id", rank.alias("rank")).where("rank > 0").select("derived_object_id", "artifact_id", retrieval.rank_hint(360, F.col("rank")).alias("score_hint"))
+
+
 @R.query(
     sql=f"""WITH {ART}, {TAG}, {SEG}, {OBJ}, m AS (
         SELECT artifact_id, artifact_id AS match_record_id, 'artifact_title' AS match_kind, coalesce(title, '') AS snippet, 240 AS score_hint FROM art WHERE contains(lower(coalesce(title, '')), 'retry')
