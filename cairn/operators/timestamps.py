@@ -187,7 +187,8 @@ def _udf(version: str):
             value = value.astype(object).where(value.notna(), None)
             yield pd.Series(parse_batch(value.tolist(), zone.tolist()), dtype="Int64")
 
-    return to_utc
+    # else a filter on the result is pushed below and evaluates the function a second time
+    return to_utc.asNondeterministic()
 
 
 def utc_micros(value: Column, zone: Column) -> Column:

@@ -49,7 +49,7 @@ def html_text(c: Column) -> Column:
     def run(batch: pd.Series) -> pd.Series:
         return batch.map(html_to_text, na_action="ignore")
 
-    return run(c)
+    return run.asNondeterministic()(c)  # a filter on the result must not evaluate it again
 
 
 # --- plain text and Markdown --------------------------------------------------------------------
