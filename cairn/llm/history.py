@@ -61,6 +61,13 @@ CELLS = 512
 _FEATURES = "record_id long, batch_no int, owner long, updated long, fp long, n int, messages array<long>, sketch array<long>, over int, tokens array<int>"
 
 
+def _sliced(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    """Smaller batches: the arrays made of one are several times its size."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def _batch_tokens(batch: pa.RecordBatch) -> TokenBatch:
     texts = batch.column("texts")
     owner = np.repeat(np.arange(len(texts)), pc.fill_null(pc.list_value_length(texts), 0).to_numpy(zero_copy_only=False))
@@ -103,7 +110,7 @@ def _lists(row: np.ndarray, values: np.ndarray, n: int) -> pa.ListArray:
 
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _sliced(batches):
         found, n = _batch_tokens(batch), batch.num_rows
         row, token = found.row, found.token
         size = np.bincount(row, minlength=n)
@@ -132,7 +139,7 @@ def _prefixes(order: Broadcast):
     """Postings ``(b, bn, bpos, token)`` of rows: their prefixes in the frozen order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             lists = batch.column("tokens")
             token = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint32)
             size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
