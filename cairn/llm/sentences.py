@@ -184,7 +184,7 @@ def _paragraph(text: str, s: int, e: int, out: list[tuple[int, int]]) -> None:
         if nxt == end:  # no white space behind
             if quoted or inside:
                 continue
-            if run[-1] in _WIDE or run[-1] in "।॥" or (run[-1] in "…!?" and _UNSPACED.match(look)):
+            if run[-1] in _WIDE or run[-1] in "।॥" or (run[-1] in "…!?" and (_UNSPACED.match(look) or _UNSPACED.match(text[a - 1 : a]))):
                 close(end, nxt)
             continue
         continues = look.islower() or (quoted and look.isalpha() and not look.isupper())

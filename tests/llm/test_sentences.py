@@ -12,7 +12,7 @@ CASES = [
     (["Le n° 39 coûte 7,50 € ; est-ce trop ?", "Elle a noté : « Ça bloque. On relance. » puis rien.", "Le Pr. Aub vise la v. 7.9.4 etc.", "M. Dun et Mme Ruk ont lu env. 12 pages."], " "),
     (["Escribió: «Se para. Luego sigue.» y cerró.", "Véase p. ej. la fig. 46, la pág. 8, etc.", "¡Ya terminó la n.º 46!", "¿Por qué sale 27.9?", "EE. UU. queda fuera."], " "),
     (["彼は「止まった。もう一度やる。」と書いた。", "夜のあいだに止めた。", "Aubさん（担当者。再任）は確認した！", "版は8.1.2で、22.6秒だった。"], ""),
-    (["一共77条。", "他写道：“停了。再试一次。”然后离开了。", "真的是31.9吗？", "Sell（见第30页。附录）已经核对过……", "版本是3.19.1。"], ""),
+    (["一共77条。", "他写道：“停了。再试一次。”然后离开了。", "真的是31.9吗？", "Sell（见第30页。附录）已经核对过……", "Nev（见第1页。附录）已经核对过……", "版本是3.19.1。"], ""),
     (["В 36 г. проф. Quen ждал ок. 30.2 ч., т.е. долго.", "Нужны логи и т.д.", "Второй профиль.", "Она написала: «Стоит. Ждём.» и ушла."], " "),
     (["उसने लिखा, \"रुक गया। फिर चला।\" और चली गई।", "डॉ. Fal ने 12.0 घंटे इंतज़ार किया।", "क्या यह 6.9 है?", "सोमवार से॥"], " "),
     (["قال د. Kal إن المدة 36.3 ساعة.", "كتبت: «توقف. ثم عاد.» وأغلقت الصفحة.", "هل الرقم 6.5 صحيح؟", "الحساب."], " "),
