@@ -4,7 +4,7 @@ All runs of :data:`RUN` words of the normalised passages go into one automaton.
 (lower case, words only, single spaces) and scanned once; each hit names the passages and places it
 belongs to.  Hits of one passage that stay on a diagonal form a chain, over changed, missing or
 added words; the ends of a chain are extended word by word.  A chain counts when it covers
-:data:`LEAST` words of the passage, or the whole of a shorter one.  Word offsets are kept, so spans
+:data:`LEAST` words of the passage, or the whole of a shorter one, and all but a few are unchanged.  Word offsets are kept, so spans
 refer to the original text.
 
 An instruction line, set off by a blank line and shared by several items, is not part of a passage.
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from difflib import SequenceMatcher
 
 import ahocorasick
 import numpy as np
@@ -40,6 +41,15 @@ MATCH, CHANGE = 1.0, -1.5
 DROP = -4.0
 
 
+#: The share of a span's words that must be unchanged.
+KEPT = 0.85
+
+
+def _kept(passage: list[str], words: list[str]) -> int:
+    """How many words of a passage's span stand in the text in their order."""
+    return sum(block.size for block in SequenceMatcher(None, passage, words, autojunk=False).get_matching_blocks())
+
+
 def passages(items: list[tuple[int, str | None]]) -> dict[int, list[str]]:
     """Words of each item's passage, without a shared instruction line."""
     heads = Counter(t.strip().split("\n\n", 1)[0].strip() for _, t in items if t and "\n\n" in t.strip())
@@ -131,7 +141,7 @@ class Scanner:
                 back = self._extend(words, passage, i0 - 1, j0 - 1, -1)
                 forth = self._extend(words, passage, i1, j1, 1)
                 covered = (i1 + forth) - (i0 - back)
-                if covered >= need and (best is None or covered > best[0]):
+                if covered >= need and (best is None or covered > best[0]) and _kept(passage[i0 - back : i1 + forth], words[j0 - back : j1 + forth]) >= KEPT * covered:
                     best = (covered, j0 - back, min(j1 + forth, len(words)))
             if best:
                 start, stop = (found[best[1]].start(), found[best[2] - 1].end()) if exact else (-1, -1)
