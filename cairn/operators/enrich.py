@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.durable import Workspace
+
 
 def chunk_bounds(sizes: list[int], max_items: int, max_bytes: int, overlap: int) -> list[tuple[int, int]]:
     """Greedy overlapping chunks ``[start, end)`` over item sizes, each with one item at least."""
@@ -26,22 +29,88 @@ def chunk_bounds(sizes: list[int], max_items: int, max_bytes: int, overlap: int)
     return out
 
 
-def chunks(segments: DataFrame, max_items: int = 40, max_bytes: int = 12_000, overlap: int = 2, block: int = 5_000) -> DataFrame:
-    """``(artifact_id, chunk_no, first_no, last_no, n_items, n_bytes)`` of ordered segments.
+#: Consecutive segments of an artifact that one task scans; it decides who works, not what comes out.
+LANE = 5_000
 
-    The next start depends on the last end, so an artifact is scanned in order.  Long artifacts are
-    scanned in blocks of ``block`` segments, so one that holds a third of all rows is many tasks; a
-    chunk does not reach over the end of a block.  Null texts count 0 bytes.
-    """
-    sized = segments.where("sequence_no is not null").select("artifact_id", "sequence_no", "segment_id", F.coalesce(F.octet_length("text_content"), F.lit(0)).alias("size"), F.floor(F.col("sequence_no") / block).alias("block"))
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["sequence_no", "segment_id"])
-        sizes, numbers = group["size"].tolist(), group["sequence_no"].tolist()
-        rows = [(group["artifact_id"].iloc[0], int(group["block"].iloc[0]), n, numbers[a], numbers[b - 1], b - a, sum(sizes[a:b])) for n, (a, b) in enumerate(chunk_bounds(sizes, max_items, max_bytes, overlap))]
-        return pd.DataFrame(rows, columns=["artifact_id", "block", "chunk_no", "first_no", "last_no", "n_items", "n_bytes"])
+def _chunk_ends(sizes: np.ndarray, most: int, max_bytes: int) -> np.ndarray:
+    """For every start the end of the chunk that would begin there."""
+    held = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    at = np.arange(len(sizes))
+    fits = np.searchsorted(held, held[:-1] + max_bytes, side="right") - 1
+    return np.minimum(np.clip(fits, at + 1, at + most), len(sizes))
+
 
-    return sized.groupBy("artifact_id", "block").applyInPandas(run, "artifact_id string, block long, chunk_no int, first_no int, last_no int, n_items int, n_bytes long")
+def chunks(segments: DataFrame, max_items: int = 40, max_bytes: int = 12_000, overlap: int = 2) -> DataFrame:
+    """``(artifact_id, chunk_no, first_no, last_no, n_items, n_bytes)`` of ordered segments.
+
+    The next start depends on the last end, but an end only on the ``max_items`` sizes from its start
+    on.  So long artifacts are cut into lanes of :data:`LANE` positions, each with the few rows after
+    it.  A lane says for each of its first ``max_items`` positions where a scan entering there leaves
+    into the next lane and after how many chunks; the entries that are taken are followed over those
+    few rows per lane, and every lane lists its chunks from its entry.  The chunks are those of one
+    scan over the whole artifact.  Null texts count 0 bytes.
+    """
+    most = max(1, max_items)
+    shared, lane_rows = min(overlap, most - 1), max(LANE, most)
+    sized = segments.where("sequence_no is not null").select("artifact_id", "sequence_no", "segment_id", F.coalesce(F.octet_length("text_content"), F.lit(0)).alias("size"), F.floor(F.col("sequence_no") / LANE).alias("run"))
+    # Positions: within a run of sequence numbers, plus the rows of the runs before.
+    within = F.row_number().over(Window.partitionBy("artifact_id", "run").orderBy("sequence_no", "segment_id")) - 1
+    work = Workspace(segments.sparkSession, "chunks")
+    row = work.cut(sized.select("artifact_id", "sequence_no", "size", "run", within.cast("long").alias("at")), "rows")
+    ordered = Window.partitionBy("artifact_id").orderBy("run")
+    runs = row.groupBy("artifact_id", "run").agg(F.count("*").alias("rows"))
+    runs = runs.select(F.col("artifact_id").alias("_a"), F.col("run").alias("_run"), (F.sum("rows").over(ordered) - F.col("rows")).alias("before"), F.sum("rows").over(Window.partitionBy("artifact_id")).alias("n"))
+    pos = F.col("before") + F.col("at")
+    placed = row.join(runs, F.col("artifact_id").eqNullSafe(F.col("_a")) & (F.col("run") == F.col("_run"))).select("artifact_id", "sequence_no", "size", pos.alias("pos"), "n", F.floor(pos / lane_rows).alias("own"))
+    first = F.when((F.col("own") > 0) & (F.col("pos") % lane_rows < most - 1), F.col("own") - 1).otherwise(F.col("own"))
+    lanes = placed.select("artifact_id", "sequence_no", "size", "pos", "n", F.explode(F.sequence(first, "own")).alias("lane"))
+
+    def scan(group: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, int, int]:
+        """A lane's rows in order, their chunk ends, its own rows and the positions to the artifact's end."""
+        group = group.sort_values("pos")
+        left = int(group["n"].iloc[0]) - int(group["lane"].iloc[0]) * lane_rows
+        return group, _chunk_ends(group["size"].to_numpy(), most, max_bytes), min(lane_rows, left), left
+
+    def leave(group: pd.DataFrame) -> pd.DataFrame:
+        group, ends, own, left = scan(group)
+        out, count = [-1] * own, [1] * own
+        for start in range(own - 1, -1, -1):
+            if ends[start] < left:
+                then = max(start + 1, int(ends[start]) - shared)
+                if then >= own:
+                    out[start] = then - own
+                else:
+                    out[start], count[start] = out[then], count[then] + 1
+        return pd.DataFrame({"artifact_id": [group["artifact_id"].iloc[0]], "lane": [int(group["lane"].iloc[0])], "exits": [out[:most]], "counts": [count[:most]]})
+
+    def follow(group: pd.DataFrame) -> pd.DataFrame:
+        rows, entry, number = [], 0, 0
+        for name, lane, exits, counts in group.sort_values("lane")[["artifact_id", "lane", "exits", "counts"]].itertuples(index=False):
+            rows.append((name, lane, entry, number))
+            entry, number = int(exits[entry]), number + int(counts[entry])
+            if entry < 0:
+                break
+        return pd.DataFrame(rows, columns=["_a", "_lane", "entry", "number"])
+
+    def emit(group: pd.DataFrame) -> pd.DataFrame:
+        start, number, rows = int(group["entry"].iloc[0]), int(group["number"].iloc[0]), []
+        group, ends, own, left = scan(group)
+        name, sizes, numbers = group["artifact_id"].iloc[0], group["size"].to_numpy(), group["sequence_no"].tolist()
+        while start < own:
+            end = int(ends[start])
+            rows.append((name, number, numbers[start], numbers[end - 1], end - start, int(sizes[start:end].sum())))
+            if end == left:
+                break
+            start, number = max(start + 1, end - shared), number + 1
+        return pd.DataFrame(rows, columns=["artifact_id", "chunk_no", "first_no", "last_no", "n_items", "n_bytes"])
+
+    long = lanes.where(F.col("n") > lane_rows)
+    exits = long.groupBy("artifact_id", "lane").applyInPandas(leave, "artifact_id string, lane long, exits array<int>, counts array<int>")
+    entries = exits.groupBy("artifact_id").applyInPandas(follow, "_a string, _lane long, entry int, number int")
+    known = lanes.join(entries, F.col("artifact_id").eqNullSafe(F.col("_a")) & (F.col("lane") == F.col("_lane")), "left").where("lane = 0 or entry is not null")
+    known = known.select("artifact_id", "sequence_no", "size", "pos", "n", "lane", F.coalesce("entry", F.lit(0)).alias("entry"), F.coalesce("number", F.lit(0)).alias("number"))
+    return known.groupBy("artifact_id", "lane").applyInPandas(emit, "artifact_id string, chunk_no int, first_no int, last_no int, n_items int, n_bytes long")
 
 
 def richer(df: DataFrame, keys: list[str], texts: list[str], order: str) -> DataFrame:

@@ -102,6 +102,25 @@ def test_chunks():
         assert out[0][0] == 0 and out[-1][1] == len(sizes) and all(b[0] <= a[1] and b[0] > a[0] for a, b in zip(out, out[1:]))
 
 
+def test_chunks_of_long_artifacts_are_those_of_one_scan(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(a, n // 2 if a == "twice" else n * step, f"{n:06d}", None if n % 97 == 0 else "x" * rng.choice([0, 30, 400, 400, 900, 13_000 if n % 50 == 0 else 5])) for a, size, step in (("long", 12_000, 1), ("sparse", 11_000, 701), ("twice", 10_003, 1), ("edge", 5_000, 1), ("over", 5_001, 1), ("tiny", 3, 1), (None, 7_000, 1)) for n in range(size)]
+    df = spark.createDataFrame(rows, "artifact_id string, sequence_no int, segment_id string, text_content string").repartition(7)
+    got: dict = {}
+    for r in enrich.chunks(df).collect():
+        got.setdefault(r.artifact_id, []).append((r.chunk_no, r.first_no, r.last_no, r.n_items, r.n_bytes))
+    held: dict = {}
+    for a, no, _, t in rows:
+        held.setdefault(a, []).append((no, len(t or "")))
+    assert got.keys() == held.keys()
+    for a, items in held.items():
+        sizes = [size for _, size in items]
+        want = [(k, items[s][0], items[e - 1][0], e - s, sum(sizes[s:e])) for k, (s, e) in enumerate(enrich.chunk_bounds(sizes, 40, 12_000, 2))]
+        assert sorted(got[a]) == want, a
+
+
 def test_cluster_and_upserts(spark):
     df = spark.createDataFrame([("x", "1", "the user rides horses daily"), ("x", "2", "user rides horses"), ("x", "3", "other thing"), ("x", "4", "other thing"), ("y", "5", ""), ("y", "6", None)], "g string, k string, t string")
     assert {r.k: r.leader for r in enrich.cluster(df, "g", "k", F.coalesce("t", F.lit(""))).collect()} == {"1": "1", "2": "1", "3": "3", "4": "3", "5": "5", "6": "5"}
