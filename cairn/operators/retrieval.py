@@ -8,6 +8,7 @@ small set of terms, so a ranked search reads the postings of those terms only.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -172,6 +173,44 @@ def rank_hint(base: int, rank: Column) -> Column:
     return (base + F.greatest(F.lit(0), F.floor(F.round(rank * 100, 6)).cast("int"))).cast("int")
 
 
+def link_score(url: Column, display: Column, word: Column) -> Column:
+    """The score of an external link: by its address, wholly or in part, by its shown text, or by its target only."""
+    url, display = F.lower(F.coalesce(url, F.lit(""))), F.lower(F.coalesce(display, F.lit("")))
+    return F.when(url == word, 395).when(url.contains(word), 390).when(display.contains(word), 250).otherwise(230)
+
+
+def candidates(art: DataFrame, tags: DataFrame, aliases: DataFrame, links: DataFrame, objects: DataFrame, segments: DataFrame, texts: list[str]) -> DataFrame:
+    """Matches of all seven kinds for each of ``texts``, with the fields that matched, not yet cut.
+
+    ``(query_text, artifact_id, match_record_id, match_kind, snippet, score_hint, matched_fields)``.
+    ``aliases(artifact_id, alias, alias_text)`` are normalised, ``links(artifact_id, seq, external_url,
+    display_text, raw_target)`` external, ``objects`` active.  All texts are looked for in one pass.
+    """
+    word = F.lower("query_text")
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    has = lambda c: low(c).contains(word)
+    asked = F.explode(F.array(*(F.lit(t) for t in texts))).alias("query_text")
+
+    def rows(df: DataFrame, kind: str, hit: Column, record: Column, snippet: Column, fields: dict[str, Column], score: Column | None = None) -> DataFrame:
+        score = F.lit(BASE[kind]) if score is None else score
+        which = F.array_compact(F.array(*(F.when(test, name) for name, test in fields.items())))
+        return df.select("*", asked).where(hit).select("query_text", "artifact_id", record.alias("match_record_id"), F.lit(kind).alias("match_kind"), snippet.alias("snippet"), score.alias("score_hint"), which.alias("matched_fields"))
+
+    always = F.lit(True)
+    both = F.concat_ws(" ", low(F.col("title")), low(F.col("body_text")))
+    in_link = {c: has(F.col(c)) for c in ("external_url", "display_text", "raw_target")}
+    branches = [
+        rows(art.select("artifact_id", "title"), "artifact_title", has(F.col("title")), F.col("artifact_id"), F.coalesce("title", F.lit("")), {"title": always}),
+        rows(tags, "imported_note_tag", F.col("tag") == word, F.concat_ws("#", "artifact_id", "seq"), F.col("tag"), {"tag": always}),
+        rows(aliases, "imported_note_alias", F.col("alias") == word, F.concat_ws("#", "artifact_id", "alias"), F.col("alias_text"), {"alias": always}),
+        rows(art.select("artifact_id", "path_key"), "imported_note_path", has(F.col("path_key")), F.col("artifact_id"), F.coalesce("path_key", F.lit("")), {"path": always}),
+        rows(links, "imported_external_link", in_link["external_url"] | in_link["display_text"] | in_link["raw_target"], F.concat_ws("#", "artifact_id", "seq"), F.coalesce("display_text", "external_url", "raw_target", F.lit("")), in_link, link_score(F.col("external_url"), F.col("display_text"), word)),
+        rows(objects.select("artifact_id", "derived_object_id", "title", "body_text"), "derived_object", both.contains(word), F.col("derived_object_id"), F.coalesce("title", "body_text", F.lit("")), {"title": has(F.col("title")), "body_text": has(F.col("body_text"))}),
+        rows(segments, "segment_excerpt", has(F.col("text_content")), F.col("segment_id"), F.left(F.coalesce("text_content", F.lit("")), F.lit(240)), {"text_content": always}),
+    ]
+    return reduce(DataFrame.unionByName, branches)
+
+
 def best_per(df: DataFrame, key: str, score: str, *ties: str) -> DataFrame:
     """The best row of each key (a rank filter)."""
     w = Window.partitionBy(key).orderBy(F.desc(score), *ties)

@@ -162,6 +162,12 @@ def note_metadata(spark: SparkSession, d: str) -> DataFrame:
     return _notes(spark, d).mapInPandas(run, schema)
 
 
+def external_links(spark: SparkSession, d: str) -> DataFrame:
+    """``(artifact_id, seq, external_url, display_text, raw_target)``: the links of all notes that lead outside."""
+    links = note_metadata(spark, d).select("artifact_id", F.posexplode("links").alias("seq", "l")).where("l.target_kind = 'external'")
+    return links.select("artifact_id", "seq", F.col("l.raw_target").alias("external_url"), "l.display_text", "l.raw_target")
+
+
 @R.query()
 def note_links(spark: SparkSession, d: str) -> DataFrame:
     """Links of all notes with the artifact they resolve to, by path."""

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import vectors
 from cairn.operators import graph, retrieval
+from cairn.plans.imports import external_links
 from cairn.plans.registry import Registry
 from cairn.plans.relational import ART, LNK, OBJ, SEG, TAG
 from cairn.sources import archive
@@ -80,20 +79,40 @@ def ranked_objects(spark: SparkSession, d: str) -> DataFrame:
 )
 def candidate_union(spark: SparkSession, d: str) -> DataFrame:
     """Candidates of all kinds in one ranked list, cut once after the union (over-fetch of a search)."""
-    word = "retry"
-    has = lambda c: F.lower(F.coalesce(c, F.lit(""))).contains(word)
-    art, tag = archive.artifacts(spark, d), archive.tags(spark, d)
+    found = _candidates(spark, d, ["retry"]).drop("query_text", "matched_fields")
+    return found.orderBy(F.desc("score_hint"), "artifact_id", "match_record_id").limit(200)
+
+
+def _candidates(spark: SparkSession, d: str, texts: list[str]) -> DataFrame:
     obj = table(spark, d, "oa_derived_object").where("object_status = 'active'")
     seg = archive.segments(spark, d, "artifact_id", "text_content")
-    row = lambda df, record, kind, snippet: df.select("artifact_id", record.alias("match_record_id"), F.lit(kind).alias("match_kind"), snippet.alias("snippet"), F.lit(retrieval.BASE[kind]).alias("score_hint"))
-    branches = [
-        row(art.where(has(F.col("title"))), F.col("artifact_id"), "artifact_title", F.coalesce("title", F.lit(""))),
-        row(tag.where(F.col("tag") == word), F.concat_ws("#", "artifact_id", "seq"), "imported_note_tag", F.col("tag")),
-        row(art.where(F.lower("path_key").like(f"%{word}%")), F.col("artifact_id"), "imported_note_path", F.col("path_key")),
-        row(obj.where(has(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("body_text", F.lit(""))))), F.col("derived_object_id"), "derived_object", F.coalesce("title", "body_text", F.lit(""))),
-        row(seg.where(has(F.col("text_content"))), F.col("segment_id"), "segment_excerpt", F.left(F.coalesce("text_content", F.lit("")), F.lit(240))),
-    ]
-    return reduce(DataFrame.unionByName, branches).orderBy(F.desc("score_hint"), "artifact_id", "match_record_id").limit(200)
+    return retrieval.candidates(archive.artifacts(spark, d), archive.tags(spark, d), archive.aliases(spark, d), external_links(spark, d), obj, seg, texts)
+
+
+#: A text shown by links, an address that is the start of others, a tag, a title, and a word of many kinds.
+TEXTS = ["site", "https://example.com/7", "de", "The memory card has doubled the rented storage box on a slow connection", "retry"]
+
+
+@R.query(
+    sql=f"""WITH {ART}, {TAG}, {SEG}, {OBJ}, q AS (SELECT unnest([{", ".join(f"'{t}'" for t in TEXTS)}]) AS query_text), w AS (SELECT query_text, lower(query_text) AS x FROM q),
+    lnk AS (SELECT artifact_id, 'https://example.com/' || doc_id AS url, 'site' AS shown FROM art WHERE trim(body) <> ''),
+    m AS (
+        SELECT query_text, artifact_id, artifact_id AS match_record_id, 'artifact_title' AS match_kind, title AS snippet, 240 AS score_hint, ['title'] AS matched_fields FROM art JOIN w ON contains(lower(title), x)
+        UNION ALL SELECT query_text, artifact_id, artifact_id || '#' || seq, 'imported_note_tag', tag, 380, ['tag'] FROM tag JOIN w ON tag = x
+        UNION ALL SELECT query_text, artifact_id, artifact_id || '#' || x, 'imported_note_alias', title, 370, ['alias'] FROM art JOIN w ON lower(trim(regexp_replace(title, '\\s+', ' ', 'g'))) = x
+        UNION ALL SELECT query_text, artifact_id, artifact_id, 'imported_note_path', path_key, 220, ['path'] FROM art JOIN w ON contains(lower(path_key), x)
+        UNION ALL SELECT query_text, artifact_id, artifact_id || '#1', 'imported_external_link', shown, CASE WHEN url = x THEN 395 WHEN contains(url, x) THEN 390 WHEN contains(shown, x) THEN 250 ELSE 230 END,
+            list_filter([CASE WHEN contains(url, x) THEN 'external_url' END, CASE WHEN contains(shown, x) THEN 'display_text' END, CASE WHEN contains(url, x) THEN 'raw_target' END], lambda f: f IS NOT NULL) FROM lnk JOIN w ON contains(url, x) OR contains(shown, x)
+        UNION ALL SELECT query_text, artifact_id, derived_object_id, 'derived_object', coalesce(title, body_text, ''), 360,
+            list_filter([CASE WHEN contains(lower(title), x) THEN 'title' END, CASE WHEN contains(lower(body_text), x) THEN 'body_text' END], lambda f: f IS NOT NULL) FROM obj JOIN w ON contains(lower(coalesce(title, '') || ' ' || coalesce(body_text, '')), x) WHERE object_status = 'active'
+        UNION ALL SELECT query_text, artifact_id, segment_id, 'segment_excerpt', left(text_content, 240), 300, ['text_content'] FROM seg JOIN w ON contains(lower(text_content), x)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_text ORDER BY score_hint DESC, artifact_id, match_record_id) AS rn FROM m)
+    SELECT * EXCLUDE (rn) FROM r WHERE rn <= 200"""
+)
+def candidate_union_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The 200 best candidates of all seven kinds for several texts, with the fields that matched."""
+    w = Window.partitionBy("query_text").orderBy(F.desc("score_hint"), "artifact_id", "match_record_id")
+    return _candidates(spark, d, TEXTS).withColumn("rn", F.row_number().over(w)).where("rn <= 200").drop("rn")
 
 
 @R.query(

@@ -42,8 +42,8 @@ def tags(spark: SparkSession, d: str) -> DataFrame:
 
 
 def aliases(spark: SparkSession, d: str) -> DataFrame:
-    """``(artifact_id, alias)``: the title, where there is one."""
-    return artifacts(spark, d).where("title is not null").select("artifact_id", text.alias(F.col("title")).alias("alias")).where("alias <> ''")
+    """``(artifact_id, alias, alias_text)``: the title, where there is one, normalised and as it stands."""
+    return artifacts(spark, d).where("title is not null").select("artifact_id", text.alias(F.col("title")).alias("alias"), F.col("title").alias("alias_text")).where("alias <> ''")
 
 
 def segments(spark: SparkSession, d: str, *columns: str) -> DataFrame:

@@ -55,6 +55,29 @@ def test_bm25_ranks_better_matches_first(spark):
     assert retrieval.bm25(df.limit(0), "k", F.col("t"), ["x"]).count() == 0
 
 
+def test_candidates_of_all_kinds(spark):
+    art = spark.createDataFrame([("a", "On Rust", "notes/x.md"), ("b", None, "notes/rust.md"), ("c", "Other", None)], "artifact_id string, title string, path_key string")
+    tags = spark.createDataFrame([("a", "rust", 0), ("b", "rusty", 0)], "artifact_id string, tag string, seq int")
+    aliases = spark.createDataFrame([("c", "rust", "Rust"), ("b", "rust book", "Rust Book")], "artifact_id string, alias string, alias_text string")
+    links = spark.createDataFrame([("c", 0, "Rust", None, "Rust"), ("c", 1, "https://rust.org", "rust site", "https://rust.org"), ("c", 2, "https://x.org", "Rust", "https://x.org"), ("c", 3, "https://x.org", None, "rust:x"), ("c", 4, None, None, None)], "artifact_id string, seq int, external_url string, display_text string, raw_target string")
+    objects = spark.createDataFrame([("a", "o1", "Rust", "about rust"), ("a", "o2", None, "RUST"), ("a", "o3", None, None)], "artifact_id string, derived_object_id string, title string, body_text string")
+    segments = spark.createDataFrame([("s1", "a", "some rust"), ("s2", "a", None)], "segment_id string, artifact_id string, text_content string")
+    got = {(r.match_kind, r.match_record_id): (r.snippet, r.score_hint, r.matched_fields) for r in retrieval.candidates(art, tags, aliases, links, objects, segments, ["Rust", "nothing"]).collect()}
+    assert got == {
+        ("artifact_title", "a"): ("On Rust", 240, ["title"]),
+        ("imported_note_tag", "a#0"): ("rust", 380, ["tag"]),
+        ("imported_note_alias", "c#rust"): ("Rust", 370, ["alias"]),
+        ("imported_note_path", "b"): ("notes/rust.md", 220, ["path"]),
+        ("imported_external_link", "c#0"): ("Rust", 395, ["external_url", "raw_target"]),
+        ("imported_external_link", "c#1"): ("rust site", 390, ["external_url", "display_text", "raw_target"]),
+        ("imported_external_link", "c#2"): ("Rust", 250, ["display_text"]),
+        ("imported_external_link", "c#3"): ("https://x.org", 230, ["raw_target"]),
+        ("derived_object", "o1"): ("Rust", 360, ["title", "body_text"]),
+        ("derived_object", "o2"): ("RUST", 360, ["body_text"]),
+        ("segment_excerpt", "s1"): ("some rust", 300, ["text_content"]),
+    }
+
+
 def test_blend(spark):
     lx = spark.createDataFrame([("a", 1.0), ("b", 3.0)], "k string, score double")
     sm = spark.createDataFrame([("b", 0.5), ("c", 1.7)], "k string, score double")
