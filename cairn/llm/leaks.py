@@ -4,7 +4,8 @@ All runs of :data:`RUN` words of the normalised passages go into one automaton.
 (lower case, words only, single spaces) and scanned once; each hit names the passages and places it
 belongs to.  Hits of one passage that stay on a diagonal form a chain, over changed, missing or
 added words; the ends of a chain are extended word by word.  A chain counts when it covers
-:data:`LEAST` words of the passage, or the whole of a shorter one, and all but a few are unchanged.  Word offsets are kept, so spans
+:data:`LEAST` words of the passage, or the whole of a shorter one, and all but a few are unchanged; of a chain with more changes its longest
+part that is so counts.  Word offsets are kept, so spans
 refer to the original text.
 
 An instruction line, set off by a blank line and shared by several items, is not part of a passage.
@@ -45,9 +46,37 @@ DROP = -4.0
 KEPT = 0.85
 
 
-def _kept(passage: list[str], words: list[str]) -> int:
-    """How many words of a passage's span stand in the text in their order."""
-    return sum(block.size for block in SequenceMatcher(None, passage, words, autojunk=False).get_matching_blocks())
+def _best_part(passage: list[str], words: list[str], need: int) -> tuple[int, int, int] | None:
+    """The longest part of a passage's span that stands in the text with all but a few words unchanged.
+
+    ``(words covered, first, end)`` with places in ``words``; the whole span where it will do, and
+    nothing where no part covers ``need`` words.
+    """
+    kept = [(m.a + k, m.b + k) for m in SequenceMatcher(None, passage, words, autojunk=False).get_matching_blocks() for k in range(m.size)]
+    if len(passage) >= need and len(kept) >= KEPT * len(passage):
+        return len(passage), 0, len(words)
+    best = None
+    for first, (i0, j0) in enumerate(kept):
+        for last in range(len(kept) - 1, first - 1, -1):
+            covered = kept[last][0] + 1 - i0
+            if covered < need or (best and covered <= best[0]):
+                break
+            if last + 1 - first >= KEPT * covered:
+                best = covered, j0, kept[last][1] + 1
+                break
+    return best
+
+
+def _longest_run(hits: list[tuple[int, int, int]]) -> tuple[int, int, int]:
+    """``(words covered, first, end)`` of the longest stretch of hits that follow each other word by word."""
+    best, running = (0, 0, 0), {}
+    for j, i, n in hits:
+        first, last = running.get(j - i, (j, j - 1))
+        if last != j - 1:
+            first = j
+        running[j - i] = first, j
+        best = max(best, (j + n - first, first, j + n), key=lambda r: r[0])
+    return best
 
 
 def passages(items: list[tuple[int, str | None]]) -> dict[int, list[str]]:
@@ -134,15 +163,18 @@ class Scanner:
         for item, own in hits.items():
             passage = self.words[item]
             need = min(LEAST, len(passage))
-            best = None
+            run = _longest_run(own)
+            best = run if run[0] >= need else None
             for i0, i1, j0, j1 in self._chains(words, passage, own):
                 if i1 - i0 < RUN + 1 and need > i1 - i0:
                     continue  # a single run that nothing continues
                 back = self._extend(words, passage, i0 - 1, j0 - 1, -1)
                 forth = self._extend(words, passage, i1, j1, 1)
                 covered = (i1 + forth) - (i0 - back)
-                if covered >= need and (best is None or covered > best[0]) and _kept(passage[i0 - back : i1 + forth], words[j0 - back : j1 + forth]) >= KEPT * covered:
-                    best = (covered, j0 - back, min(j1 + forth, len(words)))
+                if covered >= need and (best is None or covered > best[0]):
+                    part = _best_part(passage[i0 - back : i1 + forth], words[j0 - back : j1 + forth], need)
+                    if part and (best is None or part[0] > best[0]):
+                        best = (part[0], j0 - back + part[1], j0 - back + part[2])
             if best:
                 start, stop = (found[best[1]].start(), found[best[2] - 1].end()) if exact else (-1, -1)
                 out.append((item, best[0], start, stop))

@@ -41,6 +41,15 @@ def test_too_short_or_only_the_instruction():
     assert found("") == set() and found(None) == set() and found("   ") == set()
 
 
+def test_an_exact_run_counts_whatever_follows():
+    rest = [w if i % 7 > 1 else "other" for i, w in enumerate(P[0][22:])]
+    text = noise(9) + " " + " ".join(P[0][:22] + rest)
+    assert found(text) == {1}
+    ((_, n, a, b),) = Scanner(ITEMS).scan(text)
+    assert n >= 22 and text[a:b].split()[:22] == P[0][:22]
+    assert found(" ".join(P[0][:20] + ["other" if i % 7 < 4 else w for i, w in enumerate(P[0][20:])])) == set()
+
+
 def test_offsets():
     text = "Start. " + " ".join(P[0][5:40]).title() + ". End"
     ((item, n, a, b),) = Scanner(ITEMS).scan(text)
