@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.operators import timestamps
+from cairn.operators.nested import link
 from cairn.plans.registry import Registry
 from cairn.sources import exports
+from cairn.tables import table
 
 R = Registry()
 
@@ -44,6 +48,54 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+#: Every type of node below a record, with the type of its parent.
+_PARENTS = {
+    "claude_export": {"message": "conversation", "part": "message", "attachment": "message", "file": "message"},
+    "grok_export": {"response": "envelope", "web_result": "response"},
+    "gemini_export": {"html_item": "activity", "subtitle": "activity", "attached_file": "activity"},
+}
+
+
+def _labelled(spark: SparkSession, d: str) -> dict[str, dict[str, DataFrame]]:
+    """The node tables of the three nested exports."""
+    makers = {"claude_export": exports.claude_nodes, "grok_export": exports.grok_nodes, "gemini_export": exports.gemini_nodes}
+    return {source: make(table(spark, d, source)) for source, make in makers.items()}
+
+
+@R.query()
+def p1_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Every node of the nested exports with its labels."""
+    each = [t.select(F.lit(source).alias("source"), F.lit(node).alias("node"), "record_id", "pre", "post", "parent_pre", "position") for source, tables in _labelled(spark, d).items() for node, t in tables.items()]
+    return reduce(DataFrame.unionByName, each)
+
+
+@R.query(
+    sql="""
+    WITH c AS (SELECT record_id, unnest(chat_messages) AS m, generate_subscripts(chat_messages, 1) - 1 AS i FROM claude_export),
+    g AS (SELECT record_id, unnest(responses) AS r, generate_subscripts(responses, 1) - 1 AS i FROM grok_export),
+    n AS (SELECT 'claude_export' AS source, 'message' AS node, record_id, 0 AS p, i, m IS NOT NULL AS there FROM c
+        UNION ALL SELECT 'claude_export', 'part', record_id, i, generate_subscripts(m.content, 1) - 1, unnest(m.content) IS NOT NULL FROM c
+        UNION ALL SELECT 'claude_export', 'attachment', record_id, i, generate_subscripts(m.attachments, 1) - 1, unnest(m.attachments) IS NOT NULL FROM c
+        UNION ALL SELECT 'claude_export', 'file', record_id, i, generate_subscripts(m.files, 1) - 1, unnest(m.files) IS NOT NULL FROM c
+        UNION ALL SELECT 'grok_export', 'response', record_id, 0, i, r IS NOT NULL FROM g
+        UNION ALL SELECT 'grok_export', 'web_result', record_id, i, generate_subscripts(r.response.web_search_results, 1) - 1, unnest(r.response.web_search_results) IS NOT NULL FROM g
+        UNION ALL SELECT 'gemini_export', 'html_item', record_id, 0, generate_subscripts(safe_html_item, 1) - 1, unnest(safe_html_item) IS NOT NULL FROM gemini_export
+        UNION ALL SELECT 'gemini_export', 'subtitle', record_id, 0, generate_subscripts(subtitles, 1) - 1, unnest(subtitles) IS NOT NULL FROM gemini_export
+        UNION ALL SELECT 'gemini_export', 'attached_file', record_id, 0, generate_subscripts(attached_files, 1) - 1, unnest(attached_files) IS NOT NULL FROM gemini_export)
+    SELECT source, node, record_id, CAST(p AS INTEGER) AS parent_position, CAST(i AS INTEGER) AS position FROM n WHERE there
+    """
+)
+def p1_links(spark: SparkSession, d: str) -> DataFrame:
+    """Every node below a record with its parent's position, found from the labels by interval containment."""
+    labels = ["record_id", "pre", "post", "position"]
+    found = []
+    for source, tables in _labelled(spark, d).items():
+        for node, parent in _PARENTS[source].items():
+            linked = link(tables[node].select(*labels), tables[parent].select(*labels), "record_id", {"parent_position": "position"})
+            found.append(linked.select(F.lit(source).alias("source"), F.lit(node).alias("node"), "record_id", "parent_position", "position"))
+    return reduce(DataFrame.unionByName, found)
+
+
 def _values(spark: SparkSession, d: str) -> DataFrame:
     """Every timestamp of the four fields with its place and the zone of its account."""
     none = F.lit(-1)
