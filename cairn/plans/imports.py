@@ -178,6 +178,6 @@ def note_links(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query()
 def chunk_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Outputs of several chunks merged per key: the richest text, the sum of sizes."""
+    """Outputs of several chunks merged per key: the bytes of the longest text and how many were merged."""
     s = archive.segments(spark, d, "artifact_id", "participant_id", "sequence_no", "text_content").withColumn("order", F.coalesce("sequence_no", F.lit(0)).cast("long"))
     return enrich.richer(s, ["artifact_id", "participant_id"], ["text_content"], "order").select("artifact_id", "participant_id", F.octet_length("text_content").alias("n_bytes"), "n_merged")
