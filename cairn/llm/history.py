@@ -15,8 +15,10 @@ begins.  Two sets with Jaccard similarity ``t`` must share a token among the fir
 * rows that stay are compared with one another the same way, decided in order of arrival, and their
   postings are appended.
 
-Cost: a batch is read, tokenised and shuffled once; of the history, only thin postings and the
-fingerprints of the accepted rows are scanned.
+Cost: a batch is read, tokenised and shuffled once.  Of the history, every block joins the whole index
+of postings and the fingerprints of the accepted rows, and where pairs remain, the sketches and sets
+of stored rows are read to verify them.  So the cost follows the batch but for these scans, which
+grow with the history.
 
 Skew: identical texts are collapsed to one before anything is paired, also against history (by
 a fingerprint of the whole set).  Near-copies of an accepted row are rejected at
