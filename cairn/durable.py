@@ -64,6 +64,23 @@ class Workspace:
 
     def drop(self, path: str) -> None:
         """Remove one table of the workspace that no later plan reads."""
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        files, where = _files(self.spark, path)
+        files.delete(where, True)
+
+    @staticmethod
+    def mark(spark: SparkSession, path: str) -> None:
+        """Write an empty marker file."""
+        files, where = _files(spark, path)
+        files.create(where, True).close()
+
+    @staticmethod
+    def names(spark: SparkSession, path: str) -> list[str]:
+        """The names in a folder, none if it is absent."""
+        files, where = _files(spark, path)
+        return sorted(s.getPath().getName() for s in files.listStatus(where)) if files.exists(where) else []
+
+
+def _files(spark: SparkSession, path: str) -> tuple:
+    """The file system of a path, and the path in its terms."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
