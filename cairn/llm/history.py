@@ -1,39 +1,46 @@
 """Deduplicating new batches against all accepted history, by an incremental prefix index.
 
+A history lives in a folder and outlasts the session: :meth:`History.create` begins one,
+:meth:`History.open` goes on with it, :meth:`History.accept` takes one batch.  It holds
+
+* the index: postings ``(token, record, n)`` of accepted rows, bucketed by token;
+* the accepted rows (identifier, update, texts), bucketed by record;
+* a fingerprint of every distinct text seen, with the accepted row that stands for it;
+* the order of tokens.
+
 A row's text is the set of its word shingles, taken message by message so that the order of messages
-does not matter.  The set is ordered by a global order, rare tokens first, frozen when the history
-begins.  Two sets with Jaccard similarity ``t`` must share a token among the first
-``n - ceil(t n) + 1`` of each (the prefix), so only prefixes are indexed:
-
-* the index holds postings ``(token, record, place, n)`` of accepted rows, bucketed by token, so a
-  probe shuffles the new batch only and never the history;
-* a batch probes its prefixes; a posting pair survives if the lengths allow ``t``, if the shorter
-  side's place lies in its (still shorter) index prefix, and if the tokens behind both places could
-  still make up the overlap;
-* surviving pairs must pass an upper bound of their overlap, taken from 128-byte sketches, and are
-  then verified on the stored sets; no text is read again;
-* rows that stay are compared with one another the same way, decided in order of arrival, and their
-  postings are appended.
-
-Cost: a batch is read, tokenised and shuffled once.  Of the history, every block joins the whole index
-of postings and the fingerprints of the accepted rows, and where pairs remain, the sketches and sets
-of stored rows are read to verify them.  So the cost follows the batch but for these scans, which
-grow with the history.
-
-Skew: identical texts are collapsed to one before anything is paired, also against history (by
-a fingerprint of the whole set).  Near-copies of an accepted row are rejected at
-the probe, so a group that fills a third of a batch meets one posting list entry, not itself: a batch
-is taken in blocks that double in size, so that the first small block accepts the representative.
-Frequent tokens come last in the order and rarely enter a prefix.
-
-The measure: shingles of six words at 0.58.  The cases to reject may have a few percent of all words
-changed, and every changed word spoils six shingles, so a high threshold on shingles would miss them;
-see the README for measured figures.
-
-Defined results: rows without words are accepted and never indexed, rows without a record id ignored; null messages, texts and columns
-are empty; a row that is a longer version (same identifier, later update, all messages of the
-accepted row and more) is accepted; ties in similarity go to the earlier row; an empty batch changes
-nothing; columns beside the named ones are ignored.
+does not matter.  A set is ordered rare tokens first, by counts over the first batch.  Two sets with
+Jaccard similarity ``t`` share a token among the first ``n - ceil(t n) + 1`` of each (the prefix), so
+only prefixes are indexed.  A batch probes its prefixes; for a pair of rows of possible lengths the
+shared prefix tokens are counted, and what the rest of both sets could add bounds the overlap from
+above.  Pairs that may reach ``t`` are verified on the texts of those rows, no others.  Rows that stay
+are compared with one another the same way, decided in order of arrival, and appended.
+
+The measure: a row repeats another if the sets of their runs of three words agree to 0.7.  An edited
+word spoils three such runs, so that is about six edited words in a hundred, wherever they fall.
+Runs of three are too common to search by; candidates are found by runs of six words at 0.5, which
+as many edits leave, and a pair has to reach both.
+
+Cost: a batch is read, tokenised and shuffled once.  Of the history, the thin postings are scanned
+(bucket by bucket, never shuffled), the fingerprints are joined, and texts are read in the buckets
+of candidate rows; few candidates prune the buckets.
+
+Skew: identical texts are collapsed before anything is paired, also against history.  Near-copies of
+an accepted row meet that one row, not each other, as rejected rows are not indexed.  A family of
+near-copies that is new in a batch would pair quadratically, so lists of :data:`HOT` postings and more are
+handled by their leaders first: the earliest row of every such list is decided exactly (with all rows
+before it that it may depend on), the followers of accepted leaders are rejected, and so on until no more
+follow.  Tokens that became frequent after the order was taken are no longer rare: where a batch's lists
+promise more pairs than the index has rows, the order is taken anew and the index rebuilt.
+
+Faults: tables are appended under a generation number that is never used twice and counts only once
+its commit marker stands, so a batch that was cut off leaves no trace in later results.
+
+Defined results: batches are taken by ``batch_no`` (null last), rows in a batch by ``record_id``; rows without words are
+accepted and never indexed, rows without a record id ignored; null messages, texts and columns are
+empty; a row that is a longer version (same identifier, later update, all messages of the accepted
+row and more) is accepted; copies of one text share the verdict of their first; ties in similarity go
+to the earlier row; an empty batch changes nothing; columns beside the named ones are ignored.
 """
 
 from __future__ import annotations
@@ -45,35 +52,38 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.durable import Workspace
-from cairn.llm.shingles import TokenBatch, mix
+from cairn.llm.shingles import BITS, ROWS, TokenBatch, mix
 
-SIZE, THRESHOLD = 6, 0.58
-#: The frozen order counts tokens in so many slots (one byte each is broadcast).  It decides cost,
-#: never results.
+#: Candidates share runs of so many words to this degree, ...
+SIZE, CANDIDATE = 6, 0.5
+#: ... and repeat a row if their runs of so many words agree to this one.
+FINE, THRESHOLD = 3, 0.7
+#: The order counts tokens in so many slots (one byte each is broadcast).  It decides cost, never results.
 SLOTS = 1 << 22
-FIRST_BLOCK = 8192
-#: Cells of the occupancy sketch that bounds an overlap from above.
-CELLS = 512
+#: Postings lists of this length are handled by their leaders first.  It decides cost, never results.
+HOT = 64
+#: Up to so many candidate rows are named to the scan, which then prunes buckets.
+NAMED = 1000
 
-_FEATURES = "record_id long, batch_no int, owner long, updated long, fp long, n int, messages array<long>, sketch array<long>, over int, tokens array<int>"
+_ROW = "record_id long, owner long, updated long, texts array<string>"
+_FEATURES = f"{_ROW}, fp long, n int, tokens array<long>"
+_POSTING = "token long, a long, an int"
 
 
-def _sliced(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
+def _sliced(batches: Iterator[pa.RecordBatch], rows: int = min(1000, ROWS)) -> Iterator[pa.RecordBatch]:
     """Smaller batches: the arrays made of one are several times its size."""
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
 
 
-def _batch_tokens(batch: pa.RecordBatch) -> TokenBatch:
-    texts = batch.column("texts")
+def _batch_tokens(texts: pa.ListArray, size: int) -> TokenBatch:
     owner = np.repeat(np.arange(len(texts)), pc.fill_null(pc.list_value_length(texts), 0).to_numpy(zero_copy_only=False))
-    return TokenBatch(texts.flatten().to_pylist(), owner, SIZE)
+    return TokenBatch(texts.flatten().to_pylist(), owner, size)
 
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +91,7 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(SLOTS, dtype=np.uint32)
     for batch in batches:
         tokens = batch.column("tokens").flatten().to_numpy(zero_copy_only=False)
-        total += np.bincount(tokens.view(np.uint32) & np.uint32(SLOTS - 1), minlength=SLOTS).astype(np.uint32)
+        total += np.bincount(tokens & (SLOTS - 1), minlength=SLOTS).astype(np.uint32)
     yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)])], names=["packed"])
 
 
@@ -95,14 +105,15 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def token_order(features: DataFrame) -> np.ndarray:
-    """The frozen order: how often the tokens of each slot occur in all of ``features``.
+    """How rare the tokens of each slot are, counted over all of ``features``, as one byte.
 
     Every partition counts into one array of :data:`SLOTS` slots; the arrays are added up on the
     executors, and a single one of 4 bytes a slot reaches the driver, whatever the size of the data.
     """
     packed = features.select("tokens").mapInArrow(_tally, "packed binary")
-    one = packed.repartition(16).mapInArrow(_add_up, "packed binary").repartition(1).mapInArrow(_add_up, "packed binary")
-    total = np.frombuffer(zlib.decompress(one.first()[0]), dtype=np.uint32)
+    one = packed.coalesce(16).mapInArrow(_add_up, "packed binary").repartition(1).mapInArrow(_add_up, "packed binary")
+    found = one.first()
+    total = np.frombuffer(zlib.decompress(found[0]), dtype=np.uint32) if found else np.zeros(SLOTS, dtype=np.uint32)
     coarse = 64 + 7 * np.log2(np.maximum(total, 64) / 64)  # exact up to 64, then by powers
     return np.where(total < 64, total, coarse).astype(np.uint8)
 
@@ -113,195 +124,226 @@ def _lists(row: np.ndarray, values: np.ndarray, n: int) -> pa.ListArray:
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _sliced(batches):
-        found, n = _batch_tokens(batch), batch.num_rows
-        row, token = found.row, found.token
-        size = np.bincount(row, minlength=n)
+        found, n = _batch_tokens(batch.column("texts"), SIZE), batch.num_rows
+        size = np.bincount(found.row, minlength=n)
         some = np.flatnonzero(size)
         fp = np.zeros(n, dtype=np.int64)
-        if len(token):
-            total = np.add.reduceat(mix(token.astype(np.uint64) + np.uint64(1)), (np.cumsum(size) - size)[some])
+        if len(some):
+            total = np.add.reduceat(mix(found.token + np.uint64(1)), (np.cumsum(size) - size)[some])
             fp[some] = mix(total + size[some].astype(np.uint64)).view(np.int64)
-        filled = np.bincount(row * CELLS + (token & np.uint32(CELLS - 1)), minlength=n * CELLS).reshape(n, CELLS)
-        bits = np.packbits(np.concatenate([filled >= 1, filled >= 2], axis=1), axis=1)
-        sketch = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (2 * CELLS // 64)), pa.array(np.ascontiguousarray(bits).view(np.int64).reshape(-1)))
-        over = np.maximum(filled - 2, 0).sum(axis=1).astype(np.int32)
-        yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in ("record_id", "batch_no", "owner", "updated")), pa.array(fp), pa.array(size.astype(np.int32)),
-             _lists(found.message_row, found.message.view(np.int64), n), sketch, pa.array(over), _lists(row, token.view(np.int32), n)],
-            names=[c.split()[0] for c in _FEATURES.split(", ")],
-        )
+        columns = [*(batch.column(c) for c in ("record_id", "owner", "updated", "texts")), pa.array(fp), pa.array(size.astype(np.int32)), _lists(found.row, found.token.view(np.int64), n)]
+        yield pa.RecordBatch.from_arrays(columns, names=["record_id", "owner", "updated", "texts", "fp", "n", "tokens"])
 
 
 def featurise(rows: DataFrame) -> DataFrame:
-    """Token sets of rows ``(record_id, batch_no, owner, updated, texts)``."""
-    return rows.where("record_id is not null").select("record_id", "batch_no", "owner", "updated", "texts").mapInArrow(_featurise, _FEATURES)
+    """Rows ``(record_id, owner, updated, texts)`` with their fingerprint and token set."""
+    return rows.where("record_id is not null").select("record_id", "owner", "updated", "texts").mapInArrow(_featurise, _FEATURES)
+
 
+def _prefix_length(n):
+    """Tokens of a set of ``n`` among which a pair must share one."""
+    if isinstance(n, Column):
+        return n - F.ceil(n * CANDIDATE - 1e-9) + 1
+    return n - np.ceil(n * CANDIDATE - 1e-9).astype(np.int64) + 1
 
-def _prefixes(order: Broadcast):
-    """Postings ``(b, bn, bpos, token)`` of rows: their prefixes in the frozen order."""
+
+def _prefixes(order):
+    """Postings of rows: their prefixes in the order broadcast as ``order``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _sliced(batches):
             lists = batch.column("tokens")
-            token = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint32)
+            token = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
             row = np.repeat(np.arange(len(size), dtype=np.uint64), size)
-            rank = order.value[token & np.uint32(SLOTS - 1)].astype(np.uint64)
-            token = np.sort((row << np.uint64(48)) | (rank << np.uint64(32)) | token).astype(np.uint32)
+            rank = order.value[token & np.uint64(SLOTS - 1)].astype(np.uint64)
+            # by row, rank and the leading bits of the token; sets are sorted, so ties stay in order
+            key = (row << np.uint64(BITS)) | (rank << np.uint64(BITS - 8)) | (token >> np.uint64(8))
+            token = token[np.argsort(key, kind="stable")]
             place = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
-            keep = size - np.ceil(size * THRESHOLD - 1e-9).astype(np.int64) + 1
-            inside = place < np.repeat(keep, size)
+            inside = place < np.repeat(_prefix_length(size), size)
             ids = batch.column("record_id").to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(ids, size)[inside]), pa.array(np.repeat(size, size)[inside].astype(np.int32)), pa.array(place[inside].astype(np.int32)), pa.array(token[inside].view(np.int32))],
-                names=["b", "bn", "bpos", "token"],
+                [pa.array(token[inside].view(np.int64)), pa.array(np.repeat(ids, size)[inside]), pa.array(np.repeat(size, size)[inside].astype(np.int32))],
+                names=["token", "a", "an"],
             )
 
     return run
 
 
-def _similar(pairs: DataFrame) -> Column:
-    """Jaccard similarity of two fingerprint arrays ``xa`` and ``xb``."""
-    both = F.size(F.array_intersect("xa", "xb"))
-    return both / (F.col("na") + F.col("nb") - both)
-
+def _agree(texts: pa.ListArray, size: int, pairs: int) -> np.ndarray:
+    """Jaccard similarity of the sets of rows ``2 i`` and ``2 i + 1``."""
+    found = _batch_tokens(texts, size)
+    key = np.sort((found.row.astype(np.uint64) >> np.uint64(1) << np.uint64(BITS)) | found.token)
+    both = np.bincount((key[1:][key[1:] == key[:-1]] >> np.uint64(BITS)).astype(np.int64), minlength=pairs)
+    each = np.bincount(found.row >> 1, minlength=pairs)
+    return both / np.maximum(each - both, 1)
 
-def _possible(a: str, b: str) -> Column:
-    """Whether a shared prefix token of two postings can belong to a pair of the threshold.
 
-    ``a`` and ``b`` are column prefixes with ``pos`` and ``n``.  The shorter row needs the token in
-    its index prefix, and what lies behind both places must be able to make up the overlap.
-    """
-    na, nb, pa, pb = F.col(f"{a}n"), F.col(f"{b}n"), F.col(f"{a}pos"), F.col(f"{b}pos")
-    need = THRESHOLD / (1 + THRESHOLD) * (na + nb)
-    slack = 1e-9
-    inside = F.when(na <= nb, pa).otherwise(pb) <= F.least(na, nb) * (1 - 2 * THRESHOLD / (1 + THRESHOLD)) + 1
-    return (F.least(na, nb) >= THRESHOLD * F.greatest(na, nb) - slack) & inside & (1 + F.least(na - pa - 1, nb - pb - 1) >= need - slack)
+def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """True pairs with their similarity; longer versions are none."""
+    for batch in _sliced(batches, ROWS // 2):
+        n = batch.num_rows
+        texts = pa.concat_arrays([batch.column("ta"), batch.column("tb")]).take(pa.array(np.arange(2 * n).reshape(2, n).T.reshape(-1)))
+        score = _agree(texts, FINE, n)
+        same = (_agree(texts, SIZE, n) >= CANDIDATE - 1e-9) & (score >= THRESHOLD - 1e-9)
+        later = pc.fill_null(pc.and_(pc.equal(batch.column("oa"), batch.column("ob")), pc.greater(batch.column("ub"), batch.column("ua"))), False).to_numpy(zero_copy_only=False)
+        for i in np.flatnonzero(same & later):
+            said = _batch_tokens(texts.slice(2 * i, 2), FINE)
+            a, b = set(said.message[said.message_row == 0].tolist()), set(said.message[said.message_row == 1].tolist())
+            same[i] = not a < b
+        keep = pa.array(same)
+        yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep), pa.array(score[same])], names=["a", "b", "similarity"])
 
 
 class History:
     """Accepted rows and their index; :meth:`accept` takes one batch after another."""
 
-    def __init__(self, spark: SparkSession, order: np.ndarray, space: Workspace | None = None) -> None:
-        self.spark = spark
-        self.space = space or Workspace(spark, "history")
-        self.order = spark.sparkContext.broadcast(order)  # of fixed size, shared by all stages
-        self.buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        self.postings = f"cairn_postings_{uuid.uuid4().hex}"
-        self._postings_path = self.space.location("postings")
-        self._seen: list[str] = []
-        self._texts: list[str] = []
-        self._started = False
-
-    def _index(self) -> DataFrame | None:
-        return self.spark.table(self.postings) if self._started else None
-
-    def _bucketed(self, postings: DataFrame, name: str, path: str) -> None:
-        """Append postings to a table bucketed by token; bucketed input stays in its buckets."""
+    def __init__(self, spark: SparkSession, path: str, buckets: int) -> None:
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+        self.space = Workspace(spark, "history")
+        self._tables: dict[str, str] = {}
+        self.generation, self.version = self._committed()
+        self._order = None
+
+    # -- the folder -----------------------------------------------------------------------------
+
+    @classmethod
+    def create(cls, spark: SparkSession, path: str, buckets: int | None = None) -> History:
+        """Begin a history in an empty folder that all executors share."""
+        buckets = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        Workspace.mark(spark, f"{path.rstrip('/')}/markers/buckets-{buckets}")
+        return cls(spark, path, buckets)
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> History:
+        """Go on with a history."""
+        names = [n for n in Workspace.names(spark, f"{path.rstrip('/')}/markers") if n.startswith("buckets-")]
+        if len(names) != 1:
+            raise FileNotFoundError(f"no history in {path}")
+        return cls(spark, path, int(names[0].split("-")[1]))
+
+    def _markers(self, kind: str) -> list[list[int]]:
+        return [[int(x) for x in n.split("-")[1:]] for n in Workspace.names(self.spark, f"{self.path}/markers") if n.startswith(f"{kind}-")]
+
+    def _committed(self) -> tuple[int, int]:
+        """The last committed generation and the version of its index."""
+        return tuple(max(self._markers("commit"), default=[0, 0]))
+
+    def _dead(self) -> list[int]:
+        """Generations that were begun and never committed."""
+        return sorted({g for g, *_ in self._markers("begun")} - {g for g, *_ in self._markers("commit")})
+
+    def _alive(self, df: DataFrame) -> DataFrame:
+        dead = [g for g in self._dead() if g != self.generation]
+        return df.where(~F.col("gen").isin(dead)) if dead else df
+
+    def _table(self, kind: str, schema: str, by: str) -> str:
+        """The catalogue's name of a bucketed table of the folder."""
+        where = f"{self.path}/{kind}"
+        if where not in self._tables:
+            name = f"cairn_{kind.replace('-', '_')}_{uuid.uuid4().hex}"
+            self.spark.sql(f"CREATE TABLE {name} ({schema}, gen int) USING parquet CLUSTERED BY ({by}) INTO {self.buckets} BUCKETS LOCATION '{where}'")
+            self._tables[where] = name
+        return self._tables[where]
+
+    def _postings(self) -> str:
+        return self._table(f"postings-{self.version}", _POSTING, "token")
+
+    def _store(self) -> str:
+        return self._table("store", _ROW, "record_id")
+
+    def _append(self, name: str, rows: DataFrame, by: str) -> None:
+        """Append to a bucketed table; bucketed input stays in its buckets."""
         setting = "spark.sql.sources.bucketing.autoBucketedScan.enabled"
         before = self.spark.conf.get(setting)
         self.spark.conf.set(setting, "false")
         try:
-            postings.write.bucketBy(self.buckets, "token").format("parquet").option("compression", "zstd").option("path", path).mode("append").saveAsTable(name)
+            rows = rows.withColumn("gen", F.lit(self.generation))
+            rows.select(self.spark.table(name).columns).write.bucketBy(self.buckets, by).format("parquet").option("compression", "zstd").mode("append").saveAsTable(name)
         finally:
             self.spark.conf.set(setting, before)
 
-    def _exploded(self, rows: DataFrame) -> DataFrame:
-        return rows.select("record_id", "tokens").mapInArrow(_prefixes(self.order), "b long, bn int, bpos int, token int")
-
-    def _verified(self, pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-        """``(a, b, similarity)`` of true pairs, longer versions left out.
-
-        ``pairs`` is a stored table, so its size is known to the planner; token sets of rows outside
-        it are dropped before anything is joined.
+    def _known(self) -> DataFrame:
+        """Fingerprints of all texts seen, with the accepted row for each."""
+        where = f"{self.path}/texts"
+        have = self.spark.read.schema("fp long, a long, gen int").parquet(where) if Workspace.names(self.spark, where) else self.spark.createDataFrame([], "fp long, a long, gen int")
+        return self._alive(have)
+
+    # -- the order of tokens --------------------------------------------------------------------
+
+    def _ordered(self):
+        """The order of this version of the index, broadcast once: a table of fixed size."""
+        if self._order is None or self._order[0] != self.version:
+            packed = self.spark.read.schema("packed binary").parquet(f"{self.path}/order-{self.version}").first()[0]
+            self._order = self.version, self.spark.sparkContext.broadcast(np.frombuffer(zlib.decompress(bytes(packed)), dtype=np.uint8))
+        return self._order[1]
+
+    def _new_order(self, features: DataFrame) -> None:
+        self.version = 1 + max([v for _, v in self._markers("begun")] + [self.version])
+        Workspace.mark(self.spark, f"{self.path}/markers/begun-{self.generation}-{self.version}")
+        packed = zlib.compress(token_order(features).tobytes(), 1)
+        self.spark.createDataFrame([(bytearray(packed),)], "packed binary").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/order-{self.version}")
+
+    def _stage(self, reps: DataFrame) -> DataFrame:
+        """The batch's postings, bucketed by token like the index: their only shuffle."""
+        name = f"cairn_stage_{uuid.uuid4().hex}"
+        where = self.space.location("stage")
+        self.spark.sql(f"CREATE TABLE {name} ({_POSTING}, gen int) USING parquet CLUSTERED BY (token) INTO {self.buckets} BUCKETS LOCATION '{where}'")
+        self._append(name, reps.select("record_id", "tokens").mapInArrow(_prefixes(self._ordered()), _POSTING).repartition(self.buckets, "token"), "token")
+        self._tables[where] = name
+        return self.spark.table(name)
+
+    def _unstage(self) -> None:
+        for where in [w for w in self._tables if w.startswith(self.space.path)]:
+            self.spark.sql(f"DROP TABLE {self._tables.pop(where)}")
+            self.space.drop(where)
+
+    def _renew(self, reps: DataFrame) -> None:
+        """Take the order anew over all accepted rows and the batch, and rebuild the index by it."""
+        accepted = self.space.cut(featurise(self._alive(self.spark.table(self._store()))), "accepted")
+        self._new_order(accepted.select("tokens").unionByName(reps.select("tokens")))
+        rebuilt = accepted.where("n > 0").select("record_id", "tokens").mapInArrow(_prefixes(self._ordered()), _POSTING)
+        self._append(self._postings(), rebuilt.repartition(self.buckets, "token"), "token")
+
+    # -- pairs ----------------------------------------------------------------------------------
+
+    def _meeting(self, earlier: DataFrame, later: DataFrame, name: str) -> DataFrame:
+        """Pairs ``(a, b)`` of postings that may reach :data:`CANDIDATE`, stored.
+
+        Of two prefixes the one that ends first in the order holds all it shares with the other set in
+        the other's prefix too; what lies behind it can add no more than its own length.
         """
+        b = later.select("token", F.col("a").alias("b"), F.col("an").alias("bn"))
+        joined = b.hint("shuffle_hash").join(earlier.select("token", "a", "an"), "token").where((F.col("a") != F.col("b")) & (F.least("an", "bn") >= CANDIDATE * F.greatest("an", "bn") - 1e-9))
+        if name != "met":
+            joined = joined.where("a < b")
+        shared = joined.groupBy("a", "b", "an", "bn").agg(F.count("*").alias("shared"))
+        behind = F.greatest(F.col("an") - _prefix_length(F.col("an")), F.col("bn") - _prefix_length(F.col("bn")))
+        need = CANDIDATE / (1 + CANDIDATE) * (F.col("an") + F.col("bn"))
+        return self.space.cut(shared.where(F.col("shared") + behind >= need - 1e-9).select("a", "b"), name)
 
-        def outline(df: DataFrame, s: str) -> DataFrame:
-            return df.select(F.col("record_id").alias(s), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"k{s}"), F.col("over").alias(f"v{s}"))
-
-        # Tokens fall into cells; two sets share at most the smaller count of every cell.  Counts are
-        # kept up to 2, what lies beyond in one number, so this never drops a true pair.
-        shared = sum((F.bit_count(F.col("ka")[i].bitwiseAND(F.col("kb")[i])) for i in range(2 * CELLS // 64)), F.least("va", "vb"))
-        likely = pairs.select("a", "b").join(outline(left, "a"), "a").join(outline(right, "b"), "b")
-        likely = likely.where(shared >= THRESHOLD / (1 + THRESHOLD) * (F.col("na") + F.col("nb")) - 1e-9).select("a", "b")
-        pairs = self.space.cut(likely, "likely")
+    def _verified(self, pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+        """``(a, b, similarity)`` of true pairs.  ``pairs`` is stored, so its size is known to the planner."""
 
         def side(df: DataFrame, s: str) -> DataFrame:
-            df = df.join(pairs.select(F.col(s).alias("record_id")).distinct(), "record_id", "left_semi")
-            return df.select(F.col("record_id").alias(s), F.col("tokens").alias(f"x{s}"), F.col("n").alias(f"n{s}"), F.col("owner").alias(f"o{s}"), F.col("updated").alias(f"u{s}"), F.col("messages").alias(f"m{s}"))
+            return df.select(F.col("record_id").alias(s), F.col("texts").alias(f"t{s}"), F.col("owner").alias(f"o{s}"), F.col("updated").alias(f"u{s}"))
 
-        full = pairs.select("a", "b").join(side(left, "a"), "a").join(side(right, "b"), "b")
-        longer = F.coalesce((F.col("oa") == F.col("ob")) & (F.col("ub") > F.col("ua")), F.lit(False)) & (F.size("mb") > F.size("ma")) & (F.size(F.array_except("ma", "mb")) == 0)
-        scored = full.withColumn("similarity", _similar(full)).where((F.col("similarity") >= THRESHOLD) & ~longer)
-        return scored.select("a", "b", "similarity")
+        full = pairs.hint("shuffle_hash").join(side(left, "a"), "a")
+        full = side(right, "b").join(full.hint("shuffle_hash"), "b")
+        return full.select("a", "b", "ta", "tb", "oa", "ob", "ua", "ub").mapInArrow(_judge, "a long, b long, similarity double")
 
-    def accept(self, path: str) -> DataFrame:
-        """Take one stored batch of features; returns ``(record_id_a, record_id_b)`` of its rejected rows.
+    def _stored(self, met: DataFrame) -> DataFrame:
+        """The accepted rows, few candidates named to the scan."""
+        rows = self._alive(self.spark.table(self._store()))
+        few = [r[0] for r in met.select("a").distinct().limit(NAMED + 1).collect()]
+        return rows.where(F.col("record_id").isin(few)) if len(few) <= NAMED else rows
 
-        The batch is decided in arrival order, in blocks that double in size.
-        """
-        self._seen.append(path)
-        rows = self.spark.read.schema(_FEATURES).parquet(path).where("n > 0")
-        count, low, high = rows.agg(F.count("*"), F.min("record_id"), F.max("record_id")).first()
-        if not count:
-            return self.spark.createDataFrame([], "record_id_a long, record_id_b long")
-        shares, seen, size = [], FIRST_BLOCK, FIRST_BLOCK
-        while seen < count:
-            shares.append(seen / count)
-            size *= 2
-            seen += size
-        ends = rows.select(F.percentile_approx("record_id", shares, 10_000)).first()[0] if shares else []
-        out, start = None, low
-        for end in [*sorted(set(ends)), high]:
-            if start <= end:
-                done = self._block(rows.where(F.col("record_id").between(start, end)))
-                out = done if out is None else out.unionByName(done)
-                start = end + 1
-        return out
-
-    def _block(self, rows: DataFrame) -> DataFrame:
-        space = self.space
-        members = rows.groupBy("fp").agg(F.min("record_id").alias("rep"))
-        copies = space.cut(rows.select("record_id", "fp").join(members, "fp"), "copies")
-        reps = rows.join(copies.where("record_id = rep").select("record_id"), "record_id", "left_semi")
-        hits = self.spark.createDataFrame([], "a long, b long, similarity double")
-        if self._texts:
-            known = self.spark.read.schema("fp long, a long").parquet(*self._texts)
-            hits = space.cut(reps.select(F.col("record_id").alias("b"), "fp").join(known, "fp").select("a", "b", F.lit(2.0).alias("similarity")), "exact")
-            reps = reps.join(hits.select(F.col("b").alias("record_id")), "record_id", "left_anti")
-        # the only shuffle of postings: the block's are bucketed by token like the index, and every
-        # join on tokens, and the append, work bucket by bucket from here on
-        stage, stage_path = f"cairn_stage_{uuid.uuid4().hex}", space.location("stage")
-        self._bucketed(self._exploded(reps).repartition(self.buckets, "token"), stage, stage_path)
-        staged = self.spark.table(stage)
-        if (index := self._index()) is not None:
-            met = staged.hint("shuffle_hash").join(index, "token").where(_possible("a", "b"))
-            met = space.cut(met.select("a", "b").distinct(), "met")
-            near = self._verified(met, self.spark.read.schema(_FEATURES).parquet(*self._seen), rows)
-            hits = space.cut(hits.unionByName(near), "hits")
-        p = staged.join(hits.select("b").distinct(), "b", "left_anti")
-        q = p.select(*(F.col(c).alias(c.replace("b", "a", 1)) for c in ("b", "bn", "bpos")), "token")
-        pairs = q.hint("shuffle_hash").join(p, "token").where((F.col("a") < F.col("b")) & _possible("a", "b")).select("a", "b").distinct()
-        pairs = space.cut(pairs, "pairs")
-        edges = space.cut(self._verified(pairs, rows, rows), "edges")
-        accepted_edges = self._resolve(edges)
-        best = hits.unionByName(accepted_edges).groupBy("b").agg(F.max_by("a", F.struct("similarity", -F.col("a"))).alias("a"))
-        best = space.cut(best, "best")
-        final = copies.join(best.withColumnRenamed("b", "rep"), "rep", "left")
-        rejected = final.where(F.col("a").isNotNull() | (F.col("record_id") != F.col("rep"))).select(F.coalesce("a", "rep").alias("record_id_a"), F.col("record_id").alias("record_id_b"))
-        self._texts.append(space.save(final.where("record_id = rep").select("fp", F.coalesce("a", "rep").alias("a")), "texts"))
-        kept = staged.join(best.select("b"), "b", "left_anti")
-        self._bucketed(kept.select(F.col("b").alias("a"), F.col("bn").alias("an"), F.col("bpos").alias("apos"), "token"), self.postings, self._postings_path)
-        self._started = True
-        self.spark.sql(f"DROP TABLE {stage}")
-        space.drop(stage_path)
-        return rejected
-
-    def _resolve(self, edges: DataFrame) -> DataFrame:
-        """Of verified pairs within a block, those whose earlier row is accepted.
+    def _settle(self, edges: DataFrame) -> DataFrame:
+        """Of verified pairs, those whose earlier row is accepted.
 
         In order of arrival: a row without an undecided or accepted predecessor is accepted, and its
-        successors are rejected.
+        successors are rejected.  ``edges`` holds every pair that its later rows are in.
         """
         done, left = edges.limit(0), edges
         while not left.isEmpty():
@@ -309,31 +351,122 @@ class History:
             settled = self.space.cut(left.join(behind, "a", "left_anti").select("a", "b", "similarity"), "settled")
             out = settled.select("b").distinct()
             done = done.unionByName(settled)
-            left = left.join(out, "b", "left_anti").select("a", "b", "similarity").join(out.withColumnRenamed("b", "a"), "a", "left_anti")
             # pairs of rejected rows with accepted ones settled later still count for the best match
-            left = self.space.cut(left, "left")
+            rest = left.join(settled.select("a", "b"), ["a", "b"], "left_anti").join(out.withColumnRenamed("b", "a"), "a", "left_anti")
+            left = self.space.cut(rest.select("a", "b", "similarity"), "left")
         return done
 
+    def _hot(self, staged: DataFrame) -> tuple[DataFrame, int, int]:
+        """The leaders of long lists, the number of those, and the pairs that they would make."""
+        lists = staged.groupBy("token").agg(F.count("*").alias("m"), F.min("a").alias("a")).where(F.col("m") >= HOT)
+        n, pairs = lists.agg(F.count("*"), F.sum(F.col("m") * F.col("m"))).first()
+        return (self.space.cut(lists.select("a").distinct(), "leaders") if n else lists.select("a")), n, pairs or 0
+
+    def _families(self, staged: DataFrame, rows: DataFrame, leaders: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+        """Decide the leaders and reject their followers: ``(edges, decided rows)``, None if nothing followed.
+
+        A leader depends on the rows before it that are like it, and these on theirs, so the leaders
+        are closed under that first; within the closure the order of arrival decides.
+        """
+        space, closure, new, edges = self.space, leaders, leaders, None
+        while not new.isEmpty():
+            later = staged.join(new, "a", "left_semi")
+            found = space.cut(self._verified(self._meeting(staged, later, "before"), rows, rows), "depends")
+            edges = found if edges is None else edges.unionByName(found)
+            new = space.cut(found.select("a").distinct().join(closure, "a", "left_anti"), "new")
+            closure = closure.unionByName(new)
+        decided = self._settle(edges)
+        accepted = space.cut(closure.join(decided.select(F.col("b").alias("a")), "a", "left_anti"), "accepted")
+        first, rest = staged.join(accepted, "a", "left_semi"), staged.join(closure, "a", "left_anti")
+        followers = space.cut(self._verified(self._meeting(first, rest, "follow"), rows, rows), "followers")
+        edges = decided.unionByName(followers)
+        if edges.isEmpty():
+            return None
+        return edges, closure.unionByName(followers.select(F.col("b").alias("a")).distinct())
+
+    # -- batches --------------------------------------------------------------------------------
+
+    def accept(self, rows: DataFrame) -> DataFrame:
+        """Take one batch ``(record_id, owner, updated, texts)``; returns ``(record_id_a, record_id_b)`` of its rejected rows."""
+        space, spark = self.space, self.spark
+        was = self.generation, self.version
+        self.generation = 1 + max([g for g, *_ in self._markers("begun")] + [self.generation])
+        Workspace.mark(spark, f"{self.path}/markers/begun-{self.generation}-{self.version}")
+        try:
+            rejected = self._accept(rows)
+            Workspace.mark(spark, f"{self.path}/markers/commit-{self.generation}-{self.version}")
+        except BaseException:
+            self.generation, self.version = was
+            raise
+        finally:
+            self._unstage()
+        return rejected
+
+    def _accept(self, rows: DataFrame) -> DataFrame:
+        space, first = self.space, not self.version
+        stored = space.save(featurise(rows), "batch")
+        batch = self.spark.read.schema(_FEATURES).parquet(stored)
+        said = batch.where("n > 0")
+        members = said.groupBy("fp").agg(F.min("record_id").alias("rep"), F.count("*").alias("copies"))
+        members = members if first else members.join(self._known().select("fp", F.col("a").alias("known")), "fp", "left")
+        members = space.cut(members if not first else members.withColumn("known", F.lit(None).cast("long")), "members")
+        reps = said.join(members.where("known is null").select(F.col("rep").alias("record_id")), "record_id", "left_semi")
+        if first:
+            self._new_order(reps)
+        staged = self._stage(reps)
+        leaders, hot, promised = self._hot(staged)
+        if not first and promised > self.spark.table(self._postings()).count():
+            self._renew(reps)
+            self._unstage()
+            staged = self._stage(reps)
+            leaders, hot, _ = self._hot(staged)
+        edges = self.spark.createDataFrame([], "a long, b long, similarity double")
+        left = staged
+        if not first:
+            met = self._meeting(self._alive(self.spark.table(self._postings())), staged, "met")
+            edges = space.cut(self._verified(met, self._stored(met), batch), "hits")
+            left = staged.join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+            if hot:
+                leaders, hot, _ = self._hot(left)
+        while hot and (found := self._families(left, batch, leaders)):
+            edges = edges.unionByName(found[0])
+            left = left.join(space.cut(found[1], "decided"), "a", "left_anti")
+            leaders, hot, _ = self._hot(left)
+        near = space.cut(self._verified(self._meeting(left, left, "pairs"), batch, batch), "near")
+        edges = edges.unionByName(self._settle(near))
+        best = space.cut(edges.groupBy("b").agg(F.max_by("a", F.struct("similarity", -F.col("a"))).alias("a")), "best")
+        verdict = members.join(best.withColumnRenamed("b", "rep"), "rep", "left").withColumn("a", F.coalesce("known", "a"))
+        texts = verdict.where("known is null").select("fp", F.coalesce("a", "rep").alias("a"), F.lit(self.generation).alias("gen"))
+        texts.write.mode("append").option("compression", "zstd").parquet(f"{self.path}/texts")
+        kept = verdict.where("a is null").select(F.col("rep").alias("record_id"))
+        self._append(self._postings(), staged.drop("gen").join(best.select(F.col("b").alias("a")), "a", "left_anti"), "token")
+        self._append(self._store(), batch.select("record_id", "owner", "updated", "texts").join(kept, "record_id", "left_semi").repartition(self.buckets, "record_id"), "record_id")
+        copied = verdict.where("copies > 1 or a is not null")
+        rejected = said.select("record_id", "fp").join(copied, "fp").where(F.col("a").isNotNull() | (F.col("record_id") != F.col("rep")))
+        rejected = space.cut(rejected.select(F.coalesce("a", "rep").alias("record_id_a"), F.col("record_id").alias("record_id_b")), "rejected")
+        space.drop(stored)
+        return rejected
+
     def close(self) -> None:
-        """Drop the index; results of :meth:`accept` stay readable."""
-        if self._started:
-            self.spark.sql(f"DROP TABLE IF EXISTS {self.postings}")
-            self.space.drop(self._postings_path)
-            self._started = False
+        """Forget the catalogue's names of the tables; the folder stays and can be opened again."""
+        for name in self._tables.values():
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self._tables.clear()
 
 
 def deduplicate(rows: DataFrame) -> DataFrame:
-    """``(record_id_a, record_id_b)`` of all rejected rows of a backlog of batches.
+    """``(record_id_a, record_id_b)`` of all rejected rows of a series of batches.
 
     ``rows``: record_id, batch_no, owner (a number for the identifier), updated (microseconds), texts.
-    Arrival order runs through the batches, so the backlog is taken as one long batch: each block is
-    decided against the history before it, as it would be batch by batch, with the same result.  The
-    order of tokens is frozen on the backlog.
+    Every ``batch_no`` is accepted as one batch, in order, nulls last, by a history of its own.
     """
     spark = rows.sparkSession
-    space = Workspace(spark, "history")
-    path = space.save(featurise(rows), "features")
-    history = History(spark, token_order(spark.read.schema(_FEATURES).parquet(path)), space)
-    rejected = history.accept(path)
-    history.close()
-    return rejected
+    space = Workspace(spark, "histories")
+    state = History.create(spark, space.location("history"))
+    out = spark.createDataFrame([], "record_id_a long, record_id_b long")
+    numbers = [r[0] for r in rows.where("record_id is not null").select("batch_no").distinct().collect()]  # one row per batch
+    for number in sorted(numbers, key=lambda n: (n is None, n or 0)):
+        out = out.unionByName(state.accept(rows.where(F.col("batch_no").eqNullSafe(F.lit(number)))))
+    state.close()
+    space.drop(state.path)
+    return out

@@ -38,11 +38,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+#: Bits of a shingle's number, and what they leave for the rows of one batch.
+BITS = 53
+ROWS = 1 << (64 - BITS)
+
+
 class TokenBatch:
     """Shingle sets of many rows of messages at once.
 
-    ``row``, ``token`` (32 bits) hold the distinct shingles of all rows, ordered by row and token;
-    ``message_row``, ``message`` one number per distinct non-empty message of each row.
+    ``row``, ``token`` (:data:`BITS` bits) hold the distinct shingles of all rows, ordered by row and
+    token; ``message_row``, ``message`` one number per distinct non-empty message of each row.  A
+    batch has at most :data:`ROWS` rows, so that row and token fit one number and sort as one.
     """
 
     def __init__(self, texts: list[str | None], owner: np.ndarray, size: int) -> None:
@@ -57,7 +63,7 @@ class TokenBatch:
         start = end - length
         if not len(words):
             self.row = self.message_row = np.empty(0, np.int64)
-            self.token, self.message = np.empty(0, np.uint32), np.empty(0, np.uint64)
+            self.token, self.message = np.empty(0, np.uint64), np.empty(0, np.uint64)
             return
         place = np.arange(len(words)) - np.repeat(start, length)
         powers = np.cumprod(np.full(int(length.max()), 0x9E3779B97F4A7C15, dtype=np.uint64))
@@ -74,10 +80,10 @@ class TokenBatch:
                 for k in range(s):
                     number = number * np.uint64(0x9E3779B97F4A7C15) + words[at + k]
                 rows.append(own[at])
-                tokens.append(mix(number + np.uint64(s)) >> np.uint64(32))
-        key = np.sort((np.concatenate(rows).astype(np.uint64) << np.uint64(32)) | np.concatenate(tokens))
+                tokens.append(mix(number + np.uint64(s)) >> np.uint64(64 - BITS))
+        key = np.sort((np.concatenate(rows).astype(np.uint64) << np.uint64(BITS)) | np.concatenate(tokens))
         key = key[np.r_[True, key[1:] != key[:-1]]]
-        self.row, self.token = (key >> np.uint64(32)).astype(np.int64), key.astype(np.uint32)
+        self.row, self.token = (key >> np.uint64(BITS)).astype(np.int64), key & np.uint64((1 << BITS) - 1)
 
 
 def _distinct(row: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
