@@ -159,9 +159,22 @@ def _sized(spark: SparkSession, d: str) -> DataFrame:
     return durable.Workspace(spark, "packing").cut(sized.select("doc_id", "source", "n_tokens"), "sizes")
 
 
+#: The mixture that training windows are to have, by source, in tokens.
+MIXTURE = {
+    "chatgpt_export": 0.30, "claude_export": 0.12, "gemini_takeout": 0.08, "grok_export": 0.10,
+    "markdown_file": 0.18, "obsidian_vault": 0.12, "text_file": 0.10,
+}
+
+
 @R.query()
 def p8_packed(spark: SparkSession, d: str) -> DataFrame:
-    """Every document's place in its container, in proportion to the sources' own token totals."""
+    """Every document's place in its container, sources mixed by :data:`MIXTURE` while all of them last."""
+    return packing.pack(_sized(spark, d), "doc_id", "source", "n_tokens", MIXTURE)
+
+
+@R.query()
+def p8_own_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The same in the proportions that the sources have themselves."""
     return packing.pack(_sized(spark, d), "doc_id", "source", "n_tokens")
 
 
@@ -169,3 +182,13 @@ def p8_packed(spark: SparkSession, d: str) -> DataFrame:
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     """The containers with their fill."""
     return p8_packed(spark, d).groupBy("lane", "window").agg(F.count("*").alias("n_pieces"), F.sum("n_tokens").cast("long").alias("n_tokens"))
+
+
+@R.query()
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of each source in each lane, against the target; lanes after the first are of what was left over."""
+    packed = p8_packed(spark, d)
+    sums = packed.groupBy("lane", "source").agg(F.sum("n_tokens").cast("long").alias("n_tokens"))
+    total = sums.groupBy("lane").agg(F.sum("n_tokens").alias("lane_tokens"))
+    target = F.create_map(*(F.lit(x) for pair in MIXTURE.items() for x in pair))
+    return sums.join(total, "lane").select("lane", "source", "n_tokens", F.round(F.col("n_tokens") / F.col("lane_tokens"), 4).alias("share"), F.coalesce(target[F.col("source")], F.lit(0.0)).alias("target"))
