@@ -52,7 +52,47 @@ def test_clock_shift(spark):
     assert estimate_shift([10, 100], [120, 210]) == -21
     assert estimate_shift([10, 11], [300, 20]) is None
     assert estimate_shift([], []) is None
-    rows = [("a", "1", "user", 10), ("a", "2", "assistant", 5), ("a", "3", "user", 100), ("a", "4", "assistant", 95)]
-    assert reasons(spark, rows, ["a"]) == {"a": "starts_without_user"}
-    assert reasons(spark, rows, ["a"], max_shift_us=10) == {}
-    assert reasons(spark, rows, ["a"], max_shift_us=3) == {"a": "starts_without_user"}
+
+
+def test_offset_of_a_skewed_clock(spark):
+    """Assistants' clocks lag by 30 s; the fit recovers what the order needs, broken ones stay broken."""
+    import random
+
+    rng = random.Random(4)
+    lag, messages, good, broken = 30_000_000, [], [], []
+    for c in range(120):
+        name, t = f"c{c}", rng.randrange(10**9)
+        roles = ["user", "assistant"] * rng.randint(1, 6)
+        if c % 10 == 0:
+            roles = [*roles, "user"]
+        elif c % 10 == 1:
+            roles = ["assistant", "user", *roles[1:]]
+        (broken if c % 10 < 2 else good).append(name)
+        for i, role in enumerate(roles):
+            t += rng.randint(1_000_000, 90_000_000)
+            messages.append((name, f"m{i}", role, t - (lag if role == "assistant" else 0)))
+    rng.shuffle(messages)
+    names = good + broken
+    result = judge(spark, messages, names)
+    assert lag - 3_000_000 <= result.offsets["s"] <= lag
+    assert {r.conversation_id for r in result.rejected().collect()} == set(broken)
+    as_recorded = {r.conversation_id for r in judge(spark, messages, names, offsets={}).rejected().collect()}
+    assert set(broken) - as_recorded == set() and len(as_recorded) > len(broken) + 20
+    for r in result.turns().where("turn_no % 2 = 0").collect():
+        assert r.role == "user"
+
+
+def test_no_offset_where_clocks_agree(spark):
+    rows = [(f"c{c}", f"{i}", "user" if (i + (c % 9 == 0)) % 2 == 0 else "assistant", 1000 * c + 10 * i) for c in range(60) for i in range(4)]
+    result = judge(spark, rows, [f"c{c}" for c in range(60)])
+    assert result.offsets == {"s": 0}
+    assert {r.conversation_id for r in result.rejected().collect()} == {f"c{c}" for c in range(0, 60, 9)}
+
+
+def test_least_squares_where_intervals_conflict(spark):
+    from cairn.llm.conversations import estimate_offsets
+
+    rows = [("s", low, high) for low, high in ((10, 20), (14, 20), (18, 20), (26, 40), (30, 40), (900, 910))] + [("t", -5, 7)]
+    got = estimate_offsets(spark.createDataFrame(rows, "source string, low long, high long"))
+    assert got == {"s": 23, "t": 0}  # 3 (d - 20) = (26 - d) + (30 - d); one asks for far more than the rest
+    assert estimate_offsets(spark.createDataFrame([], "source string, low long, high long")) == {}
