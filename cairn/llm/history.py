@@ -3,23 +3,25 @@
 A history lives in a folder and outlasts the session: :meth:`History.create` begins one,
 :meth:`History.open` goes on with it, :meth:`History.accept` takes one batch.  It holds
 
-* the index: postings ``(token, record, n)`` of accepted rows, bucketed by token;
+* the index: postings ``(token, record, n, place)`` of accepted rows, bucketed by token;
 * the accepted rows (identifier, update, texts), bucketed by record;
-* a fingerprint of every distinct text seen, with the accepted row that stands for it;
+* every row seen with the fingerprint of its text and the accepted row that stands for it;
 * the order of tokens.
 
 A row's text is the set of its word shingles, taken message by message so that the order of messages
 does not matter.  A set is ordered rare tokens first, by counts over the first batch.  Two sets with
 Jaccard similarity ``t`` share a token among the first ``n - ceil(t n) + 1`` of each (the prefix), so
 only prefixes are indexed.  A batch probes its prefixes; for a pair of rows of possible lengths the
-shared prefix tokens are counted, and what the rest of both sets could add bounds the overlap from
-above.  Pairs that may reach ``t`` are verified on the texts of those rows, no others.  Rows that stay
-are compared with one another the same way, decided in order of arrival, and appended.
+shared prefix tokens are counted, and what the rest of both sets could add, and what lies behind the
+first shared token, bound the overlap from above.  Pairs that may reach ``t`` are verified on the texts
+of those rows, no others.  Rows of a batch meet one another the same way; verdicts are given in order of
+arrival, and rows that stay are appended.
 
 The measure: a row repeats another if the sets of their runs of three words agree to 0.7.  An edited
 word spoils three such runs, so that is about six edited words in a hundred, wherever they fall.
-Runs of three are too common to search by; candidates are found by runs of six words at 0.5, which
-as many edits leave, and a pair has to reach both.
+Runs of three are too common to search by; candidates are found by runs of eight words at 0.4, which
+5.4 edited words in a hundred leave where each spoils eight runs of its own, and more where edits are
+closer to each other.  A pair has to reach both.
 
 Cost: a batch is read, tokenised and shuffled once.  Of the history, the thin postings are scanned
 (bucket by bucket, never shuffled), the fingerprints are joined, and texts are read in the buckets
@@ -48,6 +50,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -59,7 +62,7 @@ from cairn.durable import Workspace
 from cairn.llm.shingles import BITS, ROWS, TokenBatch, mix
 
 #: Candidates share runs of so many words to this degree, ...
-SIZE, CANDIDATE = 6, 0.5
+SIZE, CANDIDATE = 8, 0.4
 #: ... and repeat a row if their runs of so many words agree to this one.
 FINE, THRESHOLD = 3, 0.7
 #: The order counts tokens in so many slots (one byte each is broadcast).  It decides cost, never results.
@@ -70,8 +73,9 @@ HOT = 64
 NAMED = 1000
 
 _ROW = "record_id long, owner long, updated long, texts array<string>"
-_FEATURES = f"{_ROW}, fp long, n int, tokens array<long>"
-_POSTING = "token long, a long, an int"
+_FEATURES = f"{_ROW}, fp long, n int, tokens array<long>, gen int"
+_POSTING = "token long, a long, an int, apos int, gen int"
+_SEEN = "record_id long, fp long, rep long, a long, fresh boolean, gen int"
 
 
 def _sliced(batches: Iterator[pa.RecordBatch], rows: int = min(1000, ROWS)) -> Iterator[pa.RecordBatch]:
@@ -122,7 +126,7 @@ def _lists(row: np.ndarray, values: np.ndarray, n: int) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32)), pa.array(values))
 
 
-def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _featurise(batches: Iterator[pa.RecordBatch], gen: int) -> Iterator[pa.RecordBatch]:
     for batch in _sliced(batches):
         found, n = _batch_tokens(batch.column("texts"), SIZE), batch.num_rows
         size = np.bincount(found.row, minlength=n)
@@ -131,13 +135,13 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(some):
             total = np.add.reduceat(mix(found.token + np.uint64(1)), (np.cumsum(size) - size)[some])
             fp[some] = mix(total + size[some].astype(np.uint64)).view(np.int64)
-        columns = [*(batch.column(c) for c in ("record_id", "owner", "updated", "texts")), pa.array(fp), pa.array(size.astype(np.int32)), _lists(found.row, found.token.view(np.int64), n)]
-        yield pa.RecordBatch.from_arrays(columns, names=["record_id", "owner", "updated", "texts", "fp", "n", "tokens"])
+        columns = [*(batch.column(c) for c in ("record_id", "owner", "updated", "texts")), pa.array(fp), pa.array(size.astype(np.int32)), _lists(found.row, found.token.view(np.int64), n), pa.array(np.full(n, gen, dtype=np.int32))]
+        yield pa.RecordBatch.from_arrays(columns, names=["record_id", "owner", "updated", "texts", "fp", "n", "tokens", "gen"])
 
 
-def featurise(rows: DataFrame) -> DataFrame:
-    """Rows ``(record_id, owner, updated, texts)`` with their fingerprint and token set."""
-    return rows.where("record_id is not null").select("record_id", "owner", "updated", "texts").mapInArrow(_featurise, _FEATURES)
+def featurise(rows: DataFrame, gen: int = 0) -> DataFrame:
+    """Rows ``(record_id, owner, updated, texts)`` with their fingerprint, token set and generation."""
+    return rows.where("record_id is not null").select("record_id", "owner", "updated", "texts").mapInArrow(lambda batches: _featurise(batches, gen), _FEATURES)
 
 
 def _prefix_length(n):
@@ -162,10 +166,11 @@ def _prefixes(order):
             token = token[np.argsort(key, kind="stable")]
             place = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
             inside = place < np.repeat(_prefix_length(size), size)
-            ids = batch.column("record_id").to_numpy(zero_copy_only=False)
+            each = lambda values: pa.array(np.repeat(values, size)[inside])
+            ids, gen = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("record_id", "gen"))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(token[inside].view(np.int64)), pa.array(np.repeat(ids, size)[inside]), pa.array(np.repeat(size, size)[inside].astype(np.int32))],
-                names=["token", "a", "an"],
+                [pa.array(token[inside].view(np.int64)), each(ids), each(size.astype(np.int32)), pa.array(place[inside].astype(np.int32)), each(gen)],
+                names=["token", "a", "an", "apos", "gen"],
             )
 
     return run
@@ -243,7 +248,7 @@ class History:
         where = f"{self.path}/{kind}"
         if where not in self._tables:
             name = f"cairn_{kind.replace('-', '_')}_{uuid.uuid4().hex}"
-            self.spark.sql(f"CREATE TABLE {name} ({schema}, gen int) USING parquet CLUSTERED BY ({by}) INTO {self.buckets} BUCKETS LOCATION '{where}'")
+            self.spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet CLUSTERED BY ({by}) INTO {self.buckets} BUCKETS LOCATION '{where}'")
             self._tables[where] = name
         return self._tables[where]
 
@@ -251,7 +256,7 @@ class History:
         return self._table(f"postings-{self.version}", _POSTING, "token")
 
     def _store(self) -> str:
-        return self._table("store", _ROW, "record_id")
+        return self._table("store", f"{_ROW}, gen int", "record_id")
 
     def _append(self, name: str, rows: DataFrame, by: str) -> None:
         """Append to a bucketed table; bucketed input stays in its buckets."""
@@ -259,16 +264,12 @@ class History:
         before = self.spark.conf.get(setting)
         self.spark.conf.set(setting, "false")
         try:
-            rows = rows.withColumn("gen", F.lit(self.generation))
             rows.select(self.spark.table(name).columns).write.bucketBy(self.buckets, by).format("parquet").option("compression", "zstd").mode("append").saveAsTable(name)
         finally:
             self.spark.conf.set(setting, before)
 
-    def _known(self) -> DataFrame:
-        """Fingerprints of all texts seen, with the accepted row for each."""
-        where = f"{self.path}/texts"
-        have = self.spark.read.schema("fp long, a long, gen int").parquet(where) if Workspace.names(self.spark, where) else self.spark.createDataFrame([], "fp long, a long, gen int")
-        return self._alive(have)
+    def _seen(self) -> DataFrame:
+        return self._alive(self.spark.read.schema(_SEEN).parquet(f"{self.path}/seen"))
 
     # -- the order of tokens --------------------------------------------------------------------
 
@@ -289,8 +290,8 @@ class History:
         """The batch's postings, bucketed by token like the index: their only shuffle."""
         name = f"cairn_stage_{uuid.uuid4().hex}"
         where = self.space.location("stage")
-        self.spark.sql(f"CREATE TABLE {name} ({_POSTING}, gen int) USING parquet CLUSTERED BY (token) INTO {self.buckets} BUCKETS LOCATION '{where}'")
-        self._append(name, reps.select("record_id", "tokens").mapInArrow(_prefixes(self._ordered()), _POSTING).repartition(self.buckets, "token"), "token")
+        self.spark.sql(f"CREATE TABLE {name} ({_POSTING}) USING parquet CLUSTERED BY (token) INTO {self.buckets} BUCKETS LOCATION '{where}'")
+        self._append(name, reps.select("record_id", "tokens", "gen").mapInArrow(_prefixes(self._ordered()), _POSTING).repartition(self.buckets, "token"), "token")
         self._tables[where] = name
         return self.spark.table(name)
 
@@ -301,43 +302,56 @@ class History:
 
     def _renew(self, reps: DataFrame) -> None:
         """Take the order anew over all accepted rows and the batch, and rebuild the index by it."""
-        accepted = self.space.cut(featurise(self._alive(self.spark.table(self._store()))), "accepted")
+        stored = self._alive(self.spark.table(self._store()))
+        accepted = self.space.cut(featurise(stored).drop("gen").join(stored.select("record_id", "gen"), "record_id"), "accepted")
         self._new_order(accepted.select("tokens").unionByName(reps.select("tokens")))
-        rebuilt = accepted.where("n > 0").select("record_id", "tokens").mapInArrow(_prefixes(self._ordered()), _POSTING)
+        rebuilt = accepted.where("n > 0").select("record_id", "tokens", "gen").mapInArrow(_prefixes(self._ordered()), _POSTING)
         self._append(self._postings(), rebuilt.repartition(self.buckets, "token"), "token")
 
     # -- pairs ----------------------------------------------------------------------------------
 
-    def _meeting(self, earlier: DataFrame, later: DataFrame, name: str) -> DataFrame:
+    def _meeting(self, later: DataFrame, index: DataFrame | None, within: DataFrame | None, name: str) -> DataFrame:
         """Pairs ``(a, b)`` of postings that may reach :data:`CANDIDATE`, stored.
 
-        Of two prefixes the one that ends first in the order holds all it shares with the other set in
-        the other's prefix too; what lies behind it can add no more than its own length.
+        ``later`` meets the accepted rows of ``index`` and the earlier rows of ``within``.  Of two
+        prefixes the one that ends first in the order holds all it shares with the other set in the
+        other's prefix too; what lies behind it can add no more than its own length.  And nothing is
+        shared before the first shared token.
         """
-        b = later.select("token", F.col("a").alias("b"), F.col("an").alias("bn"))
-        joined = b.hint("shuffle_hash").join(earlier.select("token", "a", "an"), "token").where((F.col("a") != F.col("b")) & (F.least("an", "bn") >= CANDIDATE * F.greatest("an", "bn") - 1e-9))
-        if name != "met":
-            joined = joined.where("a < b")
-        shared = joined.groupBy("a", "b", "an", "bn").agg(F.count("*").alias("shared"))
+        b = later.select("token", F.col("a").alias("b"), F.col("an").alias("bn"), F.col("apos").alias("bpos")).hint("shuffle_hash")
+        sides = []
+        for rows, other in ((index, "a <> b"), (within, "a < b")):
+            if rows is not None:
+                met = b.join(rows.select("token", "a", "an", "apos"), "token").where(F.expr(other) & (F.least("an", "bn") >= CANDIDATE * F.greatest("an", "bn") - 1e-9))
+                packed = [F.shiftleft(F.col(x).cast("long"), 32) + F.col(y) for x, y in (("an", "bn"), ("apos", "bpos"))]
+                sides.append(met.select("a", "b", packed[0].alias("size"), packed[1].alias("at")))
+        shared = reduce(DataFrame.unionByName, sides).groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("size").alias("size"), F.min("at").alias("at"))
+        parts = {n: f(F.col(c)) for c, (x, y) in (("size", ("an", "bn")), ("at", ("apos", "bpos"))) for n, f in ((x, lambda v: F.shiftright(v, 32)), (y, lambda v: v.bitwiseAND(F.lit(0xFFFFFFFF))))}
+        shared = shared.withColumns(parts)
         behind = F.greatest(F.col("an") - _prefix_length(F.col("an")), F.col("bn") - _prefix_length(F.col("bn")))
-        need = CANDIDATE / (1 + CANDIDATE) * (F.col("an") + F.col("bn"))
-        return self.space.cut(shared.where(F.col("shared") + behind >= need - 1e-9).select("a", "b"), name)
+        need = CANDIDATE / (1 + CANDIDATE) * (F.col("an") + F.col("bn")) - 1e-9
+        most = F.least(F.col("shared") + behind, F.col("an") - F.col("apos"), F.col("bn") - F.col("bpos"))
+        return self.space.cut(shared.where(most >= need).select("a", "b"), name)
 
-    def _verified(self, pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-        """``(a, b, similarity)`` of true pairs.  ``pairs`` is stored, so its size is known to the planner."""
+    def _verified(self, pairs: DataFrame, batch: DataFrame, history: bool, name: str) -> DataFrame:
+        """``(a, b, similarity)`` of true pairs, stored.
+
+        ``pairs`` is a stored table, so its size is known to the planner.  Accepted rows are read in
+        their buckets; few candidates are named to the scan.
+        """
 
         def side(df: DataFrame, s: str) -> DataFrame:
             return df.select(F.col("record_id").alias(s), F.col("texts").alias(f"t{s}"), F.col("owner").alias(f"o{s}"), F.col("updated").alias(f"u{s}"))
 
-        full = pairs.hint("shuffle_hash").join(side(left, "a"), "a")
-        full = side(right, "b").join(full.hint("shuffle_hash"), "b")
-        return full.select("a", "b", "ta", "tb", "oa", "ob", "ua", "ub").mapInArrow(_judge, "a long, b long, similarity double")
-
-    def _stored(self, met: DataFrame) -> DataFrame:
-        """The accepted rows, few candidates named to the scan."""
-        rows = self._alive(self.spark.table(self._store()))
-        few = [r[0] for r in met.select("a").distinct().limit(NAMED + 1).collect()]
-        return rows.where(F.col("record_id").isin(few)) if len(few) <= NAMED else rows
+        full = pairs.hint("shuffle_hash").join(side(batch, "a"), "a")
+        if history:
+            stored = self._alive(self.spark.table(self._store()))
+            few = [r[0] for r in pairs.select("a").distinct().limit(NAMED + 1).collect()]
+            stored = stored.where(F.col("record_id").isin(few)) if len(few) <= NAMED else stored
+            full = full.unionByName(pairs.hint("shuffle_hash").join(side(stored, "a"), "a"))
+        full = side(batch, "b").join(full.hint("shuffle_hash"), "b")
+        judged = full.select("a", "b", "ta", "tb", "oa", "ob", "ua", "ub").mapInArrow(_judge, "a long, b long, similarity double")
+        return self.space.cut(judged, name)
 
     def _settle(self, edges: DataFrame) -> DataFrame:
         """Of verified pairs, those whose earlier row is accepted.
@@ -346,15 +360,16 @@ class History:
         successors are rejected.  ``edges`` holds every pair that its later rows are in.
         """
         done, left = edges.limit(0), edges
-        while not left.isEmpty():
-            behind = left.select(F.col("b").alias("a")).distinct()
-            settled = self.space.cut(left.join(behind, "a", "left_anti").select("a", "b", "similarity"), "settled")
-            out = settled.select("b").distinct()
-            done = done.unionByName(settled)
+        while True:
+            at = left.alias("e").join(left.select(F.col("b").alias("a")).distinct().withColumn("behind", F.lit(True)), "a", "left")
+            out = at.where("behind is null").select(F.col("b").alias("a")).distinct().withColumn("out", F.lit(True))
             # pairs of rejected rows with accepted ones settled later still count for the best match
-            rest = left.join(settled.select("a", "b"), ["a", "b"], "left_anti").join(out.withColumnRenamed("b", "a"), "a", "left_anti")
-            left = self.space.cut(rest.select("a", "b", "similarity"), "left")
-        return done
+            state = F.when(F.col("behind").isNull(), "settled").when(F.col("out").isNull(), "left").otherwise("gone")
+            told = self.space.cut(at.join(out, "a", "left").select("a", "b", "similarity", state.alias("state")), "settled")
+            done = done.unionByName(told.where("state = 'settled'").drop("state"))
+            left = told.where("state = 'left'").drop("state")
+            if left.isEmpty():
+                return done
 
     def _hot(self, staged: DataFrame) -> tuple[DataFrame, int, int]:
         """The leaders of long lists, the number of those, and the pairs that they would make."""
@@ -371,14 +386,14 @@ class History:
         space, closure, new, edges = self.space, leaders, leaders, None
         while not new.isEmpty():
             later = staged.join(new, "a", "left_semi")
-            found = space.cut(self._verified(self._meeting(staged, later, "before"), rows, rows), "depends")
+            found = self._verified(self._meeting(later, None, staged, "before"), rows, False, "depends")
             edges = found if edges is None else edges.unionByName(found)
             new = space.cut(found.select("a").distinct().join(closure, "a", "left_anti"), "new")
             closure = closure.unionByName(new)
         decided = self._settle(edges)
         accepted = space.cut(closure.join(decided.select(F.col("b").alias("a")), "a", "left_anti"), "accepted")
         first, rest = staged.join(accepted, "a", "left_semi"), staged.join(closure, "a", "left_anti")
-        followers = space.cut(self._verified(self._meeting(first, rest, "follow"), rows, rows), "followers")
+        followers = self._verified(self._meeting(rest, None, first, "follow"), rows, False, "followers")
         edges = decided.unionByName(followers)
         if edges.isEmpty():
             return None
@@ -404,48 +419,56 @@ class History:
 
     def _accept(self, rows: DataFrame) -> DataFrame:
         space, first = self.space, not self.version
-        stored = space.save(featurise(rows), "batch")
+        stored = space.save(featurise(rows, self.generation), "batch")
         batch = self.spark.read.schema(_FEATURES).parquet(stored)
         said = batch.where("n > 0")
-        members = said.groupBy("fp").agg(F.min("record_id").alias("rep"), F.count("*").alias("copies"))
-        members = members if first else members.join(self._known().select("fp", F.col("a").alias("known")), "fp", "left")
-        members = space.cut(members if not first else members.withColumn("known", F.lit(None).cast("long")), "members")
+        members = said.groupBy("fp").agg(F.min("record_id").alias("rep"), F.min("gen").alias("gen"))
+        if first:
+            members = members.withColumn("known", F.lit(None).cast("long"))
+        else:
+            members = members.join(self._seen().where("fresh").select("fp", F.coalesce("a", "rep").alias("known")), "fp", "left")
+        members = space.cut(members, "members")
         reps = said.join(members.where("known is null").select(F.col("rep").alias("record_id")), "record_id", "left_semi")
         if first:
             self._new_order(reps)
         staged = self._stage(reps)
         leaders, hot, promised = self._hot(staged)
-        if not first and promised > self.spark.table(self._postings()).count():
+        if not first and hot and promised > self.spark.table(self._postings()).count():
             self._renew(reps)
             self._unstage()
             staged = self._stage(reps)
             leaders, hot, _ = self._hot(staged)
-        edges = self.spark.createDataFrame([], "a long, b long, similarity double")
-        left = staged
-        if not first:
-            met = self._meeting(self._alive(self.spark.table(self._postings())), staged, "met")
-            edges = space.cut(self._verified(met, self._stored(met), batch), "hits")
-            left = staged.join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
-            if hot:
-                leaders, hot, _ = self._hot(left)
+        index = None if first else self._alive(self.spark.table(self._postings()))
+        edges, left = None, staged
+        if hot and not first:  # what history rejects leads nothing
+            edges = self._verified(self._meeting(staged, index, None, "met"), batch, True, "hits")
+            left, index = staged.join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_anti"), None
+            leaders, hot, _ = self._hot(left)
         while hot and (found := self._families(left, batch, leaders)):
-            edges = edges.unionByName(found[0])
+            edges = found[0] if edges is None else edges.unionByName(found[0])
             left = left.join(space.cut(found[1], "decided"), "a", "left_anti")
             leaders, hot, _ = self._hot(left)
-        near = space.cut(self._verified(self._meeting(left, left, "pairs"), batch, batch), "near")
-        edges = edges.unionByName(self._settle(near))
+        near = self._settle(self._verified(self._meeting(left, index, left, "pairs"), batch, index is not None, "near"))
+        edges = near if edges is None else edges.unionByName(near)
         best = space.cut(edges.groupBy("b").agg(F.max_by("a", F.struct("similarity", -F.col("a"))).alias("a")), "best")
-        verdict = members.join(best.withColumnRenamed("b", "rep"), "rep", "left").withColumn("a", F.coalesce("known", "a"))
-        texts = verdict.where("known is null").select("fp", F.coalesce("a", "rep").alias("a"), F.lit(self.generation).alias("gen"))
-        texts.write.mode("append").option("compression", "zstd").parquet(f"{self.path}/texts")
-        kept = verdict.where("a is null").select(F.col("rep").alias("record_id"))
-        self._append(self._postings(), staged.drop("gen").join(best.select(F.col("b").alias("a")), "a", "left_anti"), "token")
-        self._append(self._store(), batch.select("record_id", "owner", "updated", "texts").join(kept, "record_id", "left_semi").repartition(self.buckets, "record_id"), "record_id")
-        copied = verdict.where("copies > 1 or a is not null")
-        rejected = said.select("record_id", "fp").join(copied, "fp").where(F.col("a").isNotNull() | (F.col("record_id") != F.col("rep")))
-        rejected = space.cut(rejected.select(F.coalesce("a", "rep").alias("record_id_a"), F.col("record_id").alias("record_id_b")), "rejected")
+        fresh = F.col("known").isNull() & (F.col("record_id") == F.col("rep"))
+        seen = said.select("record_id", "fp").join(members, "fp").join(best.withColumnRenamed("b", "rep"), "rep", "left")
+        seen = seen.select("record_id", "fp", "rep", F.coalesce("known", "a").alias("a"), fresh.alias("fresh"), "gen")
+        seen.write.mode("append").option("compression", "zstd").parquet(f"{self.path}/seen")
+        out = best.select(F.col("b").alias("record_id"))
+        self._append(self._postings(), staged.join(out.withColumnRenamed("record_id", "a"), "a", "left_anti"), "token")
+        kept = reps.join(out, "record_id", "left_anti").select("record_id", "owner", "updated", "texts", "gen")
+        self._append(self._store(), kept.repartition(self.buckets, "record_id"), "record_id")
         space.drop(stored)
-        return rejected
+        return self.rejected(self.generation)
+
+    def rejected(self, generation: int | None = None) -> DataFrame:
+        """``(record_id_a, record_id_b)`` of the rejected rows of one batch, or of all."""
+        if not Workspace.names(self.spark, f"{self.path}/seen"):
+            return self.spark.createDataFrame([], "record_id_a long, record_id_b long")
+        rows = self._seen() if generation is None else self._seen().where(F.col("gen") == generation)
+        rows = rows.where(F.col("a").isNotNull() | (F.col("record_id") != F.col("rep")))
+        return rows.select(F.coalesce("a", "rep").alias("record_id_a"), F.col("record_id").alias("record_id_b"))
 
     def close(self) -> None:
         """Forget the catalogue's names of the tables; the folder stays and can be opened again."""
@@ -463,10 +486,10 @@ def deduplicate(rows: DataFrame) -> DataFrame:
     spark = rows.sparkSession
     space = Workspace(spark, "histories")
     state = History.create(spark, space.location("history"))
-    out = spark.createDataFrame([], "record_id_a long, record_id_b long")
     numbers = [r[0] for r in rows.where("record_id is not null").select("batch_no").distinct().collect()]  # one row per batch
     for number in sorted(numbers, key=lambda n: (n is None, n or 0)):
-        out = out.unionByName(state.accept(rows.where(F.col("batch_no").eqNullSafe(F.lit(number)))))
+        state.accept(rows.where(F.col("batch_no").eqNullSafe(F.lit(number))))
+    out = space.cut(state.rejected(), "rejected")
     state.close()
     space.drop(state.path)
     return out

@@ -103,7 +103,14 @@ def test_reopened_history_equals_one_session(spark, rows):
     first.close()
     again = history.History.open(spark.newSession(), where)
     # a batch that fails on its way leaves postings behind, which must not count
-    again.space.cut, cut = lambda frame, name: (_ for _ in ()).throw(RuntimeError("lost")) if name == "rejected" else cut(frame, name), again.space.cut
+    append = again._append
+
+    def lost(name, frame, by):
+        append(name, frame, by)
+        if by == "record_id":
+            raise RuntimeError("lost")
+
+    again._append = lost
     with pytest.raises(RuntimeError):
         again.accept(df.where(df.batch_no == numbers[3]))
     last = history.History.open(spark, where)
@@ -130,8 +137,8 @@ def test_a_family_new_in_a_batch_stays_linear(spark, monkeypatch):
     met = []
     meeting = history.History._meeting
 
-    def counted(self, earlier, later, name):
-        out = meeting(self, earlier, later, name)
+    def counted(self, *args):
+        out = meeting(self, *args)
         met.append(out.count())
         return out
 
