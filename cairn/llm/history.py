@@ -19,9 +19,9 @@ arrival, and rows that stay are appended.
 
 The measure: a row repeats another if the sets of their runs of three words agree to 0.7.  An edited
 word spoils three such runs, so that is about six edited words in a hundred, wherever they fall.
-Runs of three are too common to search by; candidates are found by runs of eight words at 0.4, which
-5.4 edited words in a hundred leave where each spoils eight runs of its own, and more where edits are
-closer to each other.  A pair has to reach both.
+Runs of three are too common to search by; candidates are found by runs of ten words at 0.3, which
+5.4 edited words in a hundred leave where each spoils ten runs of its own, and more where edits are
+closer to each other.  A pair has to reach both, and the sizes of its sets of ten-word runs must agree to 0.6.
 
 Cost: a batch is read, tokenised and shuffled once.  Of the history, the thin postings are scanned
 (bucket by bucket, never shuffled), the fingerprints are joined, and texts are read in the buckets
@@ -35,8 +35,9 @@ before it that it may depend on), the followers of accepted leaders are rejected
 follow.  Tokens that became frequent after the order was taken are no longer rare: where a batch's lists
 promise more pairs than the index has rows, the order is taken anew and the index rebuilt.
 
-Faults: tables are appended under a generation number that is never used twice and counts only once
-its commit marker stands, so a batch that was cut off leaves no trace in later results.
+Faults: a batch is a generation, whose number is never used twice and counts only once its commit
+marker stands.  Rows of a batch that was cut off are ignored, and the index is then rebuilt from the
+accepted rows, so it leaves no trace in later results.
 
 Defined results: batches are taken by ``batch_no`` (null last), rows in a batch by ``record_id``; rows without words are
 accepted and never indexed, rows without a record id ignored; null messages, texts and columns are
@@ -61,8 +62,8 @@ from pyspark.sql import functions as F
 from cairn.durable import Workspace
 from cairn.llm.shingles import BITS, ROWS, TokenBatch, mix
 
-#: Candidates share runs of so many words to this degree, ...
-SIZE, CANDIDATE = 8, 0.4
+#: Candidates share runs of so many words to this degree, with sizes of this ratio at least, ...
+SIZE, CANDIDATE, RATIO = 10, 0.3, 0.6
 #: ... and repeat a row if their runs of so many words agree to this one.
 FINE, THRESHOLD = 3, 0.7
 #: The order counts tokens in so many slots (one byte each is broadcast).  It decides cost, never results.
@@ -74,7 +75,7 @@ NAMED = 1000
 
 _ROW = "record_id long, owner long, updated long, texts array<string>"
 _FEATURES = f"{_ROW}, fp long, n int, tokens array<long>, gen int"
-_POSTING = "token long, a long, an int, apos int, gen int"
+_POSTING = "token long, a long, an int, apos int"
 _SEEN = "record_id long, fp long, rep long, a long, fresh boolean, gen int"
 
 
@@ -167,22 +168,22 @@ def _prefixes(order):
             place = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
             inside = place < np.repeat(_prefix_length(size), size)
             each = lambda values: pa.array(np.repeat(values, size)[inside])
-            ids, gen = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("record_id", "gen"))
+            ids = batch.column("record_id").to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(token[inside].view(np.int64)), each(ids), each(size.astype(np.int32)), pa.array(place[inside].astype(np.int32)), each(gen)],
-                names=["token", "a", "an", "apos", "gen"],
+                [pa.array(token[inside].view(np.int64)), each(ids), each(size.astype(np.int32)), pa.array(place[inside].astype(np.int32))],
+                names=["token", "a", "an", "apos"],
             )
 
     return run
 
 
-def _agree(texts: pa.ListArray, size: int, pairs: int) -> np.ndarray:
-    """Jaccard similarity of the sets of rows ``2 i`` and ``2 i + 1``."""
+def _agree(texts: pa.ListArray, size: int, pairs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Jaccard similarity of the sets of rows ``2 i`` and ``2 i + 1``, and the ratio of their sizes."""
     found = _batch_tokens(texts, size)
     key = np.sort((found.row.astype(np.uint64) >> np.uint64(1) << np.uint64(BITS)) | found.token)
     both = np.bincount((key[1:][key[1:] == key[:-1]] >> np.uint64(BITS)).astype(np.int64), minlength=pairs)
-    each = np.bincount(found.row >> 1, minlength=pairs)
-    return both / np.maximum(each - both, 1)
+    sizes = np.bincount(found.row, minlength=2 * pairs).reshape(pairs, 2)
+    return both / np.maximum(sizes.sum(axis=1) - both, 1), sizes.min(axis=1) / np.maximum(sizes.max(axis=1), 1)
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,8 +191,8 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _sliced(batches, ROWS // 2):
         n = batch.num_rows
         texts = pa.concat_arrays([batch.column("ta"), batch.column("tb")]).take(pa.array(np.arange(2 * n).reshape(2, n).T.reshape(-1)))
-        score = _agree(texts, FINE, n)
-        same = (_agree(texts, SIZE, n) >= CANDIDATE - 1e-9) & (score >= THRESHOLD - 1e-9)
+        (score, _), (wide, ratio) = _agree(texts, FINE, n), _agree(texts, SIZE, n)
+        same = (wide >= CANDIDATE - 1e-9) & (ratio >= RATIO - 1e-9) & (score >= THRESHOLD - 1e-9)
         later = pc.fill_null(pc.and_(pc.equal(batch.column("oa"), batch.column("ob")), pc.greater(batch.column("ub"), batch.column("ua"))), False).to_numpy(zero_copy_only=False)
         for i in np.flatnonzero(same & later):
             said = _batch_tokens(texts.slice(2 * i, 2), FINE)
@@ -239,6 +240,11 @@ class History:
         """Generations that were begun and never committed."""
         return sorted({g for g, *_ in self._markers("begun")} - {g for g, *_ in self._markers("commit")})
 
+    def _stale(self) -> bool:
+        """Whether the index may hold postings of a batch that was cut off."""
+        since = min((g for g, v in self._markers("begun") if v == self.version), default=0)
+        return any(since <= g != self.generation for g in self._dead())
+
     def _alive(self, df: DataFrame) -> DataFrame:
         dead = [g for g in self._dead() if g != self.generation]
         return df.where(~F.col("gen").isin(dead)) if dead else df
@@ -291,7 +297,7 @@ class History:
         name = f"cairn_stage_{uuid.uuid4().hex}"
         where = self.space.location("stage")
         self.spark.sql(f"CREATE TABLE {name} ({_POSTING}) USING parquet CLUSTERED BY (token) INTO {self.buckets} BUCKETS LOCATION '{where}'")
-        self._append(name, reps.select("record_id", "tokens", "gen").mapInArrow(_prefixes(self._ordered()), _POSTING).repartition(self.buckets, "token"), "token")
+        self._append(name, reps.select("record_id", "tokens").mapInArrow(_prefixes(self._ordered()), _POSTING).repartition(self.buckets, "token"), "token")
         self._tables[where] = name
         return self.spark.table(name)
 
@@ -302,10 +308,9 @@ class History:
 
     def _renew(self, reps: DataFrame) -> None:
         """Take the order anew over all accepted rows and the batch, and rebuild the index by it."""
-        stored = self._alive(self.spark.table(self._store()))
-        accepted = self.space.cut(featurise(stored).drop("gen").join(stored.select("record_id", "gen"), "record_id"), "accepted")
+        accepted = self.space.cut(featurise(self._alive(self.spark.table(self._store()))), "accepted")
         self._new_order(accepted.select("tokens").unionByName(reps.select("tokens")))
-        rebuilt = accepted.where("n > 0").select("record_id", "tokens", "gen").mapInArrow(_prefixes(self._ordered()), _POSTING)
+        rebuilt = accepted.where("n > 0").select("record_id", "tokens").mapInArrow(_prefixes(self._ordered()), _POSTING)
         self._append(self._postings(), rebuilt.repartition(self.buckets, "token"), "token")
 
     # -- pairs ----------------------------------------------------------------------------------
@@ -322,7 +327,7 @@ class History:
         sides = []
         for rows, other in ((index, "a <> b"), (within, "a < b")):
             if rows is not None:
-                met = b.join(rows.select("token", "a", "an", "apos"), "token").where(F.expr(other) & (F.least("an", "bn") >= CANDIDATE * F.greatest("an", "bn") - 1e-9))
+                met = b.join(rows.select("token", "a", "an", "apos"), "token").where(F.expr(other) & (F.least("an", "bn") >= RATIO * F.greatest("an", "bn") - 1e-9))
                 packed = [F.shiftleft(F.col(x).cast("long"), 32) + F.col(y) for x, y in (("an", "bn"), ("apos", "bpos"))]
                 sides.append(met.select("a", "b", packed[0].alias("size"), packed[1].alias("at")))
         shared = reduce(DataFrame.unionByName, sides).groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("size").alias("size"), F.min("at").alias("at"))
@@ -346,8 +351,8 @@ class History:
         full = pairs.hint("shuffle_hash").join(side(batch, "a"), "a")
         if history:
             stored = self._alive(self.spark.table(self._store()))
-            few = [r[0] for r in pairs.select("a").distinct().limit(NAMED + 1).collect()]
-            stored = stored.where(F.col("record_id").isin(few)) if len(few) <= NAMED else stored
+            few = [r[0] for r in pairs.select("a").limit(NAMED + 1).collect()]
+            stored = stored.where(F.col("record_id").isin(sorted(set(few)))) if len(few) <= NAMED else stored
             full = full.unionByName(pairs.hint("shuffle_hash").join(side(stored, "a"), "a"))
         full = side(batch, "b").join(full.hint("shuffle_hash"), "b")
         judged = full.select("a", "b", "ta", "tb", "oa", "ob", "ua", "ub").mapInArrow(_judge, "a long, b long, similarity double")
@@ -431,6 +436,8 @@ class History:
         reps = said.join(members.where("known is null").select(F.col("rep").alias("record_id")), "record_id", "left_semi")
         if first:
             self._new_order(reps)
+        elif self._stale():
+            self._renew(reps)
         staged = self._stage(reps)
         leaders, hot, promised = self._hot(staged)
         if not first and hot and promised > self.spark.table(self._postings()).count():
@@ -438,7 +445,7 @@ class History:
             self._unstage()
             staged = self._stage(reps)
             leaders, hot, _ = self._hot(staged)
-        index = None if first else self._alive(self.spark.table(self._postings()))
+        index = None if first else self.spark.table(self._postings())
         edges, left = None, staged
         if hot and not first:  # what history rejects leads nothing
             edges = self._verified(self._meeting(staged, index, None, "met"), batch, True, "hits")

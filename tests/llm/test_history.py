@@ -37,7 +37,8 @@ def brute(rows):
         for a, (w, f, own, o, u) in accepted.items():
             longer = o == owner and u is not None and updated is not None and updated > u and own < messages
             s = jaccard(fine, f)
-            if jaccard(wide, w) >= history.CANDIDATE and s >= history.THRESHOLD and not longer and (best is None or (s, -a) > best):
+            alike = jaccard(wide, w) >= history.CANDIDATE and min(len(wide), len(w)) >= history.RATIO * max(len(wide), len(w))
+            if alike and s >= history.THRESHOLD and not longer and (best is None or (s, -a) > best):
                 best = (s, -a)
         if best:
             out[rid] = -best[1]
