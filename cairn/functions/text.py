@@ -141,3 +141,17 @@ def strip_render_tags(c: Column) -> Column:
 def like_literal(text: str) -> str:
     """A user's text for LIKE, with its wildcards taken literally."""
     return text.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
+
+
+def _accents() -> tuple[str, str]:
+    """Letters of the Latin blocks that decompose into an ASCII letter and marks, and that letter."""
+    import unicodedata
+
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))]
+    pairs = [(c, d[0]) for c, d in pairs if len(d) > 1 and d[0].isascii() and d[0].isalpha()]
+    return "".join(c for c, _ in pairs), "".join(b for _, b in pairs)
+
+
+def folded(c: Column) -> Column:
+    """A text in lower case without the marks of Latin letters; null stays null."""
+    return F.translate(F.lower(c), *_accents())

@@ -20,15 +20,43 @@ def neighbours(starts: DataFrame, edges: DataFrame, source: str, target: str, ki
     return out.unionByName(into)
 
 
-def shared_key(starts: DataFrame, objects: DataFrame, key: str, ident: str) -> DataFrame:
-    """Objects that share a non-empty key with a start object, itself excluded: ``(node, neighbour)``.
-
-    Starts are aggregated per key first, so a hot key joins once per object and not once per pair
-    of start and object before the start is known; null and empty keys are dropped before the join.
+def shared_key(starts: DataFrame, objects: DataFrame, key: str, ident: str, limit: int = 20, own: DataFrame | None = None) -> DataFrame:
+    """The first ``limit`` objects, by id, that share a non-empty key with a start: ``(node, neighbour, key)``.
+
+    Of each key only its first ``limit + 1`` members can be among a start's neighbours, one being
+    the start itself, so a key with m members and s starts gives ``s * limit`` rows and never
+    ``s * m``; a hot key is ranked by a group limit, which prunes before the shuffle.  Null and empty
+    keys join nothing; repeated objects count once.  ``own`` brings the starts' keys where ``objects``
+    leaves starts out.
+    """
+    keyed = objects.where(F.col(key).isNotNull() & (F.col(key) != "")).select(F.col(ident).alias("neighbour"), F.col(key).alias("key")).distinct()
+    top = Window.partitionBy("key").orderBy("neighbour")
+    first = keyed.withColumn("_rn", F.row_number().over(top)).where(F.col("_rn") <= limit + 1).drop("_rn")
+    mine = keyed if own is None else own.where(F.col(key).isNotNull() & (F.col(key) != "")).select(F.col(ident).alias("neighbour"), F.col(key).alias("key")).distinct()
+    own = starts.select("node").distinct().join(mine.withColumnRenamed("neighbour", "node"), "node")
+    met = own.join(first, "key").where("node <> neighbour")
+    best = Window.partitionBy("node").orderBy("neighbour")
+    return met.withColumn("_rn", F.row_number().over(best)).where(F.col("_rn") <= limit).select("node", "neighbour", "key")
+
+
+def related(starts: DataFrame, edges: DataFrame, objects: DataFrame, key: str, ident: str, limit: int = 20, own: DataFrame | None = None, alive: DataFrame | None = None) -> DataFrame:
+    """The ``limit`` nearest objects of each start: linked ones first, by edge id, then those sharing a key, by id.
+
+    ``(node, neighbour, relation, place)``; ``edges(source, target, edge_id)``.  Each neighbour counts
+    once, by its best relation; a busy node's edges are cut by a group limit.  ``alive(neighbour)``
+    restricts linked neighbours, ``objects`` those sharing a key.
     """
-    keyed = objects.where(F.col(key).isNotNull() & (F.col(key) != "")).select(ident, key)
-    own = starts.select(F.col("node").alias(ident)).join(keyed, ident).select(F.col(ident).alias("node"), key)
-    return own.join(keyed.withColumnRenamed(ident, "neighbour"), key).where("node <> neighbour").select("node", "neighbour")
+    both = symmetric(edges, "source", "target", "edge_id").join(starts.select("node").distinct(), "node")
+    both = both if alive is None else both.join(alive, "neighbour", "left_semi")
+    linked = both.groupBy("node", "neighbour").agg(F.min("edge_id").alias("edge_id"))
+    linked = linked.withColumn("_rn", F.row_number().over(Window.partitionBy("node").orderBy("edge_id", "neighbour"))).where(F.col("_rn") <= limit)
+    found = linked.select("node", "neighbour", F.lit(0).alias("_branch"), F.col("edge_id").alias("_order"))
+    keyed = shared_key(starts, objects, key, ident, 2 * limit, own)  # so many that linked ones leave enough
+    found = found.unionByName(keyed.select("node", "neighbour", F.lit(1).alias("_branch"), F.col("neighbour").alias("_order")))
+    once = found.groupBy("node", "neighbour").agg(F.min(F.struct("_branch", "_order")).alias("b"))
+    w = Window.partitionBy("node").orderBy("b._branch", "b._order", "neighbour")
+    ranked = once.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit)
+    return ranked.select("node", "neighbour", F.when(F.col("b._branch") == 0, "link").otherwise("shared_key").alias("relation"), "place")
 
 
 def first_seen(df: DataFrame, keys: list[str], rank: Column, *ties: str) -> DataFrame:

@@ -1,11 +1,14 @@
 """Deeply nested records to flat node tables linked by interval labels.
 
-Every object of a record is a node of a tree.  A depth-first walk gives each node a pre-order number
-on entry and a post-order number on exit; a node's interval ``[pre, post]`` then contains exactly
-those of its descendants.  The numbers are spaced so that they can be computed inside the row: all
-nodes of one type get an interval of the same width, wide enough for the largest such node in that
-record.  No shuffle, no window and no Python is involved in labelling, and a record of n nodes costs
-O(n).
+Every object of a record is a node of a tree.  A depth-first walk numbers the moments at which it
+enters and leaves a node, from 0 at the record: ``pre`` and ``post``.  A node's interval ``[pre, post]``
+contains exactly those of its descendants, and a node with ``n`` descendants spans ``2 n + 2`` numbers.
+Children are visited type by type in the order of the specification, each array in its own order.
+
+The walk needs no stack: a node's entry is its parent's plus the spans of what comes before it among
+the siblings, a running sum over one array.  So labelling is a projection of the row, level by level:
+no shuffle, no window and no Python.  Running sums are taken in chunks of the square root of the array's
+length, so a node of n children costs n to the power 1.5 at most, and arrays of any length end.
 
 Each node table has the record's key columns, ``pre``, ``post``, ``parent_pre``, ``position`` (the
 place among its siblings, from 0, null elements counted), the positions of its ancestors, and the
@@ -47,33 +50,39 @@ def _get(base: Column, path: str) -> Column:
     return base
 
 
-def _arrays(objects: Column, path: str) -> Column:
-    return F.transform(objects, lambda o: _get(o, path))
+def _span(node: NodeType, element: Column) -> Column:
+    """Numbers that a node and its descendants take; a null element takes none."""
+    inside = sum((_spans(child, _get(element, child.path)) for child in node.children), F.lit(2).cast("long"))
+    return F.when(element.isNull(), F.lit(0).cast("long")).otherwise(inside)
 
 
-def _count(array: Column) -> Column:
-    return F.coalesce(F.greatest(F.size(array), F.lit(0)), F.lit(0)).cast("long")
+def _spans(node: NodeType, array: Column) -> Column:
+    """Numbers that all elements of an array take."""
+    if not node.children:
+        return 2 * F.greatest(F.coalesce(F.size(F.filter(array, lambda o: o.isNotNull())), F.lit(0)), F.lit(0)).cast("long")
+    return F.coalesce(F.aggregate(F.transform(array, lambda o: _span(node, o)), F.lit(0).cast("long"), lambda total, x: total + x), F.lit(0).cast("long"))
 
 
-def _widths(nodes: tuple[NodeType, ...], objects: Column | None) -> tuple[Column, dict[str, Column]]:
-    """The room that the children of one node need, and the interval width of each type below.
+def _each(node: NodeType, array: Column) -> Column:
+    return F.transform(array, lambda o: _span(node, o))
 
-    ``objects`` is an array of all objects of the parent type in the record (None: the record).
-    """
-    room, widths = F.lit(0).cast("long"), {}
-    for node in nodes:
-        if objects is None:
-            array = F.col(node.path)
-            most, below = _count(array), array
-        else:
-            arrays = _arrays(objects, node.path)
-            most = F.coalesce(F.array_max(F.transform(arrays, _count)), F.lit(0).cast("long"))
-            below = F.flatten(F.filter(arrays, lambda a: a.isNotNull()))
-        inner, deeper = _widths(node.children, below)
-        widths |= deeper
-        widths[node.name] = F.lit(2).cast("long") + inner
-        room = room + most * widths[node.name]
-    return room, widths
+
+def _running(sizes: Column) -> Column:
+    """Sums of what comes before each element of an array of longs."""
+    chunk = F.greatest(F.ceil(F.sqrt(F.size(sizes))), F.lit(1)).cast("int")
+    last = F.greatest(F.floor((F.size(sizes) - 1) / chunk), F.lit(0)).cast("int")
+    chunks = F.transform(F.sequence(F.lit(0), last), lambda j: F.slice(sizes, j * chunk + 1, chunk))
+    state = lambda run, out: F.struct(run.alias("run"), out.alias("out"))
+    none, zero = F.array().cast("array<bigint>"), F.lit(0).cast("long")
+
+    def along(run: Column, part: Column) -> Column:
+        return F.aggregate(part, state(run, none), lambda acc, x: state(acc["run"] + x, F.concat(acc["out"], F.array(acc["run"]))))
+
+    def over(acc: Column, part: Column) -> Column:
+        done = along(acc["run"], part)
+        return state(done["run"], F.concat(acc["out"], done["out"]))
+
+    return F.aggregate(chunks, state(zero, none), over, lambda acc: acc["out"])
 
 
 def _descend(df: DataFrame, keys: list[str], nodes: tuple[NodeType, ...], ancestors: list[str], out: dict[str, DataFrame]) -> None:
@@ -81,38 +90,22 @@ def _descend(df: DataFrame, keys: list[str], nodes: tuple[NodeType, ...], ancest
     for node in nodes:
         array = F.col(node.path) if not ancestors else _get(F.col("_o"), node.path)
         carried = [*keys, *ancestors]
-        exploded = df.select(*carried, "_w", "_m", F.col("_pre").alias("_up"), start.alias("_at"), F.posexplode(array).alias("_p", "_o")).where(F.col("_o").isNotNull())
-        width = F.col("_w").getField(node.name)
-        own = exploded.withColumn("_pre", F.col("_at") + F.col("_p") * width)
+        spans = _each(node, array)
+        zipped = F.arrays_zip(F.transform(array, lambda o: o), _running(spans), spans)
+        exploded = df.select(*carried, F.col("_pre").alias("_up"), start.alias("_at"), F.posexplode(zipped).alias("_p", "_z"))
+        own = exploded.select(*carried, "_up", "_p", (F.col("_at") + F.col("_z")["1"]).alias("_pre"), F.col("_z")["2"].alias("_span"), F.col("_z")["0"].alias("_o")).where(F.col("_o").isNotNull())
         out[node.name] = own.select(
             *carried,
             F.col("_pre").alias("pre"),
-            (F.col("_pre") + width - 1).alias("post"),
+            (F.col("_pre") + F.col("_span") - 1).alias("post"),
             F.col("_up").alias("parent_pre"),
             F.col("_p").alias("position"),
             *(_get(F.col("_o"), path).alias(name) for name, path in node.fields.items()),
         )
         if node.children:
-            below = own.select(*carried, F.col("_p").alias(f"{node.name}_index"), "_w", "_m", "_pre", "_o")
+            below = own.select(*carried, F.col("_p").alias(f"{node.name}_index"), "_pre", "_o")
             _descend(below, keys, node.children, [*ancestors, f"{node.name}_index"], out)
-        # the next type of sibling starts behind the room of this one
-        most = F.coalesce(F.col("_m").getField(node.name), F.lit(0).cast("long"))
-        start = start + most * F.col("_w").getField(node.name)
-
-
-def _most(nodes: tuple[NodeType, ...], objects: Column | None) -> dict[str, Column]:
-    """The largest number of each type of child below one parent, over the record."""
-    out = {}
-    for node in nodes:
-        if objects is None:
-            array = F.col(node.path)
-            out[node.name], below = _count(array), array
-        else:
-            arrays = _arrays(objects, node.path)
-            out[node.name] = F.coalesce(F.array_max(F.transform(arrays, _count)), F.lit(0).cast("long"))
-            below = F.flatten(F.filter(arrays, lambda a: a.isNotNull()))
-        out |= _most(node.children, below)
-    return out
+        start = start + _spans(node, array)  # the next type of sibling comes behind
 
 
 def node_tables(df: DataFrame, keys: list[str], nodes: tuple[NodeType, ...], root: str = "record", fields: dict[str, str] | None = None) -> dict[str, DataFrame]:
@@ -127,14 +120,8 @@ def node_tables(df: DataFrame, keys: list[str], nodes: tuple[NodeType, ...], roo
             names(n.children)
 
     names(nodes)
-    room, widths = _widths(nodes, None)
-    labelled = df.withColumns(
-        {
-            "_pre": F.lit(0).cast("long"),
-            "_w": F.struct(*(c.alias(n) for n, c in widths.items())),
-            "_m": F.struct(*(c.alias(n) for n, c in _most(nodes, None).items())),
-        }
-    )
+    room = sum((_spans(node, F.col(node.path)) for node in nodes), F.lit(0).cast("long"))
+    labelled = df.withColumn("_pre", F.lit(0).cast("long"))
     out = {
         root: df.select(
             *keys,

@@ -1,8 +1,9 @@
 """Lexical and semantic retrieval over text tables.
 
-Lexical ranking works on postings, one row per (record, term) with the term's frequency: a query is a
-small set of terms, so a ranked search reads the postings of those terms only.  BM25 statistics
-(number of records, average length, document frequency) are aggregates of the same postings.
+A single ranked search counts its terms in one scan of the texts, which then leave the plan: only
+counts are shuffled.  Repeated searches use a stored index (:mod:`cairn.operators.lexical`), of which a
+query reads the postings of its terms.  BM25 statistics (number of records, average length, document
+frequency) are aggregates of either.
 """
 
 from __future__ import annotations
@@ -25,34 +26,33 @@ def terms(c: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def postings(df: DataFrame, key: str, text: Column) -> DataFrame:
-    """``(key, term, tf, n_terms)``; records without terms have none."""
-    split = df.select(key, terms(text).alias("_terms"))
-    each = split.select(key, F.size("_terms").alias("n_terms"), F.explode("_terms").alias("term"))
-    return each.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("n_terms").alias("n_terms"))
+def counted(df: DataFrame, text: Column, query: list[str], *keep: str) -> DataFrame:
+    """``keep``, the number of terms ``_len`` and the counts ``_f0``, ... of the query's terms in each text.
 
+    Terms are counted by their runs; a text without a word as a part is not searched for it.
+    """
+    low = F.lower(F.coalesce(text, F.lit("")))
+    runs = df.select(*keep, low.alias("_low"), F.regexp_count(low, F.lit(r"[\p{L}\p{N}]+")).alias("_len"))
+    alone = lambda w: F.regexp_count("_low", F.lit(rf"(?<![\p{{L}}\p{{N}}]){w}(?![\p{{L}}\p{{N}}])"))
+    return runs.select(*keep, "_len", *(F.when(F.contains("_low", F.lit(w)), alone(w)).otherwise(0).alias(f"_f{i}") for i, w in enumerate(sorted(set(query)))))
 
-def bm25(df: DataFrame, key: str, text: Column, query: list[str]) -> DataFrame:
-    """``(key, score)`` of the records with any query term, by BM25.
 
-    Frequencies of the query's terms are counted inside each row (no postings are built, nothing is
-    exploded); statistics are one aggregate row, the only thing broadcast.
-    """
-    words = sorted(set(query))
-    row = df.select(key, terms(text).alias("_t")).select(key, F.size("_t").alias("_len"), *(F.size(F.filter("_t", _equals(w))).alias(f"_f{i}") for i, w in enumerate(words)))
-    stats = row.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *(F.count_if(F.col(f"_f{i}") > 0).alias(f"_d{i}") for i in range(len(words))))
-    scored = row.where(F.greatest(*(F.col(f"_f{i}") for i in range(len(words))), F.lit(0)) > 0).crossJoin(F.broadcast(stats))
+def bm25_counted(row: DataFrame, n_words: int, *keep: str) -> DataFrame:
+    """``(*keep, score)`` of the counted records with any query term, by BM25; one row of statistics is broadcast."""
+    stats = row.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *(F.count_if(F.col(f"_f{i}") > 0).alias(f"_d{i}") for i in range(n_words)))
+    scored = row.where(F.greatest(*(F.col(f"_f{i}") for i in range(n_words)), F.lit(0), F.lit(0)) > 0).crossJoin(F.broadcast(stats))
+    return scored.select(*keep, sum((_bm25_part(F.col(f"_f{i}"), F.col("_len"), F.col("_n"), F.col("_avg"), F.col(f"_d{i}")) for i in range(n_words)), F.lit(0.0)).alias("score"))
 
-    def part(i: int) -> Column:
-        idf = F.greatest(F.lit(1e-6), F.log((F.col("_n") - F.col(f"_d{i}") + 0.5) / (F.col(f"_d{i}") + 0.5)))
-        tf = F.col(f"_f{i}")
-        return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_len") / F.col("_avg")))
 
-    return scored.select(key, sum((part(i) for i in range(len(words))), F.lit(0.0)).alias("score"))
+def _bm25_part(tf: Column, length: Column, n: Column, mean: Column, df: Column) -> Column:
+    idf = F.greatest(F.lit(1e-6), F.log((n - df + 0.5) / (df + 0.5)))
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
 
-def _equals(word: str):
-    return lambda x: x == word
+def bm25(df: DataFrame, key: str, text: Column, query: list[str]) -> DataFrame:
+    """``(key, score)`` of the records with any query term, by BM25."""
+    words = sorted(set(query))
+    return bm25_counted(counted(df, text, words, key), len(words), key)
 
 
 @dataclass
@@ -88,13 +88,14 @@ def is_operator_query(text: str) -> bool:
             return False
     if depth:
         return False
-    return '"' in text or bool(re.search(r"(?:^|\s)(?:AND|OR|NOT)(?:\s|$)|(?:^|\s)-\w|\w\*(?:\s|$)", text))
+    return '"' in text or bool(re.search(r"(?:^|\s)(?:AND|OR|NOT|NEAR(?:/\d+)?)(?:\s|$)|(?:^|\s)-\w|\w\*(?:\s|$)", text))
 
 
 def matches(text: Column, expression: str) -> Column:
     """A boolean column for an operator expression: "phrases", AND, OR, NOT, -term, prefix*, brackets.
 
-    Adjacent terms mean AND.  Phrases are matched on the blank-joined terms.
+    Adjacent terms mean AND.  Phrases are matched on the blank-joined terms.  ``a NEAR/n b`` asks for
+    at most n terms between two plain terms, in either order (10 without a number).
     """
     import re
 
@@ -118,6 +119,11 @@ def matches(text: Column, expression: str) -> Column:
             return joined.contains(f" {' '.join(plain_words_all(t))} ")
         if t.endswith("*"):
             return joined.contains(f" {t[:-1].lower()}")
+        if at + 1 < len(tokens) and (near := re.fullmatch(r"NEAR(?:/(\d+))?", tokens[at])):
+            a, b, n = t.lower(), tokens[at + 1].lower(), int(near.group(1) or 10)
+            at += 2
+            gap = rf"(?:[^ ]+ ){{0,{n}}}"
+            return joined.rlike(rf" (?:{re.escape(a)} {gap}{re.escape(b)}|{re.escape(b)} {gap}{re.escape(a)}) ")
         return joined.contains(f" {t.lower()} ")
 
     def both() -> Column:
@@ -168,6 +174,36 @@ def cover_density(texts: dict[str, Column], query: list[str]) -> Column:
     return sum(hits[1:], hits[0])
 
 
+def cover_all(texts: dict[str, Column], query: list[str]) -> Column:
+    """Cover-density rank of a query that asks for all of its words.
+
+    A cover is a shortest stretch of the text with every word in it; it counts the harmonic mean of
+    its words' weights, divided by one more than the other terms inside.  Covers are the stretches
+    between a word and the nearest earlier place by which all words have been seen, kept where no
+    later start does as well.  0 where a word is missing.  Positions run on through the classes.
+    """
+    words = sorted(set(query))
+    each = [_weighed(t, 1 / WEIGHTS[c]) for c, t in texts.items()]
+    line = F.concat(*each) if len(each) > 1 else each[0]
+    hits = F.filter(F.transform(line, lambda x, i: F.struct(x["w"].alias("w"), x["v"].alias("v"), i.alias("i"))), lambda x: x["w"].isin(*words))
+    none = F.lit(-1).cast("int")
+    start = F.struct(*(F.struct(none.alias("i"), F.lit(0.0).alias("v")).alias(f"w{k}") for k in range(len(words))), none.alias("taken"), F.lit(0.0).alias("rank"))
+
+    def step(acc: Column, x: Column) -> Column:
+        last = [F.when(x["w"] == w, F.struct(x["i"].alias("i"), x["v"].alias("v"))).otherwise(acc[f"w{k}"]) for k, w in enumerate(words)]
+        first = F.least(*(p["i"] for p in last)) if len(last) > 1 else last[0]["i"]
+        fresh = (first >= 0) & (first > acc["taken"])
+        noise = x["i"] - first - (len(words) - 1)
+        worth = len(words) / sum((p["v"] for p in last[1:]), last[0]["v"]) / (1 + F.greatest(noise, F.lit(0)))
+        return F.struct(*(p.alias(f"w{k}") for k, p in enumerate(last)), F.when(fresh, first).otherwise(acc["taken"]).alias("taken"), (acc["rank"] + F.when(fresh, worth).otherwise(0.0)).alias("rank"))
+
+    return F.aggregate(hits, start, step, lambda acc: acc["rank"])
+
+
+def _weighed(text: Column, weight: float) -> Column:
+    return F.transform(terms(text), lambda x: F.struct(x.alias("w"), F.lit(weight).alias("v")))
+
+
 def rank_hint(base: int, rank: Column) -> Column:
     """A match's score under cover density: the base of its kind plus a hundred times the rank, cut off."""
     return (base + F.greatest(F.lit(0), F.floor(F.round(rank * 100, 6)).cast("int"))).cast("int")
@@ -234,53 +270,83 @@ def knn(df: DataFrame, key: str, vector: str, query: Column, k: int) -> DataFram
     return df.select(key, vectors.cosine(F.col(vector), query).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
-def batch_knn(corpus: DataFrame, queries: DataFrame, key: str, vector: str, k: int, group: str | None = None) -> DataFrame:
+def batch_knn(corpus: DataFrame, queries: DataFrame, key: str, vector: str, k: int, group: str | None = None, block_bytes: int | None = None) -> DataFrame:
     """The ``k`` nearest of all ``corpus`` rows for each query: ``(query_id, key, similarity, rank)``.
 
-    Exact, in blocks: every partition of the corpus is compared with all queries by one matrix
-    product per Arrow batch and keeps its ``k`` best per query, so only ``k`` rows per query and
-    partition are shuffled.  The stated query set is collected; it must be small by nature, and
-    is checked against :data:`MAX_QUERIES`; beyond it, split the queries.  ``group``: a column in
-    which neighbours must agree with the query.  A query is not its own neighbour.
+    Exact, in blocks: every partition of the corpus is compared with a block of queries by matrix
+    products and keeps its ``k`` best per query as it goes, so only ``k`` rows per query and partition
+    are shuffled.  A block is bounded by its bytes; query sets beyond one block are stored and taken
+    block by block, each a scan of the corpus, with the same result.  ``group``: a column in which
+    neighbours must agree with the query (null with null).  A query is not its own neighbour; null
+    vectors are neither queries nor neighbours; vectors of other lengths than the query's are none.
     """
+    columns = [key, vector] + ([group] if group else [])
+    stated = queries.select(*columns).where(F.col(vector).isNotNull())
+    total = stated.agg(F.sum(F.size(vector) * 8 + 64)).first()[0] or 0
+    blocks = max(1, -(-total // (block_bytes or BLOCK_BYTES)))
+    if blocks > 1:
+        from cairn.durable import Workspace
+
+        stated = Workspace(corpus.sparkSession, "knn").cut(stated.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")), "queries", ["_block"])
+    found = [_knn_block(corpus.select(*columns), stated.where(F.col("_block") == b) if blocks > 1 else stated, key, vector, k, group) for b in range(blocks)]
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 9)), key)
+    near = reduce(DataFrame.unionByName, found)
+    return near.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
+
+
+def _knn_block(corpus: DataFrame, queries: DataFrame, key: str, vector: str, k: int, group: str | None) -> DataFrame:
     import numpy as np
     import pandas as pd
-    from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
     columns = [key, vector] + ([group] if group else [])
-    stated = queries.select(*columns).where(F.col(vector).isNotNull()).limit(MAX_QUERIES + 1).toPandas()
-    if len(stated) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries; split the query set")
+    stated = queries.select(*columns).toPandas()  # at most about BLOCK_BYTES
     ids = stated[key].to_numpy()
-    q = np.array([np.asarray(v, dtype=np.float64) for v in stated[vector]]) if len(stated) else np.zeros((0, 1))
-    lengths = np.linalg.norm(q, axis=1, keepdims=True) if len(q) else np.zeros((0, 1))
-    q = np.divide(q, lengths, out=np.zeros_like(q), where=lengths > 0)
-    groups = stated[group].to_numpy() if group else None
-    schema = StructType([StructField("query_id", LongType()), StructField(key, LongType()), StructField("similarity", DoubleType())])
+    width = max((len(v) for v in stated[vector]), default=1)
+    fits = [len(v) == width for v in stated[vector]]
+
+    def unit(rows) -> np.ndarray:
+        x = np.array([np.asarray(v, dtype=np.float64) for v in rows]).reshape(-1, width)
+        size = np.linalg.norm(x, axis=1, keepdims=True)
+        return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+
+    if not all(fits):  # sets of mixed lengths: one length at a time
+        lengths = queries.select(F.size(vector).alias("n")).distinct().collect()
+        return reduce(DataFrame.unionByName, [_knn_block(corpus, queries.where(F.size(vector) == n), key, vector, k, group) for (n,) in lengths])
+    q = unit(stated[vector])
+    groups = stated[group].astype(object).where(stated[group].notna(), None).to_numpy() if group else None
+
+    def best(parts: list) -> pd.DataFrame:
+        near = pd.concat(parts, ignore_index=True)
+        near["_r"] = near["similarity"].round(9)
+        near = near.sort_values(["query_id", "_r", key], ascending=[True, False, True], kind="stable")
+        return near[near.groupby("query_id").cumcount() < k].drop(columns="_r")
 
     def run(batches):
+        held, rows = [], 0
         for batch in batches:
-            batch = batch[batch[vector].notna()]
+            batch = batch[batch[vector].map(lambda v: v is not None and len(v) == width)]
             if not len(batch) or not len(ids):
                 continue
-            x = np.array([np.asarray(v, dtype=np.float64) for v in batch[vector]])
-            size = np.linalg.norm(x, axis=1, keepdims=True)
-            x = np.divide(x, size, out=np.zeros_like(x), where=size > 0)
-            own = batch[key].to_numpy()
+            x, own = unit(batch[vector]), batch[key].to_numpy()
+            theirs = batch[group].astype(object).where(batch[group].notna(), None).to_numpy() if group else None
             for lo in range(0, len(ids), 1024):
                 s = q[lo : lo + 1024] @ x.T
                 s[ids[lo : lo + 1024, None] == own[None, :]] = -2.0
                 if groups is not None:
-                    s[groups[lo : lo + 1024, None] != batch[group].to_numpy()[None, :]] = -2.0
+                    s[groups[lo : lo + 1024, None] != theirs[None, :]] = -2.0
                 m = min(k, s.shape[1])
                 kth = -np.partition(-s, m - 1, axis=1)[:, m - 1 : m]
-                at, of = np.nonzero((s >= kth - 1e-12) & (s > -1.5))  # ties at the edge are settled by key below
-                yield pd.DataFrame({"query_id": ids[lo + at], key: own[of], "similarity": np.maximum(s[at, of], 0.0)})
+                at, of = np.nonzero((s >= kth - 1e-9) & (s > -1.5))  # ties at the edge are settled by key
+                held.append(pd.DataFrame({"query_id": ids[lo + at], key: own[of], "similarity": np.maximum(s[at, of], 0.0)}))
+                rows += len(at)
+            if rows > 8 * k * len(ids) + 100_000:
+                held = [best(held)]
+                rows = len(held[0])
+        if held:
+            yield best(held)
 
-    near = corpus.select(*columns).mapInPandas(run, schema)
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 9)), key)
-    return near.withColumn("rank", F.row_number().over(w).cast(IntegerType())).where(F.col("rank") <= k)
+    return corpus.mapInPandas(run, f"query_id {dict(queries.dtypes)[key]}, `{key}` {dict(corpus.dtypes)[key]}, similarity double")
 
 
-#: Bound of a stated query set that is sent to every task.
-MAX_QUERIES = 100_000
+#: Bytes of query vectors that are sent to every task at once.
+BLOCK_BYTES = 64 << 20

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.operators import timestamps
-from cairn.operators.nested import link
+from cairn.operators.nested import NodeType, link, node_tables
 from cairn.plans.registry import Registry
 from cairn.sources import exports
 from cairn.tables import table
@@ -34,17 +34,21 @@ _FULL = r"(?U)\S"
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Content parts that carry thinking, and responses that carry a message.
 
-    Children carry the positions of their ancestors, so naming the parent's position takes no join.
+    Of the trees only the leaves asked for are read; the labels of what is left name every part's
+    message, and every response's envelope, by interval containment.
     """
-    claude = exports.read_paths(
-        spark, d, "claude_export",
-        ["record_id", *(f"chat_messages.{p}" for p in ("uuid", "text", "sender", "created_at", "updated_at", "content.type", "content.text", "content.thinking", "content.start_timestamp", "content.stop_timestamp", "attachments.file_name", "attachments.file_size", "attachments.extracted_content", "files.file_name"))],
-    )
-    parts = exports.claude_nodes(claude)["part"].where(F.col("thinking").rlike(_FULL))
-    grok = exports.grok_nodes(spark.read.parquet(f"{d}/grok_export.parquet"))
-    responses = grok["response"].where(F.col("message").rlike(_FULL))
-    return parts.select(F.lit("claude_export").alias("source"), "record_id", F.col("message_index"), F.col("position").alias("part_index")).unionByName(
-        responses.select(F.lit("grok_export").alias("source"), "record_id", F.col("position").alias("message_index"), F.lit(0).alias("part_index"))
+    labels = ["record_id", "pre", "post", "position"]
+    claude = exports.read_paths(spark, d, "claude_export", ["record_id", "chat_messages.content.thinking"])
+    part = NodeType("part", "content", {"thinking": "thinking"})
+    tables = node_tables(claude, ["record_id"], (NodeType("message", "chat_messages", children=(part,)),))
+    parts = link(tables["part"].where(F.col("thinking").rlike(_FULL)).select(*labels), tables["message"], "record_id", {"message_index": "position"})
+    grok = exports.read_paths(spark, d, "grok_export", ["record_id", "responses.response.message"])
+    tables = node_tables(grok, ["record_id"], (NodeType("response", "responses", {"message": "response.message"}),), "envelope")
+    responses = link(tables["response"].where(F.col("message").rlike(_FULL)).select(*labels), tables["envelope"], "record_id", {"envelope": "pre"})
+    return (
+        parts.where("message_index is not null")
+        .select(F.lit("claude_export").alias("source"), "record_id", "message_index", F.col("position").alias("part_index"))
+        .unionByName(responses.where("envelope is not null").select(F.lit("grok_export").alias("source"), "record_id", F.col("position").alias("message_index"), F.lit(0).alias("part_index")))
     )
 
 

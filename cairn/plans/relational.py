@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import text
+from cairn.operators import ranks
 from cairn.plans.registry import Registry
 from cairn.sources import archive
 from cairn.tables import table
@@ -201,18 +202,19 @@ def message_lists(spark: SparkSession, d: str) -> DataFrame:
     SELECT event_type, max(CASE WHEN i = CAST(floor((n - 1) * 0.5 + 0.5) AS BIGINT) THEN value END) AS p50, max(CASE WHEN i = CAST(floor((n - 1) * 0.95 + 0.5) AS BIGINT) THEN value END) AS p95, max(value) AS largest FROM r GROUP BY 1"""
 )
 def percentile_nearest_rank(spark: SparkSession, d: str) -> DataFrame:
-    """Percentiles by nearest rank, from counts per distinct value (no group is sorted in one task)."""
-    e = table(spark, d, "events").groupBy("event_type", "value").agg(F.count("*").alias("c"))
-    up = Window.partitionBy("event_type").orderBy("value")
-    ranked = e.withColumn("hi", F.sum("c").over(up)).withColumn("n", F.sum("c").over(Window.partitionBy("event_type")))
-    at = lambda p: F.max(F.when((F.floor((F.col("n") - 1) * p + 0.5) < F.col("hi")) & (F.floor((F.col("n") - 1) * p + 0.5) >= F.col("hi") - F.col("c")), F.col("value")))
-    return ranked.groupBy("event_type").agg(at(0.5).alias("p50"), at(0.95).alias("p95"), F.max("value").alias("largest"))
+    """Percentiles by nearest rank; no group is sorted in one task."""
+    rank = lambda p: lambda n: F.floor((n - 1) * p + 0.5)
+    e = table(spark, d, "events")
+    found = ranks.values_at(e, "event_type", "value", {"p50": (0.5, rank(0.5)), "p95": (0.95, rank(0.95))})
+    return found.join(e.groupBy("event_type").agg(F.max("value").alias("largest")), "event_type").select("event_type", "p50", "p95", "largest")
 
 
 @R.query(sql="SELECT event_type, median(value) AS middle, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1")
 def median_exact(spark: SparkSession, d: str) -> DataFrame:
     """Exact median, the mean of the middle two for even counts."""
-    return table(spark, d, "events").groupBy("event_type").agg(F.percentile("value", 0.5).alias("middle"), F.count("*").alias("n"))
+    low, high = (0.5, lambda n: F.floor((n - 1) / 2)), (0.5, lambda n: F.ceil((n - 1) / 2))
+    found = ranks.values_at(table(spark, d, "events"), "event_type", "value", {"low": low, "high": high})
+    return found.select("event_type", ((F.col("low") + F.col("high")) / 2).alias("middle"), "n")
 
 
 @R.query(sql="SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")

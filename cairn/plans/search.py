@@ -34,12 +34,18 @@ def _bm25_sql(source: str, key: str, text: str) -> str:
 )
 def search_segments(spark: SparkSession, d: str) -> DataFrame:
     """The twenty best artifacts by their best segment under BM25 (a top-k report)."""
-    seg = archive.segments(spark, d, "artifact_id", "text_content")
-    ranked = retrieval.bm25(seg, "segment_id", F.col("text_content"), WORDS)
-    hits = ranked.join(seg.select("segment_id", "artifact_id"), "segment_id").select("artifact_id", "segment_id", retrieval.hint(300, F.col("score")).alias("score_hint"))
+    hits = _segment_scores(spark, d, WORDS).select("artifact_id", "segment_id", retrieval.hint(300, F.col("score")).alias("score_hint"))
     return retrieval.best_per(hits, "artifact_id", "score_hint", "segment_id").orderBy(F.desc("score_hint"), "artifact_id").limit(20)
 
 
+def _segment_scores(spark: SparkSession, d: str, words: list[str]) -> DataFrame:
+    """``(segment_id, artifact_id, score)``: texts are counted where they are read, repeated deliveries reduced by their counts."""
+    raw = retrieval.counted(table(spark, d, "oa_segment"), F.col("text_content"), words, "segment_id", "artifact_id", "created_at", "sequence_no")
+    n = len(set(words))
+    first = raw.groupBy("segment_id").agg(F.min_by(F.struct("artifact_id", "_len", *(f"_f{i}" for i in range(n))), F.struct("created_at", "artifact_id", "sequence_no")).alias("s"))
+    return retrieval.bm25_counted(first.select("segment_id", "s.*"), n, "segment_id", "artifact_id")
+
+
 @R.query(sql=f"WITH {OBJ}, txt AS (SELECT derived_object_id, coalesce(title, '') || ' ' || coalesce(body_text, '') AS tx FROM obj WHERE object_status = 'active'), {_bm25_sql('txt', 'derived_object_id', 'tx')} SELECT derived_object_id, round(score, 6) AS score FROM ranked")
 def bm25_objects(spark: SparkSession, d: str) -> DataFrame:
     """All active objects with any query word, with their BM25 score."""
@@ -153,67 +159,64 @@ def reconcile_disposition(spark: SparkSession, d: str) -> DataFrame:
 
 
 @R.query(
-    sql=f"""WITH {OBJ}, txt AS (SELECT row_number() OVER (ORDER BY derived_object_id) - 1 AS vec_id, coalesce(title, '') || ' ' || coalesce(body_text, '') AS tx FROM obj WHERE object_status = 'active'), {_bm25_sql('txt', 'vec_id', 'tx')},
+    sql=f"""WITH {OBJ}, txt AS (SELECT CAST(regexp_extract(derived_object_id, '-(\\d+)-[^-]*$', 1) AS BIGINT) AS vec_id, coalesce(title, '') || ' ' || coalesce(body_text, '') AS tx FROM obj WHERE object_status = 'active'), {_bm25_sql('txt', 'vec_id', 'tx')},
     q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0), sm AS (SELECT vec_id, greatest(0, list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.e AS DOUBLE[]))) AS sem FROM embeddings v, q),
     b AS (SELECT coalesce(r.vec_id, s.vec_id) AS vec_id, CASE WHEN s.sem IS NULL THEN 0.4 * r.score / (r.score + 1) WHEN r.score IS NULL THEN least(1, s.sem) ELSE 0.4 * r.score / (r.score + 1) + 0.6 * least(1, s.sem) END AS score FROM ranked r FULL JOIN sm s ON r.vec_id = s.vec_id)
-    SELECT CAST(vec_id AS BIGINT) AS vec_id, round(score, 4) AS score FROM b"""
+    SELECT vec_id, round(score, 4) AS score FROM b ORDER BY round(b.score, 9) DESC, vec_id LIMIT 100"""
 )
 def blended_search(spark: SparkSession, d: str) -> DataFrame:
-    """Lexical and semantic scores merged over all records."""
+    """The hundred best records by lexical and semantic score; an object's vector bears its number."""
     o = table(spark, d, "oa_derived_object").where("object_status = 'active'")
-    # numbered in a distributed way: ids are ranked within ranges, ranges by their counts
-    numbered = _numbered(o, "derived_object_id", "vec_id")
     text = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("body_text", F.lit("")))
-    lexical = retrieval.bm25(numbered.select("vec_id", text.alias("t")), "vec_id", F.col("t"), WORDS)
+    number = F.regexp_extract("derived_object_id", r"-(\d+)-[^-]*$", 1).try_cast("long")
+    lexical = retrieval.bm25(o.select(number.alias("vec_id"), text.alias("t")), "vec_id", F.col("t"), WORDS)
     e = table(spark, d, "embeddings")
     query = e.where("vec_id = 0").select(F.col("embedding").alias("q"))
     semantic = e.crossJoin(F.broadcast(query)).select("vec_id", vectors.cosine(F.col("embedding"), F.col("q")).alias("score"))
-    return retrieval.blend(lexical, semantic, "vec_id").select("vec_id", F.round("score", 4).alias("score"))
-
-
-def _numbered(df: DataFrame, order: str, to: str) -> DataFrame:
-    """Consecutive numbers from 0 in the order of a unique column, without one task sorting all."""
-    ranged = df.withColumn("_p", F.substring(order, 1, 12))
-    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_c"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    own = F.row_number().over(Window.partitionBy("_p").orderBy(order)) - 1
-    return ranged.withColumn("_own", own).join(before.select("_p", "_before"), "_p").withColumn(to, F.col("_before") + F.col("_own")).drop("_p", "_own", "_before")
+    best = retrieval.blend(lexical, semantic, "vec_id").orderBy(F.desc(F.round("score", 9)), "vec_id").limit(100)
+    return best.select("vec_id", F.round("score", 4).alias("score"))
 
 
 @R.query(
-    sql=f"""WITH {LNK}, s AS (SELECT DISTINCT derived_object_id AS node FROM oa_derived_object WHERE derived_object_type = 'summary')
+    sql=f"""WITH {LNK}, s AS (SELECT DISTINCT derived_object_id AS node FROM oa_derived_object)
     SELECT node, neighbour, kind FROM (SELECT l.source_object_id AS node, l.target_object_id AS neighbour, l.link_type AS kind FROM lnk l UNION ALL SELECT l.target_object_id, l.source_object_id, l.link_type FROM lnk l) JOIN s USING (node)"""
 )
 def graph_neighbors(spark: SparkSession, d: str) -> DataFrame:
-    """Direct neighbours of all summaries, in both directions."""
-    starts = table(spark, d, "oa_derived_object").where("derived_object_type = 'summary'").select(F.col("derived_object_id").alias("node"))
+    """Direct neighbours of all objects, in both directions."""
+    starts = table(spark, d, "oa_derived_object").select(F.col("derived_object_id").alias("node"))
     return graph.neighbours(starts, archive.links(spark, d), "source_object_id", "target_object_id", "link_type")
 
 
-@R.query(
-    sql=f"""WITH {OBJ}, s AS (SELECT derived_object_id AS node, candidate_key FROM obj WHERE derived_object_type = 'summary' AND candidate_key IS NOT NULL)
-    SELECT s.node, o.derived_object_id AS neighbour FROM s JOIN obj o ON o.candidate_key = s.candidate_key AND o.derived_object_id <> s.node"""
-)
+_KEYED = """k AS (SELECT o.derived_object_id AS node, p.derived_object_id AS neighbour, row_number() OVER (PARTITION BY o.derived_object_id ORDER BY p.derived_object_id) AS rn
+    FROM obj o JOIN obj p ON p.candidate_key = o.candidate_key AND p.derived_object_id <> o.derived_object_id WHERE p.object_status = 'active')"""
+
+
+@R.query(sql=f"WITH {OBJ}, {_KEYED} SELECT node, neighbour FROM k WHERE rn <= 20")
 def shared_key_join(spark: SparkSession, d: str) -> DataFrame:
-    """Objects that share a candidate key with a summary."""
-    o = archive.objects(spark, d)
-    starts = o.where("derived_object_type = 'summary'").select(F.col("derived_object_id").alias("node"))
-    return graph.shared_key(starts, o, "candidate_key", "derived_object_id")
+    """The first twenty active objects that share a candidate key, for every object."""
+    o = archive.objects(spark, d).select("derived_object_id", "candidate_key", "object_status")
+    active = o.where("object_status = 'active'")
+    # starts need not be active, so they bring their own keys
+    return graph.shared_key(o.select(F.col("derived_object_id").alias("node")), active, "candidate_key", "derived_object_id", own=o).select("node", "neighbour")
 
 
 @R.query(
-    sql=f"""WITH {LNK}, {OBJ}, s AS (SELECT derived_object_id AS node, candidate_key FROM obj WHERE derived_object_type = 'classification'),
-    n AS (SELECT node, neighbour, 0 AS branch FROM (SELECT source_object_id AS node, target_object_id AS neighbour FROM lnk UNION ALL SELECT target_object_id, source_object_id FROM lnk) JOIN s USING (node)
-        UNION ALL SELECT s.node, o.derived_object_id, 1 FROM s JOIN obj o ON o.candidate_key = s.candidate_key AND o.derived_object_id <> s.node)
-    SELECT node, neighbour, min(branch) AS branch FROM n GROUP BY 1, 2"""
+    sql=f"""WITH {LNK}, {OBJ}, {_KEYED},
+    a AS (SELECT derived_object_id FROM obj WHERE object_status = 'active'), s AS (SELECT derived_object_id AS node FROM obj),
+    l AS (SELECT node, neighbour, min(archive_link_id) AS e FROM (SELECT source_object_id AS node, target_object_id AS neighbour, archive_link_id FROM lnk UNION ALL SELECT target_object_id, source_object_id, archive_link_id FROM lnk)
+        JOIN s USING (node) WHERE neighbour IN (SELECT derived_object_id FROM a) GROUP BY 1, 2),
+    u AS (SELECT node, neighbour, 0 AS branch, e AS o FROM l UNION ALL SELECT node, neighbour, 1, neighbour FROM k),
+    b AS (SELECT node, neighbour, min(branch) AS branch, arg_min(o, branch) AS o FROM u GROUP BY 1, 2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY branch, o, neighbour) AS place FROM b)
+    SELECT node, neighbour, CASE branch WHEN 0 THEN 'link' ELSE 'shared_key' END AS relation, CAST(place AS INTEGER) AS place FROM r WHERE place <= 20"""
 )
 def related_objects(spark: SparkSession, d: str) -> DataFrame:
-    """Neighbours by link first, by shared key second, each once."""
-    o = archive.objects(spark, d)
-    starts = o.where("derived_object_type = 'classification'").select(F.col("derived_object_id").alias("node"))
-    linked = graph.neighbours(starts, archive.links(spark, d), "source_object_id", "target_object_id", "link_type").select("node", "neighbour", F.lit(0).alias("branch"))
-    keyed = graph.shared_key(starts, o, "candidate_key", "derived_object_id").select("node", "neighbour", F.lit(1).alias("branch"))
-    return linked.unionByName(keyed).groupBy("node", "neighbour").agg(F.min("branch").alias("branch"))
+    """The twenty nearest active objects of every object: linked ones first, then by shared key."""
+    o = archive.objects(spark, d).select("derived_object_id", "candidate_key", "object_status")
+    active = o.where("object_status = 'active'")
+    alive = active.select(F.col("derived_object_id").alias("neighbour"))
+    edges = archive.links(spark, d).select(F.col("source_object_id").alias("source"), F.col("target_object_id").alias("target"), F.col("archive_link_id").alias("edge_id"))
+    return graph.related(o.select(F.col("derived_object_id").alias("node")), edges, active, "candidate_key", "derived_object_id", 20, own=o, alive=alive)
 
 
 @R.query(

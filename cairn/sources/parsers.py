@@ -125,7 +125,7 @@ _LINK = re.compile(r"(!?)\[((?:[^\[\]\\]|\\.|\[[^\[\]]*\])*)\]\(((?:[^()\s\\]|\\
 _TAG = re.compile(r"(?:^|(?<=[\s(\[{]))#([A-Za-z0-9_/-]+)")
 _TEMPLATE = ("${", "<%", "%>", "{{")
 # Extensions of attachments.
-ATTACHMENTS = frozenset("png jpg jpeg gif svg webp bmp tif tiff pdf mp3 wav m4a ogg flac mp4 mov webm mkv avi zip doc docx xls xlsx ppt pptx csv canvas excalidraw".split())
+ATTACHMENTS = frozenset("avif base bmp canvas csv doc docx epub gif heic jpeg jpg m4a mdx mov mp3 mp4 ogg pdf png ppt pptx svg txt wav webm webp xls xlsx zip".split())
 
 
 def _kind(value: str) -> str:
@@ -169,12 +169,45 @@ def _target(raw: str) -> tuple[str, str | None, str | None]:
     return path.strip(), anchor.strip() or None, None
 
 
+def vault_target(uri: str) -> str | None:
+    """The note path inside a vault that an application or file address names; None for other addresses.
+
+    ``obsidian://open?vault=v&file=a%2Fb`` names ``a/b.md``; ``file:///x/a/b.md`` its path.
+    """
+    from urllib.parse import parse_qs, unquote, urlsplit
+
+    try:
+        parts = urlsplit(uri)
+    except ValueError:
+        return None
+    if parts.scheme == "obsidian" and parts.netloc == "open":
+        named = parse_qs(parts.query).get("file", [""])[0]
+        return ensure_note(named) if named.strip() else None
+    if parts.scheme == "file":
+        return unquote(parts.path).lstrip("/") or None
+    return None
+
+
+def ensure_note(path: str) -> str:
+    """A note path with its extension; paths that have one, and anchors, stay."""
+    name, mark, anchor = path.strip().partition("#")
+    last = name.rpartition("/")[2]
+    return (name if not last or "." in last.strip(".") else f"{name}.md") + mark + anchor
+
+
+def stem(path: str) -> str:
+    """The last part of a path without its note extension, in lower case."""
+    last = path.replace("\\", "/").rpartition("/")[2]
+    return re.sub(r"\.(?:md|markdown)$", "", last, flags=re.I).lower()
+
+
 def _class_of(target: str) -> str:
     if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", target):
-        return "external"
+        inner = vault_target(target)
+        return _class_of(inner) if inner else "external"
     path, heading, block = _target(target)
-    extension = path.rpartition(".")[2].lower() if "." in path else ""
-    return "attachment" if extension in ATTACHMENTS else "block" if block else "heading" if heading else "note"
+    base, _, extension = path.rpartition("/")[2].rpartition(".")
+    return "attachment" if base and extension.lower() in ATTACHMENTS else "block" if block else "heading" if heading else "note"
 
 
 def parse_note(path: str, text: str) -> dict:

@@ -51,6 +51,38 @@ def test_containment_finds_the_parent(tables):
     assert {(r.m, r.t) for r in grand} == {(1, "a"), (2, "a"), (3, "c")}
 
 
+def _walk(record):
+    """The numbers that a depth-first walk gives, by node type and positions."""
+    tick, out = 0, {}
+
+    def visit(name, place, children):
+        nonlocal tick
+        pre, tick = tick, tick + 1
+        for child, values, below in children:
+            for i, value in enumerate(values or []):
+                if value is not None:
+                    visit(child, (*place, i), below(value))
+        out[(name, place)] = (pre, tick)
+        tick += 1
+
+    marks = lambda p: [("mark", p[1], lambda m: [])]
+    message = lambda m: [("part", m[1], marks), ("file", m[2], lambda f: [])]
+    visit("record", (), [("message", record[1], message), ("tag", record[2], lambda t: [])])
+    return out
+
+
+def test_labels_are_those_of_a_depth_first_walk(spark, tables):
+    deep = (7, [(f"m{i}", [(f"p{j}", [(k,) for k in range(j % 4)]) for j in range(i % 9)], [("f",)] * (i % 3)) for i in range(50)], [("t",), None], 5)
+    for rows, found in ((ROWS, tables), ([deep], node_tables(spark.createDataFrame([deep], SCHEMA), ["id"], SPEC))):
+        for record in rows:
+            got = {}
+            for name, t in found.items():
+                for r in t.where(F.col("id").eqNullSafe(F.lit(record[0]))).collect():
+                    place = () if name == "record" else (*(r[c] for c in t.columns if c.endswith("_index")), r.position)
+                    got[(name, place)] = (r.pre, r.post)
+            assert got == _walk(record)
+
+
 def test_clashing_names_are_refused_and_empty_tables_work(spark):
     with pytest.raises(ValueError):
         node_tables(spark.createDataFrame(ROWS, SCHEMA), ["id"], (NodeType("m", "messages", {"pre": "text"}),))

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,8 +108,11 @@ def test_knn_against_brute_force(spark):
 def test_hot_key_neighbours(spark):
     objects = spark.range(5000).select(F.concat(F.lit("d-"), "id").alias("oid"), F.when(F.col("id") % 2 == 0, "hot").when(F.col("id") % 3 == 0, "").otherwise(F.concat(F.lit("k"), "id")).alias("key"))
     starts = spark.createDataFrame([("d-0",), ("d-1",), ("d-3",), ("none",)], "node string")
-    got = graph.shared_key(starts, objects, "key", "oid").groupBy("node").count().collect()
-    assert {r.node: r["count"] for r in got} == {"d-0": 2499}
+    found = graph.shared_key(starts, objects, "key", "oid", 20)
+    assert {r.node: r["count"] for r in found.groupBy("node").count().collect()} == {"d-0": 20}
+    hot = sorted(f"d-{i}" for i in range(2, 5000, 2))
+    assert sorted(r.neighbour for r in found.collect()) == hot[:20]
+    assert graph.shared_key(starts, objects, "key", "oid", 10_000).count() == 2499
 
 
 def test_stars(spark):
@@ -179,3 +183,56 @@ def test_store(spark, tmp_path):
     assert table.read().count() == 2 and reader.count() == 3
     copy_table(table.read(), path=str(tmp_path / "copy"))
     assert spark.read.parquet(str(tmp_path / "copy")).count() == 2
+
+
+def test_related_links_first_then_keys(spark):
+    objects = spark.createDataFrame([("a", "k"), ("b", "k"), ("c", "k"), ("d", None), ("e", "")], "oid string, key string")
+    edges = spark.createDataFrame([("a", "c", "e2"), ("d", "a", "e1"), ("c", "a", "e0")], "source string, target string, edge_id string")
+    starts = objects.select(F.col("oid").alias("node"))
+    got = {}
+    for r in graph.related(starts, edges, objects, "key", "oid", 2).orderBy("node", "place").collect():
+        got.setdefault(r.node, []).append((r.neighbour, r.relation))
+    assert got == {"a": [("c", "link"), ("d", "link")], "b": [("a", "shared_key"), ("c", "shared_key")], "c": [("a", "link"), ("b", "shared_key")], "d": [("a", "link")]}
+
+
+def test_knn_blocks_equal_one(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.integers(-2, 3, 6).astype("float32").tolist(), i % 2 or None) for i in range(200)] + [(900, None, 1), (901, [1.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    queries = df.where("vec_id % 5 = 0")
+    one = sorted(map(tuple, retrieval.batch_knn(df, queries, "vec_id", "embedding", 5, "label").collect()))
+    many = sorted(map(tuple, retrieval.batch_knn(df, queries, "vec_id", "embedding", 5, "label", block_bytes=1000).collect()))
+    assert len(one) == 5 * 40 and one == many
+
+
+def test_ranks_of_skewed_groups(spark):
+    from cairn.operators import ranks
+
+    rng = np.random.default_rng(5)
+    rows = [("hot", float(v)) for v in np.round(rng.exponential(10, 30_000), 2)] + [("few", 2.0), ("few", 1.0), ("nan", float("nan")), ("nan", 3.0), (None, 4.0), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    at = lambda p: (p, lambda n: F.floor((n - 1) * p))
+    got = {r.g: (r.n, r.p0, r.p50, r.p99) for r in ranks.values_at(df, "g", "v", {"p0": at(0.0), "p50": at(0.5), "p99": at(0.99)}).collect()}
+    hot = sorted(v for g, v in rows if g == "hot")
+    assert got["hot"] == (30_000, hot[0], hot[int(29_999 * 0.5)], hot[int(29_999 * 0.99)])
+    assert got["few"] == (2, 1.0, 1.0, 1.0) and got["nan"][:3] == (2, 3.0, 3.0) and got[None] == (1, 4.0, 4.0, 4.0) and "none" not in got
+
+
+def test_near_and_cover(spark):
+    df = spark.createDataFrame([(1, "red x y blue"), (2, "blue red"), (3, "red a b c d e f blue"), (4, "red"), (5, None)], "i int, t string")
+    near = {r.i for r in df.where(retrieval.matches(F.col("t"), "red NEAR/2 blue")).collect()}
+    assert near == {1, 2} and retrieval.is_operator_query("red NEAR/2 blue")
+    rank = {r.i: r.r for r in df.select("i", retrieval.cover_all({"D": F.col("t")}, ["red", "blue"]).alias("r")).collect()}
+    assert rank[2] == pytest.approx(0.1) and rank[1] == pytest.approx(0.1 / 3) and rank[3] == pytest.approx(0.1 / 7) and rank[4] == 0 and not rank[5]
+
+
+def test_folding_and_targets(spark):
+    from cairn.functions import text
+    from cairn.sources import parsers
+
+    got = spark.range(1).select(text.folded(F.lit("Caf\u00c9 \u00fcber \u0141\u00f3d\u017a")).alias("t")).first().t
+    assert got == "cafe uber \u0142odz"
+    assert parsers._class_of("a/b.avif") == parsers._class_of("x.txt") == "attachment" and parsers._class_of("x.tiff") == parsers._class_of(".txt") == "note"
+    assert parsers.vault_target("obsidian://open?vault=v&file=a%2Fb") == "a/b.md" and parsers.vault_target("https://a.b/c") is None
+    assert parsers._class_of("obsidian://open?vault=v&file=a%2Fb%23H") == "heading" and parsers._class_of("file:///x/y.png") == "attachment"
+    assert parsers.ensure_note("a/b#h") == "a/b.md#h" and parsers.ensure_note("a.md") == "a.md" and parsers.stem("x\\y/Note.MD") == "note"
