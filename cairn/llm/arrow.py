@@ -13,10 +13,10 @@ from pyspark.sql.types import StructField, StructType
 CHUNK = 8_000_000
 
 
-def explode_texts(df: DataFrame, keys: list[str], text: str, make: Callable[[], Callable[[str | None], list[tuple]]], fields: list[StructField]) -> DataFrame:
+def explode_texts(df: DataFrame, keys: list[str], text: str, make: Callable[[], Callable[..., list[tuple]]], fields: list[StructField], also: str | None = None) -> DataFrame:
     """``keys`` and ``fields`` for every tuple that a function returns for the row's text.
 
-    ``make`` builds the function once per task.  Keys are passed through untouched, nulls and any
+    ``make`` builds the function once per task; the value of the column ``also``, if named, is its second argument.  Keys are passed through untouched, nulls and any
     type included; a key may not have the name of a field.
     """
     if clash := {f.name for f in fields} & set(keys):
@@ -28,6 +28,7 @@ def explode_texts(df: DataFrame, keys: list[str], text: str, make: Callable[[],
         function = make()
         for batch in batches:
             texts = batch.column(text)
+            others = batch.column(also) if also else None
             held: list[list] = [[] for _ in fields]
             index: list[int] = []
             size = 0
@@ -45,7 +46,7 @@ def explode_texts(df: DataFrame, keys: list[str], text: str, make: Callable[[],
 
             for i in range(batch.num_rows):
                 value = texts[i].as_py()
-                for row in function(value):
+                for row in function(value, others[i].as_py()) if also else function(value):
                     index.append(i)
                     for h, v in zip(held, row):
                         h.append(v)
@@ -54,4 +55,4 @@ def explode_texts(df: DataFrame, keys: list[str], text: str, make: Callable[[],
                     yield flush()
             yield flush()
 
-    return df.select(*keys, text).mapInArrow(run, schema)
+    return df.select(*keys, text, *([also] if also else [])).mapInArrow(run, schema)

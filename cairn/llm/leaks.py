@@ -5,13 +5,14 @@ All runs of :data:`RUN` words of the normalised passages go into one automaton.
 belongs to.  Hits of one passage that stay on a diagonal form a chain, over changed, missing or
 added words; the ends of a chain are extended word by word.  A chain counts when it covers
 :data:`LEAST` words of the passage, or the whole of a shorter one, and all but a few are unchanged; of a chain with more changes its longest
-part that is so counts.  Word offsets are kept, so spans
-refer to the original text.
+part that is so counts.  Only texts with hits are looked at word by word; their words keep their
+offsets, also where lower case is longer than the text, so spans refer to the original.
 
 An instruction line, set off by a blank line and shared by several items, is not part of a passage.
 
-The automaton holds the evaluation set only (400 items at every scale), so shipping it is bounded
-by that set; the corpus is scanned in place, without a shuffle.
+The evaluation set is taken in blocks of :data:`BLOCK` characters, each one automaton: one block for
+sets of usual size, and one scan of the corpus for each block beyond, so what is shipped to the tasks
+is bounded.  The corpus is scanned in place, without a shuffle.
 
 Defined results: null and empty texts and items have no hits; items with the same passage are all
 reported; a passage that occurs twice in a text is one leak (the longest span); extra columns are
@@ -20,13 +21,16 @@ ignored; very long texts take time in proportion to their length.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+import re
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 from difflib import SequenceMatcher
 
 import ahocorasick
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField
 
 from cairn.llm.arrow import explode_texts
@@ -34,6 +38,8 @@ from cairn.llm.shingles import WORD
 
 RUN = 5
 LEAST = 22
+#: Characters of passages in one automaton.
+BLOCK = 16_000_000
 #: A chain may drift by so many words (missing or added ones) and skip so many between two hits.
 DRIFT, SKIP = 3, 12
 #: Extension at the ends: score of a matching and of a changed word.
@@ -79,24 +85,41 @@ def _longest_run(hits: list[tuple[int, int, int]]) -> tuple[int, int, int]:
     return best
 
 
-def passages(items: list[tuple[int, str | None]]) -> dict[int, list[str]]:
-    """Words of each item's passage, without a shared instruction line."""
-    heads = Counter(t.strip().split("\n\n", 1)[0].strip() for _, t in items if t and "\n\n" in t.strip())
-    out = {}
-    for item, text in items:
-        text = (text or "").strip()
-        head, sep, rest = text.partition("\n\n")
-        if sep and heads[head.strip()] > 1:
-            text = rest
-        out[item] = WORD.findall(text.lower())
-    return out
+def passages(items: DataFrame) -> DataFrame:
+    """``(item_id, passage)``: items without an instruction line that several share; null and blank items have none."""
+    text = F.regexp_replace("text", r"(?U)^\s+|\s+$", "")
+    split = items.select("item_id", text.alias("text")).where("text <> ''").withColumn("_head", F.when(F.contains("text", F.lit("\n\n")), F.substring_index("text", "\n\n", 1)))
+    head = F.regexp_replace("_head", r"(?U)^\s+|\s+$", "")
+    shared = split.where("_head is not null").groupBy(head.alias("_shared")).agg(F.count("*").alias("_n")).where("_n > 1")
+    joined = split.join(shared, head == F.col("_shared"), "left")
+    return joined.select("item_id", F.when(F.col("_n") > 1, F.expr("substring(text, length(_head) + 3)")).otherwise(F.col("text")).alias("passage"))
+
+
+#: Texts of characters that are letters or digits by themselves or no part of a word, as far as these are concerned.
+_PLAIN = re.compile(r"[\x00-\u02ff\u0370-\u0482\u048a-\u0590\u2000-\u20cf\u2100-\u2bff]*")
+_PLAIN_WORD = re.compile(r"[^\W_]+")
+_ASCII = {i: " " for i in range(128) if not chr(i).isalnum()}
+
+
+def joined_words(low: str) -> str:
+    """The words of a text in lower case, single spaces between them."""
+    if low.isascii():
+        return " ".join(low.translate(_ASCII).split())
+    return " ".join((_PLAIN_WORD if _PLAIN.fullmatch(low) else WORD).findall(low))
+
+
+def _places(text: str, low: str) -> np.ndarray | None:
+    """Where each character of the lower-case text stands in the original; None where nothing moves."""
+    if len(low) == len(text):
+        return None
+    return np.append(np.repeat(np.arange(len(text)), [len(c.lower()) for c in text]), len(text))
 
 
 class Scanner:
-    """The automaton of a set of passages."""
+    """The automaton of a set of passages ``(item, passage)``."""
 
     def __init__(self, items: list[tuple[int, str | None]]) -> None:
-        self.words = passages(items)
+        self.words = {item: joined_words((text or "").lower()).split() for item, text in items}
         runs: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for item, words in self.words.items():
             n = min(RUN, len(words))
@@ -147,19 +170,19 @@ class Scanner:
         """``(item, words of the passage, start, end)`` of every leak in a text; end is exclusive."""
         if not text or self._empty:
             return []
-        found = list(WORD.finditer(text.lower()))
-        if not found:
+        low = text.lower()
+        line = f" {joined_words(low)} "
+        raw = list(self._automaton.iter(line))
+        if not raw:
             return []
-        words = [m.group() for m in found]
+        words = line.split()
         at = np.cumsum([0, *(len(w) + 1 for w in words)])  # where each word's leading space is
         hits: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-        ends = {int(p): k for k, p in enumerate(at)}
-        for end, (n, places) in self._automaton.iter(f" {' '.join(words)} "):
-            j = ends[end] - n
+        for k, (_, (n, places)) in zip(np.searchsorted(at, [end for end, _ in raw]).tolist(), raw):
             for item, i in places:
-                hits[item].append((j, i, n))
+                hits[item].append((k - n, i, n))
         out = []
-        exact = len(text.lower()) == len(text)
+        spans = None
         for item, own in hits.items():
             passage = self.words[item]
             need = min(LEAST, len(passage))
@@ -176,13 +199,24 @@ class Scanner:
                     if part and (best is None or part[0] > best[0]):
                         best = (part[0], j0 - back + part[1], j0 - back + part[2])
             if best:
-                start, stop = (found[best[1]].start(), found[best[2] - 1].end()) if exact else (-1, -1)
+                if spans is None:
+                    spans, places = [m.span() for m in WORD.finditer(low)], _places(text, low)
+                start, stop = spans[best[1]][0], spans[best[2] - 1][1]
+                if places is not None:
+                    start, stop = int(places[start]), int(places[stop - 1]) + 1
                 out.append((item, best[0], start, stop))
         return sorted(out)
 
 
 def leaks(documents: DataFrame, items: DataFrame, key: str, text: str) -> DataFrame:
     """``(key, item_id, n_words, start_char, end_char)`` of every leak; items: item_id, text."""
-    listed = [(r[0], r[1]) for r in items.select("item_id", "text").collect()]  # the evaluation set is small by nature
+    passage = passages(items.select("item_id", "text"))
+    size = passage.agg(F.sum(F.length("passage"))).first()[0] or 0
+    blocks = max(1, -(-size // BLOCK))
     fields = [StructField("item_id", LongType()), *(StructField(n, IntegerType()) for n in ("n_words", "start_char", "end_char"))]
-    return explode_texts(documents, [key], text, lambda: Scanner(listed).scan, fields)
+    out = []
+    for block in range(blocks):
+        mine = passage.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block) if blocks > 1 else passage
+        listed = documents.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in mine.collect()])  # about BLOCK characters
+        out.append(explode_texts(documents, [key], text, lambda listed=listed: Scanner(listed.value).scan, fields))
+    return reduce(DataFrame.unionByName, out)

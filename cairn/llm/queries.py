@@ -120,7 +120,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 @R.query()
 def p10_sentences(spark: SparkSession, d: str) -> DataFrame:
     """All sentences of all documents with their place."""
-    return sentences.sentence_table(table(spark, d, "documents"), "doc_id", "text")
+    return sentences.sentence_table(table(spark, d, "documents"), "doc_id", "text", "lang")
 
 
 @R.query()

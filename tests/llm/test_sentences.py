@@ -27,6 +27,25 @@ def test_cases(parts, glue):
     assert [text[s:e] for s, e in sentences(text)] == parts
 
 
+def parts(text, lang=None):
+    return [text[s:e] for s, e in sentences(text, lang)]
+
+
+def test_abbreviations_act_in_their_language():
+    assert parts("She lives on Main St. He left.") == ["She lives on Main St.", "He left."]
+    assert parts("We met at St. Peter today. He left.") == ["We met at St. Peter today.", "He left."]
+    assert parts("It was the work of Ing. The rest is in the file.") == ["It was the work of Ing.", "The rest is in the file."]
+    assert parts("Das war für Ing. Maier und nicht mehr.") == ["Das war für Ing. Maier und nicht mehr."]
+    assert parts("Ing. Maier", "de") == ["Ing. Maier"] and parts("Ing. Maier", "en") == ["Ing.", "Maier"]
+    assert parts("Die Antwort ist das Abs. 3 nicht. Gut.", "en") == ["Die Antwort ist das Abs. 3 nicht.", "Gut."]  # the text tells, not the label
+
+
+def test_line_and_paragraph_separators():
+    assert parts("no stop\u2029next one") == ["no stop", "next one"]
+    assert parts("a line\u2028goes on. Then.") == ["a line\u2028goes on.", "Then."]
+    assert parts("# Head\r\nbody\r\n\r\nmore") == ["# Head", "body", "more"]
+
+
 def test_blank_lines_always_end_one():
     text = "no stop here\n\n  \nand lower case"
     assert [text[s:e] for s, e in sentences(text)] == ["no stop here", "and lower case"]
