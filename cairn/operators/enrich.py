@@ -145,6 +145,27 @@ def supersede(objects: DataFrame, replaced: DataFrame) -> DataFrame:
     return objects.join(hit, "artifact_id", "left").withColumn("object_status", status).drop("_hit")
 
 
+def change_status(objects: DataFrame, asked: DataFrame) -> DataFrame:
+    """``(derived_object_id, object_status, replacement, outcome)`` of status changes ``(derived_object_id, to_status, replacement)``.
+
+    Only active objects change, to superseded or rejected; a replacement is named only for the former.
+    A change of an object that is not active, or not there, or to another status, is an error and
+    changes nothing.  Of several changes of one object the least status counts.
+    """
+    one = asked.groupBy("derived_object_id").agg(F.min(F.struct("to_status", "replacement")).alias("c")).select("derived_object_id", "c.*")
+    found = one.join(objects.select("derived_object_id", "object_status"), "derived_object_id", "left")
+    fits = F.col("to_status").isin("superseded", "rejected")
+    outcome = F.when(F.col("object_status").isNull(), "not_found").when(F.col("object_status") != "active", "not_active").when(~fits, "no_such_status").otherwise("changed")
+    done = found.withColumn("outcome", outcome)
+    status = F.when(F.col("outcome") == "changed", F.col("to_status")).otherwise(F.col("object_status"))
+    return done.select("derived_object_id", status.alias("object_status"), F.when((F.col("outcome") == "changed") & (F.col("to_status") == "superseded"), F.col("replacement")).alias("replacement"), "outcome")
+
+
+def agent_write(writes: DataFrame) -> DataFrame:
+    """Objects written by an agent, ``writes(write_id, ...)``: active, each in a run named after its write."""
+    return writes.withColumns({"derivation_run_id": F.concat(F.lit("agentrun-"), "write_id"), "object_status": F.lit("active"), "origin_kind": F.lit("agent")})
+
+
 def cluster(df: DataFrame, group: str, key: str, text: Column, threshold: float = 0.9) -> DataFrame:
     """``(group, key, leader)``: greedy clusters in key order, the first similar leader wins.
 

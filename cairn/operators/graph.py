@@ -76,6 +76,30 @@ def groups_by_value(items: DataFrame, member: str, value: str) -> DataFrame:
     return own.join(hub, value).select(value, "hub", member, "n_members")
 
 
+def keyed_elsewhere(objects: DataFrame, owner: str, key: str, ident: str, limit: int) -> DataFrame:
+    """The first ``limit`` objects, by key and id, that share a key with an owner's objects but belong to others.
+
+    ``(owner, ident, place)``.  Of a key's members at most ``limit`` of each owner, and of those the first
+    ``2 * limit``, can be among any owner's neighbours, so a hot key is cut to these before it is joined.
+    """
+    keyed = objects.where(F.col(key).isNotNull() & (F.col(key) != "") & F.col(owner).isNotNull()).select(F.col(owner).alias("_of"), F.col(key).alias("_key"), ident).distinct()
+    mine = Window.partitionBy("_key", "_of").orderBy(ident)
+    few = keyed.withColumn("_rn", F.row_number().over(mine)).where(F.col("_rn") <= limit)
+    few = few.withColumn("_rn", F.row_number().over(Window.partitionBy("_key").orderBy(ident))).where(F.col("_rn") <= 2 * limit)
+    met = keyed.select(F.col("_of").alias(owner), "_key").distinct().join(few.drop("_rn"), "_key").where(F.col(owner) != F.col("_of"))
+    best = Window.partitionBy(owner).orderBy("_key", ident)
+    return met.withColumn("place", F.row_number().over(best)).where(F.col("place") <= limit).select(owner, ident, "place")
+
+
+def structural(aliases: DataFrame, tags: DataFrame, named: DataFrame) -> DataFrame:
+    """``(kind, source, target, value)``: members of shared aliases and tags to their hubs, and ``named(artifact_id, alias)``
+    to the one artifact that bears the alias."""
+    star = lambda df, value, kind: groups_by_value(df, "artifact_id", value).where("artifact_id <> hub").select(F.lit(kind).alias("kind"), F.col("artifact_id").alias("source"), F.col("hub").alias("target"), F.col(value).alias("value"))
+    told = resolve_unique(named.select(F.col("artifact_id").alias("source"), F.col("alias").alias("value")), "value", aliases, "alias", "artifact_id")
+    told = told.where("resolved is not null and source <> resolved").select(F.lit("mention").alias("kind"), "source", F.col("resolved").alias("target"), "value")
+    return star(aliases, "alias", "shared_alias").unionByName(star(tags, "tag", "shared_tag")).unionByName(told)
+
+
 def resolve_unique(links: DataFrame, target: str, owners: DataFrame, name: str, owner: str) -> DataFrame:
     """Links whose target name exactly one owner bears, with that owner; others keep null."""
     unique = owners.groupBy(name).agg(F.count_distinct(owner).alias("_n"), F.min(owner).alias("resolved")).where("_n = 1").select(F.col(name).alias(target), "resolved")

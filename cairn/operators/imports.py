@@ -45,3 +45,58 @@ def first_match(candidates: DataFrame, existing: DataFrame, keys: list[str], ide
 def append_unique(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
     """``first``, then what ``second`` has under other keys."""
     return first.unionByName(second.join(first.select(key).distinct(), key, "left_anti"))
+
+
+def write_outcomes(rows: DataFrame, batch: str, key: str, order: str) -> DataFrame:
+    """``(batch, n_created, n_existing, n_failed, status)`` of imports written as sets.
+
+    ``rows(batch, key, order, error)``: a row with an error fails alone; of the others the first of each
+    key is created and the rest exist already.  A null batch is a batch.
+    """
+    from pyspark.sql import functions as F
+
+    first = rows.where("error is null").groupBy(key).agg(F.min(order).alias("_first"))
+    told = rows.join(first, key, "left")
+    outcome = F.when(F.col("error").isNotNull(), "failed").when(F.col(order) == F.col("_first"), "created").otherwise("existing")
+    counts = told.groupBy(batch).agg(*(F.count_if(outcome == k).alias(f"n_{k}") for k in ("created", "existing", "failed")))
+    status = F.when(F.col("n_failed") == 0, "completed").when(F.col("n_created") + F.col("n_existing") == 0, "failed").otherwise("completed_with_errors")
+    return counts.withColumn("status", status)
+
+
+def payloads(rows: DataFrame, content: str) -> DataFrame:
+    """``(sha256, payload)``: every distinct content once, by its digest."""
+    from pyspark.sql import functions as F
+
+    return rows.where(F.col(content).isNotNull()).groupBy(F.sha2(content, 256).alias("sha256")).agg(F.first(content).alias("payload"))
+
+
+def manifest(files: DataFrame, vault: str, path: str, content: str) -> DataFrame:
+    """``(vault, path, sha256, entry)``: one JSON entry a file; written sorted by vault and path it is the vault's manifest."""
+    from pyspark.sql import functions as F
+
+    digest = F.sha2(content, 256)
+    entry = F.to_json(F.struct(F.col(path).alias("path"), digest.alias("sha256"), F.octet_length(content).alias("bytes")))
+    return files.select(vault, path, digest.alias("sha256"), entry.alias("entry"))
+
+
+def stride(rows: DataFrame, order: str, n: int) -> DataFrame:
+    """``(order, place)`` of ``n`` rows at equal strides of their rank by a unique column.
+
+    Ranks are counted within ranges of the order and moved by the sizes of the ranges before, so no
+    task sorts all rows; the sizes, one row a range, are what one task adds up.
+    """
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from cairn.durable import Workspace
+
+    spark = rows.sparkSession
+    # written once: ranges are cut by sampling, and a range must not change between the two reads
+    cut = Workspace(spark, "stride").cut(rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id()), "ranges")
+    sizes = cut.groupBy("_p").agg(F.count("*").alias("_n"), F.min(order).alias("_least"))
+    whole = Window.orderBy("_least")
+    before = sizes.select("_p", (F.sum("_n").over(whole) - F.col("_n")).alias("_before"), F.sum("_n").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_all"))
+    own = F.row_number().over(Window.partitionBy("_p").orderBy(order)) - 1
+    placed = cut.withColumn("_own", own).join(F.broadcast(before), "_p").withColumn("place", (F.col("_before") + F.col("_own")).cast("long"))
+    step = F.greatest(F.lit(1), F.expr(f"_all div {int(n)}"))
+    return placed.where((F.col("place") % step == 0) & (F.floor(F.col("place") / step) < n)).select(order, "place")

@@ -270,17 +270,17 @@ def knn(df: DataFrame, key: str, vector: str, query: Column, k: int) -> DataFram
     return df.select(key, vectors.cosine(F.col(vector), query).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
-def batch_knn(corpus: DataFrame, queries: DataFrame, key: str, vector: str, k: int, group: str | None = None, block_bytes: int | None = None) -> DataFrame:
+def batch_knn(corpus: DataFrame, queries: DataFrame, key: str, vector: str, k: int, group: str | None = None, block_bytes: int | None = None, other: str | None = None) -> DataFrame:
     """The ``k`` nearest of all ``corpus`` rows for each query: ``(query_id, key, similarity, rank)``.
 
     Exact, in blocks: every partition of the corpus is compared with a block of queries by matrix
     products and keeps its ``k`` best per query as it goes, so only ``k`` rows per query and partition
     are shuffled.  A block is bounded by its bytes; query sets beyond one block are stored and taken
     block by block, each a scan of the corpus, with the same result.  ``group``: a column in which
-    neighbours must agree with the query (null with null).  A query is not its own neighbour; null
+    neighbours must agree with the query (null with null); ``other``: one in which they must differ.  A query is not its own neighbour; null
     vectors are neither queries nor neighbours; vectors of other lengths than the query's are none.
     """
-    columns = [key, vector] + ([group] if group else [])
+    columns = [key, vector] + [c for c in (group, other) if c]
     stated = queries.select(*columns).where(F.col(vector).isNotNull())
     total = stated.agg(F.sum(F.size(vector) * 8 + 64)).first()[0] or 0
     blocks = max(1, -(-total // (block_bytes or BLOCK_BYTES)))
@@ -288,17 +288,17 @@ def batch_knn(corpus: DataFrame, queries: DataFrame, key: str, vector: str, k: i
         from cairn.durable import Workspace
 
         stated = Workspace(corpus.sparkSession, "knn").cut(stated.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")), "queries", ["_block"])
-    found = [_knn_block(corpus.select(*columns), stated.where(F.col("_block") == b) if blocks > 1 else stated, key, vector, k, group) for b in range(blocks)]
+    found = [_knn_block(corpus.select(*columns), stated.where(F.col("_block") == b) if blocks > 1 else stated, key, vector, k, group, other) for b in range(blocks)]
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 9)), key)
     near = reduce(DataFrame.unionByName, found)
     return near.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
 
 
-def _knn_block(corpus: DataFrame, queries: DataFrame, key: str, vector: str, k: int, group: str | None) -> DataFrame:
+def _knn_block(corpus: DataFrame, queries: DataFrame, key: str, vector: str, k: int, group: str | None, other: str | None) -> DataFrame:
     import numpy as np
     import pandas as pd
 
-    columns = [key, vector] + ([group] if group else [])
+    columns = [key, vector] + [c for c in (group, other) if c]
     stated = queries.select(*columns).toPandas()  # at most about BLOCK_BYTES
     ids = stated[key].to_numpy()
     width = max((len(v) for v in stated[vector]), default=1)
@@ -311,9 +311,10 @@ def _knn_block(corpus: DataFrame, queries: DataFrame, key: str, vector: str, k:
 
     if not all(fits):  # sets of mixed lengths: one length at a time
         lengths = queries.select(F.size(vector).alias("n")).distinct().collect()
-        return reduce(DataFrame.unionByName, [_knn_block(corpus, queries.where(F.size(vector) == n), key, vector, k, group) for (n,) in lengths])
+        return reduce(DataFrame.unionByName, [_knn_block(corpus, queries.where(F.size(vector) == n), key, vector, k, group, other) for (n,) in lengths])
     q = unit(stated[vector])
-    groups = stated[group].astype(object).where(stated[group].notna(), None).to_numpy() if group else None
+    values = lambda frame, column: frame[column].astype(object).where(frame[column].notna(), None).to_numpy()[None, :] if column else None
+    ours, elsewhere = values(stated, group), values(stated, other)
 
     def best(parts: list) -> pd.DataFrame:
         near = pd.concat(parts, ignore_index=True)
@@ -328,12 +329,14 @@ def _knn_block(corpus: DataFrame, queries: DataFrame, key: str, vector: str, k:
             if not len(batch) or not len(ids):
                 continue
             x, own = unit(batch[vector]), batch[key].to_numpy()
-            theirs = batch[group].astype(object).where(batch[group].notna(), None).to_numpy() if group else None
+            same, apart = values(batch, group), values(batch, other)
             for lo in range(0, len(ids), 1024):
                 s = q[lo : lo + 1024] @ x.T
                 s[ids[lo : lo + 1024, None] == own[None, :]] = -2.0
-                if groups is not None:
-                    s[groups[lo : lo + 1024, None] != theirs[None, :]] = -2.0
+                if group:
+                    s[ours.T[lo : lo + 1024] != same] = -2.0
+                if other:
+                    s[elsewhere.T[lo : lo + 1024] == apart] = -2.0
                 m = min(k, s.shape[1])
                 kth = -np.partition(-s, m - 1, axis=1)[:, m - 1 : m]
                 at, of = np.nonzero((s >= kth - 1e-9) & (s > -1.5))  # ties at the edge are settled by key

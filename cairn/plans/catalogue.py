@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairn.plans import content, general, imports, relational, search, streams
+from cairn.plans import content, general, imports, relational, reports, search, streams, views
 from cairn.plans.registry import Registry
 
 FLAGSHIP = "search_segments"
@@ -10,4 +10,4 @@ FLAGSHIP = "search_segments"
 
 def registries() -> list[Registry]:
     """The core library's query registries."""
-    return [general.R, relational.R, search.R, content.R, streams.R, imports.R]
+    return [general.R, relational.R, search.R, content.R, streams.R, imports.R, views.R, reports.R]

@@ -7,6 +7,8 @@ Parquet scans.
 
 from __future__ import annotations
 
+from dataclasses import astuple, dataclass
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +37,39 @@ def artifacts(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class Filters:
+    """Optional conditions on artifacts; those left None do not count.  The time range is half open."""
+
+    source_type: str | None = None
+    enrichment_status: str | None = None
+    tag: str | None = None
+    alias: str | None = None
+    path_prefix: str | None = None
+    captured_from_us: int | None = None
+    captured_before_us: int | None = None
+
+    def any(self) -> bool:
+        """Whether a condition is set."""
+        return any(x is not None for x in astuple(self))
+
+
+def filtered(spark: SparkSession, d: str, f: Filters) -> DataFrame:
+    """The artifacts that meet all conditions set; tags and aliases are looked up by semi joins."""
+    a = artifacts(spark, d)
+    for column, value in (("source_type", f.source_type), ("enrichment_status", f.enrichment_status)):
+        a = a if value is None else a.where(F.col(column) == value)
+    if f.path_prefix is not None:
+        a = a.where(F.lower("path_key").startswith(f.path_prefix.lower()))
+    a = a if f.captured_from_us is None else a.where(F.col("captured_us") >= f.captured_from_us)
+    a = a if f.captured_before_us is None else a.where(F.col("captured_us") < f.captured_before_us)
+    if f.tag is not None:
+        a = a.join(tags(spark, d).where(F.col("tag") == f.tag.lower()).select("artifact_id"), "artifact_id", "left_semi")
+    if f.alias is not None:
+        a = a.join(aliases(spark, d).where(F.col("alias") == text.alias(F.lit(f.alias))).select("artifact_id"), "artifact_id", "left_semi")
+    return a
+
+
 def tags(spark: SparkSession, d: str) -> DataFrame:
     """``(artifact_id, tag, seq)``: language and source of each artifact."""
     a = artifacts(spark, d)
