@@ -46,6 +46,8 @@ DRIFT, SKIP = 3, 12
 MATCH, CHANGE = 1.0, -1.5
 #: How far the score may fall between two hits or beyond the last one.
 DROP = -4.0
+#: Words looked at beyond a stretch of hits, before its item is looked at closely.
+AHEAD = 8
 
 
 #: The share of a span's words that must be unchanged.
@@ -126,11 +128,54 @@ class Scanner:
             for i in range(len(words) - n + 1 if n else 0):
                 runs[f" {' '.join(words[i : i + n])} "].append((item, i))
         self._automaton = ahocorasick.Automaton()
-        for run, places in runs.items():
-            self._automaton.add_word(run, (run.count(" ") - 1, places))
+        for number, run in enumerate(runs):
+            self._automaton.add_word(run, number)
         self._empty = not runs
-        if runs:
-            self._automaton.make_automaton()
+        if self._empty:
+            return
+        self._automaton.make_automaton()
+        # the places of every run, and the passages as numbers, side by side
+        self._items = list(self.words)
+        index = {item: k for k, item in enumerate(self._items)}
+        self._length = np.array([run.count(" ") - 1 for run in runs])
+        self._many = np.array([len(places) for places in runs.values()])
+        self._from = np.cumsum(self._many) - self._many
+        self._item = np.array([index[item] for places in runs.values() for item, _ in places])
+        self._at = np.array([i for places in runs.values() for _, i in places])
+        self._vocabulary = {w: k for k, w in enumerate(sorted({w for words in self.words.values() for w in words}))}
+        gap = [-1] * AHEAD
+        flat = list(gap)
+        starts = []
+        for words in self.words.values():
+            starts.append(len(flat))
+            flat += [self._vocabulary[w] for w in words] + gap
+        self._flat, self._starts = np.array(flat), np.array(starts)
+        self._need = np.array([min(LEAST, len(words)) for words in self.words.values()])
+
+    def _promising(self, words: list[str], item: np.ndarray, i: np.ndarray, j: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The items whose hits may make a leak.
+
+        Hits that follow each other word by word are one stretch.  A stretch alone near its diagonal,
+        shorter than needed, and whose ends cannot be extended, is none: most chance hits are such.
+        """
+        diagonal = j - i
+        order = np.lexsort((j, diagonal, item))
+        item, diagonal, j, n = item[order], diagonal[order], j[order], n[order]
+        same = (item[1:] == item[:-1]) & (diagonal[1:] == diagonal[:-1]) & (j[1:] == j[:-1] + 1)
+        first = np.flatnonzero(np.r_[True, ~same])
+        hits = np.diff(np.r_[first, len(item)])
+        item, diagonal, j, length = item[first], diagonal[first], j[first], hits - 1 + n[first]
+        beside = (item[1:] == item[:-1]) & (diagonal[1:] - diagonal[:-1] <= DRIFT)
+        good = (length >= self._need[item]) | np.r_[False, beside] | np.r_[beside, False]
+        text = np.full(len(words) + 2 * AHEAD, -2)
+        text[AHEAD : AHEAD + len(words)] = [self._vocabulary.get(w, -3) for w in words]
+        here, there = j + AHEAD, self._starts[item] + j - diagonal
+        steps = np.arange(AHEAD)
+        for a, b, sign in ((here + length, there + length, 1), (here - 1, there - 1, -1)):
+            match = text[a[:, None] + sign * steps] == self._flat[b[:, None] + sign * steps]
+            score = np.cumsum(np.where(match, MATCH, CHANGE), axis=1)
+            good |= (score > 0).any(axis=1) | (score[:, -1] > DROP)
+        return np.unique(item[good])
 
     def _extend(self, words: list[str], passage: list[str], i: int, j: int, step: int) -> int:
         """How many words of the passage follow from (i, j) in a direction, changed ones included."""
@@ -176,11 +221,17 @@ class Scanner:
         if not raw:
             return []
         words = line.split()
-        at = np.cumsum([0, *(len(w) + 1 for w in words)])  # where each word's leading space is
-        hits: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-        for k, (_, (n, places)) in zip(np.searchsorted(at, [end for end, _ in raw]).tolist(), raw):
-            for item, i in places:
-                hits[item].append((k - n, i, n))
+        at = np.cumsum([0, *map(len, words)]) + np.arange(len(words) + 1)  # where each word's leading space is
+        found = np.array(raw)
+        number = found[:, 1]
+        many = self._many[number]
+        place = np.repeat(self._from[number] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        n = np.repeat(self._length[number], many)
+        item, i, j = self._item[place], self._at[place], np.repeat(np.searchsorted(at, found[:, 0]), many) - n
+        hits: dict[int, list[tuple[int, int, int]]] = {}
+        for k in self._promising(words, item, i, j, n):
+            own = item == k
+            hits[self._items[k]] = list(zip(j[own].tolist(), i[own].tolist(), n[own].tolist()))
         out = []
         spans = None
         for item, own in hits.items():
