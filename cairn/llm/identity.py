@@ -3,14 +3,19 @@
 1. *Candidates.*  One pass over each text marks everything that has the outline of a mention: digit
    and letter groups, pairs of capitalised words, house numbers beside words, addresses with an @ (or
    spelt out).  A candidate has an *instance* key, what would let an unseen mention be recognised
-   (the digit mask of a number, the first name, the street word), and a *pattern*, the words around.
-2. *Bootstrap.*  Seed instances (below) start with score 1.  Each round, a pattern's score is the
+   (the digit mask of a number, the first name, the street word, the signs that part an email), and a
+   *pattern*, the words around.  Emails and addresses of a known build are marked as such; others of a
+   wider outline (house number and capitalised words before a town; words parted by any form of "at"
+   and "dot") are candidates that only the bootstrap can confirm.
+2. *Bootstrap.*  Seed instances (below) start with score 1.  Each round, until the known instances stand
+   still, a pattern's score is the
    share of its occurrences that known instances fill, and an instance's score the share of its
    occurrences that stand in telling patterns (score over a threshold, seen with several instances); instances over a threshold are known in the next round, seeds always.  Shares of
    occurrences, not of distinct instances, keep words that stand everywhere from drifting in.  The
    graph is aggregated: its size follows the distinct masks, names and contexts, not the text.
 3. *Decision.*  A candidate is a mention if its instance is known and, for numbers, its pattern is not
    one that surrounds other things, or if its pattern is nearly always filled by known instances.
+   A wider outline of an email or address needs a pattern that tells besides a known instance.
 4. *Redaction.*  Mentions are replaced from the right by placeholders such as ``[EMAIL]``.
 
 Everything after the candidate pass is joins and partial aggregations on keys; nothing is collected,
@@ -42,9 +47,11 @@ SEEDS = {
     "id_number": ["999-99-9999", "AA999999A", "A9999999A", "AA9999999"],
     "person_name": "anna maria john james peter paul thomas david michael elena sofia rosa omar karim samir marta pedro klara ingrid hugo bruno nils jonas stefan lukas leila priya yuki".split(),
     "address": ["street", "avenue", "rue", "calle", "straße", "road", "ave", "rd"],
+    "email": ["@ ."],
 }
 
-ROUNDS = 4
+#: Rounds after which the scores are taken as they are, should they not stand still before.
+MOST_ROUNDS = 12
 #: A pattern must surround so many distinct instances to say anything about them.
 SUPPORT = 2
 TELLING, KNOWN, FREE, HOSTILE = 0.15, 0.25, 0.8, 0.15
@@ -67,6 +74,12 @@ _NUMBER = regex.compile(
     r")(?![\w@]|[.\-/]\w)",
     regex.IGNORECASE,
 )
+#: Words parted by some form of "at" and some form of "dot".
+_WIDE_EMAIL = regex.compile(
+    r"(?<![\w.+@-])[A-Za-z][\w.+-]*(?P<at>\s{0,2}[^\w\s]{0,2}\s?(?:@|\bat\b|\barroba\b)\s?[^\w\s]{0,2}\s{0,2})[A-Za-z][\w-]*"
+    r"(?:(?P<dot>\s{0,2}[^\w\s]{0,2}\s?(?:\.|\bdot\b|\bpunto\b|\bpoint\b)\s?[^\w\s]{0,2}\s{0,2})[A-Za-z][\w-]*)+(?![\w@])",
+    regex.IGNORECASE,
+)
 _WORD = r"\p{L}[\p{L}\p{M}'’]*"
 _CAP = r"\p{Lu}[\p{Ll}\p{M}'’]+(?:-\p{Lu}[\p{Ll}\p{M}'’]+)*"
 _NAME = regex.compile(rf"(?<![\w-])(?P<first>{_CAP})(?=(?P<rest>(?:[ ]\p{{Lu}}\.)*(?:[ ](?:van der|van den|van|von|de la|del|de|di|da|dos|bin|ibn|al|el|le|la|ter))?[ ]{_CAP})(?!\w))")
@@ -84,6 +97,11 @@ _ADDRESS = [
     rf"(?P<key>Calle|Avenida|Plaza|Paseo|Camino|Via|Viale|Piazza|Rua)(?: (?:del|de la|de los|de las|de|della|di))? {_CAP}(?: {_CAP})?,? \d{{1,4}}(?:, ?\d{{1,2}}\.?[º°ª](?: ?[A-Z])?)?,\s(?:{_POST} )?{_CAP}",
     rf"\p{{Lu}}[\p{{Ll}}\p{{M}}]+?(?P<key>straße|strasse|weg|gasse|allee|platz|ufer|damm|ring)\b \d{{1,4}} ?[a-z]?,\s(?:{_POST} )?{_CAP}",
 ]
+#: A house number beside capitalised words, before a town.
+_WIDE_ADDRESS = [
+    regex.compile(rf"(?<![\w.,#-])\d{{1,5}}[A-Za-z]? (?:{_CAP} ){{1,3}}?(?P<key>{_CAP}),\s(?:{_POST} )?{_CAP}(?:,? [A-Z]{{2}} {_POST})?(?![\w])"),
+    regex.compile(rf"(?<![\w-])(?P<key>{_CAP})(?: {_CAP}){{0,2}} \d{{1,4}}[a-z]?,\s{_POST} {_CAP}(?![\w])"),
+]
 _ADDRESS_EXACT = [regex.compile(p) for p in _ADDRESS]
 _ADDRESS_ANY = [regex.compile(p, regex.IGNORECASE) for p in _ADDRESS]
 _TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}_'’]+|[^\s\p{L}\p{M}\p{N}]")
@@ -113,14 +131,22 @@ def candidates(text: str | None) -> list[tuple[str, int, int, str, str, str]]:
     low = text.lower()
     if "@" in text or "dot" in low or "(at)" in low or "[at]" in low:
         for m in _EMAIL.finditer(text):
-            out.append(("email", *m.span(), "@"))
+            out.append(("email", *m.span(), "@ ." if "@" in m.group() else "at ."))
             taken.append(m.span())
+    if "@" in text or "at" in low or "arroba" in low:
+        for m in _WIDE_EMAIL.finditer(text):
+            if not any(x < m.end() and m.start() < y for x, y in taken):
+                out.append(("wide_email", *m.span(), f"{m.group('at').strip().lower()} {m.group('dot').strip().lower()}"))
     if _DIGIT.search(text):
         for p in _ADDRESS_ANY if single else _ADDRESS_EXACT:
             for m in p.finditer(text):
                 if not any(x < m.end() and m.start() < y for x, y in taken):
                     out.append(("address", *m.span(), m.group("key").lower()))
                     taken.append(m.span())
+        for p in () if single else _WIDE_ADDRESS:
+            for m in p.finditer(text):
+                if not any(x < m.end() and m.start() < y for x, y in taken):
+                    out.append(("wide_address", *m.span(), m.group("key").lower()))
         for m in _NUMBER.finditer(text):
             a, b = m.span()
             while text[a] == "(" and ")" not in text[a:b]:
@@ -149,7 +175,8 @@ def candidate_table(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
 def _edges(found: DataFrame) -> DataFrame:
     """The graph: (kind, instance, pattern) with the number of occurrences, both pattern forms."""
     both = F.explode(F.array(F.concat(F.lit("L "), "left"), F.concat(F.lit("A "), "around"))).alias("pattern")
-    return found.where(~F.col("kind").isin("email", "loose_name")).select("kind", "instance", both).groupBy("kind", "instance", "pattern").agg(F.count("*").alias("c"))
+    kind = F.regexp_replace("kind", "^wide_", "").alias("kind")  # wider outlines share the graph of their kind
+    return found.where("kind <> 'loose_name'").select(kind, "instance", both).groupBy("kind", "instance", "pattern").agg(F.count("*").alias("c"))
 
 
 def _types(kind: str) -> list[str]:
@@ -157,7 +184,7 @@ def _types(kind: str) -> list[str]:
 
 
 def _seeds(spark: SparkSession) -> DataFrame:
-    kinds = {t: k for k in ("number", "person_name", "address") for t in _types(k)}
+    kinds = {t: k for k in ("number", "person_name", "address", "email") for t in _types(k)}
     return spark.createDataFrame([(kinds[t], t, i) for t, seeds in SEEDS.items() for i in seeds], "kind string, type string, instance string")
 
 
@@ -169,14 +196,19 @@ def bootstrap(found: DataFrame, space: Workspace) -> tuple[DataFrame, DataFrame]
     edges = space.cut(edges.join(wide, ["kind", "pattern"]), "supported")
     seeds = _seeds(spark).withColumn("score", F.lit(1.0))
     seen = edges.groupBy("kind", "instance").agg(F.sum("c").alias("times"))
-    scores, patterns = seeds, None
-    for _ in range(ROUNDS):
+    scores, patterns, before = seeds, None, None
+    for _ in range(MOST_ROUNDS):
         known = scores.where(F.col("score") >= KNOWN).select("kind", "type", "instance")
         patterns = space.cut(edges.join(known, ["kind", "instance"]).groupBy("kind", "pattern", "type").agg((F.sum("c") / F.max("all")).alias("score"), F.max("n").alias("n")), "patterns")
         telling = patterns.where(F.col("score") >= TELLING).drop("n")
         raised = edges.select("kind", "instance", "pattern", "c").join(telling, ["kind", "pattern"]).groupBy("kind", "instance", "type").agg(F.sum("c").alias("told"), F.count("*").alias("k"))
         fresh = raised.join(seen, ["kind", "instance"]).where(F.col("k") >= SUPPORT).select("kind", "type", "instance", (F.col("told") / F.col("times")).alias("score"))
         scores = space.cut(fresh.unionByName(seeds.select("kind", "type", "instance", "score")).groupBy("kind", "type", "instance").agg(F.max("score").alias("score")), "instances")
+        named = scores.where(F.col("score") >= KNOWN).select(F.xxhash64("kind", "type", "instance").alias("h"))
+        now = named.agg(F.count("*"), F.sum(F.col("h").cast("decimal(38,0)"))).first()  # a digest of the set
+        if now == before:
+            break
+        before = now
     return scores, patterns
 
 
@@ -190,17 +222,20 @@ def mentions(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
     pick = lambda s: patterns.where(F.col("pattern").startswith(s + " ")).select("kind", "type", F.substring("pattern", 3, 1 << 20).alias({"L": "left", "A": "around"}[s]), F.col("score").alias(f"p{s}"), F.col("n").alias(f"n{s}"))
     # a text without case has too many word pairs to learn from; its names must be known
     loose = F.col("kind") == "loose_name"
-    rest = found.where(F.col("kind") != "email").withColumn("loose", loose).withColumn("kind", F.when(loose, "person_name").otherwise(F.col("kind")))
-    kinds = texts.sparkSession.createDataFrame([(k, t) for k in ("number", "person_name", "address") for t in _types(k)], "kind string, type string")
-    typed = rest.join(F.broadcast(kinds), "kind")  # four fixed rows
+    wide = F.col("kind").startswith("wide_")
+    rest = found.where(F.col("kind") != "email").withColumns({"loose": loose, "wide": wide})
+    rest = rest.withColumn("kind", F.when(loose, "person_name").otherwise(F.regexp_replace("kind", "^wide_", "")))
+    kinds = texts.sparkSession.createDataFrame([(k, t) for k in ("number", "person_name", "address", "email") for t in _types(k)], "kind string, type string")
+    typed = rest.join(F.broadcast(kinds), "kind")  # five fixed rows
     judged = (
         typed.join(known, ["kind", "instance", "type"], "left").join(pick("L"), ["kind", "type", "left"], "left").join(pick("A"), ["kind", "type", "around"], "left")
     )
     seen = judged.withColumn("best", F.greatest(F.coalesce("pL", F.lit(0.0)), F.coalesce("pA", F.lit(0.0))))
-    wide = F.greatest(F.coalesce("nL", F.lit(0)), F.coalesce("nA", F.lit(0)))
-    hostile = (F.col("kind") == "number") & (wide >= 3) & (F.col("best") < HOSTILE)
+    support = F.greatest(F.coalesce("nL", F.lit(0)), F.coalesce("nA", F.lit(0)))
+    hostile = (F.col("kind") == "number") & (support >= 3) & (F.col("best") < HOSTILE)
     free = ((F.col("pL") >= FREE) & (F.col("nL") >= 3)) | ((F.col("pA") >= FREE) & (F.col("nA") >= 3))
-    taken = seen.where((F.col("si").isNotNull() & ~hostile) | (~F.col("loose") & F.coalesce(free, F.lit(False))))
+    told = F.col("si").isNotNull() & ~hostile & (~F.col("wide") | (F.col("best") >= TELLING))
+    taken = seen.where(told | (~F.col("loose") & F.coalesce(free, F.lit(False))))
     rank = F.struct((F.coalesce("si", F.lit(0.0)) + F.col("best")).alias("w"), F.col("type"))
     chosen = taken.groupBy(*spot).agg(F.max(rank)["type"].alias("pii_type")).drop("kind")
     mails = found.where(F.col("kind") == "email").select(*keys, "start_char", "end_char", F.lit("email").alias("pii_type"))
