@@ -37,7 +37,7 @@ def retry_after(value: Column, now_us: Column) -> Column:
     text = F.trim(value)
     number = F.regexp_extract(text, r"^(\d+(?:\.\d+)?)s?$", 1)
     at = F.unix_micros(F.try_to_timestamp(F.regexp_extract(text, r"^[A-Za-z]{3}, (\d{2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2}) GMT$", 1), F.lit("dd MMM yyyy HH:mm:ss")))
-    return F.when(number != "", F.ceil(number.try_cast("double")).cast("long")).otherwise(F.greatest(F.lit(0).cast("long"), F.ceil((at - now_us) / 1_000_000).cast("long")))
+    return F.when(number != "", F.ceil(number.try_cast("double")).cast("long")).when(at.isNotNull(), F.greatest(F.lit(0).cast("long"), F.ceil((at - now_us) / 1_000_000).cast("long")))
 
 
 def string_list(value: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -115,10 +117,23 @@ def chunks(segments: DataFrame, max_items: int = 40, max_bytes: int = 12_000, ov
 
 def richer(df: DataFrame, keys: list[str], texts: list[str], order: str) -> DataFrame:
     """One row per key with the longest value of each text (bytes; the first in ``order`` wins ties)."""
-    best = lambda c: F.max_by(c, F.struct(F.octet_length(c), -F.col(order)))
+    best = lambda c: F.min_by(c, F.struct(-F.coalesce(F.octet_length(c), F.lit(-1)), F.col(order)))
     return df.groupBy(*keys).agg(*(best(c).alias(c) for c in texts), F.count("*").alias("n_merged"))
 
 
+def merge_outputs(df: DataFrame, keys: list[str], texts: list[str], importance: str, summary: str, order: str, most: int = 20) -> DataFrame:
+    """Outputs of several chunks merged per key: the richer texts, the largest importance, and the distinct summaries.
+
+    Summaries are joined by blanks in ``order``, repeats once, up to ``most`` of them, so a key with
+    many outputs gathers no more; null and blank ones are left out.
+    """
+    base = richer(df, keys, texts, order).join(df.groupBy(*keys).agg(F.max(importance).alias(importance)), keys)
+    said = df.where(F.trim(F.coalesce(summary, F.lit(""))) != "").groupBy(*keys, F.trim(summary).alias("_s")).agg(F.min(order).alias("_o"))
+    first = said.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy("_o", "_s"))).where(F.col("_rn") <= most)
+    joined = first.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_rn", "_s"))), lambda x: x["_s"]), " ").alias(summary))
+    return base.join(joined, keys, "left")
+
+
 def upsert_ignore(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Old rows and those new ones whose key is not there yet (of new repeats, one)."""
     return old.unionByName(new.dropDuplicates(keys).join(old.select(*keys), keys, "left_anti"))
@@ -171,29 +186,70 @@ def cluster(df: DataFrame, group: str, key: str, text: Column, threshold: float
 
     Depends on order and is not transitive, so a group is scanned in sequence; equal texts are
     collapsed before, which bounds a group of copies.  Similarity is the overlap of token sets over
-    the smaller one, 1 for containment.
+    the smaller one, 1 for containment.  A text is compared with the leaders that share one of the
+    tokens that similar ones must share, found by an index of tokens, not with all.
     """
     rows = df.select(group, key, text.alias("_t"))
     first = rows.groupBy(group, "_t").agg(F.min(key).alias("_first"))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        leaders: list[tuple[str, str, set[str]]] = []
-        out = []
-        for name, ident, t in part.sort_values("_first")[[group, "_first", "_t"]].itertuples(index=False):
-            words = set((t or "").split())
-            found = next((lead for lead, other, ws in leaders if t and other and (t in other or other in t or len(words & ws) / min(len(words), len(ws)) >= threshold)), None)
-            if found is None:
-                leaders.append((ident, t or "", words))
-            out.append((name, ident, found or ident))
-        return pd.DataFrame(out, columns=[group, "_first", "leader"])
+        return pd.DataFrame(_clusters(part.sort_values("_first")[[group, "_first", "_t"]].itertuples(index=False), threshold), columns=[group, "_first", "leader"])
+
+    led = first.groupBy(group).applyInPandas(run, f"{group} string, _first string, leader string").select("_first", "leader")
+    named = first.select(F.col(group).alias("_g"), F.col("_t").alias("_u"), "_first")
+    return rows.join(named, F.col(group).eqNullSafe(F.col("_g")) & F.col("_t").eqNullSafe(F.col("_u"))).join(led, "_first").select(group, key, "leader")
 
-    led = first.groupBy(group).applyInPandas(run, f"{group} string, _first string, leader string")
-    return rows.join(first, [group, "_t"]).join(led, [group, "_first"]).select(group, key, "leader")
+
+def _clusters(rows, threshold: float) -> list[tuple]:
+    """``(group, id, leader)`` of one group's distinct texts in order.
+
+    Of two sets with the overlap, all but ``ceil(threshold n) - 1`` tokens of the smaller one, in any
+    fixed order, hold a shared one; and of a text inside another, every token but the first and last.
+    """
+    rows = list(rows)
+    counts: dict[str, int] = {}
+    split = [(t or "").split() for _, _, t in rows]
+    for words in split:
+        for w in set(words):
+            counts[w] = counts.get(w, 0) + 1
+    rare = lambda words: sorted(words, key=lambda w: (counts[w], w))
+    leaders: list[tuple[str, str, set[str]]] = []
+    by_token: dict[str, list[int]] = {}
+    by_prefix: dict[str, list[int]] = {}
+    short: list[int] = []  # texts of two tokens at most may lie inside others at parts of words
+    out = []
+    for (name, ident, t), listed in zip(rows, split):
+        t, words = t or "", set(listed)
+        found = None
+        if t:
+            ordered = rare(words)
+            prefix = ordered[: len(ordered) - math.ceil(threshold * len(ordered) - 1e-9) + 1]
+            inner = rare(set(listed[1:-1]))[:1]
+            near = set(short) if len(listed) > 2 else set(range(len(leaders)))
+            for w in (*prefix, *inner):
+                near.update(by_token.get(w, ()))
+            for w in words:
+                near.update(by_prefix.get(w, ()))
+            for k in sorted(near):
+                lead, other, ws = leaders[k]
+                if other and (t in other or other in t or (words and ws and len(words & ws) / min(len(words), len(ws)) >= threshold)):
+                    found = lead
+                    break
+        if found is None:
+            k = len(leaders)
+            leaders.append((ident, t, words))
+            if len(listed) <= 2:
+                short.append(k)
+            for w in words:
+                by_token.setdefault(w, []).append(k)
+            if t:
+                for w in {*prefix, *inner}:
+                    by_prefix.setdefault(w, []).append(k)
+        out.append((name, ident, found or ident))
+    return out
 
 
 def drop_unresolved(relations: DataFrame, entities: DataFrame, subject: str, target: str, name: str) -> DataFrame:
     """Relations whose two ends are known names."""
     known = entities.select(name).distinct()
     return relations.join(known.withColumnRenamed(name, subject), subject, "left_semi").join(known.withColumnRenamed(name, target), target, "left_semi")
-
-__all__ = ["Iterator", "Window"]

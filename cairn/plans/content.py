@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cairn.functions import hashing, text, vectors
 from cairn.operators import enrich
 from cairn.plans.registry import Registry
-from cairn.plans.relational import ART, OBJ
+from cairn.plans.relational import ART, OBJ, SEG
 from cairn.sources import archive, exports, parsers
 from cairn.tables import table
 
@@ -154,13 +154,14 @@ def markdown_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 
 @R.query(
-    sql="""WITH t AS (SELECT record_id, unnest(list_distinct(list_transform(regexp_extract_all(title || ' #Topic/Sub (#two) x#no', '(?:^|[\\s(\\[{])(#[A-Za-z0-9_/-]+)', 1), lambda x: lower(ltrim(x, '#'))))) AS tag FROM gemini_export WHERE title IS NOT NULL)
-    SELECT record_id, tag FROM t"""
+    sql="""WITH t AS (SELECT doc_id, unnest(list_distinct(list_transform(regexp_extract_all(title || ' #' || source || '/' || coalesce(lang, 'und') || ' (#' || upper(account_key) || ') x#' || source, '(?:^|[\\s(\\[{])(#[A-Za-z0-9_/-]+)', 1), lambda x: lower(ltrim(x, '#'))))) AS tag FROM documents WHERE title IS NOT NULL AND account_key IS NOT NULL)
+    SELECT doc_id, tag FROM t"""
 )
 def tag_extract(spark: SparkSession, d: str) -> DataFrame:
-    """Inline tags of a line, normalised."""
-    g = table(spark, d, "gemini_export").where("title is not null")
-    return g.select("record_id", F.explode(text.inline_tags(F.concat("title", F.lit(" #Topic/Sub (#two) x#no")))).alias("tag"))
+    """Inline tags of lines made of a document's title, source, language and account, normalised."""
+    g = table(spark, d, "documents").where("title is not null and account_key is not null")
+    line = F.concat("title", F.lit(" #"), "source", F.lit("/"), F.coalesce("lang", F.lit("und")), F.lit(" (#"), F.upper("account_key"), F.lit(") x#"), "source")
+    return g.select("doc_id", F.explode(text.inline_tags(line)).alias("tag"))
 
 
 @R.query(
@@ -174,7 +175,14 @@ def url_parts(spark: SparkSession, d: str) -> DataFrame:
     return w.select("record_id", F.col("x.url").alias("url"), F.coalesce(part("PROTOCOL"), F.lit("")).alias("scheme"), F.coalesce(part("HOST"), F.lit("")).alias("host"))
 
 
-@R.query()
+@R.query(
+    sql=f"""WITH RECURSIVE {SEG}, p AS (SELECT artifact_id, sequence_no, strlen(coalesce(text_content, '')) AS size, row_number() OVER (PARTITION BY artifact_id ORDER BY sequence_no, segment_id) - 1 AS pos FROM seg WHERE sequence_no IS NOT NULL),
+    h AS (SELECT *, sum(size) OVER (PARTITION BY artifact_id ORDER BY pos) AS upto, count(*) OVER (PARTITION BY artifact_id) AS n FROM p),
+    e AS (SELECT a.artifact_id, a.pos, a.n, max(b.pos) + 1 AS fin FROM h a JOIN h b ON b.artifact_id = a.artifact_id AND b.pos BETWEEN a.pos AND a.pos + 39 AND (b.pos = a.pos OR b.upto - a.upto + a.size <= 12000) GROUP BY 1, 2, 3),
+    c AS (SELECT artifact_id, 0 AS chunk_no, pos, fin, n FROM e WHERE pos = 0 UNION ALL SELECT c.artifact_id, c.chunk_no + 1, e.pos, e.fin, e.n FROM c JOIN e ON e.artifact_id = c.artifact_id AND e.pos = greatest(c.pos + 1, c.fin - 2) WHERE c.fin < c.n)
+    SELECT c.artifact_id, CAST(chunk_no AS INTEGER) AS chunk_no, a.sequence_no AS first_no, b.sequence_no AS last_no, CAST(c.fin - c.pos AS INTEGER) AS n_items, CAST(b.upto - a.upto + a.size AS BIGINT) AS n_bytes
+    FROM c JOIN h a ON a.artifact_id = c.artifact_id AND a.pos = c.pos JOIN h b ON b.artifact_id = c.artifact_id AND b.pos = c.fin - 1"""
+)
 def greedy_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Overlapping chunks of every artifact's segments."""
     return enrich.chunks(archive.segments(spark, d, "artifact_id", "sequence_no", "text_content"))
@@ -190,13 +198,13 @@ def cluster_memories(spark: SparkSession, d: str) -> DataFrame:
 @R.query(
     sql=f"""WITH {OBJ}, k AS (SELECT candidate_key, title, body_text, derived_object_id, row_number() OVER (PARTITION BY candidate_key ORDER BY strlen(title) DESC NULLS LAST, derived_object_id) AS rt,
         row_number() OVER (PARTITION BY candidate_key ORDER BY strlen(body_text) DESC NULLS LAST, derived_object_id) AS rb FROM obj WHERE candidate_key IS NOT NULL)
-    SELECT candidate_key, max(CASE WHEN rt = 1 THEN strlen(title) END) AS title_bytes, max(CASE WHEN rb = 1 THEN strlen(body_text) END) AS body_bytes, CAST(count(*) AS BIGINT) AS n_merged FROM k GROUP BY 1"""
+    SELECT candidate_key, md5(max(CASE WHEN rt = 1 THEN title END)) AS title_digest, md5(max(CASE WHEN rb = 1 THEN body_text END)) AS body_digest, CAST(count(*) AS BIGINT) AS n_merged FROM k GROUP BY 1"""
 )
 def richer_merge(spark: SparkSession, d: str) -> DataFrame:
     """Records merged by key, the richer text of each field kept."""
-    o = archive.objects(spark, d).where("candidate_key is not null").withColumn("order", F.xxhash64("derived_object_id"))
-    m = enrich.richer(o, ["candidate_key"], ["title", "body_text"], "order")
-    return m.select("candidate_key", F.octet_length("title").cast("long").alias("title_bytes"), F.octet_length("body_text").cast("long").alias("body_bytes"), "n_merged")
+    o = archive.objects(spark, d).where("candidate_key is not null")
+    m = enrich.richer(o, ["candidate_key"], ["title", "body_text"], "derived_object_id")
+    return m.select("candidate_key", F.md5("title").alias("title_digest"), F.md5("body_text").alias("body_digest"), "n_merged")
 
 
 @R.query(

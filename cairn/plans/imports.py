@@ -176,8 +176,17 @@ def note_links(spark: SparkSession, d: str) -> DataFrame:
     return notes.join(owners, "target_path", "left").select("artifact_id", "seq", "kind", "target_kind", "raw_target", "resolved")
 
 
-@R.query()
+@R.query(
+    sql=f"""WITH {SEG}, k AS (SELECT artifact_id, participant_id, segment_id, text_content AS t, strlen(text_content) AS b, segment_type FROM seg),
+    r AS (SELECT *, row_number() OVER (PARTITION BY artifact_id, participant_id ORDER BY coalesce(b, -1) DESC, segment_id) AS rn FROM k),
+    y AS (SELECT artifact_id, participant_id, segment_type, min(segment_id) AS o FROM k WHERE trim(coalesce(segment_type, '')) <> '' GROUP BY 1, 2, 3)
+    SELECT r.artifact_id, r.participant_id, md5(max(CASE WHEN rn = 1 THEN t END)) AS digest, CAST(count(*) AS BIGINT) AS n_merged, CAST(max(b % 10) AS INTEGER) AS importance,
+        (SELECT string_agg(trim(y.segment_type), ' ' ORDER BY y.o, y.segment_type) FROM y WHERE y.artifact_id = r.artifact_id AND y.participant_id = r.participant_id) AS summary
+    FROM r WHERE r.artifact_id IS NOT NULL AND r.participant_id IS NOT NULL GROUP BY 1, 2"""
+)
 def chunk_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Outputs of several chunks merged per key: the bytes of the longest text and how many were merged."""
-    s = archive.segments(spark, d, "artifact_id", "participant_id", "sequence_no", "text_content").withColumn("order", F.coalesce("sequence_no", F.lit(0)).cast("long"))
-    return enrich.richer(s, ["artifact_id", "participant_id"], ["text_content"], "order").select("artifact_id", "participant_id", F.octet_length("text_content").alias("n_bytes"), "n_merged")
+    """Outputs of several chunks merged per key: the longest text, the largest importance, the distinct summaries."""
+    s = archive.segments(spark, d, "artifact_id", "participant_id", "text_content", "segment_type").where("artifact_id is not null and participant_id is not null")
+    outputs = s.select("artifact_id", "participant_id", "segment_id", "text_content", (F.octet_length("text_content") % 10).alias("importance"), F.col("segment_type").alias("summary"))
+    merged = enrich.merge_outputs(outputs, ["artifact_id", "participant_id"], ["text_content"], "importance", "summary", "segment_id")
+    return merged.select("artifact_id", "participant_id", F.md5("text_content").alias("digest"), "n_merged", "importance", "summary")

@@ -251,10 +251,10 @@ def distinct_titles(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "oa_derived_object").where("title is not null and derived_object_type = 'summary'").select("title").distinct().orderBy("title").limit(40)
 
 
-@R.query(sql=f"WITH {OBJ} SELECT lower(trim(title)) AS title_key, CAST(count(*) AS BIGINT) AS n FROM obj WHERE title IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
+@R.query(sql="SELECT lower(trim(title)) AS title_key, CAST(count(*) AS BIGINT) AS n FROM documents WHERE title IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
 def duplicate_titles(spark: SparkSession, d: str) -> DataFrame:
     """Titles that occur more than once."""
-    return table(spark, d, "oa_derived_object").where("title is not null").groupBy(text.phrase(F.col("title")).alias("title_key")).agg(F.count("*").alias("n")).where("n > 1")
+    return table(spark, d, "documents").where("title is not null").groupBy(text.phrase(F.col("title")).alias("title_key")).agg(F.count("*").alias("n")).where("n > 1")
 
 
 @R.query(

@@ -11,32 +11,33 @@ from cairn.streaming import events
 R = Registry()
 
 
-@R.query(sql="SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS start_us, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+_MARK = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
+
+
+@R.query(sql=f"""WITH w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS s, event_type, value FROM events)
+    SELECT epoch_us(s) AS start_us, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total FROM w WHERE s + INTERVAL 1 HOUR <= {_MARK} GROUP BY 1, 2""")
 def stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
-    """Hourly windows, complete when the stream is drained."""
-    out = events.drain(events.tumbling(events.read(spark, d)), "complete", "tumbling")
-    return out.where(F.col("epoch") == out.agg(F.max("epoch")).first()[0]).drop("epoch")
+    """Hourly windows that the watermark has closed when the stream is drained."""
+    return events.drain(events.tumbling(events.read(spark, d)), "append", "tumbling")
 
 
 @R.query(
-    sql="""WITH w AS (SELECT unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS s, event_type, value FROM events)
-    SELECT epoch_us(s) AS start_us, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total FROM w GROUP BY 1, 2"""
+    sql=f"""WITH w AS (SELECT unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS s, event_type, value FROM events)
+    SELECT epoch_us(s) AS start_us, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total FROM w WHERE s + INTERVAL 1 HOUR <= {_MARK} GROUP BY 1, 2"""
 )
 def stream_sliding(spark: SparkSession, d: str) -> DataFrame:
-    """Hourly windows every half hour."""
-    out = events.drain(events.sliding(events.read(spark, d)), "complete", "sliding")
-    return out.where(F.col("epoch") == out.agg(F.max("epoch")).first()[0]).drop("epoch")
+    """Closed hourly windows every half hour."""
+    return events.drain(events.sliding(events.read(spark, d)), "append", "sliding")
 
 
 @R.query(
-    sql="""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 5 MINUTE THEN 0 ELSE 1 END AS fresh, event_id FROM events),
+    sql=f"""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 5 MINUTE THEN 0 ELSE 1 END AS fresh, event_id FROM events),
     s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g)
-    SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts) + INTERVAL 5 MINUTE) AS end_us, CAST(count(*) AS BIGINT) AS n FROM s GROUP BY user_id, k"""
+    SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts) + INTERVAL 5 MINUTE) AS end_us, CAST(count(*) AS BIGINT) AS n FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 5 MINUTE <= {_MARK}"""
 )
 def stream_session(spark: SparkSession, d: str) -> DataFrame:
-    """User sessions with a gap of five minutes."""
-    raw = spark.read.parquet(f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    return events.sessions(raw)
+    """User sessions with a gap of five minutes that the watermark has closed."""
+    return events.drain(events.sessions(events.read(spark, d)), "append", "session")
 
 
 @R.query(

@@ -14,14 +14,15 @@ from cairn.durable import Workspace
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def read(spark: SparkSession, directory: str, watermark: str = "10 minutes") -> DataFrame:
-    """The event log as a stream of files."""
-    raw = spark.readStream.schema(SCHEMA).option("pathGlobFilter", "events.parquet").parquet(directory)
+def read(spark: SparkSession, directory: str, watermark: str = "10 minutes", files: str = "events.parquet", per_trigger: int | None = None) -> DataFrame:
+    """The event log as a stream of files, all at once or so many a micro-batch."""
+    source = spark.readStream.schema(SCHEMA).option("pathGlobFilter", files)
+    raw = (source.option("maxFilesPerTrigger", per_trigger) if per_trigger else source).parquet(directory)
     return raw.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
 
 
 def tumbling(events: DataFrame, size: str = "1 hour") -> DataFrame:
-    """Counts and sums per window and type."""
+    """Counts and sums per window and type; appended once the watermark has passed a window, whose state then goes."""
     return _counted(events, F.window("ts", size))
 
 
@@ -47,22 +48,40 @@ OUT = "user_id long, status string, attempts int, last_id long"
 _NEXT = {"signup": "pending", "view": "running", "click": "completed", "purchase": "retryable", "error": "failed"}
 
 
+#: A key without events for so long, in event time, loses its state.
+IDLE_MS = 90 * 24 * 3600 * 1000
+
+
 def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """One key's events of a micro-batch, chunk by chunk: nothing but the state is kept of what was seen."""
+    if state.hasTimedOut:
+        state.remove()
+        return
     status, attempts, last = state.get if state.exists else ("pending", 0, -1)
-    rows = pd.concat(list(batches)).sort_values("event_id") if not state.hasTimedOut else pd.DataFrame(columns=["event_id", "event_type"])
-    for ident, kind in zip(rows["event_id"], rows["event_type"]):
-        if ident <= last:
-            continue  # delivered again
-        status = _NEXT.get(kind, status)
-        attempts += status == "running"
-        last = int(ident)
+    before, told, at = last, last, max(state.getCurrentWatermarkMs(), 0)
+    for rows in batches:
+        if len(rows):
+            at = max(at, int(rows["ts"].max().timestamp() * 1000))
+        rows = rows[rows["event_id"] > before].drop_duplicates("event_id")  # others were delivered again
+        if not len(rows):
+            continue
+        attempts += int((rows["event_type"].map(_NEXT) == "running").sum())
+        known = rows[rows["event_type"].isin(_NEXT.keys())]
+        if len(known) and known["event_id"].max() > told:
+            told = int(known["event_id"].max())
+            status = _NEXT[known.loc[known["event_id"].idxmax(), "event_type"]]
+        last = max(last, int(rows["event_id"].max()))
     state.update((status, int(attempts), int(last)))
+    state.setTimeoutTimestamp(at + IDLE_MS)
     yield pd.DataFrame([(key[0], status, int(attempts), int(last))], columns=["user_id", "status", "attempts", "last_id"])
 
 
 def job_states(events: DataFrame) -> DataFrame:
-    """The state of each job after every micro-batch; events of one key arrive in order of their id."""
-    return events.select("user_id", "event_id", "event_type").groupBy("user_id").applyInPandasWithState(_advance, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
+    """The state of each job after every micro-batch; micro-batches of one key arrive in order of their ids.
+
+    Events behind the watermark do not count; a job without events for :data:`IDLE_MS` loses its state.
+    """
+    return events.select("user_id", "event_id", "event_type", "ts").groupBy("user_id").applyInPandasWithState(_advance, OUT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def drain(stream: DataFrame, mode: str, purpose: str) -> DataFrame:

@@ -236,3 +236,99 @@ def test_folding_and_targets(spark):
     assert parsers.vault_target("obsidian://open?vault=v&file=a%2Fb") == "a/b.md" and parsers.vault_target("https://a.b/c") is None
     assert parsers._class_of("obsidian://open?vault=v&file=a%2Fb%23H") == "heading" and parsers._class_of("file:///x/y.png") == "attachment"
     assert parsers.ensure_note("a/b#h") == "a/b.md#h" and parsers.ensure_note("a.md") == "a.md" and parsers.stem("x\\y/Note.MD") == "note"
+
+
+def _greedy(rows, threshold=0.9):
+    leaders, out = [], []
+    for ident, t in rows:
+        words = set((t or "").split())
+        found = next((lead for lead, other, ws in leaders if t and other and (t in other or other in t or (words and ws and len(words & ws) / min(len(words), len(ws)) >= threshold))), None)
+        if found is None:
+            leaders.append((ident, t or "", words))
+        out.append((ident, found or ident))
+    return out
+
+
+def test_clusters_equal_a_full_comparison(spark):
+    rng = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(30)]
+    texts = [" ".join(rng.choice(words, rng.integers(1, 14))) for _ in range(250)]
+    texts += [t[2:-1] for t in texts[:60]] + [t + " w1 w2" for t in texts[:40]] + ["", None, "w", "1 w"]
+    distinct = list(dict.fromkeys(texts))
+    rows = [("a", f"{i:04d}", t) for i, t in enumerate(distinct)] + [("b", "x1", "w1 w2"), ("b", "x2", "w2 w1"), (None, "n", "w1")]
+    df = spark.createDataFrame(rows, "g string, k string, t string")
+    got = {(r.g, r.k): r.leader for r in enrich.cluster(df, "g", "k", F.col("t")).collect()}
+    assert {k: v for (g, k), v in got.items() if g == "a"} == dict(_greedy([(f"{i:04d}", t) for i, t in enumerate(distinct)]))
+    assert got[("b", "x2")] == "x1" and got[(None, "n")] == "n" and len(got) == len(rows)
+
+
+def test_merges_statuses_and_writes(spark):
+    df = spark.createDataFrame([("k", "s1", "long one", 3, "b"), ("k", "s0", "same len", 9, "a"), ("k", "s2", None, None, " b "), ("n", "s3", None, None, None)], "key string, id string, t string, i int, s string")
+    got = {r.key: r for r in enrich.merge_outputs(df, ["key"], ["t"], "i", "s", "id").collect()}
+    assert (got["k"].t, got["k"].i, got["k"].s, got["k"].n_merged) == ("same len", 9, "a b", 3) and got["n"].s is None and got["n"].t is None
+    objects = spark.createDataFrame([("o1", "active"), ("o2", "superseded")], "derived_object_id string, object_status string")
+    asked = spark.createDataFrame([("o1", "superseded", "o9"), ("o2", "rejected", None), ("o3", "rejected", None)], "derived_object_id string, to_status string, replacement string")
+    told = {r.derived_object_id: (r.object_status, r.replacement, r.outcome) for r in enrich.change_status(objects, asked).collect()}
+    assert told == {"o1": ("superseded", "o9", "changed"), "o2": ("superseded", None, "not_active"), "o3": (None, None, "not_found")}
+    rows = spark.createDataFrame([(1, "a", 1, None), (1, "a", 2, None), (1, "b", 3, "bad"), (2, "c", 4, "bad"), (3, "a", 5, None)], "batch int, key string, n long, error string")
+    out = {r.batch: (r.n_created, r.n_existing, r.n_failed, r.status) for r in imports.write_outcomes(rows, "batch", "key", "n").collect()}
+    assert out == {1: (1, 1, 1, "completed_with_errors"), 2: (0, 0, 1, "failed"), 3: (0, 1, 0, "completed")}
+
+
+def test_vector_store(spark):
+    from cairn.operators import vectorstore
+
+    old = spark.createDataFrame([(1, [1.0, 0.0], "a"), (2, [0.0, 1.0], "b")], "id long, v array<float>, p string")
+    new = spark.createDataFrame([(2, [1.0, 1.0], "c"), (2, [1.0, 0.5], "c"), (3, [-1.0, 0.0], "d"), (None, [0.0, 0.0], "e")], "id long, v array<float>, p string")
+    points = vectorstore.upsert(old, new, "id", "v")
+    assert {(r.id, r.p) for r in points.collect()} == {(1, "a"), (2, "c"), (3, "d")}
+    assert vectorstore.upsert(old.limit(0), new, "id", "v").count() == 2
+    with pytest.raises(Exception, match="2 dimensions"):
+        vectorstore.upsert(old, spark.createDataFrame([(4, [1.0], "x")], "id long, v array<float>, p string"), "id", "v").collect()
+    hits = vectorstore.search(points, "id", "v", [1.0, 0.0], 5, must=[F.col("p").isNotNull()], must_not=[F.col("p") == "d"])
+    assert [(r.place, r.id) for r in hits.collect()] == [(1, 1), (2, 2)]
+    rows = spark.createDataFrame([(2, "row")], "id long, t string")
+    assert [(r.place, r.id, r.t) for r in vectorstore.hydrate(hits, rows, "id", 5).collect()] == [(1, 2, "row")]
+
+
+def test_payload_functions(spark):
+    from cairn.functions import payload
+
+    one_of = lambda column: spark.range(1).select(column.alias("x")).first().x
+    for text_, found in (('x\n```json\n{"a": 1}\n```\ny', '{"a": 1}'), (' [1, 2] ', "[1, 2]"), ('so {"a": {"b": 2}} it is', '{"a": {"b": 2}}'), ("no json {", None), (None, None)):
+        assert one_of(payload.salvaged(F.lit(text_).cast("string"))) == found
+    used = one_of(payload.usage(F.lit('{"promptTokenCount": 3, "thoughtsTokenCount": 1}')))
+    assert (used.input_tokens, used.output_tokens, used.reasoning_tokens, used.total_tokens) == (3, None, 1, 3)
+    assert one_of(payload.usage(F.lit(None).cast("string"))).total_tokens is None
+    now = F.lit(1_700_000_000_000_000)
+    for value, seconds in (("30", 30), ("12.5s", 13), ("Tue, 14 Nov 2023 22:13:25 GMT", 5), ("Tue, 14 Nov 2022 22:13:25 GMT", 0), ("soon", None)):
+        assert one_of(payload.retry_after(F.lit(value), now)) == (0 if value.endswith("2022 22:13:25 GMT") else seconds)
+    assert one_of(payload.string_list(F.lit('["a", "b"]'))) == ["a", "b"] and one_of(payload.string_list(F.lit(None).cast("string"))) is None
+    with pytest.raises(Exception, match="not a JSON array"):
+        one_of(payload.string_list(F.lit("{oops")))
+
+
+def test_late_rows_and_idle_state(spark, tmp_path):
+    import pandas as pd
+
+    from cairn.streaming import events
+
+    def write(name, rows):
+        frame = pd.DataFrame(rows, columns=["event_id", "ts", "user_id", "event_type", "value", "props"])
+        frame["ts"] = pd.to_datetime(frame["ts"]).astype("datetime64[us]")
+        frame.to_parquet(tmp_path / name)
+
+    write("e1.parquet", [(1, "2024-01-01 10:00", 1, "view", 1.0, ""), (2, "2024-01-01 12:00", 1, "click", 1.0, ""), (3, "2024-01-01 10:03", 2, "view", 2.0, "")])
+    write("e2.parquet", [(6, "2024-01-01 12:01", 3, "view", 1.0, "")])
+    write("e3.parquet", [(4, "2024-01-01 10:05", 1, "view", 5.0, ""), (5, "2024-01-01 16:00", 1, "view", 1.0, ""), (5, "2024-01-01 16:00", 1, "view", 1.0, "")])
+    import os
+
+    for i in (1, 2, 3):
+        os.utime(tmp_path / f"e{i}.parquet", (i, i))
+    stream = lambda: events.read(spark, str(tmp_path), files="e*.parquet", per_trigger=1)
+    got = {(r.start_us // 3_600_000_000 % 24, r.event_type): (r.n, r.total) for r in events.drain(events.tumbling(stream()), "append", "late").collect()}
+    assert got == {(10, "view"): (2, 3.0), (12, "click"): (1, 1.0), (12, "view"): (1, 1.0)}, "the row that came after the watermark had passed is left out"
+    sessions = sorted((r.user_id, r.n) for r in events.drain(events.sessions(stream()), "append", "late-session").collect())
+    assert sessions == [(1, 1), (1, 1), (2, 1), (3, 1)]
+    states = events.drain(events.job_states(stream()), "update", "late-jobs").where("user_id = 1").orderBy(F.desc("last_id")).first()
+    assert (states.status, states.attempts, states.last_id) == ("running", 2, 5)
