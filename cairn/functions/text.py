@@ -155,3 +155,8 @@ def _accents() -> tuple[str, str]:
 def folded(c: Column) -> Column:
     """A text in lower case without the marks of Latin letters; null stays null."""
     return F.translate(F.lower(c), *_accents())
+
+
+def fold(value: str) -> str:
+    """The same for a text on the driver."""
+    return value.lower().translate(str.maketrans(*_accents()))

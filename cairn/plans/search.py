@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cairn.durable import Workspace
+from cairn.functions import text as text_functions
 from cairn.functions import vectors
-from cairn.operators import graph, retrieval
+from cairn.operators import graph, lexical, retrieval
 from cairn.plans.imports import external_links
 from cairn.plans.registry import Registry
 from cairn.plans.relational import ART, LNK, OBJ, SEG, TAG
@@ -14,14 +16,15 @@ from cairn.sources import archive
 from cairn.tables import table
 
 R = Registry()
+_FROM, _TO = text_functions._accents()
 WORDS = ["retry", "counter", "saddle"]
 
 
-def _bm25_sql(source: str, key: str, text: str) -> str:
+def _bm25_sql(source: str, key: str, text: str, words: list[str] = WORDS) -> str:
     """The arithmetic of BM25 spelt out."""
-    cols = ", ".join(f"len(list_filter(t, lambda x: x = '{w}')) AS f{i}" for i, w in enumerate(sorted(WORDS)))
-    stats = ", ".join(f"count_if(f{i} > 0) AS d{i}" for i in range(len(WORDS)))
-    parts = " + ".join(f"greatest(1e-6, ln((n - d{i} + 0.5) / (d{i} + 0.5))) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * ln_ / av))" for i in range(len(WORDS)))
+    cols = ", ".join(f"len(list_filter(t, lambda x: x = '{w}')) AS f{i}" for i, w in enumerate(sorted(words)))
+    stats = ", ".join(f"count_if(f{i} > 0) AS d{i}" for i in range(len(words)))
+    parts = " + ".join(f"greatest(1e-6, ln((n - d{i} + 0.5) / (d{i} + 0.5))) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * ln_ / av))" for i in range(len(words)))
     return f"""toks AS (SELECT {key}, list_filter(regexp_split_to_array(lower(coalesce({text}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS t FROM {source}),
     fr AS (SELECT {key}, len(t) AS ln_, {cols} FROM toks), st AS (SELECT count(*) AS n, avg(ln_) AS av, {stats} FROM fr),
     ranked AS (SELECT {key}, {parts} AS score FROM fr, st WHERE f0 + f1 + f2 > 0)"""
@@ -54,6 +57,27 @@ def bm25_objects(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.bm25(o, "derived_object_id", text, WORDS).select("derived_object_id", F.round("score", 6).alias("score"))
 
 
+@R.query(
+    sql=f"WITH docs AS (SELECT doc_id, translate(lower(text), '{_FROM}', '{_TO}') AS tx FROM documents WHERE doc_id IS NOT NULL), {_bm25_sql('docs', 'doc_id', 'tx', ['configuracion', 'retry', 'uber'])} SELECT doc_id, round(score, 6) AS score FROM ranked"
+)
+def indexed_search(spark: SparkSession, d: str) -> DataFrame:
+    """Documents by a stored index: built once, then read for the terms of the query only, marks of letters aside."""
+    space = Workspace(spark, "lexical")
+    where = space.location("index")
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    lexical.build(docs, "doc_id", F.col("text"), where)
+    return lexical.ranked(spark, where, "doc_id", "Configuración retry über").select("doc_id", F.round("score", 6).alias("score"))
+
+
+@R.query(
+    sql=f"""WITH {OBJ}, t AS (SELECT derived_object_id, ' ' || array_to_string(list_filter(regexp_split_to_array(lower(coalesce(body_text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''), ' ') || ' ' AS t FROM obj)
+    SELECT derived_object_id FROM t WHERE regexp_matches(t, ' (?:retry (?:[^ ]+ ){{0,4}}counter|counter (?:[^ ]+ ){{0,4}}retry) ')"""
+)
+def near_search(spark: SparkSession, d: str) -> DataFrame:
+    """Objects with two words at most four others apart."""
+    return table(spark, d, "oa_derived_object").where(retrieval.matches(F.col("body_text"), "retry NEAR/4 counter")).select("derived_object_id")
+
+
 @R.query(sql=f"""WITH {OBJ}, j AS (SELECT derived_object_id, ' ' || array_to_string(list_filter(regexp_split_to_array(lower(coalesce(body_text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''), ' ') || ' ' AS t FROM obj)
     SELECT derived_object_id FROM j WHERE (contains(t, ' retry counter ') OR contains(t, ' sadd')) AND NOT contains(t, ' mare ')""")
 def operator_search(spark: SparkSession, d: str) -> DataFrame:
@@ -113,12 +137,12 @@ TEXTS = ["site", "https://example.com/7", "de", "The memory card has doubled the
             list_filter([CASE WHEN contains(lower(title), x) THEN 'title' END, CASE WHEN contains(lower(body_text), x) THEN 'body_text' END], lambda f: f IS NOT NULL) FROM obj JOIN w ON contains(lower(coalesce(title, '') || ' ' || coalesce(body_text, '')), x) WHERE object_status = 'active'
         UNION ALL SELECT query_text, artifact_id, segment_id, 'segment_excerpt', left(text_content, 240), 300, ['text_content'] FROM seg JOIN w ON contains(lower(text_content), x)),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_text ORDER BY score_hint DESC, artifact_id, match_record_id) AS rn FROM m)
-    SELECT * EXCLUDE (rn) FROM r WHERE rn <= 200"""
+    SELECT * EXCLUDE (rn) REPLACE (array_to_string(matched_fields, ',') AS matched_fields) FROM r WHERE rn <= 200"""
 )
 def candidate_union_topk(spark: SparkSession, d: str) -> DataFrame:
     """The 200 best candidates of all seven kinds for several texts, with the fields that matched."""
     w = Window.partitionBy("query_text").orderBy(F.desc("score_hint"), "artifact_id", "match_record_id")
-    return _candidates(spark, d, TEXTS).withColumn("rn", F.row_number().over(w)).where("rn <= 200").drop("rn")
+    return _candidates(spark, d, TEXTS).withColumn("rn", F.row_number().over(w)).where("rn <= 200").drop("rn").withColumn("matched_fields", F.array_join("matched_fields", ","))
 
 
 @R.query(
@@ -148,14 +172,16 @@ def knn_cross_group(spark: SparkSession, d: str) -> DataFrame:
 @R.query(
     sql="""WITH q AS (SELECT vec_id AS query_id, label, embedding AS e FROM embeddings WHERE vec_id % 100 = 0),
     s AS (SELECT q.query_id, max(greatest(0, list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.e AS DOUBLE[])))) AS best FROM embeddings v JOIN q ON v.label = q.label AND v.vec_id <> q.query_id GROUP BY 1)
-    SELECT CASE WHEN best >= 0.9 THEN 'attach' WHEN best < 0.77 THEN 'create' ELSE 'ambiguous' END AS disposition, CAST(count(*) AS BIGINT) AS n FROM s GROUP BY 1"""
+    SELECT attach, CASE WHEN best >= attach THEN 'attach' WHEN best < fresh THEN 'create' ELSE 'ambiguous' END AS disposition, CAST(count(*) AS BIGINT) AS n FROM s, (VALUES (0.9::DOUBLE, 0.77::DOUBLE), (0.32, 0.28)) t(attach, fresh) GROUP BY 1, 2"""
 )
 def reconcile_disposition(spark: SparkSession, d: str) -> DataFrame:
-    """Dispositions of new records by the similarity of their nearest neighbour."""
+    """Dispositions of new records by the similarity of their nearest neighbour, under two pairs of thresholds."""
     e = table(spark, d, "embeddings")
     best = retrieval.batch_knn(e, e.where("vec_id % 100 = 0"), "vec_id", "embedding", 1, "label")
-    kind = F.when(F.col("similarity") >= 0.9, "attach").when(F.col("similarity") < 0.77, "create").otherwise("ambiguous")
-    return best.groupBy(kind.alias("disposition")).agg(F.count("*").alias("n"))
+    pairs = F.explode(F.array(*(F.struct(F.lit(a).alias("attach"), F.lit(f).alias("fresh")) for a, f in ((0.9, 0.77), (0.32, 0.28))))).alias("t")
+    each = best.select("similarity", pairs).select("similarity", "t.*")
+    kind = F.when(F.col("similarity") >= F.col("attach"), "attach").when(F.col("similarity") < F.col("fresh"), "create").otherwise("ambiguous")
+    return each.groupBy("attach", kind.alias("disposition")).agg(F.count("*").alias("n"))
 
 
 @R.query(

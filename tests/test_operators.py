@@ -332,3 +332,20 @@ def test_late_rows_and_idle_state(spark, tmp_path):
     assert sessions == [(1, 1), (1, 1), (2, 1), (3, 1)]
     states = events.drain(events.job_states(stream()), "update", "late-jobs").where("user_id = 1").orderBy(F.desc("last_id")).first()
     assert (states.status, states.attempts, states.last_id) == ("running", 2, 5)
+
+
+def test_stored_index(spark, tmp_path):
+    from cairn.operators import lexical
+
+    df = spark.createDataFrame([(1, "Caf\u00e9 con leche, caf\u00e9"), (2, "cafe solo"), (3, "te"), (4, None), (None, "cafe")], "id long, t string")
+    where = f"file://{tmp_path}/index"
+    lexical.build(df, "id", F.col("t"), where, 2)
+    got = {r.id: r.score for r in lexical.ranked(spark, where, "id", "caf\u00c9!").collect()}
+    assert set(got) == {1, 2} and got[1] > got[2] > 0
+    plan = lexical.ranked(spark, where, "id", "solo te")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(term" in plan or "In(term, [" in plan
+    lexical.build(df.where("id = 3"), "id", F.col("t"), where)
+    assert [r.id for r in lexical.ranked(spark, where, "id", "te cafe").collect()] == [3]
+    assert lexical.ranked(spark, where, "id", "...").count() == 0
+    with pytest.raises(FileNotFoundError):
+        lexical.ranked(spark, where + "-none", "id", "te")
