@@ -36,6 +36,7 @@ class Workspace:
         self.spark = spark
         self.path = f"{shared_root(spark).rstrip('/')}/cairn/{purpose}-{uuid.uuid4().hex}"
         self._serial = 0
+        self._paths: dict[int, str] = {}
         atexit.register(self._close)  # results may be read as long as the driver lives
 
     def _close(self) -> None:
@@ -49,7 +50,15 @@ class Workspace:
 
     def cut(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
         """Write ``df`` once and return it as read back: same rows, no lineage."""
-        return self.read(self.save(df, name, partition_by), df)
+        path = self.save(df, name, partition_by)
+        out = self.read(path, df)
+        self._paths[id(out)] = path
+        return out
+
+    def release(self, df: DataFrame | None) -> None:
+        """Remove the table behind a frame that :meth:`cut` returned and no later plan reads."""
+        if path := self._paths.pop(id(df), None):
+            self.drop(path)
 
     def save(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> str:
         """Write ``df`` to a fresh path and return that path."""

@@ -309,17 +309,48 @@ def vault_zips(spark: SparkSession, pattern: str) -> DataFrame:
 
 
 def vault_directory(spark: SparkSession, root: str) -> DataFrame:
-    """Notes of a vault directory, read recursively by all executors."""
+    """Notes of a vault directory with their times of modification, read recursively by all executors.
+
+    Application folders (names that begin with a dot) are skipped.  A vault over the limits of notes
+    or bytes is one row with an error, found from the listing before a note is read.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(root)
     base = root.rstrip("/").split(":", 1)[-1].lstrip("/")
     relative = F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9]+:/+", ""), "^" + re.escape(base) + "/", "")
-    pairs = files.select(relative.alias("path"), "content")
+    listed = files.select(relative.alias("path"), "content", "length", F.unix_micros("modificationTime").alias("modified_us")).where(~F.col("path").rlike(r"(^|/)\."))
+    count, size = listed.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    schema = NOTE.rstrip() + ", modified_us long"
+    if count > MAX_NOTES or size > MAX_BYTES:
+        return spark.createDataFrame([{"path": root, "error": "vault exceeds the limits"}], schema)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield _frame(_note_rows(zip(batch["path"], batch["content"])))
+            frame = _frame(_note_rows(zip(batch["path"], batch["content"])))
+            yield frame.merge(batch[["path", "modified_us"]], on="path", how="left")
+
+    return listed.select("path", "content", "modified_us").mapInPandas(run, schema)
+
 
-    return pairs.mapInPandas(run, NOTE)
+def dispatch(name: str, data: bytes | None = None, names: list[str] | None = None) -> str | None:
+    """How a file or folder is imported: by its extension, by what a folder or zip holds, else by its payload.
+
+    ``names`` are a folder's or zip's entries.  None: not importable.
+    """
+    low = name.lower()
+    if names is not None:
+        if any(n == ".obsidian" or n.startswith(".obsidian/") or "/.obsidian/" in n for n in names):
+            return "obsidian_vault"
+        if any(n.lower().endswith("conversations.json") for n in names):
+            return "chatgpt_export"
+        return "obsidian_vault" if any(n.lower().endswith(".md") for n in names) else None
+    if low.endswith((".md", ".markdown")):
+        return "markdown_file"
+    if low.endswith(".txt"):
+        return "text_file"
+    if data is not None and low.endswith((".json", ".zip", ".html")):
+        found = sniff(data)
+        return {"chatgpt": "chatgpt_export", "claude": "claude_export", "grok": "grok_export", "gemini": "gemini_takeout"}.get(found)
+    return None
 
 
 # --- tree-shaped chat exports -------------------------------------------------------------------

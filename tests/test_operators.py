@@ -349,3 +349,20 @@ def test_stored_index(spark, tmp_path):
     assert lexical.ranked(spark, where, "id", "...").count() == 0
     with pytest.raises(FileNotFoundError):
         lexical.ranked(spark, where + "-none", "id", "te")
+
+
+def test_store_deletes_and_pointers(spark, tmp_path):
+    store = ObjectStore(spark, str(tmp_path / "objects"))
+    put = store.put(spark.createDataFrame([(bytearray(b"a"),), (bytearray(b"b"),), (bytearray(b"c"),)], "content binary"), "content").collect()
+    first = sorted(r.sha256 for r in put)[0]
+    told = store.delete(spark.createDataFrame([(first,), ("00" * 32,), (None,)], "sha256 string"))
+    assert {(r.sha256, r.was_deleted) for r in told.collect()} == {(first, True), ("00" * 32, False)}
+    rest = store.get(spark.createDataFrame([(r.sha256,) for r in put], "sha256 string")).collect()
+    assert {r.sha256 for r in rest} == {r.sha256 for r in put} - {first}
+    table = Snapshots(spark, str(tmp_path / "snap"))
+    assert table.current() is None
+    for n in (1, 2, 3):
+        table.write(spark.range(n))
+    assert table.read().count() == 3
+    copy_table(spark.range(100).orderBy(F.rand(1)), path=str(tmp_path / "sorted"), partitions=2, order=["id"])
+    assert [r.id for r in spark.read.parquet(str(tmp_path / "sorted")).where("id < 3").collect()] == [0, 1, 2]

@@ -99,3 +99,18 @@ def test_plain_blocks(spark):
 @pytest.mark.parametrize("path, base, out", [("./a/../b.md", "", "b.md"), ("../x", "d/e", "d/x"), ("/r/y", "d", "r/y"), ("..\\z", "q", "z")])
 def test_paths(path, base, out):
     assert parsers.normal_path(path, base) == out
+
+
+def test_vault_limits_times_and_dispatch(spark, tmp_path, monkeypatch):
+    root = tmp_path / "w"
+    (root / ".obsidian").mkdir(parents=True)
+    (root / ".obsidian" / "x.md").write_text("hidden")
+    (root / "a.md").write_text("# A")
+    (root / "b.md").write_text("b" * 100)
+    got = parsers.vault_directory(spark, str(root)).collect()
+    assert {r.path for r in got} == {"a.md", "b.md"} and all(r.modified_us > 1_500_000_000_000_000 for r in got)
+    monkeypatch.setattr(parsers, "MAX_BYTES", 50)
+    assert [r.error for r in parsers.vault_directory(spark, str(root)).collect()] == ["vault exceeds the limits"]
+    assert parsers.dispatch("x/Note.MD") == "markdown_file" and parsers.dispatch("t.txt") == "text_file" and parsers.dispatch("t.bin") is None
+    assert parsers.dispatch("v", names=[".obsidian/app.json", "a.md"]) == "obsidian_vault" and parsers.dispatch("e.zip", names=["conversations.json"]) == "chatgpt_export"
+    assert parsers.dispatch("e.json", b'[{"chat_messages": []}]') == "claude_export" and parsers.dispatch("e.json", b"oops") is None
