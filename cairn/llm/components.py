@@ -25,17 +25,16 @@ from pyspark.sql import functions as F
 from cairn.durable import Workspace
 
 
-def _jump(pointers: DataFrame, space: Workspace) -> DataFrame:
-    """Double the pointers ``(v, p)`` until every one leads to a root."""
+def _jump(labels: DataFrame, space: Workspace) -> DataFrame:
+    """Double the pointers ``(v, p)`` until every one leads to a root; each table goes when the next stands."""
+    stored, pointers = labels, labels
     while True:
         onward = pointers.select(F.col("v").alias("p"), F.col("p").alias("next"))
-        path = space.save(
-            pointers.join(onward, "p", "left").select("v", F.coalesce("next", "p").alias("p"), (F.coalesce("next", "p") != F.col("p")).alias("moved")), "jump"
-        )
-        moved = space.spark.read.parquet(path)
-        pointers = moved.select("v", "p")
+        moved = space.cut(pointers.join(onward, "p", "left").select("v", F.coalesce("next", "p").alias("p"), (F.coalesce("next", "p") != F.col("p")).alias("moved")), "jump")
+        space.release(stored)
+        stored, pointers = moved, moved.select("v", "p")
         if moved.where("moved").isEmpty():
-            return pointers
+            return stored
 
 
 def connected_components(pairs: DataFrame, left: str, right: str, node: str = "node", group: str = "group_id") -> DataFrame:
@@ -55,14 +54,19 @@ def connected_components(pairs: DataFrame, left: str, right: str, node: str = "n
         least = both.groupBy("v").agg(F.min("n").alias("n")).select("v", F.least("v", "n").alias("p"))
         stars = _jump(space.cut(least, "labels"), space)
         maps.append(stars)
+        before = edges
         to_a = stars.select(F.col("v").alias("a"), F.col("p").alias("ra"))
         to_b = stars.select(F.col("v").alias("b"), F.col("p").alias("rb"))
         rewritten = edges.join(to_a, "a").join(to_b, "b").where("ra <> rb")
         edges = space.cut(rewritten.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
+        space.release(before)
         if edges.isEmpty():
             break
     final = maps.pop()
     while maps:
-        onward = final.select(F.col("v").alias("p"), F.col("p").alias("root"))
-        final = space.cut(maps.pop().join(onward, "p", "left").select("v", F.coalesce("root", "p").alias("p")), "composed")
+        deeper, last = maps.pop(), final
+        onward = last.select(F.col("v").alias("p"), F.col("p").alias("root"))
+        final = space.cut(deeper.join(onward, "p", "left").select("v", F.coalesce("root", "p").alias("p")), "composed")
+        space.release(deeper)
+        space.release(last)
     return final.select(F.col("v").alias(node), F.col("p").alias(group))

@@ -51,6 +51,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
@@ -265,14 +266,8 @@ class History:
         return self._table("store", f"{_ROW}, gen int", "record_id")
 
     def _append(self, name: str, rows: DataFrame, by: str) -> None:
-        """Append to a bucketed table; bucketed input stays in its buckets."""
-        setting = "spark.sql.sources.bucketing.autoBucketedScan.enabled"
-        before = self.spark.conf.get(setting)
-        self.spark.conf.set(setting, "false")
-        try:
-            rows.select(self.spark.table(name).columns).write.bucketBy(self.buckets, by).format("parquet").option("compression", "zstd").mode("append").saveAsTable(name)
-        finally:
-            self.spark.conf.set(setting, before)
+        """Append to a bucketed table."""
+        rows.select(self.spark.table(name).columns).write.bucketBy(self.buckets, by).format("parquet").option("compression", "zstd").mode("append").saveAsTable(name)
 
     def _seen(self) -> DataFrame:
         return self._alive(self.spark.read.schema(_SEEN).parquet(f"{self.path}/seen"))
@@ -408,8 +403,11 @@ class History:
 
     def accept(self, rows: DataFrame) -> DataFrame:
         """Take one batch ``(record_id, owner, updated, texts)``; returns ``(record_id_a, record_id_b)`` of its rejected rows."""
-        space, spark = self.space, self.spark
-        was = self.generation, self.version
+        spark, was = self.spark, (self.generation, self.version)
+        # bucketed input stays in its buckets, also where no join asks for it
+        setting = "spark.sql.sources.bucketing.autoBucketedScan.enabled"
+        before = spark.conf.get(setting)
+        spark.conf.set(setting, "false")
         self.generation = 1 + max([g for g, *_ in self._markers("begun")] + [self.generation])
         Workspace.mark(spark, f"{self.path}/markers/begun-{self.generation}-{self.version}")
         try:
@@ -419,6 +417,7 @@ class History:
             self.generation, self.version = was
             raise
         finally:
+            spark.conf.set(setting, before)
             self._unstage()
         return rejected
 
@@ -461,11 +460,17 @@ class History:
         fresh = F.col("known").isNull() & (F.col("record_id") == F.col("rep"))
         seen = said.select("record_id", "fp").join(members, "fp").join(best.withColumnRenamed("b", "rep"), "rep", "left")
         seen = seen.select("record_id", "fp", "rep", F.coalesce("known", "a").alias("a"), fresh.alias("fresh"), "gen")
-        seen.write.mode("append").option("compression", "zstd").parquet(f"{self.path}/seen")
         out = best.select(F.col("b").alias("record_id"))
-        self._append(self._postings(), staged.join(out.withColumnRenamed("record_id", "a"), "a", "left_anti"), "token")
         kept = reps.join(out, "record_id", "left_anti").select("record_id", "owner", "updated", "texts", "gen")
-        self._append(self._store(), kept.repartition(self.buckets, "record_id"), "record_id")
+        postings, store = self._postings(), self._store()
+        with ThreadPoolExecutor(3) as pool:  # three writes that do not depend on each other
+            writes = [
+                pool.submit(self._append, postings, staged.join(out.withColumnRenamed("record_id", "a"), "a", "left_anti"), "token"),
+                pool.submit(self._append, store, kept.repartition(self.buckets, "record_id"), "record_id"),
+                pool.submit(lambda: seen.write.mode("append").option("compression", "zstd").parquet(f"{self.path}/seen")),
+            ]
+            for w in writes:
+                w.result()
         space.drop(stored)
         return self.rejected(self.generation)
 

@@ -193,22 +193,26 @@ def bootstrap(found: DataFrame, space: Workspace) -> tuple[DataFrame, DataFrame]
     spark = found.sparkSession
     edges = space.cut(_edges(found), "edges")
     wide = edges.groupBy("kind", "pattern").agg(F.count("*").alias("n"), F.sum("c").alias("all")).where(F.col("n") >= SUPPORT)
-    edges = space.cut(edges.join(wide, ["kind", "pattern"]), "supported")
+    every, edges = edges, space.cut(edges.join(wide, ["kind", "pattern"]), "supported")
+    space.release(every)
     seeds = _seeds(spark).withColumn("score", F.lit(1.0))
     seen = edges.groupBy("kind", "instance").agg(F.sum("c").alias("times"))
     scores, patterns, before = seeds, None, None
     for _ in range(MOST_ROUNDS):
         known = scores.where(F.col("score") >= KNOWN).select("kind", "type", "instance")
+        space.release(patterns)
         patterns = space.cut(edges.join(known, ["kind", "instance"]).groupBy("kind", "pattern", "type").agg((F.sum("c") / F.max("all")).alias("score"), F.max("n").alias("n")), "patterns")
         telling = patterns.where(F.col("score") >= TELLING).drop("n")
         raised = edges.select("kind", "instance", "pattern", "c").join(telling, ["kind", "pattern"]).groupBy("kind", "instance", "type").agg(F.sum("c").alias("told"), F.count("*").alias("k"))
         fresh = raised.join(seen, ["kind", "instance"]).where(F.col("k") >= SUPPORT).select("kind", "type", "instance", (F.col("told") / F.col("times")).alias("score"))
-        scores = space.cut(fresh.unionByName(seeds.select("kind", "type", "instance", "score")).groupBy("kind", "type", "instance").agg(F.max("score").alias("score")), "instances")
+        last, scores = scores, space.cut(fresh.unionByName(seeds.select("kind", "type", "instance", "score")).groupBy("kind", "type", "instance").agg(F.max("score").alias("score")), "instances")
+        space.release(last)
         named = scores.where(F.col("score") >= KNOWN).select(F.xxhash64("kind", "type", "instance").alias("h"))
         now = named.agg(F.count("*"), F.sum(F.col("h").cast("decimal(38,0)"))).first()  # a digest of the set
         if now == before:
             break
         before = now
+    space.release(edges)
     return scores, patterns
 
 
