@@ -17,10 +17,10 @@ first shared token, bound the overlap from above.  Pairs that may reach ``t`` ar
 of those rows, no others.  Rows of a batch meet one another the same way; verdicts are given in order of
 arrival, and rows that stay are appended.
 
-The measure: a row repeats another if the sets of their runs of three words agree to 0.7.  An edited
-word spoils three such runs, so that is about six edited words in a hundred, wherever they fall.
-Runs of three are too common to search by; candidates are found by runs of ten words at 0.3, which
-5.4 edited words in a hundred leave where each spoils ten runs of its own, and more where edits are
+The measure: a row repeats another if the sets of their runs of three words agree to 0.66.  An edited
+word spoils three such runs, so that is about seven edited words in a hundred, wherever they fall.
+Runs of three are too common to search by; candidates are found by runs of ten words at 0.25, which
+six edited words in a hundred leave where each spoils ten runs of its own, and more where edits are
 closer to each other.  A pair has to reach both, and the sizes of its sets of ten-word runs must agree to 0.6.
 
 Cost: a batch is read, tokenised and shuffled once.  Of the history, the thin postings are scanned
@@ -64,9 +64,9 @@ from cairn.durable import Workspace
 from cairn.llm.shingles import BITS, ROWS, TokenBatch, mix
 
 #: Candidates share runs of so many words to this degree, with sizes of this ratio at least, ...
-SIZE, CANDIDATE, RATIO = 10, 0.3, 0.6
+SIZE, CANDIDATE, RATIO = 10, 0.25, 0.6
 #: ... and repeat a row if their runs of so many words agree to this one.
-FINE, THRESHOLD = 3, 0.7
+FINE, THRESHOLD = 3, 0.66
 #: The order counts tokens in so many slots (one byte each is broadcast).  It decides cost, never results.
 SLOTS = 1 << 22
 #: Postings lists of this length are handled by their leaders first.  It decides cost, never results.
