@@ -11,7 +11,7 @@ from cairn.functions import payload
 from cairn.operators import enrich, imports, ranks, retrieval
 from cairn.plans.registry import Registry
 from cairn.plans.relational import ART, LNK, OBJ, SEG
-from cairn.sources import archive
+from cairn.sources import archive, exports
 from cairn.tables import table
 
 R = Registry()
@@ -404,3 +404,72 @@ def vault_manifest(spark: SparkSession, d: str) -> DataFrame:
 def stride_by_rank(spark: SparkSession, d: str) -> DataFrame:
     """Twenty-five objects at equal strides of their rank (a sampling operator)."""
     return imports.stride(archive.objects(spark, d).select("derived_object_id").distinct(), "derived_object_id", 25)
+
+
+@R.query(
+    sql="""WITH c AS (SELECT record_id, unnest(chat_messages) AS m FROM claude_export), p AS (SELECT record_id, unnest(m.content) AS x FROM c), a AS (SELECT record_id, unnest(m.attachments) AS x FROM c), f AS (SELECT record_id, unnest(m.files) AS x FROM c),
+    g AS (SELECT record_id, unnest(responses).response.message AS t FROM grok_export), t AS (SELECT record_id, len(regexp_extract_all(t, '</?(grok|xai):[^>]*>')) AS n FROM g WHERE t IS NOT NULL),
+    s AS (SELECT 'claude_export' AS source, record_id, coalesce(nullif(lower(trim(x.type)), ''), 'untyped') AS kind FROM p WHERE x IS NOT NULL AND coalesce(lower(trim(x.type)), '') <> 'text'
+        UNION ALL SELECT 'claude_export', record_id, 'attachment' FROM a WHERE x IS NOT NULL UNION ALL SELECT 'claude_export', record_id, 'file' FROM f WHERE x IS NOT NULL
+        UNION ALL SELECT 'gemini_export', record_id, 'attached_file' FROM (SELECT record_id, unnest(attached_files) AS x FROM gemini_export) WHERE x IS NOT NULL
+        UNION ALL SELECT 'gemini_export', record_id, 'image' FROM gemini_export WHERE image_file IS NOT NULL)
+    SELECT source, record_id, kind, CAST(count(*) AS BIGINT) AS n FROM s GROUP BY 1, 2, 3 UNION ALL SELECT 'grok_export', record_id, 'render_tag', CAST(sum(n) AS BIGINT) FROM t WHERE n > 0 GROUP BY 2"""
+)
+def skipped_content(spark: SparkSession, d: str) -> DataFrame:
+    """What an import leaves out of the text, recorded by kind: typed parts, attachments, files, images, render tags."""
+    claude = exports.claude_nodes(exports.read_paths(spark, d, "claude_export", ["record_id", *(f"chat_messages.{p}" for p in ("uuid", "text", "sender", "created_at", "updated_at", "content", "attachments", "files"))]))
+    one = lambda df, source, kind: df.select(F.lit(source).alias("source"), "record_id", kind.alias("kind"), F.lit(1).cast("long").alias("n"))
+    kind = F.lower(F.trim(F.coalesce("part_type", F.lit(""))))
+    grok = exports.grok_nodes(table(spark, d, "grok_export"))["response"].where("message is not null")
+    gemini = table(spark, d, "gemini_export")
+    parts = [
+        one(claude["part"].where(kind != "text"), "claude_export", F.coalesce(F.nullif(kind, F.lit("")), F.lit("untyped"))),
+        one(claude["attachment"], "claude_export", F.lit("attachment")),
+        one(claude["file"], "claude_export", F.lit("file")),
+        one(exports.gemini_nodes(gemini)["attached_file"], "gemini_export", F.lit("attached_file")),
+        one(gemini.where("image_file is not null"), "gemini_export", F.lit("image")),
+        grok.select(F.lit("grok_export").alias("source"), "record_id", F.lit("render_tag").alias("kind"), F.regexp_count("message", F.lit(r"</?(?:grok|xai):[^>]*>")).cast("long").alias("n")).where("n > 0"),
+    ]
+    return reduce(DataFrame.unionByName, parts).groupBy("source", "record_id", "kind").agg(F.sum("n").alias("n"))
+
+
+@R.query(
+    sql=f"""WITH {OBJ}, d AS (SELECT derived_object_type AS kind, candidate_key AS key, arg_min({{'id': derived_object_id, 's': object_status}}, (created_at, derived_object_id)) AS x FROM obj WHERE object_status <> 'active' AND candidate_key IS NOT NULL GROUP BY 1, 2),
+    e AS (SELECT o.derived_object_id AS source, d.x.id AS target, CASE d.x.s WHEN 'superseded' THEN 'continues' WHEN 'rejected' THEN 'contradicts' ELSE 'same_as' END AS link_type FROM obj o JOIN d ON d.kind = o.derived_object_type AND d.key = o.candidate_key WHERE o.object_status = 'active')
+    SELECT source, target, min(link_type) AS link_type FROM e WHERE source <> target GROUP BY 1, 2"""
+)
+def derivation_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Edges that decisions give: attached objects are the same, superseding ones continue, contradicted ones contradict."""
+    o = archive.objects(spark, d)
+    decided = o.where("object_status <> 'active' and candidate_key is not null").groupBy("derived_object_type", "candidate_key").agg(F.min_by(F.struct("derived_object_id", "object_status"), F.struct("created_at", "derived_object_id")).alias("x"))
+    kind = F.when(F.col("x.object_status") == "superseded", "continues").when(F.col("x.object_status") == "rejected", "contradicts").otherwise("same_as")
+    e = o.where("object_status = 'active'").join(decided, ["derived_object_type", "candidate_key"]).select(F.col("derived_object_id").alias("source"), F.col("x.derived_object_id").alias("target"), kind.alias("link_type"))
+    return e.where("source <> target").groupBy("source", "target").agg(F.min("link_type").alias("link_type"))
+
+
+@R.query(
+    sql=f"""WITH {OBJ}, t AS (SELECT DISTINCT derived_object_type AS kind, candidate_key AS key FROM obj WHERE object_status = 'active' AND candidate_key IS NOT NULL), d AS (SELECT derived_object_type AS kind, candidate_key AS key, count(*) AS n FROM obj WHERE object_status <> 'active' AND candidate_key IS NOT NULL GROUP BY 1, 2)
+    SELECT coalesce(t.kind, d.kind) AS kind, CASE WHEN t.kind IS NULL THEN 'not_asked_for' WHEN d.n IS NULL THEN 'missing' WHEN d.n > 1 THEN 'several' ELSE 'one' END AS verdict, CAST(count(*) AS BIGINT) AS n FROM t FULL JOIN d ON t.kind = d.kind AND t.key = d.key GROUP BY 1, 2"""
+)
+def decision_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Whether every candidate has exactly one decision, and every decision a candidate."""
+    o = archive.objects(spark, d).where("candidate_key is not null")
+    keys = ["derived_object_type", "candidate_key"]
+    asked = o.where("object_status = 'active'").select(*keys).distinct().withColumn("asked", F.lit(True))
+    told = o.where("object_status <> 'active'").groupBy(*keys).agg(F.count("*").alias("c"))
+    verdict = F.when(F.col("asked").isNull(), "not_asked_for").when(F.col("c").isNull(), "missing").when(F.col("c") > 1, "several").otherwise("one")
+    return asked.join(told, keys, "full_outer").groupBy(F.col("derived_object_type").alias("kind"), verdict.alias("verdict")).agg(F.count("*").alias("n"))
+
+
+@R.query(
+    sql=f"""WITH {SEG}, {OBJ}, a AS (SELECT artifact_id, epoch_us(max(created_at)) AS last_us, count(*) AS n FROM oa_segment GROUP BY 1),
+    b AS (SELECT artifact_id, title, row_number() OVER (PARTITION BY artifact_id ORDER BY confidence_score DESC NULLS LAST, derived_object_id) AS rn FROM obj WHERE derived_object_type = 'summary' AND object_status = 'active')
+    SELECT a.artifact_id, last_us, b.title AS summary_title FROM a LEFT JOIN b ON b.artifact_id = a.artifact_id AND rn = 1 ORDER BY last_us DESC, a.artifact_id LIMIT 100"""
+)
+def timeline_with_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """The latest hundred artifacts with their best summary (the page is cut before the summaries are joined)."""
+    from cairn.plans.relational import best_summary
+
+    last = table(spark, d, "oa_segment").groupBy("artifact_id").agg(F.unix_micros(F.max("created_at")).alias("last_us"))
+    page = last.orderBy(F.desc("last_us"), "artifact_id").limit(100)
+    return page.join(best_summary(spark, d).select("artifact_id", "summary_title"), "artifact_id", "left").select("artifact_id", "last_us", "summary_title")

@@ -9,6 +9,12 @@ QUERIES = {k: v for r in catalogue.registries() for k, v in r.queries.items()}
 SQL = {k: v for r in catalogue.registries() for k, v in r.oracles.items()}
 
 
+#: Rows over the smallest tables of the queries that SQL does not state; their operators are tested on fixtures.
+ROWS = {
+    "p1_nodes": 894, "p5_found": 83, "p5_normalised": 8, "activity_messages": 107, "html_to_text": 57, "markdown_blocks": 487, "cluster_memories": 54, "stub_embeddings": 148, "note_metadata": 100, "note_links": 200,
+}
+
+
 @pytest.fixture(scope="module")
 def con(data):
     return oracle.connect(data)
@@ -20,7 +26,7 @@ def test_query(spark, data, con, name):
     if name in SQL:
         oracle.same(frame, con, SQL[name])
     else:
-        assert frame.columns and frame.count() >= 0
+        assert frame.count() == ROWS[name]
 
 
 def test_flagship_has_rows(spark, data):
