@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
@@ -54,3 +54,19 @@ def embed(c: Column, dim: int = 64) -> Column:
             yield batch.map(lambda t: stub_embedding(t or "", dim))
 
     return run(c)
+
+
+def clustered(spark: SparkSession, n: int, dims: int, centres: int = 16, noise: float = 0.015, seed: int = 7) -> DataFrame:
+    """``(vec_id, cluster, embedding)``: unit vectors around sine-shaped centres, the same for the same arguments.
+
+    Every number is a function of its id, place and seed, so rows are made where they are needed.
+    """
+    ids = spark.range(n).select(F.col("id").alias("vec_id"), (F.col("id") % centres).cast("int").alias("cluster"))
+
+    def value(j: Column) -> Column:
+        chance = F.pmod(F.xxhash64("vec_id", j, F.lit(seed)), F.lit(1 << 20)) / (1 << 20)
+        return F.sin((F.col("cluster") + 1) * (j + 1) * 0.37) + (chance * 2 - 1) * noise
+
+    raw = ids.withColumn("_raw", F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), value))
+    size = F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda total, x: total + x * x))
+    return raw.withColumn("_size", size).select("vec_id", "cluster", F.transform("_raw", lambda x: (x / F.col("_size")).cast("float")).alias("embedding"))

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cairn.operators import enrich, imports, retrieval
+from cairn.operators import enrich, graph, imports, retrieval
 from cairn.plans.registry import Registry
 from cairn.plans.relational import ART, OBJ, SEG
 from cairn.sources import archive, exports, parsers
@@ -170,10 +170,42 @@ def external_links(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query()
 def note_links(spark: SparkSession, d: str) -> DataFrame:
-    """Links of all notes with the artifact they resolve to, by path."""
-    notes = note_metadata(spark, d).select("artifact_id", F.posexplode("links").alias("seq", "l")).select("artifact_id", "seq", "l.*")
-    owners = archive.artifacts(spark, d).select(F.col("path_key").alias("target_path"), F.col("artifact_id").alias("resolved"))
-    return notes.join(owners, "target_path", "left").select("artifact_id", "seq", "kind", "target_kind", "raw_target", "resolved")
+    """Links of all notes with the artifact they resolve to: by path, else by a stem that only one note has."""
+    links = note_metadata(spark, d).select("artifact_id", F.posexplode("links").alias("seq", "l")).select("artifact_id", "seq", "l.*")
+    stem = lambda c: F.lower(F.regexp_replace(F.regexp_extract(c, r"([^/]+)$", 1), r"(?i)\.(?:md|markdown)$", ""))
+    art = archive.artifacts(spark, d)
+    owners = art.select(F.col("path_key").alias("target_path"), F.col("artifact_id").alias("by_path"))
+    found = links.join(owners, "target_path", "left").withColumn("stem", F.when(F.col("target_kind").isin("note", "heading", "block") & F.col("by_path").isNull(), F.nullif(stem(F.col("target_path")), F.lit(""))))
+    found = graph.resolve_unique(found, "stem", art.select(stem(F.col("path_key")).alias("name"), "artifact_id"), "name", "artifact_id")
+    return found.select("artifact_id", "seq", "kind", "target_kind", "raw_target", F.coalesce("by_path", "resolved").alias("resolved"))
+
+
+@R.query(
+    sql=f"""WITH {ART}, n AS (SELECT artifact_id, doc_id FROM art WHERE trim(coalesce(body, '')) <> ''), l AS (SELECT n.artifact_id AS source, 'doc-' || (n.doc_id + 1) AS target FROM n WHERE n.doc_id + 1 IN (SELECT doc_id FROM art))
+    SELECT target AS artifact_id, CAST(count(*) AS BIGINT) AS n_inbound, min(source) AS first_source FROM l GROUP BY 1"""
+)
+def note_inbound(spark: SparkSession, d: str) -> DataFrame:
+    """Notes that others link to, with the number of links and the first note they come from."""
+    links = note_links(spark, d).where("resolved is not null")
+    return links.groupBy(F.col("resolved").alias("artifact_id")).agg(F.count("*").alias("n_inbound"), F.min("artifact_id").alias("first_source"))
+
+
+@R.query()
+def vault_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """What parsing the vaults gave: totals, links by kind of target, the twelve most linked targets, the ten most frequent attachment types."""
+    links = note_metadata(spark, d).select(F.explode("links").alias("l")).select("l.*")
+    notes = note_metadata(spark, d)
+    part = lambda df, section, name: df.groupBy(F.lit(section).alias("section"), name.alias("name")).agg(F.count("*").alias("n"))
+    top = lambda df, k: df.orderBy(F.desc("n"), "name").limit(k)
+    kind = F.regexp_extract(F.lower("target_path"), r"\.([a-z0-9]+)$", 1)
+    return (
+        notes.agg(F.lit("total").alias("section"), F.lit("notes").alias("name"), F.count("*").alias("n"))
+        .unionByName(notes.agg(F.lit("total").alias("section"), F.lit("tags").alias("name"), F.sum(F.size("tags")).alias("n")))
+        .unionByName(notes.agg(F.lit("total").alias("section"), F.lit("errors").alias("name"), F.count("error").alias("n")))
+        .unionByName(part(links, "target_kind", F.col("target_kind")))
+        .unionByName(top(part(links, "target", F.col("raw_target")), 12))
+        .unionByName(top(part(links.where("target_kind = 'attachment'"), "attachment", kind), 10))
+    )
 
 
 @R.query(

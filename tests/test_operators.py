@@ -366,3 +366,11 @@ def test_store_deletes_and_pointers(spark, tmp_path):
     assert table.read().count() == 3
     copy_table(spark.range(100).orderBy(F.rand(1)), path=str(tmp_path / "sorted"), partitions=2, order=["id"])
     assert [r.id for r in spark.read.parquet(str(tmp_path / "sorted")).where("id < 3").collect()] == [0, 1, 2]
+
+
+def test_clustered_vectors(spark):
+    rows = vectors.clustered(spark, 40, 24, 4).collect()
+    x = {r.vec_id: np.array(r.embedding) for r in rows}
+    assert all(abs(np.linalg.norm(v) - 1) < 1e-5 for v in x.values())
+    assert min(x[i] @ x[i + 4] for i in range(36)) > 0.99 > max(x[i] @ x[i + 1] for i in range(39))
+    assert [r.embedding for r in vectors.clustered(spark, 40, 24, 4).collect()] == [r.embedding for r in rows]

@@ -11,7 +11,7 @@ SQL = {k: v for r in catalogue.registries() for k, v in r.oracles.items()}
 
 #: Rows over the smallest tables of the queries that SQL does not state; their operators are tested on fixtures.
 ROWS = {
-    "p1_nodes": 894, "p5_found": 83, "p5_normalised": 8, "activity_messages": 107, "html_to_text": 57, "markdown_blocks": 487, "cluster_memories": 54, "stub_embeddings": 148, "note_metadata": 100, "note_links": 200,
+    "p1_nodes": 894, "p5_found": 83, "p5_normalised": 8, "activity_messages": 107, "html_to_text": 57, "markdown_blocks": 487, "cluster_memories": 54, "stub_embeddings": 148, "note_metadata": 100, "note_links": 200, "vault_statistics": 17,
 }
 
 
