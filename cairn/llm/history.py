@@ -87,9 +87,9 @@ def _sliced(batches: Iterator[pa.RecordBatch], rows: int = min(1000, ROWS)) -> I
             yield batch.slice(start, rows)
 
 
-def _batch_tokens(texts: pa.ListArray, size: int) -> TokenBatch:
+def _batch_tokens(texts: pa.ListArray, size: int, messages: bool = False) -> TokenBatch:
     owner = np.repeat(np.arange(len(texts)), pc.fill_null(pc.list_value_length(texts), 0).to_numpy(zero_copy_only=False))
-    return TokenBatch(texts.flatten().to_pylist(), owner, size)
+    return TokenBatch(texts.flatten().to_pylist(), owner, size, messages)
 
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +196,7 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same = (wide >= CANDIDATE - 1e-9) & (ratio >= RATIO - 1e-9) & (score >= THRESHOLD - 1e-9)
         later = pc.fill_null(pc.and_(pc.equal(batch.column("oa"), batch.column("ob")), pc.greater(batch.column("ub"), batch.column("ua"))), False).to_numpy(zero_copy_only=False)
         for i in np.flatnonzero(same & later):
-            said = _batch_tokens(texts.slice(2 * i, 2), FINE)
+            said = _batch_tokens(texts.slice(2 * i, 2), FINE, True)
             a, b = set(said.message[said.message_row == 0].tolist()), set(said.message[said.message_row == 1].tolist())
             same[i] = not a < b
         keep = pa.array(same)
@@ -265,9 +265,9 @@ class History:
     def _store(self) -> str:
         return self._table("store", f"{_ROW}, gen int", "record_id")
 
-    def _append(self, name: str, rows: DataFrame, by: str) -> None:
+    def _append(self, name: str, rows: DataFrame, by: str, codec: str = "zstd") -> None:
         """Append to a bucketed table."""
-        rows.select(self.spark.table(name).columns).write.bucketBy(self.buckets, by).format("parquet").option("compression", "zstd").mode("append").saveAsTable(name)
+        rows.select(self.spark.table(name).columns).write.bucketBy(self.buckets, by).format("parquet").option("compression", codec).mode("append").saveAsTable(name)
 
     def _seen(self) -> DataFrame:
         return self._alive(self.spark.read.schema(_SEEN).parquet(f"{self.path}/seen"))
@@ -292,7 +292,7 @@ class History:
         name = f"cairn_stage_{uuid.uuid4().hex}"
         where = self.space.location("stage")
         self.spark.sql(f"CREATE TABLE {name} ({_POSTING}) USING parquet CLUSTERED BY (token) INTO {self.buckets} BUCKETS LOCATION '{where}'")
-        self._append(name, reps.select("record_id", "tokens").mapInArrow(_prefixes(self._ordered()), _POSTING).repartition(self.buckets, "token"), "token")
+        self._append(name, reps.select("record_id", "tokens").mapInArrow(_prefixes(self._ordered()), _POSTING).repartition(self.buckets, "token"), "token", "lz4_raw")
         self._tables[where] = name
         return self.spark.table(name)
 
@@ -423,7 +423,8 @@ class History:
 
     def _accept(self, rows: DataFrame) -> DataFrame:
         space, first = self.space, not self.version
-        stored = space.save(featurise(rows, self.generation), "batch")
+        stored = space.location("batch")  # read a few times and dropped: hashes do not compress
+        featurise(rows, self.generation).write.option("compression", "lz4_raw").parquet(stored)
         batch = self.spark.read.schema(_FEATURES).parquet(stored)
         said = batch.where("n > 0")
         members = said.groupBy("fp").agg(F.min("record_id").alias("rep"), F.min("gen").alias("gen"))

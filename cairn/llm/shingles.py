@@ -47,11 +47,11 @@ class TokenBatch:
     """Shingle sets of many rows of messages at once.
 
     ``row``, ``token`` (:data:`BITS` bits) hold the distinct shingles of all rows, ordered by row and
-    token; ``message_row``, ``message`` one number per distinct non-empty message of each row.  A
+    token; ``message_row``, ``message`` one number per distinct non-empty message of each row, if asked for.  A
     batch has at most :data:`ROWS` rows, so that row and token fit one number and sort as one.
     """
 
-    def __init__(self, texts: list[str | None], owner: np.ndarray, size: int) -> None:
+    def __init__(self, texts: list[str | None], owner: np.ndarray, size: int, messages: bool = True) -> None:
         found = [_WORDS.findall(t.lower()) if t else () for t in texts]
         length = np.fromiter(map(len, found), np.int64, len(found))
         keep = length > 0
@@ -65,10 +65,11 @@ class TokenBatch:
             self.row = self.message_row = np.empty(0, np.int64)
             self.token, self.message = np.empty(0, np.uint64), np.empty(0, np.uint64)
             return
-        place = np.arange(len(words)) - np.repeat(start, length)
-        powers = np.cumprod(np.full(int(length.max()), 0x9E3779B97F4A7C15, dtype=np.uint64))
-        whole = mix(np.add.reduceat(words * powers[place], start) + length.astype(np.uint64))
-        self.message_row, self.message = _distinct(owner, whole)
+        if messages:
+            place = np.arange(len(words)) - np.repeat(start, length)
+            powers = np.cumprod(np.full(int(length.max()), 0x9E3779B97F4A7C15, dtype=np.uint64))
+            whole = mix(np.add.reduceat(words * powers[place], start) + length.astype(np.uint64))
+            self.message_row, self.message = _distinct(owner, whole)
         own = np.repeat(owner, length)
         left = np.repeat(end, length) - np.arange(len(words))
         rows, tokens = [], []
