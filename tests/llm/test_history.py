@@ -106,8 +106,8 @@ def test_reopened_history_equals_one_session(spark, rows):
     # a batch that fails on its way leaves postings behind, which must not count
     append = again._append
 
-    def lost(name, frame, by):
-        append(name, frame, by)
+    def lost(name, frame, by, *codec):
+        append(name, frame, by, *codec)
         if by == "record_id":
             raise RuntimeError("lost")
 
