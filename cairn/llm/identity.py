@@ -28,6 +28,7 @@ mentions; positions are in characters; time grows linearly with the text.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 import regex
@@ -75,11 +76,12 @@ _NUMBER = regex.compile(
     regex.IGNORECASE,
 )
 #: Words parted by some form of "at" and some form of "dot".
-_WIDE_EMAIL = regex.compile(
-    r"(?<![\w.+@-])[A-Za-z][\w.+-]*(?P<at>\s{0,2}[^\w\s]{0,2}\s?(?:@|\bat\b|\barroba\b)\s?[^\w\s]{0,2}\s{0,2})[A-Za-z][\w-]*"
-    r"(?:(?P<dot>\s{0,2}[^\w\s]{0,2}\s?(?:\.|\bdot\b|\bpunto\b|\bpoint\b)\s?[^\w\s]{0,2}\s{0,2})[A-Za-z][\w-]*)+(?![\w@])",
-    regex.IGNORECASE,
-)
+_AT = r"\s{0,2}[^\w\s]{0,2}\s?(?:@|\bat\b|\barroba\b)\s?[^\w\s]{0,2}\s{0,2}"
+_ANY_DOT = r"\.|\s\.\s?|\s{0,2}[^\w\s]{0,2}\s?\b(?:dot|punto|point)\b\s?[^\w\s]{0,2}\s{0,2}"
+_WIDE_EMAIL = regex.compile(rf"(?<![\w.+@-])[A-Za-z][\w.+-]*(?P<at>{_AT})[A-Za-z][\w-]*(?:(?P<dot>{_ANY_DOT})[A-Za-z][\w-]*)+(?![\w@])", regex.IGNORECASE)
+#: What a text must hold for the wider outlines to be looked for; quick to test.
+_AT_AND_DOT = re.compile(r"(?:\bat\b|\barroba\b|@)[^\w\n]{0,5}[a-z][\w-]*(?:\.|\s\.\s?|[^\w\n]{0,5}\b(?:dot|punto|point)\b[^\w\n]{0,5})[a-z]")
+_NUMBER_CAPITAL, _NUMBER_POST = re.compile(r"\d[A-Za-z]? [^\W\d_a-z]"), re.compile(r"\d[a-z]?,\s\d{5} ")
 _WORD = r"\p{L}[\p{L}\p{M}'’]*"
 _CAP = r"\p{Lu}[\p{Ll}\p{M}'’]+(?:-\p{Lu}[\p{Ll}\p{M}'’]+)*"
 _NAME = regex.compile(rf"(?<![\w-])(?P<first>{_CAP})(?=(?P<rest>(?:[ ]\p{{Lu}}\.)*(?:[ ](?:van der|van den|van|von|de la|del|de|di|da|dos|bin|ibn|al|el|le|la|ter))?[ ]{_CAP})(?!\w))")
@@ -131,9 +133,9 @@ def candidates(text: str | None) -> list[tuple[str, int, int, str, str, str]]:
     low = text.lower()
     if "@" in text or "dot" in low or "(at)" in low or "[at]" in low:
         for m in _EMAIL.finditer(text):
-            out.append(("email", *m.span(), "@ ." if "@" in m.group() else "at ."))
+            out.append(("email", *m.span(), "@ ." if "@" in m.group() else "(at) (dot)"))
             taken.append(m.span())
-    if "@" in text or "at" in low or "arroba" in low:
+    if _AT_AND_DOT.search(low):
         for m in _WIDE_EMAIL.finditer(text):
             if not any(x < m.end() and m.start() < y for x, y in taken):
                 out.append(("wide_email", *m.span(), f"{m.group('at').strip().lower()} {m.group('dot').strip().lower()}"))
@@ -143,8 +145,8 @@ def candidates(text: str | None) -> list[tuple[str, int, int, str, str, str]]:
                 if not any(x < m.end() and m.start() < y for x, y in taken):
                     out.append(("address", *m.span(), m.group("key").lower()))
                     taken.append(m.span())
-        for p in () if single else _WIDE_ADDRESS:
-            for m in p.finditer(text):
+        for p, quick in () if single else zip(_WIDE_ADDRESS, (_NUMBER_CAPITAL, _NUMBER_POST)):
+            for m in p.finditer(text) if quick.search(text) else ():
                 if not any(x < m.end() and m.start() < y for x, y in taken):
                     out.append(("wide_address", *m.span(), m.group("key").lower()))
         for m in _NUMBER.finditer(text):
