@@ -100,3 +100,28 @@ def stride(rows: DataFrame, order: str, n: int) -> DataFrame:
     placed = cut.withColumn("_own", own).join(F.broadcast(before), "_p").withColumn("place", (F.col("_before") + F.col("_own")).cast("long"))
     step = F.greatest(F.lit(1), F.expr(f"_all div {int(n)}"))
     return placed.where((F.col("place") % step == 0) & (F.floor(F.col("place") / step) < n)).select(order, "place")
+
+
+def validate_derivations(objects: DataFrame, segments: DataFrame, links: DataFrame) -> DataFrame:
+    """``(kind, ident, error)`` of everything that makes a derivation invalid; what is not listed may be written.
+
+    ``objects(derived_object_id, artifact_id, scope_type, scope_id)``: the artifact must be known, an id
+    occur once, and the scope be the artifact itself or one of its segments.  ``links(archive_link_id,
+    source_object_id, target_object_id)``: both ends must be objects, and differ.
+    """
+    from pyspark.sql import functions as F
+
+    known = segments.select("artifact_id").distinct().withColumn("_known", F.lit(True))
+    owned = segments.select(F.col("segment_id").alias("scope_id"), F.col("artifact_id").alias("_owner")).distinct()
+    told = objects.join(known, "artifact_id", "left").join(owned, "scope_id", "left")
+    scope = F.when(F.col("scope_type") == "artifact", F.col("scope_id") == F.col("artifact_id")).when(F.col("scope_type") == "segment", F.col("_owner") == F.col("artifact_id")).otherwise(F.lit(False))
+    per = told.groupBy("derived_object_id").agg(F.min("scope_type").alias("_t"), F.bool_and(F.col("_known").isNotNull()).alias("_k"), F.max(F.coalesce(scope, F.lit(False))).alias("_s"))
+    twice = objects.groupBy("derived_object_id").count().where("count > 1").select("derived_object_id", F.lit(True).alias("_twice"))
+    wrong = per.join(twice, "derived_object_id", "left").select("derived_object_id", F.explode(F.array_compact(F.array(F.when(~F.col("_k"), "unknown_artifact"), F.when(~F.col("_s"), "foreign_scope"), F.when(F.col("_twice"), "repeated_id")))).alias("error"))
+    ids = objects.select(F.col("derived_object_id").alias("_id")).distinct()
+    ends = links
+    for side in ("source", "target"):
+        ends = ends.join(ids.select(F.col("_id").alias(f"{side}_object_id"), F.lit(True).alias(f"_{side}")), f"{side}_object_id", "left")
+    fault = F.when(F.col("_source").isNull() | F.col("_target").isNull(), "unknown_end").when(F.col("source_object_id") == F.col("target_object_id"), "self_link")
+    bad = ends.select(F.col("archive_link_id").alias("ident"), fault.alias("error")).where("error is not null")
+    return wrong.select(F.lit("object").alias("kind"), F.col("derived_object_id").alias("ident"), "error").unionByName(bad.select(F.lit("link").alias("kind"), "ident", "error"))

@@ -87,23 +87,25 @@ def transcripts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @R.query(
-    sql=f"""WITH {OBJ}, a AS (SELECT artifact_id, derived_object_id, row_number() OVER (PARTITION BY artifact_id ORDER BY confidence_score DESC NULLS LAST, derived_object_id) AS r FROM obj),
-    b AS (SELECT artifact_id, derived_object_id, row_number() OVER (PARTITION BY artifact_id ORDER BY strlen(coalesce(body_text, '')) DESC, derived_object_id) AS r FROM obj),
-    x AS (SELECT coalesce(p.artifact_id, q.artifact_id) AS artifact_id, CAST(count(*) FILTER (p.r IS NOT NULL AND q.r IS NOT NULL) AS DOUBLE) / count(*) AS overlap, max(CASE WHEN p.r = 1 AND q.r = 1 THEN 1.0 ELSE 0.0 END) AS top
+    sql=f"""WITH {OBJ}, a AS (SELECT artifact_id, derived_object_id, CASE WHEN derived_object_type = 'summary' THEN true END AS s, row_number() OVER (PARTITION BY artifact_id ORDER BY confidence_score DESC NULLS LAST, derived_object_id) AS r FROM obj),
+    b AS (SELECT artifact_id, derived_object_id, CASE WHEN derived_object_type = 'summary' THEN true END AS s, row_number() OVER (PARTITION BY artifact_id ORDER BY strlen(coalesce(body_text, '')) DESC, derived_object_id) AS r FROM obj),
+    x AS (SELECT coalesce(p.artifact_id, q.artifact_id) AS artifact_id, CAST(count(*) FILTER (p.r IS NOT NULL AND q.r IS NOT NULL) AS DOUBLE) / count(*) AS overlap, max(CASE WHEN p.r = 1 AND q.r = 1 THEN 1.0 ELSE 0.0 END) AS top,
+        CASE WHEN count(p.s) + count(q.s) > 0 THEN max(CASE WHEN p.s AND q.s THEN 1.0 ELSE 0.0 END) END AS summaries
         FROM (SELECT * FROM a WHERE r <= 3) p FULL JOIN (SELECT * FROM b WHERE r <= 3) q ON p.artifact_id = q.artifact_id AND p.derived_object_id = q.derived_object_id GROUP BY 1)
-    SELECT round(avg(overlap), 6) AS mean_overlap, round(avg(top), 6) AS top_agreement, CAST(count(*) AS BIGINT) AS n FROM x"""
+    SELECT round(avg(overlap), 6) AS mean_overlap, round(avg(top), 6) AS top_agreement, round(avg(summaries), 6) AS summary_agreement, CAST(count(*) AS BIGINT) AS n FROM x"""
 )
 def ranking_comparison(spark: SparkSession, d: str) -> DataFrame:
-    """Two rankers compared: mean Jaccard overlap of their top three, agreement on the first."""
-    o = table(spark, d, "oa_derived_object").select("artifact_id", "derived_object_id", "confidence_score", F.octet_length(F.coalesce("body_text", F.lit(""))).alias("size"))
+    """Two rankers compared: mean Jaccard overlap of their top three, agreement on the first, and on a summary among the three."""
+    o = table(spark, d, "oa_derived_object").select("artifact_id", "derived_object_id", (F.col("derived_object_type") == "summary").alias("s"), "confidence_score", F.octet_length(F.coalesce("body_text", F.lit(""))).alias("size"))
 
     def top(order, name: str) -> DataFrame:
         w = Window.partitionBy("artifact_id").orderBy(order, "derived_object_id")
-        return o.withColumn(name, F.row_number().over(w)).where(F.col(name) <= 3).select("artifact_id", "derived_object_id", name)
+        return o.withColumn(name, F.row_number().over(w)).where(F.col(name) <= 3).select("artifact_id", "derived_object_id", "s", name)
 
-    both = top(F.desc_nulls_last("confidence_score"), "p").join(top(F.desc("size"), "q"), ["artifact_id", "derived_object_id"], "full_outer")
-    per = both.groupBy("artifact_id").agg((F.count_if(F.col("p").isNotNull() & F.col("q").isNotNull()) / F.count("*")).alias("overlap"), F.max(F.when((F.col("p") == 1) & (F.col("q") == 1), 1.0).otherwise(0.0)).alias("top"))
-    return per.agg(F.round(F.avg("overlap"), 6).alias("mean_overlap"), F.round(F.avg("top"), 6).alias("top_agreement"), F.count("*").alias("n"))
+    both = top(F.desc_nulls_last("confidence_score"), "p").join(top(F.desc("size"), "q"), ["artifact_id", "derived_object_id", "s"], "full_outer")
+    shared = F.col("p").isNotNull() & F.col("q").isNotNull()
+    per = both.groupBy("artifact_id").agg((F.count_if(F.col("p").isNotNull() & F.col("q").isNotNull()) / F.count("*")).alias("overlap"), F.max(F.when((F.col("p") == 1) & (F.col("q") == 1), 1.0).otherwise(0.0)).alias("top"), F.max(F.when(F.col("s"), F.when(shared, 1.0).otherwise(0.0))).alias("summaries"))
+    return per.agg(F.round(F.avg("overlap"), 6).alias("mean_overlap"), F.round(F.avg("top"), 6).alias("top_agreement"), F.round(F.avg("summaries"), 6).alias("summary_agreement"), F.count("*").alias("n"))
 
 
 @R.query(

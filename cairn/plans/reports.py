@@ -473,3 +473,19 @@ def timeline_with_summaries(spark: SparkSession, d: str) -> DataFrame:
     last = table(spark, d, "oa_segment").groupBy("artifact_id").agg(F.unix_micros(F.max("created_at")).alias("last_us"))
     page = last.orderBy(F.desc("last_us"), "artifact_id").limit(100)
     return page.join(best_summary(spark, d).select("artifact_id", "summary_title"), "artifact_id", "left").select("artifact_id", "last_us", "summary_title")
+
+
+@R.query(
+    sql=f"""WITH {OBJ}, sg AS (SELECT DISTINCT segment_id, artifact_id FROM oa_segment), ka AS (SELECT DISTINCT artifact_id FROM oa_segment),
+    s AS (SELECT o.derived_object_id, o.artifact_id, CASE o.scope_type WHEN 'artifact' THEN coalesce(o.scope_id = o.artifact_id, false) WHEN 'segment' THEN EXISTS (SELECT 1 FROM sg WHERE sg.segment_id = o.scope_id AND sg.artifact_id = o.artifact_id) ELSE false END AS ok,
+        EXISTS (SELECT 1 FROM ka WHERE ka.artifact_id = o.artifact_id) AS known FROM obj o),
+    w AS (SELECT 'object' AS kind, 'unknown_artifact' AS error FROM s WHERE NOT known UNION ALL SELECT 'object', 'foreign_scope' FROM s WHERE NOT ok
+        UNION ALL SELECT 'link', CASE WHEN NOT EXISTS (SELECT 1 FROM obj WHERE derived_object_id = source_object_id) OR NOT EXISTS (SELECT 1 FROM obj WHERE derived_object_id = target_object_id) THEN 'unknown_end' WHEN source_object_id = target_object_id THEN 'self_link' END FROM oa_archive_link)
+    SELECT kind, error, CAST(count(*) AS BIGINT) AS n FROM w WHERE error IS NOT NULL GROUP BY 1, 2"""
+)
+def derivation_validation(spark: SparkSession, d: str) -> DataFrame:
+    """What makes stored derivations invalid, counted by error."""
+    objects = archive.objects(spark, d).select("derived_object_id", "artifact_id", "scope_type", "scope_id")
+    links = table(spark, d, "oa_archive_link").select("archive_link_id", "source_object_id", "target_object_id")
+    segments = table(spark, d, "oa_segment").select("segment_id", "artifact_id")
+    return imports.validate_derivations(objects, segments, links).groupBy("kind", "error").agg(F.count("*").alias("n"))
