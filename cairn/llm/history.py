@@ -51,7 +51,6 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
@@ -120,8 +119,10 @@ def token_order(features: DataFrame) -> np.ndarray:
     one = packed.coalesce(16).mapInArrow(_add_up, "packed binary").repartition(1).mapInArrow(_add_up, "packed binary")
     found = one.first()
     total = np.frombuffer(zlib.decompress(found[0]), dtype=np.uint32) if found else np.zeros(SLOTS, dtype=np.uint32)
-    coarse = 64 + 7 * np.log2(np.maximum(total, 64) / 64)  # exact up to 64, then by powers
-    return np.where(total < 64, total, coarse).astype(np.uint8)
+    order = np.minimum(total, 64).astype(np.uint8)  # exact up to 64, then by powers
+    many = np.flatnonzero(total > 64)
+    order[many] = (64 + 7 * np.log2(total[many] / 64)).astype(np.uint8)
+    return order
 
 
 def _lists(row: np.ndarray, values: np.ndarray, n: int) -> pa.ListArray:
@@ -464,14 +465,9 @@ class History:
         out = best.select(F.col("b").alias("record_id"))
         kept = reps.join(out, "record_id", "left_anti").select("record_id", "owner", "updated", "texts", "gen")
         postings, store = self._postings(), self._store()
-        with ThreadPoolExecutor(3) as pool:  # three writes that do not depend on each other
-            writes = [
-                pool.submit(self._append, postings, staged.join(out.withColumnRenamed("record_id", "a"), "a", "left_anti"), "token"),
-                pool.submit(self._append, store, kept.repartition(self.buckets, "record_id"), "record_id"),
-                pool.submit(lambda: seen.write.mode("append").option("compression", "zstd").parquet(f"{self.path}/seen")),
-            ]
-            for w in writes:
-                w.result()
+        self._append(postings, staged.join(out.withColumnRenamed("record_id", "a"), "a", "left_anti"), "token")
+        self._append(store, kept.repartition(self.buckets, "record_id"), "record_id")
+        seen.write.mode("append").option("compression", "zstd").parquet(f"{self.path}/seen")
         space.drop(stored)
         return self.rejected(self.generation)
 
